@@ -139,11 +139,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all n-grams of a hash sequence, in order; empty if it is shorter than n."""
+    """Hashes of all n-grams of a sequence of (well-mixed) hashes, in order; empty if it is shorter than n."""
     m = len(h) - n + 1
     if m < 1:
         return np.empty(0, np.uint64)
-    h = mix(h)
     out = h[:m] * _ODD[0]
     for i in range(1, n):
         out += h[i : m + i] * _ODD[i]

@@ -8,9 +8,11 @@ By the pigeonhole principle, of a set's e segments that aren't empty, e - d or m
 one is in both. Those segments are the join keys. The order puts segments of frequent shingles last (a table of bounded size, counted over all documents), so shared
 passages seldom are keys. Sets that may reach into the next band emit keys there too; a pair meets in its larger set's band.
 
-Candidates. Sets that are equal are one class. Keys are packed by task and bucket, and each bucket (of a size fixed beforehand) finds keys that several classes share. Instead of all pairs within a
-key, each class is verified against one class of one of its keys; verified links make components; and that is repeated, with another choice, where a key still has several
-components. What is left after some rounds, pairs of different components that share a key, is verified exhaustively. So no link is lost, and a group of copies costs its size, not its square.
+Candidates. Sets that are equal are one class. Keys are packed by task and bucket, and each bucket (of a size fixed beforehand) finds keys that several classes share. A class also has a parity
+sketch of about 2 to 4 bits a shingle: each shingle toggles one bit, so the Hamming distance of two sketches (the longer one folded) is a lower bound of the symmetric difference too, and pairs beyond
+d are dropped by it. Instead of all pairs within a key, each class is held against one class of each of its keys, and verified against one that passes; verified links make components; and that is repeated,
+with other choices, where a key still has several components. What is left then, pairs of different components that share a key, is held against sketches and verified
+exhaustively. So no link is lost, and a group of copies costs its size, not its square.
 
 Verification compares whole sets of 64-bit shingle hashes. Classes are known by 64 bits too.
 
@@ -33,7 +35,7 @@ N = 5
 FREQUENT, NAMED = 1 << 16, 20_000
 #: Keys of a bucket, as planned; keys that a task holds before it sends them off.
 BUCKET_KEYS, HELD = 500_000, 2_000_000
-ROUNDS = 3
+ROUNDS = 2
 #: Rows up to which a join's small side (16 bytes a row) is broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -56,6 +58,20 @@ def class_of(s: np.ndarray) -> int:
     return int(ngram_hashes(both, 3).view(np.int64)[0])
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """The parity sketch: a power of two of bits, twice the set's size at least."""
+    bits = 1 << max(6, (2 * len(s)).bit_length())
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, at the shorter one's length."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _segments(low: int) -> int:
     """Segments of the band from low on. Small bands have far more than shingles, so that few share one."""
     return -(-4 * low // 3) if low >= 64 else 1 << 20
@@ -87,7 +103,7 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarr
     return np.concatenate(out)
 
 
-_STATS = "doc_id long, n long, cls long, text_key long, shingle long, times long"
+_STATS = "doc_id long, n long, cls long, text_key long, sketch binary, shingle long, times long"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +111,8 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(**cols: np.ndarray | list) -> pa.RecordBatch:
         n = len(next(iter(cols.values())))
-        return pa.RecordBatch.from_arrays([pa.array(cols[k], pa.int64()) if k in cols else pa.nulls(n, pa.int64()) for k in (x.split()[0] for x in _STATS.split(", "))], names=[x.split()[0] for x in _STATS.split(", ")])
+        kinds = {x.split()[0]: pa.binary() if x.endswith("binary") else pa.int64() for x in _STATS.split(", ")}
+        return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
 
     def named() -> pa.RecordBatch:
         u, c = np.unique(np.concatenate(held), return_counts=True)
@@ -106,12 +123,13 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, seen, size = [], set(), 0
     for b in batches:
         ids, texts, keys = [b.column(i).to_pylist() for i in range(3)]
-        ns, classes = [], []
+        ns, classes, sketches = [], [], []
         for t in texts:
             s = shingles(t)
             c = class_of(s)
             ns.append(len(s))
             classes.append(c)
+            sketches.append(sketch_of(s))
             if c not in seen and len(s):
                 seen.add(c)
                 held.append(s)
@@ -119,7 +137,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= HELD:
                 yield named()
                 held, size, seen = [], 0, set()
-        yield rows(doc_id=ids, n=ns, cls=classes, text_key=keys)
+        yield rows(doc_id=ids, n=ns, cls=classes, text_key=keys, sketch=sketches)
     if held:
         yield named()
 
@@ -178,11 +196,15 @@ def _shared_keys(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[~alone].view(np.int64)), "cls": pa.array(cls[~alone])})
 
 
-def _sets(ids: list, keys: list, texts: list) -> dict:
+def _sets(texts: list) -> dict:
     found = [shingles(t) for t in texts]
     return {"cls": [class_of(s) for s in found], "shingles": [s.tobytes() for s in found]}
 
 
+def _near(a: list, b: list, n: list, m: list, x: list, y: list) -> dict:
+    return {"a": a, "b": b, "near": [9 * distance(p, q) <= k + l for k, l, p, q in zip(n, m, x, y, strict=True)]}
+
+
 def _linked(a: list, b: list, x: list, y: list) -> dict:
     out = []
     for p, q in zip(x, y, strict=True):
@@ -216,7 +238,7 @@ class Join:
         text = F.col(f"`{text_col}`")
         self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
         stats = self.docs.select("doc_id", "text", "text_key").mapInArrow(_stats, _STATS).checkpoint()
-        self.rows = stats.filter("n IS NOT NULL").select("doc_id", "n", "cls", "text_key")
+        self.rows = stats.filter("n IS NOT NULL").select("doc_id", "n", "cls", "text_key", "sketch")
         often = stats.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.col("times").desc(), "shingle").limit(FREQUENT).toPandas()
         often = (often["shingle"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64))
         order = np.argsort(often[0])
@@ -225,51 +247,57 @@ class Join:
         buckets = max(16, -(-total // 3 // BUCKET_KEYS))
         packed = self.docs.select("text").mapInArrow(_Keys(sent, buckets), "bucket long, keys binary, owner binary, classes binary")
         self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long").checkpoint()
-        self.reps = self.rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("r")).select("cls", "r.doc_id", "r.text_key")
+        #: cls, n, sketch, and the row (doc_id, text_key) that stands for the class
+        self.classes = self.rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "sketch")).alias("r")).select("cls", "r.doc_id", "r.text_key", "r.n", "r.sketch").join(self.shared.select("cls").distinct(), "cls", "left_semi").checkpoint()
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose sizes and sketches allow a link."""
+        sides = [self.classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab"]
+        both = pairs.join(sides[0], "a").join(sides[1], "b").filter("5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a")
+        return scan(both, ["a", "b", "n_a", "n_b", "s_a", "s_b"], "a long, b long, near boolean", _near).filter("near").select("a", "b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) with whether they link."""
-        pairs = pairs.checkpoint()
+        """pairs (a, b; kept in a checkpoint) with whether they link."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        need = self.reps.join(wanted, "cls").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).checkpoint()
+        need = self.classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).checkpoint()
         if need.count() <= BROADCAST_ROWS:
             need = F.broadcast(need)
         texts = self.docs.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
-        sets = scan(texts, ["doc_id", "text_key", "text"], "cls long, shingles binary", _sets).groupBy("cls").agg(F.first("shingles").alias("shingles")).checkpoint()
+        sets = scan(texts, ["text"], "cls long, shingles binary", _sets).groupBy("cls").agg(F.first("shingles").alias("shingles"))
         found = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
         return scan(found, ["a", "b", "x", "y"], "a long, b long, linked boolean", _linked).checkpoint()
 
     def labels(self) -> DataFrame:
-        """cls, comp of the classes that share a key with another."""
-        links, tried = None, None
+        """cls, comp of the classes that link with another."""
+        links, tried, labels = None, None, None
         shared = self.shared.withColumn("comp", F.col("cls"))
-        labels = None
         for turn in range(ROUNDS + 1):
-            if shared.isEmpty():
-                break
             if turn < ROUNDS:
-                # one class of each key, another in each round, against the others; of those, one for each class
-                pick = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "cls", "comp")).alias("p") if turn else F.min(F.struct("comp", "cls")).alias("p")
-                lead = shared.groupBy("key").agg(pick).select("key", F.col("p.cls").alias("lead"), F.col("p.comp").alias("lead_comp"))
-                near = shared.join(lead, "key").filter("comp <> lead_comp")
-                pairs = near.groupBy("cls").agg(F.min("lead").alias("lead")).select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+                # one class of each key, another in each round, against the others; of those that pass, one for each class
+                pick = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "cls", "comp")).alias("p")
+                lead = shared.groupBy("key").agg(pick).select("key", F.col("p.cls").alias("b"), F.col("p.comp").alias("lead_comp"))
+                pairs = shared.join(lead, "key").filter("comp <> lead_comp").select(F.col("cls").alias("a"), "b").distinct()
             else:
-                sizes = self.rows.groupBy("cls").agg(F.first("n").alias("n"))
-                left = shared.join(sizes, "cls")
-                right = left.select("key", F.col("cls").alias("cls2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-                pairs = left.join(right, "key").filter("comp < comp2 AND 5 * n2 >= 4 * n AND 5 * n >= 4 * n2").select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
+                right = shared.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp2"))
+                pairs = shared.join(right, "key").filter("comp < comp2").select(F.col("cls").alias("a"), "b").distinct()
+            pairs = self.near(pairs)
+            if turn < ROUNDS:
+                pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.checkpoint()
+            if pairs.isEmpty():
+                continue
             done = self.verified(pairs)
-            tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b")).checkpoint()
+            tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
             new = done.filter("linked").select("a", "b")
             links = new if links is None else links.unionByName(new)
-            if new.isEmpty() and turn < ROUNDS:
-                continue
             labels = components(links)
-            known = self.shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-            mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-            shared = known.join(mixed, "key", "left_semi").checkpoint()
+            if turn < ROUNDS:
+                known = self.shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
+                shared = known.join(mixed, "key", "left_semi").checkpoint()
         return labels if labels is not None else self.spark.createDataFrame([], "cls long, comp long")
 
 
