@@ -102,7 +102,7 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean
 class HashCache(dict):
     """Word (bytes) to 64-bit hash; forgets all when full, so a worker's memory stays bounded."""
 
-    FULL = 1_000_000
+    FULL = 600_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.FULL:

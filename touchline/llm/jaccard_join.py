@@ -10,9 +10,9 @@ passages seldom are keys. Sets that may reach into the next band emit keys there
 
 Candidates. Sets that are equal are one class. Keys are packed by task and bucket, and each bucket (of a size fixed beforehand) finds keys that several classes share. A class also has a parity
 sketch of about 2 to 4 bits a shingle: each shingle toggles one bit, so the Hamming distance of two sketches (the longer one folded) is a lower bound of the symmetric difference too, and pairs beyond
-d are dropped by it. Instead of all pairs within a key, each class is held against one class of each of its keys, and verified against one that passes; verified links make components; and that is repeated,
-with other choices, where a key still has several components. What is left then, pairs of different components that share a key, is held against sketches and verified
-exhaustively. So no link is lost, and a group of copies costs its size, not its square.
+d are dropped by it. Instead of all pairs within a key, each class is first held against one class of each of its keys, and verified against one that passes; verified links make
+components. Where a key still has several components, sketches are compared within the key (in blocks of bounded size), between components only: first as many pairs as would join them are
+verified, then, for what is left, all that pass. So no link is lost, and a group of copies costs about its size, not its square.
 
 Verification compares whole sets of 64-bit shingle hashes. Classes are known by 64 bits too.
 
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ N = 5
 FREQUENT, NAMED = 1 << 16, 20_000
 #: Keys of a bucket, as planned; keys that a task holds before it sends them off.
 BUCKET_KEYS, HELD = 500_000, 2_000_000
-ROUNDS = 2
+#: Classes of a key that are compared at once; larger groups are dealt out in pairs of blocks. Rows of a bucket, as planned.
+GROUP, BUCKET_ROWS = 4096, 20_000
 #: Rows up to which a join's small side (16 bytes a row) is broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -50,12 +52,8 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
 
 
 def class_of(s: np.ndarray) -> int:
-    """64 bits that equal sets share."""
-    if not len(s):
-        return 0
-    m = mix(s + _U(0x51))
-    both = np.array([np.add.reduce(m), np.bitwise_xor.reduce(mix(m)), len(s)], _U)  # arrays wrap around without a warning
-    return int(ngram_hashes(both, 3).view(np.int64)[0])
+    """64 bits that equal sets share; 0 for the empty one."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else 0
 
 
 def sketch_of(s: np.ndarray) -> bytes:
@@ -77,28 +75,39 @@ def _segments(low: int) -> int:
     return -(-4 * low // 3) if low >= 64 else 1 << 20
 
 
-def keys_of(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set's join keys. frequent: sorted hashes; counts: of theirs."""
+class Frequent:
+    """The table of frequent shingles: sorted hashes and counts, and a bitmap that most other shingles fail."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> _U(44)] = True
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(s), np.uint64)
+        at = np.flatnonzero(self.maybe[s >> _U(44)])
+        if len(at):
+            i = np.minimum(np.searchsorted(self.hashes, s[at]), len(self.hashes) - 1)
+            out[at] = np.where(self.hashes[i] == s[at], self.counts[i], 0)
+        return out
+
+
+def keys_of(s: np.ndarray, frequent: Frequent) -> np.ndarray:
+    """The set's join keys: in each band that it takes part in, the first d + 1 segments, by their rarest shingle's count, then by hash."""
     n = len(s)
     low = 1 << (n.bit_length() - 1)
     bands = [(low, (n + min(5 * n // 4, 2 * low - 1)) // 9)]
     if 5 * n // 4 >= 2 * low:
         bands.append((2 * low, (n + 5 * n // 4) // 9))
-    m = mix(s + _U(0xB5))
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        often = np.where(frequent[at] == s, counts[at], 0)
-    else:
-        often = np.zeros(n, np.int64)
+    often = np.minimum(frequent.count(s), _U(0xFFFF))
     out = []
     for band, d in bands:
-        seg = m % _U(_segments(band))
-        order = np.argsort(seg, kind="stable")
-        seg = seg[order]
+        seg = (s >> _U(32)) * _U(_segments(band)) >> _U(32)  # in order, as s is
         first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        key = mix(np.bitwise_xor.reduceat(s[order], first) + (seg[first] << _U(20)) + _U(band.bit_length()))
+        key = mix(np.bitwise_xor.reduceat(s, first) + (seg[first] << _U(20)) + _U(band.bit_length()))
         if d + 1 < len(key):
-            key = key[np.lexsort((key, np.minimum.reduceat(often[order], first)))[: d + 1]]
+            key = key[np.argpartition(np.minimum.reduceat(often, first) << _U(48) | key >> _U(16), d)[: d + 1]]
         out.append(key)
     return np.concatenate(out)
 
@@ -147,14 +156,14 @@ class _Keys:
         self.sent, self.buckets = sent, buckets
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = self.sent.value
+        frequent = self.sent.value
         held, owners, size, seen = [], [], 0, set()
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
-                    held.append(keys_of(s, frequent, counts))
+                    held.append(keys_of(s, frequent))
                     owners.append(c)
                     size += len(held[-1])
                 if size >= HELD:
@@ -215,6 +224,83 @@ def _linked(a: list, b: list, x: list, y: list) -> dict:
     return {"a": a, "b": b, "linked": out}
 
 
+class _Compare:
+    """Pairs of different components in groups (key, lo, hi) whose sizes and sketches allow a link. forest: only as many as join the group's components."""
+
+    def __init__(self, forest: bool):
+        self.forest = forest
+
+    def __call__(self, table: pa.Table) -> pa.Table:
+        cols = {k: table.column(k).to_numpy() for k in ("key", "lo", "hi", "block", "cls", "comp", "n")}
+        sketches = table.column("sketch").to_pylist()
+        order = np.lexsort((cols["cls"], cols["hi"], cols["lo"], cols["key"]))
+        key, lo, hi = (cols[k][order] for k in ("key", "lo", "hi"))
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        a, b = [], []
+        for i, j in zip(first, [*first[1:], len(order)], strict=True):
+            rows = order[i:j]
+            x, y = self.group(rows, cols, sketches, lo[i] == hi[i])
+            a.append(x)
+            b.append(y)
+        none = np.empty(0, np.int64)
+        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    def group(self, rows: np.ndarray, cols: dict, sketches: list, within: bool) -> tuple[np.ndarray, np.ndarray]:
+        comp, block, cls, n = (cols[k][rows] for k in ("comp", "block", "cls", "n"))
+        u, back, size = np.unique(comp, return_inverse=True, return_counts=True)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        # rows of all components but the largest, against all
+        few = np.flatnonzero(back != np.argmax(size))
+        lengths = np.array([len(sketches[r]) for r in rows])
+        for p in np.unique(lengths[few]) if len(few) else []:
+            left = few[lengths[few] == p]
+            for q in np.unique(lengths):
+                right = np.flatnonzero(lengths == q)
+                w = min(p, q)
+                x, y = self.folded(sketches, rows[left], w), self.folded(sketches, rows[right], w)
+                step = max(1, (1 << 22) // (len(right) * x.shape[1]))
+                for k in range(0, len(left), step):
+                    l = left[k : k + step]
+                    d = np.bitwise_count(x[k : k + step, None] ^ y[None]).sum(2, dtype=np.int64)
+                    m, r = n[l][:, None], n[right][None]
+                    fine = (comp[l][:, None] != comp[right][None]) & (9 * d <= m + r) & (5 * m >= 4 * r) & (5 * r >= 4 * m)
+                    if not within:
+                        fine &= block[l][:, None] != block[right][None]
+                    i, j = np.nonzero(fine)
+                    found.append((l[i], right[j]))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        if self.forest and len(i):
+            parent = list(range(len(u)))
+
+            def root(c: int) -> int:
+                while parent[c] != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            kept = []
+            for k, (c, e) in enumerate(zip(back[i].tolist(), back[j].tolist(), strict=True)):
+                c, e = root(c), root(e)
+                if c != e:
+                    parent[c] = e
+                    kept.append(k)
+            i, j = i[kept], j[kept]
+        return cls[i], cls[j]
+
+    @staticmethod
+    def folded(sketches: list, rows: np.ndarray, width: int) -> np.ndarray:
+        """The rows' sketches (of one length), folded to width bytes, as words."""
+        x = np.frombuffer(b"".join([sketches[r] for r in rows]), np.uint64).reshape(len(rows), -1)
+        while x.shape[1] * 8 > width:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        return x
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """cls, comp: the smallest class that each class of the edges reaches. Labels go along edges and along labels until none changes; each step is cut off by a checkpoint."""
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct().checkpoint()
@@ -240,9 +326,7 @@ class Join:
         stats = self.docs.select("doc_id", "text", "text_key").mapInArrow(_stats, _STATS).checkpoint()
         self.rows = stats.filter("n IS NOT NULL").select("doc_id", "n", "cls", "text_key", "sketch")
         often = stats.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.col("times").desc(), "shingle").limit(FREQUENT).toPandas()
-        often = (often["shingle"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64))
-        order = np.argsort(often[0])
-        sent = self.spark.sparkContext.broadcast((often[0][order], often[1][order]))
+        sent = self.spark.sparkContext.broadcast(Frequent(often["shingle"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64).view(np.uint64)))
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(16, -(-total // 3 // BUCKET_KEYS))
         packed = self.docs.select("text").mapInArrow(_Keys(sent, buckets), "bucket long, keys binary, owner binary, classes binary")
@@ -267,37 +351,42 @@ class Join:
         found = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
         return scan(found, ["a", "b", "x", "y"], "a long, b long, linked boolean", _linked).checkpoint()
 
+    def compared(self, mixed: DataFrame, forest: bool) -> DataFrame:
+        """Pairs (a, b) of different components that share a key and pass. mixed: key, cls, comp, size (of the key's group)."""
+        blocks = F.ceil(F.col("size") / GROUP).cast("int")
+        dealt = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.join(self.classes.select("cls", "n", "sketch"), "cls").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n", "sketch")
+        buckets = max(16, -(-mixed.count() // BUCKET_ROWS))
+        bucket = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets))
+        return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(by_group(_Compare(forest)), "a long, b long").distinct()
+
     def labels(self) -> DataFrame:
         """cls, comp of the classes that link with another."""
         links, tried, labels = None, None, None
         shared = self.shared.withColumn("comp", F.col("cls"))
-        for turn in range(ROUNDS + 1):
-            if turn < ROUNDS:
-                # one class of each key, another in each round, against the others; of those that pass, one for each class
-                pick = F.min(F.struct(F.xxhash64("comp", F.lit(turn)).alias("h"), "cls", "comp")).alias("p")
-                lead = shared.groupBy("key").agg(pick).select("key", F.col("p.cls").alias("b"), F.col("p.comp").alias("lead_comp"))
-                pairs = shared.join(lead, "key").filter("comp <> lead_comp").select(F.col("cls").alias("a"), "b").distinct()
+        for turn in ("star", "forest", "all"):
+            if turn == "star":
+                # one class of each key against the others; of those that pass, one for each class
+                lead = shared.groupBy("key").agg(F.min("cls").alias("b"))
+                pairs = self.near(shared.join(lead, "key").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()).groupBy("a").agg(F.min("b").alias("b"))
             else:
-                right = shared.select("key", F.col("cls").alias("b"), F.col("comp").alias("comp2"))
-                pairs = shared.join(right, "key").filter("comp < comp2").select(F.col("cls").alias("a"), "b").distinct()
-            pairs = self.near(pairs)
-            if turn < ROUNDS:
-                pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
+                if shared.isEmpty():
+                    break
+                pairs = self.compared(shared, turn == "forest")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = pairs.checkpoint()
-            if pairs.isEmpty():
-                continue
-            done = self.verified(pairs)
-            tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
-            new = done.filter("linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            labels = components(links)
-            if turn < ROUNDS:
-                known = self.shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-                shared = known.join(mixed, "key", "left_semi").checkpoint()
+            if not pairs.isEmpty():
+                done = self.verified(pairs)
+                tried = done.select("a", "b") if tried is None else tried.unionByName(done.select("a", "b"))
+                new = done.filter("linked").select("a", "b")
+                links = new if links is None else links.unionByName(new)
+                labels = components(links)
+            if turn != "all":
+                known = self.shared.withColumn("comp", F.col("cls")) if labels is None else self.shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
+                shared = known.join(mixed, "key").checkpoint()
         return labels if labels is not None else self.spark.createDataFrame([], "cls long, comp long")
 
 

@@ -34,7 +34,7 @@ class _Replay:
             self.by_chunk.clear()
             self.by_piece.clear()
         split = [(k, self.pieces.findall(bpe.chunk_of(k))) for k in keys]
-        new = list({p for _, ps in split for p in ps} - self.by_piece.keys())
+        new = [p for p in {p for _, ps in split for p in ps} if p not in self.by_piece]
         for p, ids in zip(new, self.ranks.replay(p.encode() for p in new), strict=True):
             self.by_piece[p] = ",".join(map(str, ids))
         for k, ps in split:
@@ -49,7 +49,7 @@ class _Replay:
             group.append(bpe.ordered(t or ""))
             size += len(group[-1])
             if size >= bpe.CACHE // 2 or len(out) + len(group) > len(texts):
-                new = set().union(*group) - self.by_chunk.keys()
+                new = {k for k in set().union(*group) if k not in self.by_chunk}
                 if new:
                     if len(self.by_chunk) + len(new) > bpe.CACHE:
                         self.by_chunk.clear()

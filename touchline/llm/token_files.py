@@ -49,7 +49,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
             out.append(np.array(library.encode(t, add_special_tokens=False).ids, np.uint32))
             continue
         keys = bpe.ordered(t)
-        new = list(set(keys) - cache.keys())
+        new = [k for k in set(keys) if k not in cache]
         if new:
             if len(cache) + len(new) > bpe.CACHE:
                 cache.clear()
