@@ -317,7 +317,7 @@ def _moving(spark, sf, frames: int = 20, gone: tuple[int, int] | None = None):
     return o.select(F.col("n_regionkey").cast("long").alias("clip_id"), "frame_idx", F.col("k").cast("int").alias("det_idx"), (x - 20).alias("x1"), (y - 40).alias("y1"), (x + 20).alias("x2"), (y + 40).alias("y2"), (0.9 - F.col("k") * 0.05).alias("conf"))
 
 
-_MOVING = "o AS (SELECT CAST(n_regionkey AS BIGINT) AS clip_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS k, CAST(f AS BIGINT) AS frame_idx FROM nation, range(0, {n}) t(f))"
+_MOVING = "k AS (SELECT CAST(n_regionkey AS BIGINT) AS clip_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS k FROM nation), o AS (SELECT clip_id, k, CAST(f AS BIGINT) AS frame_idx FROM k, range(0, {n}) t(f))"
 
 
 @query(f"WITH {_MOVING.format(n=20)} SELECT clip_id, frame_idx, k + 1 AS track_id, k AS det_idx FROM o")
