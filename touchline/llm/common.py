@@ -6,6 +6,7 @@ Words everywhere are maximal runs of characters other than space, tab, LF, VT, F
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -71,6 +72,12 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM notice which shuffles and checkpoints nothing refers to any more, so that Spark deletes their files now rather than at the end."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, documents, lower_words, mix, ngram_hashes, prepare, scan, word_hashes
+from .common import by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, word_hashes
 
 N = 5
 #: Entries of the table of frequent shingles; those that a task names at most.
@@ -225,7 +225,7 @@ def _linked(a: list, b: list, x: list, y: list) -> dict:
 
 
 class _Compare:
-    """Pairs of different components in groups (key, lo, hi) whose sizes and sketches allow a link. forest: only as many as join the group's components."""
+    """Pairs (a, b) of different components in groups (key, lo, hi) whose sizes and sketches allow a link. forest: only as many as join the group's components, and key where more would pass."""
 
     def __init__(self, forest: bool):
         self.forest = forest
@@ -236,18 +236,26 @@ class _Compare:
         order = np.lexsort((cols["cls"], cols["hi"], cols["lo"], cols["key"]))
         key, lo, hi = (cols[k][order] for k in ("key", "lo", "hi"))
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-        a, b = [], []
+        a, b, left = [], [], []
         for i, j in zip(first, [*first[1:], len(order)], strict=True):
-            rows = order[i:j]
-            x, y = self.group(rows, cols, sketches, lo[i] == hi[i])
+            x, y, more = self.group(order[i:j], cols, sketches, lo[i] == hi[i])
             a.append(x)
             b.append(y)
+            if more:
+                left.append(key[i])
         none = np.empty(0, np.int64)
         a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    def group(self, rows: np.ndarray, cols: dict, sketches: list, within: bool) -> tuple[np.ndarray, np.ndarray]:
+        left, gap = np.unique(np.array(left, np.int64)), pa.nulls
+        return pa.table(
+            {
+                "a": pa.concat_arrays([pa.array(pairs[:, 0]), gap(len(left), pa.int64())]),
+                "b": pa.concat_arrays([pa.array(pairs[:, 1]), gap(len(left), pa.int64())]),
+                "key": pa.concat_arrays([gap(len(pairs), pa.int64()), pa.array(left)]),
+            }
+        )
+
+    def group(self, rows: np.ndarray, cols: dict, sketches: list, within: bool) -> tuple[np.ndarray, np.ndarray, bool]:
         comp, block, cls, n = (cols[k][rows] for k in ("comp", "block", "cls", "n"))
         u, back, size = np.unique(comp, return_inverse=True, return_counts=True)
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -271,9 +279,10 @@ class _Compare:
                     i, j = np.nonzero(fine)
                     found.append((l[i], right[j]))
         if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), False
         i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        if self.forest and len(i):
+        passed = len(i)
+        if self.forest and passed:
             parent = list(range(len(u)))
 
             def root(c: int) -> int:
@@ -289,7 +298,7 @@ class _Compare:
                     parent[c] = e
                     kept.append(k)
             i, j = i[kept], j[kept]
-        return cls[i], cls[j]
+        return cls[i], cls[j], len(i) < passed
 
     @staticmethod
     def folded(sketches: list, rows: np.ndarray, width: int) -> np.ndarray:
@@ -333,6 +342,8 @@ class Join:
         self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long").checkpoint()
         #: cls, n, sketch, and the row (doc_id, text_key) that stands for the class
         self.classes = self.rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "sketch")).alias("r")).select("cls", "r.doc_id", "r.text_key", "r.n", "r.sketch").join(self.shared.select("cls").distinct(), "cls", "left_semi").checkpoint()
+        del packed
+        release(self.spark)
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and sketches allow a link."""
@@ -352,27 +363,34 @@ class Join:
         return scan(found, ["a", "b", "x", "y"], "a long, b long, linked boolean", _linked).checkpoint()
 
     def compared(self, mixed: DataFrame, forest: bool) -> DataFrame:
-        """Pairs (a, b) of different components that share a key and pass. mixed: key, cls, comp, size (of the key's group)."""
+        """As _Compare has it. mixed: key, cls, comp, size (of the key's group)."""
         blocks = F.ceil(F.col("size") / GROUP).cast("int")
         dealt = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.join(self.classes.select("cls", "n", "sketch"), "cls").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n", "sketch")
         buckets = max(16, -(-mixed.count() // BUCKET_ROWS))
         bucket = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets))
-        return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(by_group(_Compare(forest)), "a long, b long").distinct()
+        return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(by_group(_Compare(forest)), "a long, b long, key long")
 
     def labels(self) -> DataFrame:
         """cls, comp of the classes that link with another."""
-        links, tried, labels = None, None, None
-        shared = self.shared.withColumn("comp", F.col("cls"))
+        links, tried, labels, shared = None, None, None, self.shared
         for turn in ("star", "forest", "all"):
             if turn == "star":
                 # one class of each key against the others; of those that pass, one for each class
                 lead = shared.groupBy("key").agg(F.min("cls").alias("b"))
                 pairs = self.near(shared.join(lead, "key").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()).groupBy("a").agg(F.min("b").alias("b"))
             else:
-                if shared.isEmpty():
+                # keys that have several components still; after the forest, those of them where more pairs pass than it took
+                known = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
+                known = known.checkpoint()
+                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
+                known = known.join(mixed, "key").checkpoint()
+                release(self.spark)
+                if known.isEmpty():
                     break
-                pairs = self.compared(shared, turn == "forest")
+                pairs = self.compared(known, turn == "forest").checkpoint()
+                shared = known.select("key", "cls").join(pairs.filter("key IS NOT NULL").select("key").distinct(), "key", "left_semi").checkpoint()
+                pairs = pairs.filter("a IS NOT NULL")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -383,10 +401,9 @@ class Join:
                 new = done.filter("linked").select("a", "b")
                 links = new if links is None else links.unionByName(new)
                 labels = components(links)
-            if turn != "all":
-                known = self.shared.withColumn("comp", F.col("cls")) if labels is None else self.shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
-                shared = known.join(mixed, "key").checkpoint()
+            release(self.spark)
+            if turn == "forest" and shared.isEmpty():
+                break
         return labels if labels is not None else self.spark.createDataFrame([], "cls long, comp long")
 
 
