@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, word_hashes
+from .common import by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, scratch, word_hashes
 
 N = 5
 #: Entries of the table of frequent shingles; those that a task names at most.
@@ -48,7 +48,8 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     w = word_hashes(lower_words(text))
     if 0 < len(w) < n:
         return mix(ngram_hashes(w, len(w)) + _U(len(w)))
-    return np.unique(ngram_hashes(w, n))
+    s = np.sort(ngram_hashes(w, n))
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
 def class_of(s: np.ndarray) -> int:
@@ -339,12 +340,18 @@ class Join:
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(16, -(-total // 3 // BUCKET_KEYS))
         packed = self.docs.select("text").mapInArrow(_Keys(sent, buckets), "bucket long, keys binary, owner binary, classes binary")
-        self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long").checkpoint()
+        self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long")
+        self.shared = self.kept(self.shared)
         #: cls, n, sketch, and the row (doc_id, text_key) that stands for the class
         self.classes = self.rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "sketch")).alias("r")).select("cls", "r.doc_id", "r.text_key", "r.n", "r.sketch").join(self.shared.select("cls").distinct(), "cls", "left_semi").checkpoint()
         del packed
         release(self.spark)
 
+    def kept(self, df: DataFrame) -> DataFrame:
+        """df as a table in the shared folder: for long tables, whose columns compress, smaller than a checkpoint."""
+        df.write.parquet(path := scratch(self.spark, "keys"))
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and sketches allow a link."""
         sides = [self.classes.select(F.col("cls").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}")) for k in "ab"]
@@ -382,14 +389,15 @@ class Join:
             else:
                 # keys that have several components still; after the forest, those of them where more pairs pass than it took
                 known = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-                known = known.checkpoint()
+                known = self.kept(known)
                 mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
-                known = known.join(mixed, "key").checkpoint()
+                known = self.kept(known.join(mixed, "key"))
                 release(self.spark)
                 if known.isEmpty():
                     break
                 pairs = self.compared(known, turn == "forest").checkpoint()
-                shared = known.select("key", "cls").join(pairs.filter("key IS NOT NULL").select("key").distinct(), "key", "left_semi").checkpoint()
+                shared = known.select("key", "cls").join(pairs.filter("key IS NOT NULL").select("key").distinct(), "key", "left_semi")
+                shared = self.kept(shared)
                 pairs = pairs.filter("a IS NOT NULL")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if tried is not None:
