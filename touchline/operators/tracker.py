@@ -25,8 +25,13 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def solve(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of an optimal assignment; forbidden cells are infinite. Successive shortest augmenting paths over the allowed cells."""
-    n, m = cost.shape
+    """Pairs (row, column) of an optimal assignment: as many as possible, then the least cost; forbidden cells are infinite. Successive shortest augmenting paths.
+
+    Each row may also stay alone, at a cost beyond any saving elsewhere, so a later row can take an earlier one's place."""
+    n, real = cost.shape
+    finite = cost[np.isfinite(cost)]
+    cost = np.hstack([cost, np.full((n, n), (1.0 + 2 * np.abs(finite).max(initial=0.0)) * (n + 1))])
+    m = cost.shape[1]
     row_of = [-1] * m
     u, v = np.zeros(n), np.zeros(m)
     for start in range(n):
@@ -60,7 +65,7 @@ def solve(cost: np.ndarray) -> list[tuple[int, int]]:
                 break
             nxt = row_of.index(r)
             row_of[j], j = r, nxt
-    return sorted((r, j) for j, r in enumerate(row_of) if r >= 0)
+    return sorted((r, j) for j, r in enumerate(row_of) if r >= 0 and j < real)
 
 
 @dataclass
