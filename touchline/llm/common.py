@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a batch sent to a Python worker holds at most (a longer single text makes its own batch).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
@@ -109,7 +109,7 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean
 class HashCache(dict):
     """Word (bytes) to 64-bit hash; forgets all when full, so a worker's memory stays bounded."""
 
-    FULL = 600_000
+    FULL = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.FULL:

@@ -35,9 +35,11 @@ N = 5
 #: Entries of the table of frequent shingles; those that a task names at most.
 FREQUENT, NAMED = 1 << 16, 20_000
 #: Keys of a bucket, as planned; keys that a task holds before it sends them off.
-BUCKET_KEYS, HELD = 500_000, 2_000_000
+BUCKET_KEYS, HELD = 500_000, 1_200_000
 #: Classes of a key that are compared at once; larger groups are dealt out in pairs of blocks. Rows of a bucket, as planned.
 GROUP, BUCKET_ROWS = 4096, 20_000
+#: Parts that sketches are dealt out in, one after the other, so that only one part's shuffle lies on disk.
+WAVES = 3
 #: Rows up to which a join's small side (16 bytes a row) is broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 _U = np.uint64
@@ -185,7 +187,7 @@ class _Keys:
         for k in np.flatnonzero(np.diff(ends)).tolist():
             a, b = ends[k], ends[k + 1]
             u, small = np.unique(own[a:b], return_inverse=True)
-            out.append((k, key[a:b].tobytes(), small.astype(np.uint32).tobytes(), table[u].tobytes()))
+            out.append((k, np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), small.astype(np.uint32).tobytes(), table[u].tobytes()))
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "owner", "classes"])
 
@@ -193,8 +195,12 @@ class _Keys:
 def _shared_keys(table: pa.Table) -> pa.Table:
     """Keys of a bucket that two classes or more have: a row for each of them."""
     keys, classes = [], []
-    for k, o, c in zip(*[table.column(n).to_pylist() for n in ("keys", "owner", "classes")], strict=True):
-        keys.append(np.frombuffer(k, np.uint64))
+    for b, k, o, c in zip(*[table.column(n).to_pylist() for n in ("bucket", "keys", "owner", "classes")], strict=True):
+        # 48 bits of the key travel; the bucket tells the rest. Should two keys fall together, their classes are compared in vain
+        low = np.frombuffer(k, np.uint8).reshape(-1, 6)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :6] = low
+        keys.append(wide.view(np.uint64).reshape(-1) | _U(b & 0xFFFF) << _U(48))
         classes.append(np.frombuffer(c, np.int64)[np.frombuffer(o, np.uint32)])
     key, cls = np.concatenate(keys), np.concatenate(classes)
     order = np.lexsort((cls, key))
@@ -375,8 +381,13 @@ class Join:
         dealt = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.join(self.classes.select("cls", "n", "sketch"), "cls").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n", "sketch")
         buckets = max(16, -(-mixed.count() // BUCKET_ROWS))
-        bucket = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets))
-        return dealt.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(by_group(_Compare(forest)), "a long, b long, key long")
+        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets)))
+        found = None
+        for wave in range(WAVES):
+            part = dealt.filter(F.col("bucket") % WAVES == wave).groupBy("bucket").applyInArrow(by_group(_Compare(forest)), "a long, b long, key long").checkpoint()
+            found = part if found is None else found.unionByName(part)
+            release(self.spark)
+        return found
 
     def labels(self) -> DataFrame:
         """cls, comp of the classes that link with another."""
@@ -395,7 +406,7 @@ class Join:
                 release(self.spark)
                 if known.isEmpty():
                     break
-                pairs = self.compared(known, turn == "forest").checkpoint()
+                pairs = self.compared(known, turn == "forest")
                 shared = known.select("key", "cls").join(pairs.filter("key IS NOT NULL").select("key").distinct(), "key", "left_semi")
                 shared = self.kept(shared)
                 pairs = pairs.filter("a IS NOT NULL")
