@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import HEIGHT, PAD, WIDTH, clamp, iou
+from ..functions.boxes import HEIGHT, PAD, WIDTH, clamp, cosine_distance, iou
 
 PLAYER, BALL, REFEREE = 0, 1, 2
 MIN_CONF = {PLAYER: 0.25, BALL: 0.15, REFEREE: 0.25}
@@ -96,3 +96,53 @@ def crop_rects(boxes: DataFrame) -> DataFrame:
     """Whole-pixel crops within the frame; empty ones go, and det_idx stays with its box."""
     c = [F.greatest(F.lit(0), F.least(F.col(k).cast("int"), F.lit(int(m)))).alias(k) for k, m in (("x1", WIDTH), ("y1", HEIGHT), ("x2", WIDTH), ("y2", HEIGHT))]
     return boxes.filter(F.col("class_id") == PLAYER).select("frame_idx", "det_idx", *c).filter("x2 > x1 AND y2 > y1")
+
+
+def pass_any(scores: Column) -> Column:
+    """Whether a score reaches its class's threshold; a missing score counts as 0."""
+    at = [F.coalesce(F.get(scores, F.lit(i)), F.lit(0.0)) for i in range(3)]
+    return (at[0] >= 0.25) | (at[1] >= 0.15) | (at[2] >= 0.25)
+
+
+def match_costs(tracks: DataFrame, found: DataFrame, least: float = 0.35) -> DataFrame:
+    """frame_idx, track, det, cost of allowed pairs of a frame. Both sides have a struct box and an array feature, tracks also missed (frames since seen).
+
+    Overlap beyond ``least``: three quarters overlap, one quarter appearance; else, for tracks that were lost, likeness of appearance."""
+    app, over = cosine_distance(F.col("tf"), F.col("df")), iou(F.col("tb"), F.col("db"))
+    cost = F.when(F.col("over") > least, F.when(F.size("df") > 0, 0.75 * (1.0 - F.col("over")) + 0.25 * F.col("app")).otherwise(1.0 - F.col("over"))).when((F.col("missed") > 0) & (F.col("app") <= 0.35), 0.45 + 0.45 * F.col("app") + 0.10 * (1.0 - F.col("over")))
+    t = tracks.select("frame_idx", F.col("det_idx").alias("track"), F.col("box").alias("tb"), F.col("feature").alias("tf"), "missed")
+    d = found.select("frame_idx", F.col("det_idx").alias("det"), F.col("box").alias("db"), F.col("feature").alias("df"))
+    return t.join(d, "frame_idx").select("frame_idx", "track", "det", "missed", "df", app.alias("app"), over.alias("over")).select("frame_idx", "track", "det", cost.alias("cost")).filter("cost IS NOT NULL")
+
+
+def in_class_order(boxes: DataFrame) -> DataFrame:
+    """All boxes of a frame as one list: players, balls, referees, each in its own order."""
+    w = Window.partitionBy("frame_idx").orderBy("class_id", "det_idx")
+    return boxes.select("frame_idx", "det_idx", "class_id", (F.row_number().over(w) - 1).cast("int").alias("place"))
+
+
+def last_by_track(boxes: DataFrame, track: str = "track_id") -> DataFrame:
+    """One box for a frame and track, the last; tracks below 0 go."""
+    return boxes.filter(F.col(track) >= 0).groupBy("frame_idx", track).agg(F.max("det_idx").alias("det_idx"))
+
+
+def flow_survivors(flow: DataFrame, corners: DataFrame, keys: list[str]) -> DataFrame:
+    """Corners moved by optical flow (keys, x, y, error, status): lost ones, ones of a large error and ones outside the frame go; confidence wears off."""
+    alive = flow.filter(F.col("status") & (F.col("error") <= 20.0) & (F.col("x") >= 0) & (F.col("x") < WIDTH) & (F.col("y") >= 0) & (F.col("y") < HEIGHT))
+    return alive.join(corners.select(*keys, "class_id", "conf"), keys).select(*keys, "class_id", "x", "y", (F.col("conf") * 0.995).alias("conf"))
+
+
+def corners_changed(now: Column, before: Column) -> Column:
+    """Whether two lists of corners (class_id, x, y) differ in size, in a class, or by over half a pixel."""
+    moved = F.exists(F.zip_with(now, before, lambda a, b: (a["class_id"] != b["class_id"]) | (F.abs(a["x"] - b["x"]) > 0.5) | (F.abs(a["y"] - b["y"]) > 0.5)), lambda x: x)
+    return F.when(F.size(now) != F.size(before), True).otherwise(moved)
+
+
+def letterbox_fits(width: Column, height: Column, to: tuple[int, int] = (1280, 736), pad: tuple[int, int] = (0, 16)) -> Column:
+    """Whether a frame and its padding give the model's size exactly; other frames are refused."""
+    return (width + pad[0] == to[0]) & (height + pad[1] == to[1])
+
+
+def transposed(rows: Column, cols: Column) -> Column:
+    """Whether raw model output has features in rows."""
+    return (cols > rows) & (cols > 100)

@@ -5,8 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pitch points in metres by corner class (half length 52.5, half width 34; box 16.5 and 5.5 deep, 20.16 and 9.16 half wide; circle 9.15).
-PITCH = {0: [(0.0, 0.0)], 1: [(-52.5, -34.0), (52.5, -34.0), (-52.5, 34.0), (52.5, 34.0)], 2: [(-36.0, -20.16), (36.0, -20.16), (-36.0, 20.16), (36.0, 20.16)]}
+#: Pitch points in metres by corner class.
+PITCH = {
+    0: [(-36.0, -20.15), (-36.0, 20.15), (36.0, -20.15), (36.0, 20.15)],
+    1: [(0.0, -9.15), (0.0, 9.15)],
+    2: [(-52.5, -3.66), (-52.5, 3.66), (52.5, -3.66), (52.5, 3.66)],
+    3: [(-41.5, 0.0), (41.5, 0.0)],
+    4: [(0.0, 0.0)],
+    5: [(-36.0, -7.32), (-36.0, 7.32), (36.0, -7.32), (36.0, 7.32)],
+    6: [(-47.0, -9.15), (-47.0, 9.15), (47.0, -9.15), (47.0, 9.15)],
+    7: [(-52.5, -34.0), (-52.5, 34.0), (52.5, -34.0), (52.5, 34.0)],
+    8: [(0.0, -34.0), (0.0, 34.0)],
+    9: [(-52.5, -20.15), (-52.5, 20.15), (52.5, -20.15), (52.5, 20.15)],
+    10: [(-9.15, 0.0), (9.15, 0.0)],
+    11: [(-52.5, -9.15), (-52.5, 9.15), (52.5, -9.15), (52.5, 9.15)],
+    12: [(-32.35, 0.0), (32.35, 0.0)],
+}
+#: What is drawn of the pitch, in metres: kind, x1, y1, x2, y2 (circles and spots: centre, and radius in x2).
+LINES = [
+    ("rectangle", -52.5, -34.0, 52.5, 34.0),
+    ("line", 0.0, -34.0, 0.0, 34.0),
+    ("ellipse", 0.0, 0.0, 9.15, 9.15),
+    ("spot", 0.0, 0.0, 0.0, 0.0),
+    ("rectangle", -52.5, -20.15, -36.0, 20.15),
+    ("rectangle", -52.5, -9.15, -47.0, 9.15),
+    ("spot", -41.5, 0.0, 0.0, 0.0),
+    ("rectangle", 36.0, -20.15, 52.5, 20.15),
+    ("rectangle", 47.0, -9.15, 52.5, 9.15),
+    ("spot", 41.5, 0.0, 0.0, 0.0),
+]
 
 
 def pitch_points(spark: SparkSession) -> DataFrame:
@@ -30,3 +57,39 @@ def nearest(points: DataFrame, refs: DataFrame) -> DataFrame:
 
 def pixels(x: Column, y: Column, width: int = 1050, height: int = 680) -> tuple[Column, Column]:
     return ((x + 52.5) * width / 105.0).cast("int"), ((y + 34.0) * height / 68.0).cast("int")
+
+
+def inverse(h: list[float]) -> list[float]:
+    """The inverse of a homography by its adjugate, up to scale."""
+    a, b, c, d, e, f, g, i, j = h
+    return [e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d]
+
+
+def pitch_lines(spark: SparkSession, width: int = 1050, height: int = 680) -> DataFrame:
+    """The pitch as a draw list in whole pixels, z in the order of drawing; spots have a radius of 3."""
+    rows = spark.createDataFrame([(z, *r) for z, r in enumerate(LINES)], "z int, kind string, x1 double, y1 double, x2 double, y2 double")
+    (px, py), (qx, qy) = (pixels(F.col(f"x{i}"), F.col(f"y{i}"), width, height) for i in (1, 2))
+    radius = (F.col("x2") * width / 105.0).cast("int"), (F.col("y2") * height / 68.0).cast("int")
+    far = [F.when(F.col("kind") == "spot", 3).when(F.col("kind") == "ellipse", r).otherwise(q) for r, q in zip(radius, (qx, qy), strict=True)]
+    return rows.select("z", "kind", px.alias("x"), py.alias("y"), far[0].alias("to_x"), far[1].alias("to_y"))
+
+
+def positions(points: DataFrame) -> DataFrame:
+    """Draw list of pitch points (id, role, x, y): roles 0 and 1 are teams, 2 the ball, 3 referees. Points that aren't numbers go."""
+    px, py = pixels(F.col("x"), F.col("y"))
+    role = F.col("role")
+    shown = points.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    return shown.select("id", F.when(role == 3, "square").otherwise("circle").alias("kind"), px.alias("px"), py.alias("py"), F.when(role < 2, 8).otherwise(6).alias("radius"))
+
+
+def tactical(boxes: DataFrame, h: list[float]) -> DataFrame:
+    """frame_idx, det_idx, class_id, x, y on the pitch: people by their feet, the ball by its centre; boxes at infinity go."""
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, F.when(F.col("class_id") == 1, (F.col("y1") + F.col("y2")) / 2).otherwise(F.col("y2"))
+    x, y = transform(h, F.col("fx"), F.col("fy"))
+    return boxes.select("frame_idx", "det_idx", "class_id", cx.alias("fx"), cy.alias("fy")).select("frame_idx", "det_idx", "class_id", x.alias("x"), y.alias("y")).filter("x IS NOT NULL")
+
+
+def overlay(width: Column, height: Column, w: int = 500, h: int = 350, margin: int = 10) -> list[Column]:
+    """start_x, start_y, end_x, end_y of the tactical view at a frame's right top, within the frame; an empty one means that nothing is drawn."""
+    start_x = F.greatest(F.lit(0), width - w - margin)
+    return [start_x.alias("start_x"), F.lit(margin).alias("start_y"), (width - margin).alias("end_x"), F.least(F.lit(margin + h), height).alias("end_y")]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.boxes import dot
+
 
 def interpolate(obs: DataFrame, longest: int = 30) -> DataFrame:
     """Fill gaps of 2 to longest frames between a clip's observations (x, y), at constant acceleration.
@@ -82,3 +85,32 @@ def training_sample(counts: DataFrame, stride: int = 12, target: int = 120) -> D
     """Strided frames until target crops are there: a frame is taken while what came before is less. counts: frame_idx, n."""
     w = Window.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
     return counts.filter(F.col("frame_idx") % stride == 0).filter("frame_idx < 2880").withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("prior") < target).select("frame_idx", "n")
+
+
+def ema_appearance(df: DataFrame, key: str, order: str, vector: str, keep: float = 0.9) -> DataFrame:
+    """The last appearance of each key: a running mean of vectors, brought to length 1 after each step; a vector of another size starts anew."""
+    unit = lambda v: F.transform(F.array(v), lambda a: F.transform(F.array(F.sqrt(dot(a, a))), lambda n: F.when(n > 1e-6, F.transform(a, lambda x: x / n)).otherwise(a))[0])[0]
+    step = lambda a, x: unit(F.when(F.size(a) == F.size(x[vector]), F.zip_with(a, x[vector], lambda p, q: F.lit(keep) * p + F.lit(1 - keep) * q)).otherwise(x[vector]))
+    rest = F.slice(F.col("all"), F.lit(2), F.size("all"))
+    return _ordered(df, key, order, vector).select(key, F.aggregate(rest, unit(F.element_at("all", 1)[vector]), step).alias(vector))
+
+
+def corner_cache(frames: DataFrame, interval: int = 15, least: int = 4) -> DataFrame:
+    """clip_id, frame_idx, from_frame, detected of frames (clip_id, frame_idx, n_corners, n_visible): which frame's corners are in use.
+
+    Corners are detected where the cache is empty or ``interval`` frames old; a weak result keeps the cache, and the next frame tries again. Goes through a clip in order."""
+
+    def clip(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("frame_idx")
+        held, age, empty, at, ran = None, 0, True, [], []
+        for f, n, seen in zip(df["frame_idx"], df["n_corners"], df["n_visible"], strict=True):
+            detect = empty or age >= interval
+            if detect and (empty or seen >= least):
+                held, age, empty = f, 0, n == 0
+            else:
+                age += 1
+            at.append(held)
+            ran.append(detect)
+        return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "from_frame": at, "detected": ran})
+
+    return frames.groupBy("clip_id").applyInPandas(clip, "clip_id long, frame_idx long, from_frame long, detected boolean")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import cosine_distance, dot, grid, squared_distance
 
+#: Rows that a team model is fitted on at most, and the mean silhouette that it needs.
+TRAIN_ROWS, LEAST_SILHOUETTE = 120, 0.15
+
 
 def normalise(emb: DataFrame) -> DataFrame:
     norm = F.sqrt(dot(F.col("e"), F.col("e")))
@@ -50,3 +56,98 @@ def silhouette(points: DataFrame) -> DataFrame:
     pairs = a.join(b, F.col("vec_id") != F.col("o")).select("vec_id", (F.col("t") == F.col("team")).alias("same"), d.alias("d"))
     means = pairs.groupBy("vec_id").agg(F.avg(F.when(F.col("same"), F.col("d"))).alias("a"), F.avg(F.when(~F.col("same"), F.col("d"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0")
     return means.select("vec_id", grid((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+
+
+def mean_pool(emb: DataFrame, channels: int) -> DataFrame:
+    """The mean of each channel's cells; vectors hold channels one after the other."""
+    cells = (F.size("e") / channels).cast("int")
+    part = lambda c: F.slice(F.col("e"), (c * cells + 1).cast("int"), cells)
+    return emb.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.aggregate(part(c), F.lit(0.0), lambda s, x: s + x) / cells).alias("pooled"))
+
+
+def best_restart(points: DataFrame, runs: list[list[list[float]]]) -> DataFrame:
+    """run, inertia of the centroid set of the least inertia, the first on ties: one pass over the points for all runs."""
+    sums = [F.sum(F.least(*[squared_distance(F.col("e"), F.array(*map(F.lit, c))) for c in run])).alias(f"i{k}") for k, run in enumerate(runs)]
+    each = points.agg(*sums).select(F.explode(F.array(*[F.struct(grid(F.col(f"i{k}")).alias("inertia"), F.lit(k).alias("run")) for k in range(len(runs))])).alias("s"))
+    return each.agg(F.min("s").alias("s")).select("s.run", "s.inertia")
+
+
+def cached_labels(tracks: DataFrame, cache: DataFrame) -> DataFrame:
+    """Tracks (track_id, label) with the cache's label where it has one."""
+    return tracks.join(cache.select("track_id", F.col("label").alias("fresh")), "track_id", "left").select("track_id", F.coalesce("fresh", "label").alias("label"))
+
+
+@dataclass
+class TeamModel:
+    """Two teams from embeddings: PCA, k-means of several restarts, and a gate on the mean silhouette; where it fails, all are team 0.
+
+    Fitted on a bounded sample (TRAIN_ROWS rows by a hash of their id), so the fit is the same size for any input."""
+
+    components: int = 3
+    teams: int = 2
+    mean: np.ndarray | None = None
+    axes: np.ndarray | None = None
+    variance: np.ndarray | None = None
+    centroids: np.ndarray | None = None
+    score: float = -1.0
+
+    @property
+    def valid(self) -> bool:
+        return self.centroids is not None and not np.isnan(self.score) and self.score >= LEAST_SILHOUETTE
+
+    def fit_pca(self, x: np.ndarray) -> None:
+        self.mean = x.mean(0)
+        _, s, v = np.linalg.svd(x - self.mean, full_matrices=False)
+        k = min(self.components, len(s))
+        self.axes, self.variance = np.zeros((self.components, x.shape[1])), np.zeros(self.components)
+        self.axes[:k], self.variance[:k] = v[:k], s[:k] ** 2 / max(len(x), 1)
+
+    def fit_kmeans(self, x: np.ndarray, steps: int = 50, restarts: int = 3) -> np.ndarray:
+        """Labels of the restart of the least inertia, the first on ties; an empty team's centroid is 0."""
+        least, out = np.inf, np.zeros(len(x), int)
+        for run in range(restarts):
+            rng = np.random.default_rng(42 + 17 * run)
+            c = x[[rng.integers(len(x))]]
+            while len(c) < self.teams:
+                d = ((x[:, None] - c[None]) ** 2).sum(2).min(1)
+                c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else 0]])
+            label = np.zeros(len(x), int)
+            for _ in range(steps):
+                new = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+                same = (new == label).all()
+                label = new
+                c = np.array([x[label == k].mean(0) if (label == k).any() else np.zeros(x.shape[1]) for k in range(self.teams)])
+                if same:
+                    break
+            inertia = float(((x - c[label]) ** 2).sum())
+            if inertia < least:
+                least, self.centroids, out = inertia, c, label
+        return out
+
+    def fit(self, emb: DataFrame) -> TeamModel:
+        """From (vec_id, e); vectors that are null or of another size than the first are passed over."""
+        rows = emb.filter("e IS NOT NULL").select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).collect()
+        x = [r.e for r in rows if len(r.e) == len(rows[0].e)]
+        if len(x) < self.teams:
+            return self
+        x = np.array(x, float)
+        self.fit_pca(x)
+        p = (x - self.mean) @ self.axes.T
+        label = self.fit_kmeans(p)
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+        own = label[:, None] == label[None]
+        n_own, n_other = own.sum(1) - 1, (~own).sum(1)
+        some = (n_own > 0) & (n_other > 0)
+        if some.any():
+            a, b = (d * own).sum(1)[some] / n_own[some], (d * ~own).sum(1)[some] / n_other[some]
+            top = np.maximum(a, b)
+            self.score = float(np.mean(np.where(top > 0, (b - a) / np.where(top > 0, top, 1), np.nan)))
+        return self
+
+    def predict(self, emb: DataFrame) -> DataFrame:
+        """vec_id, team of every row, by column expressions; all 0 for a model that isn't valid."""
+        if not self.valid:
+            return emb.select("vec_id", F.lit(0).alias("team"))
+        centred = F.zip_with("e", F.array(*map(F.lit, self.mean.tolist())), lambda x, m: x - m)
+        e = F.array(*[dot(F.col("c"), F.array(*map(F.lit, v))) for v in self.axes.tolist()])
+        return assign(emb.select("vec_id", centred.alias("c")).select("vec_id", e.alias("e")), self.centroids.tolist()).select("vec_id", "team")

@@ -116,12 +116,13 @@ def referee_ordinals(spark, sf):
     return d.referee_ordinals(_boxes(spark, sf))
 
 
-@query(f"""WITH {BOXES_SQL}, t AS (SELECT * FROM boxes WHERE det_idx % 4 = 0), r AS (SELECT t.frame_idx, t.det_idx AS track, b.det_idx AS raw, {_IOU.format(a='t', b='b')} AS iou,
-  row_number() OVER (PARTITION BY t.frame_idx, t.det_idx ORDER BY {_IOU.format(a='t', b='b')} DESC, b.det_idx) AS rn FROM t JOIN boxes b ON t.frame_idx = b.frame_idx AND b.det_idx % 4 <> 0)
+@query(f"""WITH {_NMS}, r AS (SELECT t.frame_idx, t.det_idx AS track, b.det_idx AS raw, {_IOU.format(a='t', b='b')} AS iou,
+  row_number() OVER (PARTITION BY t.frame_idx, t.det_idx ORDER BY {_IOU.format(a='t', b='b')} DESC, b.det_idx) AS rn FROM nms t JOIN boxes b ON t.frame_idx + 1 = b.frame_idx)
 SELECT frame_idx, track, raw, iou FROM r WHERE rn = 1""")
 def best_overlap(spark, sf):
+    """Kept boxes of each frame against all boxes of the next."""
     b = _boxes(spark, sf)
-    return d.best_overlap(b.filter("det_idx % 4 = 0"), b.filter("det_idx % 4 <> 0"))
+    return d.best_overlap(d.nms(b), b.withColumn("frame_idx", F.col("frame_idx") - 1))
 
 
 @query(f"WITH {BOXES_SQL}, f AS (SELECT DISTINCT frame_idx FROM anchors) SELECT f.frame_idx, b.frame_idx AS from_frame, det_idx, class_id, conf FROM f JOIN boxes b ON b.frame_idx = f.frame_idx - f.frame_idx % 2 AND class_id <> 0")
@@ -236,12 +237,11 @@ def inertia(spark, sf):
     return teams.assign(embeddings(spark, sf), _CENTROIDS).groupBy("team").agg(grid(F.sum("d2")).alias("inertia"))
 
 
-@query(f"""WITH {_ASSIGNED}, p AS (SELECT vec_id, team, e[1:3] AS e FROM assigned WHERE vec_id < 300),
+@query(f"""WITH {_ASSIGNED}, p AS (SELECT vec_id, team, e FROM assigned),
 m AS (SELECT a.vec_id, avg(CASE WHEN a.team = b.team THEN sqrt({_D2.format(a='a.e', b='b.e')}) END) AS a, avg(CASE WHEN a.team <> b.team THEN sqrt({_D2.format(a='a.e', b='b.e')}) END) AS b FROM p a JOIN p b ON a.vec_id <> b.vec_id GROUP BY 1)
 SELECT vec_id, {_GRID.format(v='((b - a) / greatest(a, b))')} AS s FROM m WHERE a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0""")
 def silhouette(spark, sf):
-    """Over a training sample of 300 vectors, as team training has one of 120."""
-    return teams.silhouette(teams.assign(embeddings(spark, sf), _CENTROIDS).filter("vec_id < 300").withColumn("e", F.slice("e", 1, 3)))
+    return teams.silhouette(teams.assign(embeddings(spark, sf), _CENTROIDS))
 
 
 _H = [0.09, 0.01, -58.0, 0.002, 0.11, -42.0, 0.0001, 0.0003, 1.0]

@@ -29,3 +29,20 @@ def draw_list(boxes: DataFrame) -> DataFrame:
     rx, ry = F.when(ball, 8).otherwise((0.5 * (F.col("x2") - F.col("x1"))).cast("int")), F.when(ball, 5).otherwise((0.15 * (F.col("y2") - F.col("y1"))).cast("int"))
     z = F.when(F.col("class_id") == 0, 0).when(ball, 2).otherwise(3)
     return boxes.select("frame_idx", "det_idx", kind.alias("kind"), cx.cast("int").alias("x"), y.cast("int").alias("y"), rx.cast("int").alias("rx"), ry.cast("int").alias("ry"), z.cast("int").alias("z"))
+
+
+def json_escape(text: Column) -> Column:
+    """Backslash, quote, line feed and tab, escaped; nothing else."""
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(plain), F.lit(escaped))
+    return text
+
+
+def header(path: Column, width: Column, height: Column, fps: Column, frames: Column) -> Column:
+    """A video's JSON header; a frame rate of 0 or less counts as 30."""
+    return F.format_string('{"video":{"path":"%s","width":%d,"height":%d,"fps":%.2f,"total_frames":%d}}', json_escape(path), width, height, F.when(fps > 0, fps).otherwise(30.0), frames)
+
+
+def track_labels(boxes: DataFrame) -> DataFrame:
+    """frame_idx, det_idx, label of boxes with a track_id of 0 or more."""
+    return boxes.filter("track_id >= 0").select("frame_idx", "det_idx", F.concat(F.lit("#"), F.col("track_id").cast("string")).alias("label"))
