@@ -280,3 +280,18 @@ def test_quality(spark, docs, rows):
     bad = [k for q, k, _ in known if q == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.3 * len(bad)
     assert quality.judge(docs.limit(0), labels).count() == 0 and quality.judge(docs, labels.limit(0)).filter("kept = base_failed").count() == 0
+
+
+def test_a_worker_drops_caches_of_other_operators():
+    from touchline.llm import common, merge_replay
+
+    path = P.path(merge_replay.VOCABULARY)
+    common.enter(merge_replay.__name__)
+    before = merge_replay.worker(path).encode(["some text"])
+    common.enter(merge_replay.__name__)
+    assert merge_replay._workers
+    common.word_hashes([b"a"])
+    common.enter("touchline.llm.jaccard_join")
+    assert not merge_replay._workers and not common._hashes
+    common.leave()
+    assert merge_replay.worker(path).encode(["some text"]) == before

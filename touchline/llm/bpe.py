@@ -265,3 +265,9 @@ class Ranks:
 @lru_cache(2)
 def ranks(path: str) -> Ranks:
     return Ranks(path)
+
+
+def forget() -> None:
+    """Drop a worker's vocabularies."""
+    for f in (library, special_strings, ranks):
+        f.cache_clear()

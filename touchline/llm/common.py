@@ -6,6 +6,7 @@ Words everywhere are maximal runs of characters other than space, tab, LF, VT, F
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
@@ -88,7 +89,53 @@ def scan(docs: DataFrame, columns: list[str], schema: str, batch: Callable[...,
     Other columns are dropped before the worker, so clashing extra names don't matter. Empty tables give empty results.
     """
     prepare(docs.sparkSession)
-    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(_Scan(batch, schema), schema)
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(Task(_Scan(batch, schema), batch.__module__), schema)
+
+
+#: What a worker does to drop an operator's caches, by the operator's module; and the module whose task the worker ran last.
+_forget: dict[str, Callable[[], None]] = {}
+_last = ""
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # a C library that has no such call
+    _trim = None
+
+
+def caches(module: str, forget: Callable[[], None]) -> None:
+    """Say how a module's caches are dropped. Spark uses workers again, so one operator's caches would else lie in memory while the next one runs."""
+    _forget[module] = forget
+
+
+def enter(module: str) -> None:
+    """Called in a worker as a task begins: caches of other modules go. Tasks without texts have no module, and drop all."""
+    global _last
+    if module != _last:
+        _last = module
+        _hashes.clear()
+        for name, forget in _forget.items():
+            if name != module:
+                forget()
+
+
+def leave() -> None:
+    """Called in a worker as a task ends: unused memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+class Task:
+    """A mapInArrow function of a module, between enter and leave."""
+
+    def __init__(self, f: Callable, module: str):
+        self.f, self.module = f, module
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(self.module)
+        try:
+            yield from self.f(batches)
+        finally:
+            leave()
 
 
 class _Scan:
@@ -158,4 +205,19 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def by_group(f: Callable, keyed: bool = False) -> Callable:
     """f as the bare function that applyInArrow wants."""
-    return (lambda key, table: f(key, table)) if keyed else (lambda table: f(table))
+
+    def one(table):
+        enter("")
+        try:
+            return f(table)
+        finally:
+            leave()
+
+    def two(key, table):
+        enter("")
+        try:
+            return f(key, table)
+        finally:
+            leave()
+
+    return two if keyed else one

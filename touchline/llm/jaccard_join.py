@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, scratch, word_hashes
+from .common import Task, by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, scratch, word_hashes
 
 N = 5
 #: Entries of the table of frequent shingles; those that a task names at most.
@@ -339,13 +339,13 @@ class Join:
         prepare(self.spark)
         text = F.col(f"`{text_col}`")
         self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-        stats = self.docs.select("doc_id", "text", "text_key").mapInArrow(_stats, _STATS).checkpoint()
+        stats = self.docs.select("doc_id", "text", "text_key").mapInArrow(Task(_stats, __name__), _STATS).checkpoint()
         self.rows = stats.filter("n IS NOT NULL").select("doc_id", "n", "cls", "text_key", "sketch")
         often = stats.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.col("times").desc(), "shingle").limit(FREQUENT).toPandas()
         sent = self.spark.sparkContext.broadcast(Frequent(often["shingle"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64).view(np.uint64)))
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(16, -(-total // 3 // BUCKET_KEYS))
-        packed = self.docs.select("text").mapInArrow(_Keys(sent, buckets), "bucket long, keys binary, owner binary, classes binary")
+        packed = self.docs.select("text").mapInArrow(Task(_Keys(sent, buckets), __name__), "bucket long, keys binary, owner binary, classes binary")
         self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long")
         self.shared = self.kept(self.shared)
         #: cls, n, sketch, and the row (doc_id, text_key) that stands for the class

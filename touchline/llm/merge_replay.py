@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, scan
+from .common import caches, documents, scan
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,6 +70,14 @@ def worker(path: str) -> _Replay:
     return _workers[path]
 
 
+def _forget() -> None:
+    _workers.clear()
+    bpe.forget()
+
+
+caches(__name__, _forget)
+
+
 class _Encode:
     def __init__(self, path: str):
         self.path = path
