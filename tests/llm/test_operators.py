@@ -200,6 +200,20 @@ def test_disguises(text, want):
     assert pii.masked(None) is None
 
 
+@pytest.mark.parametrize(
+    ("text", "whole", "masked"),
+    [
+        ("to jоhn@example.com now", "jоhn@example.com", "to <EMAIL> now"), ("аdmin@example.com", "аdmin@example.com", "<EMAIL>"), ("user@mail.exаmple.com, ok", "user@mail.exаmple.com", "<EMAIL>, ok"),
+        ("call +44 1415 555 ٢٦٧١ now", "+44 1415 555 ٢٦٧١", "call <PHONE> now"), ("at 10.0.0.1٢ now", "10.0.0.1٢", "at <IP> now"),
+    ],
+)
+def test_disguised_in_part(text, whole, masked):
+    base, every = pii.spans(text)
+    assert base == pii.identifiers(text) and base and set(base) <= set(every)
+    assert whole in [text[a:b] for _, a, b in every] and whole not in [text[a:b] for _, a, b in base]
+    assert pii.masked(text) == masked
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     path = str(tmp_path / "files")

@@ -2,7 +2,8 @@
 
 Base spans are found in the text as it stands. A text with any sign of disguise then goes through transducers that write a normalised text and keep, for each piece of it, the
 source piece it stands for: homoglyphs and other digits become ASCII, invisible characters vanish, runs of spelled digits become digits, ``(at)``/``[dot]``/`` at .. dot `` become
-``@`` and ``.``. Identifiers found there are mapped back to source characters; those that no base span overlaps are added, with the same kinds.
+``@`` and ``.``. Identifiers found there are mapped back to source characters; those that don't lie within a base span are added, with the same kinds. So a base span that is
+only a part of a disguised identifier stays, and the whole one stands beside it.
 
 Null text counts as empty: no spans. Rows are scanned each by itself, whole; every step is linear in the text.
 """
@@ -14,6 +15,7 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,7 +194,11 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not text:
         return [], []
     base = identifiers(text)
-    more = [x for x in disguised(text) if not any(a < x[2] and x[1] < b for _, a, b in base)]
+    more = disguised(text)
+    if more and base:
+        by_start = sorted((a, b) for _, a, b in base)
+        starts, reach = [a for a, _ in by_start], list(accumulate((b for _, b in by_start), max))
+        more = [x for x in more if not (i := bisect_right(starts, x[1])) or reach[i - 1] < x[2]]
     return base, sorted({*base, *more})
 
 
