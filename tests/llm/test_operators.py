@@ -214,6 +214,35 @@ def test_disguised_in_part(text, whole, masked):
     assert pii.masked(text) == masked
 
 
+@pytest.mark.parametrize(
+    "whole",
+    [
+        "joe (at) example dot com", "joe at mail.example dot com", "joe dot smith at example dot com", "joe dot b dot smith@example.com", "joe@mail dot example.com", "joe [dot] smith at example.com",
+        "joe.smith at example [dot] co dot uk", "4539 1488 0343 six four six seven", "+1 415 555 two six seven one", "plus 1 415 555 2671", "4539-1488-0343-six four 67", "+1 (four one five) five five five two six seven one",
+        "10 dot 0 dot zero dot 255",
+    ],
+)
+def test_disguised_by_mixed_forms(whole):
+    text = f"call or mail: {whole}; thanks"
+    assert whole in [text[a:b] for _, a, b in pii.spans(text)[1]]
+    assert re.fullmatch("call or mail: <[A-Z]+>; thanks", pii.masked(text))
+
+
+@pytest.mark.parametrize("text", ["we met at home on the dot", "look at example.com or at the shop", "one of two at 10 or three dot matrix printers", "rooms 3, four, five and six", "a dot b dot c at noon", "@ dot at dot @", "score 4 three two"])
+def test_forms_that_are_no_identifiers(text):
+    assert pii.spans(text) == ([], [])
+
+
+def test_neighbouring_disguises_keep_apart():
+    text = "a@b.com dot c at d dot com, x at y dot com dot z at w dot org"
+    assert {"a@b.com", "c at d dot com", "x at y dot com", "z at w dot org"} == {text[a:b] for _, a, b in pii.spans(text)[1]}
+
+
+def test_one_more_spelled_word_hides_nothing():
+    text = "4​539 1488 0343 6467 one, plus four nine one five one two three four five six seven eight nine oh two. One more"
+    assert {"4​539 1488 0343 6467", text[text.index("plus") : text.index(". One")]} <= {text[a:b] for _, a, b in pii.spans(text)[1]}
+
+
 def test_token_files(spark, docs, rows, tmp_path):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     path = str(tmp_path / "files")

@@ -1,8 +1,8 @@
 """Operator 6, PII: offset-preserving deobfuscation.
 
 Base spans are found in the text as it stands. A text with any sign of disguise then goes through transducers that write a normalised text and keep, for each piece of it, the
-source piece it stands for: homoglyphs and other digits become ASCII, invisible characters vanish, runs of spelled digits become digits, ``(at)``/``[dot]``/`` at .. dot `` become
-``@`` and ``.``. Identifiers found there are mapped back to source characters; those that don't lie within a base span are added, with the same kinds. So a base span that is
+source piece it stands for: homoglyphs and other digits become ASCII, invisible characters vanish, runs of spelled digits (short ones too, where digits, + or other runs adjoin) become
+digits, ``(at)``/``[dot]``/`` at .. dot `` become ``@`` and ``.``. Identifiers found there are mapped back to source characters; those that don't lie within a base span are added, with the same kinds. So a base span that is
 only a part of a disguised identifier stays, and the whole one stands beside it.
 
 Null text counts as empty: no spans. Rows are scanned each by itself, whole; every step is linear in the text.
@@ -109,10 +109,14 @@ def _plain(c: str) -> str:
 _WORDS = "|".join(sorted(SPELLED, key=len, reverse=True))
 _SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?:[\x20,-]{{1,2}}(?:{_WORDS})){{6,}}(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 _ONE = re.compile(rf"{_WORDS}", re.IGNORECASE | re.ASCII)
+_WORD = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?![A-Za-z])", re.IGNORECASE | re.ASCII)
+#: What may stand between spelled digits of a run, and between a run and what adjoins it.
+_WITHIN, _BETWEEN = re.compile(r"[\x20,-]{1,2}"), re.compile(r"[\x20,().-]{0,4}")
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9+][\x20,().-]{0,4}\Z"), re.compile(r"[\x20,().-]{0,4}[0-9]")
 _BRACKETED = re.compile(r"\x20{0,3}[\[({<]\x20{0,3}(at|@|dot|\.)\x20{0,3}[\])}>]\x20{0,3}", re.IGNORECASE | re.ASCII)
-_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63})+)", re.IGNORECASE | re.ASCII)
-_BARE_DOT = re.compile(r"\x20dot\x20(?=[A-Za-z0-9-])", re.IGNORECASE | re.ASCII)
-_DOT_TAIL = re.compile(r"[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63})+", re.IGNORECASE | re.ASCII)
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-])", re.IGNORECASE | re.ASCII)
+_BARE_DOT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20dot\x20(?=[A-Za-z0-9._%+-])", re.IGNORECASE | re.ASCII)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
 
 
 class Mapped:
@@ -157,35 +161,133 @@ def spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def short_spelled_digits(text: str) -> list[tuple[int, int, str]]:
+    """The same for runs of any length, where digits, + or other runs adjoin (seven words or more together, if there are no digits)."""
+    runs: list[list[re.Match]] = []
+    for m in _WORD.finditer(text):
+        if runs and _WITHIN.fullmatch(text, runs[-1][-1].end(), m.start()):
+            runs[-1].append(m)
+        else:
+            runs.append([m])
+    out, k = [], 0
+    while k < len(runs):
+        first = k
+        while k + 1 < len(runs) and _BETWEEN.fullmatch(text, runs[k][-1].end(), runs[k + 1][0].start()):
+            k += 1
+        k += 1
+        group = runs[first:k]
+        start, end = group[0][0].start(), group[-1][-1].end()
+        before, after = bool(_DIGIT_BEFORE.search(text, max(0, start - 5), start)), bool(_DIGIT_AFTER.match(text, end))
+        if not before and not after and sum(map(len, group)) < 7:
+            continue
+        words = [(m, j == len(run) - 1) for run in group for j, m in enumerate(run)]
+        sign = lambda m: SPELLED[m[0].lower()] in ".-"
+        while words and not before and sign(words[0][0]):
+            words.pop(0)
+        while words and not after and sign(words[-1][0]):
+            words.pop()
+        for j, (m, last) in enumerate(words):
+            new = SPELLED[m[0].lower()]
+            a, b = m.span()
+            if new in ".-" and j == 0:  # a sign joins what adjoins it
+                a -= len(_spaces_before(text, a))
+            if new in ".-+" and j == len(words) - 1:
+                b = _SPACES.match(text, b).end()
+            out.append((a, b, new))
+            if j < len(words) - 1 and (not last or new in ".-+" or sign(words[j + 1][0])):
+                out.append((b, words[j + 1][0].start(), ""))
+    return out
+
+
+_SPACES = re.compile(r"\x20{0,4}")
+
+
+def _spaces_before(text: str, at: int) -> str:
+    return text[max(0, at - 4) : at][len(text[max(0, at - 4) : at].rstrip(" ")) :]
+
+
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
+    """Bracketed forms wherever they stand; bare dots in the labels on both sides of an @ of any form; a bare at where a domain follows and one of its dots, or of the dots before it, is disguised."""
     out = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
-    for m in _BARE_AT.finditer(text):
-        tail = _DOT_TAIL.match(text, m.end())
-        out.append((m.start(), m.end(), "@"))
-        out += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(text, m.end(), tail.end())]
+    bare = [m.span() for m in _BARE_DOT.finditer(text)]
+    if not bare and not out:
+        return []
+    brackets = [(a, b) for a, b, new in out if new == "."]
+    after, before = dict(brackets) | dict(bare), {b: a for a, b in (*brackets, *bare)}
+    is_bare, used = dict(bare), set()
+    ats = sorted([(a, b, False) for a, b, new in out if new == "@"] + [(m.start(), m.end(), False) for m in re.finditer("@", text)] + [(*m.span(), True) for m in _BARE_AT.finditer(text)])
+    local_of = {a for a, b, _ in ats if (m := _LABEL.match(text, b)) and (m.end() in after or text[m.end() : m.end() + 1] == ".")}
+    for a, b, bare_at in ats:
+        right, left, dots, at = [], [], 0, b
+        while m := _LABEL.match(text, at):
+            at = m.end()
+            if at in after and _LABEL.match(text, after[at]):
+                right.append(at)
+                at = after[at]
+            elif text[at : at + 1] == "." and _LABEL.match(text, at + 1):
+                at += 1
+            else:
+                break
+            dots += 1
+        if at in local_of:  # what stands last is the local part before the next @, which has a domain
+            while right:
+                dots -= 1
+                used.add(x := right.pop())
+                if x in is_bare:
+                    break
+        if not dots:
+            continue
+        at = a
+        while at > 0:
+            start = at
+            while at > 0 and text[at - 1] in _LOCAL:
+                at -= 1
+            if at == start or at not in before or before[at] in used:
+                break
+            at = before[at]
+            left.append(at)
+        if bare_at:
+            if not right and not left:
+                continue
+            out.append((a, b, "@"))
+        new = [x for x in (*left, *right) if x in is_bare and x not in used]
+        used.update(new)
+        out += [(x, is_bare[x], ".") for x in new]
     out.sort()
     return [x for k, x in enumerate(out) if k == 0 or x[0] >= out[k - 1][1]]
 
 
-TRANSDUCERS: tuple[Callable[[str], list[tuple[int, int, str]]], ...] = (homoglyphs, spelled_digits, at_and_dot)
-
-
 def disguised(text: str) -> list[tuple[int, int, int]]:
-    """(kind's number, start, end) in the source, of identifiers found after normalising."""
-    chain, now = [], text
-    for f in TRANSDUCERS:
-        if f is homoglyphs and now.isascii():
-            continue
-        if edits := f(now):
-            chain.append(Mapped(now, edits))
-            now = chain[-1].text
-    if not chain:
-        return []
-    out = []
-    for k, a, b in identifiers(now):
-        for m in reversed(chain):
-            a, b = m.source(a, b)
-        out.append((k, a, b))
+    """(kind's number, start, end) in the source, of identifiers found after normalising; none within another of its kind.
+
+    Homoglyphs go first. Spelled digits are taken as they stand, by long runs and by short ones, and the at and dot forms of each of these; what any of the texts shows counts, so no reading hides another."""
+    found: set[tuple[int, int, int]] = set()
+
+    def collect(chain: list[Mapped]) -> list[Mapped]:
+        for k, a, b in identifiers(chain[-1].text):
+            for m in reversed(chain):
+                a, b = m.source(a, b)
+            found.add((k, a, b))
+        return chain
+
+    chain: list[Mapped] = []
+    if not text.isascii() and (edits := homoglyphs(text)):
+        chain = collect([Mapped(text, edits)])
+    now, tried = chain[-1].text if chain else text, []
+    forms = [(chain, now)]
+    for f in (spelled_digits, short_spelled_digits):
+        if (edits := f(now)) and edits not in tried:
+            tried.append(edits)
+            longer = collect([*chain, Mapped(now, edits)])
+            forms.append((longer, longer[-1].text))
+    for chain, now in forms:
+        if edits := at_and_dot(now):
+            collect([*chain, Mapped(now, edits)])
+    out, reach = [], {}
+    for k, a, b in sorted(found, key=lambda x: (x[0], x[1], -x[2])):
+        if b > reach.get(k, -1):
+            out.append((k, a, b))
+            reach[k] = b
     return out
 
 
