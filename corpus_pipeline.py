@@ -1,7 +1,7 @@
 """A training-data pipeline of five operators: quality rules, near-duplicates, PII, mixing, encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and read again as the next stage's docs. doc_id is the documents' key. All stages
-but the last return the columns of documents; the last returns each document of the mix as token ids.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and read again as the next stage's docs. Rows are known by doc_id and a hash of
+their text, so ids may be null, repeat, or stand for several texts. All stages but the last return the columns of documents; the last returns each document of the mix as token ids.
 """
 
 from __future__ import annotations
@@ -12,27 +12,33 @@ from pyspark.sql import functions as F
 from touchline.llm import jaccard_join, merge_replay, mixture, pii, quality
 from touchline.llm.common import documents, prepare, scan, scratch
 
-#: Ids up to which a list of kept ids (8 bytes each) is broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Keys up to which a list of kept keys (16 bytes each) is broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 _TYPES = {"bigint": "long"}
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (one column, doc_id)."""
-    ids = ids.select(F.col("doc_id").alias("_kept")).distinct().checkpoint()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text are among keys (doc_id, and text_key: the text's xxhash64)."""
+    keys = keys.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key")).distinct().checkpoint()
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keep(docs, quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept").select("doc_id"))
+    return keep(docs, quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keyed=True).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    return keep(docs, jaccard_join.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """One document of each group of near-duplicates: that of the smallest id; of rows with the same id and text, the one whose other columns are the least."""
+    chosen = jaccard_join.representatives(docs).checkpoint()
+    kept = keep(docs, chosen.filter("NOT repeated"))
+    if chosen.filter("repeated").isEmpty():
+        return kept
+    names = [n for n in docs.columns if n != "text"] + ["text"]
+    one = keep(docs, chosen.filter("repeated")).groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*names)).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -426,14 +426,27 @@ class Join:
         return labels if labels is not None else self.spark.createDataFrame([], "cls long, comp long")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, n, comp (the group's smallest class) of each row."""
+    j = Join(docs, id_col, text_col)
+    return j.rows.join(j.labels(), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("comp", "cls").alias("comp")).checkpoint()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    j = Join(docs, id_col, text_col)
-    known = j.rows.join(j.labels(), "cls", "left").select("doc_id", "n", F.coalesce("comp", "cls").alias("comp")).checkpoint()
+    known = grouped(docs, id_col, text_col)
     full = known.filter("n > 0")
     least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return full.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(known.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, repeated: of each group, the smallest id (null ids last) and text_key, and whether several rows have both. Texts without words are no one's duplicates: all are listed, as not repeated."""
+    known = grouped(docs, id_col, text_col)
+    rows = known.filter("n > 0").groupBy("comp", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "rows")).alias("r"))
+    return first.select("r.doc_id", "r.text_key", (F.col("r.rows") > 1).alias("repeated")).unionByName(known.filter("n = 0").select("doc_id", "text_key", F.lit(False).alias("repeated")).distinct())
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
