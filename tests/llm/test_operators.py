@@ -65,6 +65,20 @@ def test_replay_by_rounds_and_by_heap_agree():
     assert k._rounds(words) == k._by_heap(words)
 
 
+def test_words_that_begin_with_nul(spark, tmp_path):
+    texts = ["a \0b", " \0", "\0", "\0b b \0b  \0\0 c", "x \0 \0y\n \0z "]
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for x in texts:
+        assert "".join(map(bpe.chunk_of, bpe.ordered(x))) == x
+        plain, spaced = bpe.chunks(x)
+        assert sorted(map(bpe.chunk_of, bpe.ordered(x))) == sorted([*plain, *(" " + c for c in spaced)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    same(token_counts.token_counts(docs), [(i, len(x.encode()), len(ids[i]), False) for i, x in enumerate(texts)])
+    assert [x.tolist() for x in token_files.encode_texts(texts, P.path("byte_bpe_50k.json"))] == ids
+    same(merge_replay.decode(merge_replay.encode(docs)), list(enumerate(texts)))
+
+
 def test_secrets_base(docs, rows):
     def base(t):
         out = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A) if len(m[2]) >= 6]

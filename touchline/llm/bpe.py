@@ -26,23 +26,28 @@ _NONE = 1 << 30
 
 
 def chunks(text: str) -> tuple[list[str], list[str]]:
-    """(chunks as they stand, chunks that a space precedes, without it). Not in order; their union is the text."""
+    """(chunks as they stand, chunks that a space precedes, without it). Not in order; their union is the text. Chunks of a space and NUL stay as they stand, since NUL marks keys."""
     if not text:
         return [], []
     parts = text.split(" ")
-    if "" in parts:
+    if "" in parts or "\0" in text:
         found = CHUNK.findall(text)
-        return [c for c in found if c[0] != " " or len(c) == 1], [c[1:] for c in found if c[0] == " " and len(c) > 1]
+        return [c for c in found if not _shortened(c)], [c[1:] for c in found if _shortened(c)]
     return parts[:1], parts[1:]
 
 
+def _shortened(chunk: str) -> bool:
+    """Whether a chunk's key drops its space; not where NUL would then stand first, as in keys of chunks without a space."""
+    return chunk[0] == " " and len(chunk) > 1 and chunk[1] != "\0"
+
+
 def ordered(text: str) -> list[str]:
-    """The same chunks, in order, as keys: a leading space is dropped, and its absence is marked by NUL."""
+    """The same chunks, in order, as keys: a leading space is dropped, and a chunk as it stands is marked by NUL."""
     if not text:
         return []
     parts = text.split(" ")
-    if "" in parts:
-        return [c[1:] if c[0] == " " and len(c) > 1 else "\0" + c for c in CHUNK.findall(text)]
+    if "" in parts or "\0" in text:
+        return [c[1:] if _shortened(c) else "\0" + c for c in CHUNK.findall(text)]
     parts[0] = "\0" + parts[0]
     return parts
 
