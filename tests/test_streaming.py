@@ -40,3 +40,12 @@ def test_split_frames_and_late_rows(spark, tmp_path):
     late = [(1, 0, 7, 500.0, 500.0, 540.0, 580.0, 0.9)]
     # frame 7 waits: more of it could come
     assert streamed(spark, tmp_path, [first, rest + late]) == [x for x in batch(spark, r) if x[1] < 7]
+
+
+def test_features_find_a_track_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(globals(), "SCHEMA", f"{SCHEMA}, feature array<double>")
+    all_rows = [(1, f, k, 100.0 * k, y := 50.0 + 60 * (k == 0 and f > 5), 100.0 * k + 40, y + 80, 0.9, None if k == 2 else [float(k == 0), float(k == 1)]) for f in range(10) for k in range(3) if not (k == 0 and f in (4, 5))]
+    want = batch(spark, all_rows, feature="feature")
+    assert want == sorted((1, f, k + 1, k) for _, f, k, *_ in all_rows)
+    assert max(r[2] for r in batch(spark, all_rows)) == 4
+    assert streamed(spark, tmp_path, [[r for r in all_rows if r[1] < 5], [r for r in all_rows if r[1] >= 5]], whole_frames=True, feature="feature") == want

@@ -69,3 +69,10 @@ def test_empty_frames_and_many_detections():
 def test_overlap_and_appearance():
     assert iou_matrix(np.array([[0, 0, 2, 2.0]]), np.array([[1, 0, 3, 2.0], [5, 5, 6, 6], [1, 1, 1, 1]])).round(3).tolist() == [[0.333, 0, 0]]
     assert appearance(None, np.ones(2)) == 1 and appearance(np.zeros(2), np.ones(2)) == 1 and appearance(np.ones(2), np.ones(2)) == pytest.approx(0)
+
+
+def test_a_features_length_does_not_count():
+    t = Tracker()
+    update(t, [(100, 100, [50, 0])])
+    update(t, [(100, 100, [0, 1])])
+    assert t.active[0].feature == pytest.approx(np.array([0.9, 0.1]) / np.hypot(0.9, 0.1))

@@ -82,6 +82,8 @@ class Track:
         self.mean = np.r_[c, np.zeros(4)]
         # each axis by itself: position variance, covariance, velocity variance
         self.var = np.tile(np.array([[10.0], [0.0], [10.0]]), (1, 4))
+        seen, self.feature = self.feature, None
+        self.look(seen)
 
     def predict(self) -> None:
         self.mean[:4] += self.mean[4:]
@@ -101,6 +103,10 @@ class Track:
         self.mean[2:4] = np.maximum(self.mean[2:4], 1)
         self.var = np.stack([np.maximum((1 - g0) * a, 1e-6), (1 - g0) * b, np.maximum(c - g1 * b, 1e-6)])
         self.box, self.missed = box, 0
+        self.look(feature)
+
+    def look(self, feature: np.ndarray | None) -> None:
+        """Blend what the object looks like into the track's own feature, of length 1."""
         if feature is not None:
             f = feature if self.feature is None or len(self.feature) != len(feature) else 0.9 * self.feature + 0.1 * feature
             n = float(np.linalg.norm(f))
@@ -181,10 +187,20 @@ class Tracker:
         return out
 
 
-def run(detections: DataFrame, stride: int = 1) -> DataFrame:
+def features(g: pd.DataFrame, column: str | None) -> list[np.ndarray | None]:
+    """Each row's feature; None where there is no column, or a null, empty or not finite vector."""
+    out = [None] * len(g)
+    for k, v in enumerate(g[column] if column else ()):
+        if v is not None and len(f := np.asarray(v, float)) and np.isfinite(f).all():
+            out[k] = f
+    return out
+
+
+def run(detections: DataFrame, stride: int = 1, feature: str | None = None) -> DataFrame:
     """clip_id, frame_idx, track_id, det_idx (null where predicted) from detections (clip_id, frame_idx, det_idx, x1, y1, x2, y2, conf). A clip is the unit of parallel work.
 
-    Frames without a row count as seen and empty, from the clip's first frame to its last; with stride s, other frames than each s-th are predicted."""
+    Frames without a row count as seen and empty, from the clip's first frame to its last; with stride s, other frames than each s-th are predicted.
+    ``feature`` names a column of appearance vectors (arrays), by which lost tracks are found again away from their predicted place; without it overlap alone counts."""
 
     def clip(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["frame_idx", "det_idx"], kind="stable")
@@ -194,7 +210,7 @@ def run(detections: DataFrame, stride: int = 1) -> DataFrame:
         for f in range(int(df["frame_idx"].min()), int(df["frame_idx"].max()) + 1):
             g = frames.get(f, none)
             ids = g["det_idx"].tolist()
-            for i, k in t.update(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), [None] * len(g), predicted=f % stride != 0):
+            for i, k in t.update(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), features(g, feature), predicted=f % stride != 0):
                 rows.append((df["clip_id"].iloc[0], f, i, ids[k] if k >= 0 else None))
         return pd.DataFrame(rows, columns=["clip_id", "frame_idx", "track_id", "det_idx"]).astype({"track_id": "int32", "det_idx": "Int32"})
 

@@ -335,3 +335,18 @@ def track_occlusion(spark, sf):
 def track_expiry(spark, sf):
     """After 120 misses a track is gone: the object gets a new id."""
     return tracker.run(_moving(spark, sf, 150, (10, 130)))
+
+
+@query(f"WITH {_MOVING.format(n=30)} SELECT clip_id, frame_idx, k + 1 AS track_id, k AS det_idx FROM o WHERE NOT (k = 0 AND frame_idx BETWEEN 8 AND 12)")
+def track_reid(spark, sf):
+    """The object that was away five frames comes back beside its predicted place (less overlap than a match takes), and is found again by its looks."""
+    o = _moving(spark, sf, 30, (8, 12))
+    moved = F.when((F.col("det_idx") == 0) & (F.col("frame_idx") > 12), 60.0).otherwise(0.0)
+    looks = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: (i == F.col("det_idx")).cast("double"))
+    return tracker.run(o.withColumns({"y1": F.col("y1") + moved, "y2": F.col("y2") + moved, "feature": looks}), feature="feature")
+
+
+@query(f"WITH {_MOVING.format(n=20)} SELECT clip_id, frame_idx, k + 1 AS track_id, CASE WHEN frame_idx % 3 = 0 THEN k END AS det_idx FROM o")
+def track_stride(spark, sf):
+    """Each third frame is looked at; tracks are predicted in the others."""
+    return tracker.run(_moving(spark, sf), stride=3)

@@ -9,20 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tracker import Tracker
+from ..operators.tracker import Tracker, features
 
 _COLS = ["frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf"]
 
 
-def run(detections: DataFrame, stride: int = 1, whole_frames: bool = False) -> DataFrame:
+def run(detections: DataFrame, stride: int = 1, whole_frames: bool = False, feature: str | None = None) -> DataFrame:
     """clip_id, frame_idx, track_id, det_idx (-1 where predicted) of a stream of detections, as operators.tracker.run gives them in batch.
 
     A clip's frames may come in several batches. Its newest frame waits in state until a later one comes, since more of its rows may follow; ``whole_frames`` says that none do.
-    Rows of frames that are already done come too late and go. State is a clip's tracker (at most as many tracks as its last frames had boxes) and one frame."""
+    Rows of frames that are already done come too late and go. State is a clip's tracker (at most as many tracks as its last frames had boxes) and one frame.
+    ``feature`` is as in batch."""
+    cols = [*_COLS, *([feature] if feature else [])]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracker, done, held = pickle.loads(state.get[0]) if state.exists else (Tracker(), None, None)
-        rows = pd.concat([*([] if held is None else [held]), *(b[_COLS] for b in batches)], ignore_index=True)
+        rows = pd.concat([*([] if held is None else [held]), *(b[cols] for b in batches)], ignore_index=True)
         if done is not None:
             rows = rows[rows["frame_idx"] > done]
         out, held = [], None
@@ -36,7 +38,7 @@ def run(detections: DataFrame, stride: int = 1, whole_frames: bool = False) -> D
             for f in range(first, last + 1):
                 g = frames.get(f, rows.iloc[:0])
                 ids = g["det_idx"].tolist()
-                for i, k in tracker.update(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), [None] * len(g), predicted=f % stride != 0):
+                for i, k in tracker.update(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), features(g, feature), predicted=f % stride != 0):
                     out.append((key[0], f, i, ids[k] if k >= 0 else -1))
                 done = f
         state.update((pickle.dumps((tracker, done, held)),))
