@@ -57,26 +57,52 @@ def test_merge_replay(docs, rows):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()))
     same(merge_replay.digests(docs), want)
     same(merge_replay.decode(merge_replay.encode(docs)), [(i, x or "") for i, x, _ in rows])
-
-
-def test_replay_by_rounds_and_by_heap_agree():
-    r, k = random.Random(3), bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    words = ["".join(r.choice("abcdeinrst ") for _ in range(r.randint(1, 40))).encode() for _ in range(2000)]
-    assert k._rounds(words) == k._by_heap(words)
-
-
-def test_words_that_begin_with_nul(spark, tmp_path):
-    texts = ["a \0b", " \0", "\0", "\0b b \0b  \0\0 c", "x \0 \0y\n \0z "]
+    assert merge_replay.digests(docs.limit(0)).count() == 0 and merge_replay.decode(merge_replay.encode(docs.limit(0))).count() == 0
+
+
+def test_replay_over_many_words_equals_word_by_word_encoding():
+    r, path = random.Random(3), P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    words = ["".join(r.choice("abcdeinrst ") for _ in range(r.randint(1, 40))).encode() for _ in range(2000)] + [b"", b"a" * 3000, "日本語".encode() * 50]
+    k = bpe.Ranks(path)
+    k.SYMBOLS = 5000  # many groups
+    counts, ids = k.encode(words)
+    at = 0
+    for w, n in zip(words, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == enc.encode_ordinary(w.decode())
+        at += n
+    assert at == len(ids)
+
+
+def test_pre_tokens_of_all_scripts_equal_the_librarys():
+    r = random.Random(5)
+    k, find = bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken")), bpe.pieces_pattern().findall
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=k.rank, special_tokens={})
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for _ in range(3000):
+        x = "".join(r.choice([r.choice(every), " ", "a", "1", "\0", "'s", "\n", "  ", "\x85"]) for _ in range(r.randint(1, 12)))
+        spaces, parts = bpe.split(x)
+        chunks = [parts[0], *(" " + c for c in parts[1:])] if spaces else parts
+        assert "".join(chunks) == x
+        assert k.encode([p.encode() for c in chunks for p in find(c)])[1].tolist() == enc.encode_ordinary(x)
+    # all code points: each between two letters, as one piece or more
+    text = "".join(f"a{c}a\n" for c in every)
+    assert k.encode([p.encode() for p in find(text)])[1].tolist() == enc.encode_ordinary(text)
+
+
+def test_nul_wherever_it_stands(spark):
+    texts = ["a \0b", " \0", "\0", "\0b b \0b  \0\0 c", "x \0 \0y\n \0z ", "x \0abc", "a \0", "\0 \0\0"]
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for x in texts:
-        assert "".join(map(bpe.chunk_of, bpe.ordered(x))) == x
-        plain, spaced = bpe.chunks(x)
-        assert sorted(map(bpe.chunk_of, bpe.ordered(x))) == sorted([*plain, *(" " + c for c in spaced)])
+    ranks = bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken")).rank
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     ids = [t.encode(x, add_special_tokens=False).ids for x in texts]
     same(token_counts.token_counts(docs), [(i, len(x.encode()), len(ids[i]), False) for i, x in enumerate(texts)])
     assert [x.tolist() for x in token_files.encode_texts(texts, P.path("byte_bpe_50k.json"))] == ids
-    same(merge_replay.decode(merge_replay.encode(docs)), list(enumerate(texts)))
+    encoded = merge_replay.encode(docs)
+    same(encoded, [(i, enc.encode_ordinary(x)) for i, x in enumerate(texts)])
+    same(merge_replay.decode(encoded), list(enumerate(texts)))
 
 
 def test_secrets_base(docs, rows):
@@ -340,15 +366,15 @@ def test_quality(spark, docs, rows):
 
 
 def test_a_worker_drops_caches_of_other_operators():
-    from touchline.llm import common, merge_replay
+    from touchline.llm import common
 
-    path = P.path(merge_replay.VOCABULARY)
-    common.enter(merge_replay.__name__)
-    before = merge_replay.worker(path).encode(["some text"])
-    common.enter(merge_replay.__name__)
-    assert merge_replay._workers
+    path = P.path(token_files.VOCABULARY)
+    common.enter(token_files.__name__)
+    before = [x.tolist() for x in token_files.encode_texts(["some text"], path)]
+    common.enter(token_files.__name__)
+    assert token_files._caches
     common.word_hashes([b"a"])
     common.enter("touchline.llm.jaccard_join")
-    assert not merge_replay._workers and not common._hashes
+    assert not token_files._caches and not common._hashes
     common.leave()
-    assert merge_replay.worker(path).encode(["some text"]) == before
+    assert [x.tolist() for x in token_files.encode_texts(["some text"], path)] == before

@@ -10,9 +10,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -20,40 +19,16 @@ import numpy as np
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Entries that a worker's cache holds at most; it starts anew when full.
-CACHE = 800_000
+CACHE = 400_000
 LONG = 64
-_NONE = 1 << 30
 
 
-def chunks(text: str) -> tuple[list[str], list[str]]:
-    """(chunks as they stand, chunks that a space precedes, without it). Not in order; their union is the text. Chunks of a space and NUL stay as they stand, since NUL marks keys."""
+def split(text: str) -> tuple[bool, list[str]]:
+    """The text's chunks in order. (True, parts): all parts but the first follow a space that isn't written; (False, chunks): as they stand."""
     if not text:
-        return [], []
+        return False, []
     parts = text.split(" ")
-    if "" in parts or "\0" in text:
-        found = CHUNK.findall(text)
-        return [c for c in found if not _shortened(c)], [c[1:] for c in found if _shortened(c)]
-    return parts[:1], parts[1:]
-
-
-def _shortened(chunk: str) -> bool:
-    """Whether a chunk's key drops its space; not where NUL would then stand first, as in keys of chunks without a space."""
-    return chunk[0] == " " and len(chunk) > 1 and chunk[1] != "\0"
-
-
-def ordered(text: str) -> list[str]:
-    """The same chunks, in order, as keys: a leading space is dropped, and a chunk as it stands is marked by NUL."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if "" in parts or "\0" in text:
-        return [c[1:] if _shortened(c) else "\0" + c for c in CHUNK.findall(text)]
-    parts[0] = "\0" + parts[0]
-    return parts
-
-
-def chunk_of(key: str) -> str:
-    return key[1:] if key[:1] == "\0" else " " + key
+    return (False, CHUNK.findall(text)) if "" in parts else (True, parts)
 
 
 @lru_cache(4)
@@ -79,28 +54,29 @@ def special_strings(path: str) -> tuple[str, ...]:
 
 
 def _ranges(kind: str) -> str:
-    """Regex ranges of all code points whose Unicode category starts with kind."""
-    out, start = [], None
-    for c in range(0x110000 + 1):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
-        if inside and start is None:
-            start = c
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return "".join(out)
+    """Regex ranges of all code points of a class, as the regex engine of tiktoken has it: a tokenizer of bytes that matches single characters of the class alone gives just those back."""
+    import tiktoken
+
+    single = tiktoken.Encoding(f"class {kind}", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    points = np.fromiter(map(ord, single.decode_bytes(single.encode_ordinary(every)).decode()), np.int64)
+    gaps = np.flatnonzero(np.diff(points) != 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[np.r_[0, gaps + 1]], points[np.r_[gaps, len(points) - 1]], strict=True))
 
 
 @lru_cache(1)
 def pieces_pattern() -> re.Pattern:
     """public_tokenizers.PATTERN for Python's own re, with the classes of letters and numbers written out."""
-    letter, number = _ranges("L"), _ranges("N")
+    letter, number = _ranges(r"\p{L}"), _ranges(r"\p{N}")
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 class Ranks:
     """The ranks of a .tiktoken file, and the merge replay."""
 
+    #: Symbols that one replay holds at most (more only where a single word is longer).
+    SYMBOLS = 1 << 21
+
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -113,108 +89,49 @@ class Ranks:
         key = a << 24 | b
         r = self.pairs.get(key)
         if r is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 300_000:
                 self.pairs.clear()
             r = self.pairs[key] = self.rank.get(self.token[a] + self.token[b], -1)
         return r
 
-    def replay(self, words: Iterable[bytes]) -> list[list[int]]:
-        """Token ids of each word, by replaying the merges over all words of a corpus part at once.
-
-        Words of up to LONG bytes lie in flat arrays, and so does the index from positions to the rank of the pair that starts there. Merges of different words
-        don't touch each other, so one round applies, in every word, the merge of its lowest rank at its leftmost place: each word sees its merges in
-        rank order. Only the pairs with the two neighbours of a merged pair are looked up anew. Longer words go by a heap of ranks.
-        """
-        words = list(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
-        out: list[list[int]] = [[] for _ in words]
-        for k, ids in zip(short, self._rounds([words[k] for k in short]), strict=True):
-            out[k] = ids
-        long = [k for k, w in enumerate(words) if len(w) > LONG]
-        for k, ids in zip(long, self._by_heap([words[k] for k in long]), strict=True):
-            out[k] = ids
-        return out
-
-    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys of all pairs that make a token, sorted; their ranks; ranks of pairs of bytes)."""
-        if not hasattr(self, "_pairs"):
-            found = {}
-            for t, r in self.rank.items():
-                for i in range(1, len(t)):
-                    if (a := self.rank.get(t[:i])) is not None and (b := self.rank.get(t[i:])) is not None:
-                        found[a << 32 | b] = r
-            keys = np.array(sorted(found), np.int64)
-            values = np.array([found[k] for k in keys.tolist()], np.int32)
-            first = np.array([self.rank.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)], np.int32)
-            self._pairs = keys, values, first
-        return self._pairs
-
-    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys, values, _ = self._table()
-        want = a.astype(np.int64) << 32 | b
-        i = np.searchsorted(keys, want)
-        i[i == len(keys)] = 0
-        return np.where(keys[i] == want, values[i], _NONE)
-
-    def _rounds(self, words: list[bytes]) -> list[list[int]]:
-        if not words:
-            return []
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)))
-        rank = np.full(len(raw), _NONE, np.int32)
-        same = word[:-1] == word[1:]
-        rank[:-1][same] = self._table()[2][raw[:-1].astype(np.int32) << 8 | raw[1:]][same]
-        sym = np.array(self.byte, np.int32)[raw]
-        done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(sym):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            low = np.minimum.reduceat(rank, starts)
-            lengths = np.diff(np.r_[starts, len(sym)])
-            if (low == _NONE).any():  # these words have all their merges
-                live = np.repeat(low != _NONE, lengths)
-                done.append((word[~live], sym[~live]))
-                word, sym, rank = word[live], sym[live], rank[live]
-                continue
-            at = np.flatnonzero(rank == np.repeat(low, lengths))
-            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]  # the leftmost in each word
-            sym[at] = low
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            at -= np.arange(len(at))  # one symbol went in each word before
-            word, sym, rank = word[keep], sym[keep], rank[keep]
-            rank[at] = _NONE
-            has = at[(at + 1 < len(sym))]
-            has = has[word[has] == word[has + 1]]
-            rank[has] = self._look(sym[has], sym[has + 1])
-            has = at[at > 0]
-            has = has[word[has - 1] == word[has]]
-            rank[has - 1] = self._look(sym[has - 1], sym[has])
-        word, sym = np.concatenate([w for w, _ in done]), np.concatenate([s for _, s in done])
-        order = np.argsort(word, kind="stable")
-        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
-        flat = sym[order].tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _by_heap(self, words: Iterable[bytes]) -> list[list[int]]:
-        """The same with a heap of ranks over all words.
-
-        The inverted index leads from a merge (by its rank) to the positions of its pairs in all words. Merges are applied in rank order, each at
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids one after the other): the words of a part of the corpus, in groups of bounded size, which words never cross."""
+        counts, ids, group, size = [], [], [], 0
+        for w in words:
+            if group and size + len(w) > self.SYMBOLS:
+                self._add(group, counts, ids)
+                group, size = [], 0
+            group.append(w)
+            size += len(w)
+        self._add(group, counts, ids)
+        return np.concatenate(counts), np.concatenate(ids)
+
+    def _add(self, group: list[bytes], counts: list[np.ndarray], ids: list[np.ndarray]) -> None:
+        word, sym = self.replay(group)
+        counts.append(np.bincount(word, minlength=len(group)))
+        ids.append(sym)
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word's number, id) of all symbols that are left, in order, when all merges have been applied to all words.
+
+        The inverted index leads from a pair (by the rank of the token that it makes) to the positions where it starts, in all words. Merges are applied in rank order, each at
         all its positions from left to right; only the pairs with the two neighbours of a merged pair are looked up anew. Should a merge give rise to a
         pair of lower rank in a word, that word's later positions wait until the lower rank has been applied, as word-by-word encoding would have it.
         """
-        words, pair, byte = list(words), self.pair, self.byte
-        sym: list[int] = []
-        word: list[int] = []
-        for k, w in enumerate(words):
-            sym += [byte[b] for b in w]
-            sym.append(-1)  # between words
-            word += [k] * (len(w) + 1)
-        n = len(sym)
+        pair = self.pair
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        word_at = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        n = len(raw)
+        # -1 stands where a symbol has been merged into the one before; neighbours of another word are none
+        sym, word = np.array(self.byte, np.int32)[raw].tolist(), word_at.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if sym[i] >= 0 and sym[i + 1] >= 0 and (r := pair(sym[i], sym[i + 1])) >= 0:
-                index.setdefault(r, []).append(i)
+        ends = np.cumsum(lengths)
+        for e in set(ends.tolist()) - {0}:
+            after[e - 1] = -1
+            if e < n:
+                before[e] = -1
+        index = self._first(raw, word_at)
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -226,18 +143,16 @@ class Ranks:
                 if a < 0:
                     continue
                 j = after[i]
-                b = sym[j]
-                if b < 0 or pair(a, b) != r:
+                if j < 0 or pair(a, sym[j]) != r:
                     continue
                 if word[i] in waits:
                     again.append(i)
                     continue
-                sym[i], sym[j] = r, -2  # -2: merged into the one before
-                k = after[j]
-                after[i] = k
-                if k < n:
+                sym[i], sym[j] = r, -1
+                after[i] = k = after[j]
+                if k >= 0:
                     before[k] = i
-                    if sym[k] >= 0 and (q := pair(r, sym[k])) >= 0:
+                    if (q := pair(r, sym[k])) >= 0:
                         if q not in index:
                             index[q] = [i]
                             heapq.heappush(heap, q)
@@ -246,7 +161,7 @@ class Ranks:
                         if q < r:
                             waits.add(word[i])
                 h = before[i]
-                if h >= 0 and sym[h] >= 0 and (q := pair(sym[h], r)) >= 0:
+                if h >= 0 and (q := pair(sym[h], r)) >= 0:
                     if q not in index:
                         index[q] = [h]
                         heapq.heappush(heap, q)
@@ -260,11 +175,21 @@ class Ranks:
                 else:
                     index[r] = again
                     heapq.heappush(heap, r)
-        out: list[list[int]] = [[] for _ in words]
-        for i, s in enumerate(sym):
-            if s >= 0:
-                out[word[i]].append(s)
-        return out
+        out = np.array(sym, np.int32)
+        left = np.flatnonzero(out >= 0)
+        return word_at[left], out[left]
+
+    def _first(self, raw: np.ndarray, word: np.ndarray) -> dict[int, list[int]]:
+        """The index of the words' bytes: positions by rank."""
+        if not hasattr(self, "_bytes"):
+            self._bytes = np.array([self.rank.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        if len(raw) < 2:
+            return {}
+        found = np.where(word[:-1] == word[1:], self._bytes[raw[:-1].astype(np.int32) << 8 | raw[1:]], -1)
+        at = np.flatnonzero(found >= 0)
+        at = at[np.argsort(found[at], kind="stable")]
+        ranks, first = np.unique(found[at], return_index=True)
+        return {r: p.tolist() for r, p in zip(ranks.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {}
 
 
 @lru_cache(2)

@@ -9,6 +9,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -46,10 +47,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary folder is made."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset on one machine (tests) a temporary folder is made; a cluster must name one."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="touchline-shared-")
         atexit.register(shutil.rmtree, found, True)
     if not sc.getCheckpointDir():
@@ -203,18 +206,18 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def by_group(f: Callable, keyed: bool = False) -> Callable:
-    """f as the bare function that applyInArrow wants."""
+def by_group(f: Callable, keyed: bool = False, module: str = "") -> Callable:
+    """f as the bare function that applyInArrow wants. Without a module, all caches go beforehand."""
 
     def one(table):
-        enter("")
+        enter(module)
         try:
             return f(table)
         finally:
             leave()
 
     def two(key, table):
-        enter("")
+        enter(module)
         try:
             return f(key, table)
         finally:

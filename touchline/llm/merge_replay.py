@@ -1,131 +1,266 @@
 """Operator 9, byte-level BPE encoding and decoding: corpus-level merge replay.
 
-Each worker gathers the distinct pre-tokens of a whole batch that it has not met before and replays the merges over all of them at once (``bpe.Ranks.replay``),
-then maps texts to ids by lookup. Decoding joins the bytes of the ids.
-
-Null text counts as empty: no ids, and the digests of nothing. Lone surrogates, which UTF-8 texts can't hold, don't occur in Spark strings.
+1. Texts are gathered into *chunks* of some megabytes. A chunk is one row: its documents as numbers of words, its distinct words as numbers of pre-tokens, and its distinct pre-tokens.
+   The rows are written to the shared folder, so all that follows can be done again from them.
+2. A chunk's distinct pre-tokens go to buckets by hash, packed. So however frequent one is, it goes there once a chunk; a bucket holds each distinct pre-token of the corpus once.
+3. A bucket replays the merges over its pre-tokens (``bpe.Ranks``): an inverted index leads from each token pair to its positions in all of them, merges are applied in rank
+   order, and only the neighbours of what was merged are looked up anew. It answers each chunk with the ids of what the chunk sent.
+4. A chunk's answers meet its row again (a join by the chunk's number, of which each is one row), and numbers become ids. Decoding joins the bytes of the ids.
+
+Null text counts as empty: no ids, and the digests of nothing. Null ids stay; repeated rows give a row each; an empty table gives an empty result. A text longer than a chunk makes its own.
+Lone surrogates, which UTF-8 texts can't hold, don't occur in Spark strings.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import caches, documents, scan
+from .common import Task, by_group, caches, documents, prepare, scan, scratch
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-
-_workers: dict[str, _Replay] = {}
-
-
-class _Replay:
-    """A worker's caches: chunk to ids and pre-token to ids, as decimals joined by commas."""
-
-    def __init__(self, path: str):
-        self.ranks, self.pieces, self.by_chunk, self.by_piece = bpe.ranks(path), bpe.pieces_pattern(), {}, {}
-        self.decimal = {str(i): b for i, b in self.ranks.token.items()}
-
-    def learn(self, keys: set[str]) -> None:
-        if len(self.by_chunk) + len(keys) > bpe.CACHE:
-            self.by_chunk.clear()
-            self.by_piece.clear()
-        split = [(k, self.pieces.findall(bpe.chunk_of(k))) for k in keys]
-        new = [p for p in {p for _, ps in split for p in ps} if p not in self.by_piece]
-        for p, ids in zip(new, self.ranks.replay(p.encode() for p in new), strict=True):
-            self.by_piece[p] = ",".join(map(str, ids))
-        for k, ps in split:
-            self.by_chunk[k] = ",".join(map(self.by_piece.__getitem__, ps))
-
-    def encode(self, texts: list[str | None]) -> list[str]:
-        """Decimal ids of each text, comma-joined. Learns and looks up by groups of texts, so that what one group needs is never forgotten on the way."""
-        out: list[str] = []
-        group: list[list[str]] = []
-        size = 0
-        for t in [*texts, None]:
-            group.append(bpe.ordered(t or ""))
-            size += len(group[-1])
-            if size >= bpe.CACHE // 2 or len(out) + len(group) > len(texts):
-                new = {k for k in set().union(*group) if k not in self.by_chunk}
-                if new:
-                    if len(self.by_chunk) + len(new) > bpe.CACHE:
-                        self.by_chunk.clear()
-                        self.by_piece.clear()
-                        new = set().union(*group)
-                    self.learn(new)
-                out += [",".join(map(self.by_chunk.__getitem__, g)) for g in group]
-                group, size = [], 0
-        return out[: len(texts)]
-
-    def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.decimal.__getitem__, ids.split(","))) if ids else b""
-
-
-def worker(path: str) -> _Replay:
-    if path not in _workers:
-        _workers[path] = _Replay(path)
-    return _workers[path]
-
-
-def _forget() -> None:
-    _workers.clear()
-    bpe.forget()
-
-
-caches(__name__, _forget)
-
-
-class _Encode:
-    def __init__(self, path: str):
-        self.path = path
-
-    def __call__(self, ids: list, texts: list) -> dict:
-        return {"doc_id": ids, "ids": worker(self.path).encode(texts)}
-
-
-class _Digest:
+#: Text of a chunk, in characters, from which it is closed; pre-tokens of a bucket, in bytes as planned (before the same ones of other chunks fall together).
+CHUNK, BUCKET_BYTES, BUCKETS = 6 << 20, 16 << 20, 16
+
+caches(__name__, bpe.forget)
+
+
+def _small(numbers: list[int] | np.ndarray) -> bytes:
+    """Whole numbers in two or four bytes each, after a byte that says which."""
+    a = np.asarray(numbers, np.uint32)
+    return b"\2" + a.astype("<u2").tobytes() if not len(a) or int(a.max()) < 1 << 16 else b"\4" + a.astype("<u4").tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1)
+
+
+def _cut(blob: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+
+class _Chunk:
+    """Documents on their way into a chunk's row."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.spaced: dict[str, int] = {}  # words after a space, and other chunks as they stand, by their numbers
+        self.plain: dict[str, int] = {}
+        self.length = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        spaces, parts = bpe.split(text or "")
+        if spaces:
+            first, rest = parts[:1], parts[1:]
+        else:
+            first, rest = parts, []
+        spaced, plain, n = self.spaced, self.plain, len(self.spaced) + len(self.plain)
+        for w in dict.fromkeys(rest):
+            if w not in spaced:
+                spaced[w] = n
+                n += 1
+        for w in dict.fromkeys(first):
+            if w not in plain:
+                plain[w] = n
+                n += 1
+        self.words.append(np.fromiter(chain(map(plain.__getitem__, first), map(spaced.__getitem__, rest)), np.uint32, len(parts)))
+        self.ids.append(doc_id)
+        self.sizes.append(len(parts))
+        self.length += len(text or "")
+
+    def row(self, number: int) -> pa.RecordBatch:
+        find = bpe.pieces_pattern().findall
+        pieces: dict[str, int] = {}
+        counts, parts = np.zeros(len(self.spaced) + len(self.plain), np.uint32), [()] * (len(self.spaced) + len(self.plain))
+        for space, words in ((" ", self.spaced), ("", self.plain)):
+            for w, k in words.items():
+                parts[k] = found = [pieces.setdefault(p, len(pieces)) for p in find(space + w)]
+                counts[k] = len(found)
+        raw = [p.encode() for p in pieces]
+        columns = {
+            "chunk": pa.array([number], pa.int64()),
+            "piece_bytes": pa.array([sum(map(len, raw))], pa.int64()),
+            "ids": pa.array([np.array([i or 0 for i in self.ids], "<i8").tobytes()], pa.binary()),
+            "nulls": pa.array([np.array([i is None for i in self.ids], bool).tobytes()], pa.binary()),
+            "sizes": pa.array([_small(self.sizes)], pa.binary()),
+            "words": pa.array([_small(np.concatenate(self.words))], pa.binary()),
+            "word_sizes": pa.array([_small(counts)], pa.binary()),
+            "word_pieces": pa.array([_small(np.fromiter(chain.from_iterable(parts), np.uint32, int(counts.sum())))], pa.binary()),
+            "piece_sizes": pa.array([_small(list(map(len, raw)))], pa.binary()),
+            "pieces": pa.array([b"".join(raw)], pa.binary()),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
+
+_CHUNKS = "chunk long, piece_bytes long, ids binary, nulls binary, sizes binary, words binary, word_sizes binary, word_pieces binary, piece_sizes binary, pieces binary"
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, chunk = TaskContext.get().partitionId() << 32, _Chunk()
+    for b in batches:
+        for doc_id, text in zip(b.column(0), b.column(1), strict=True):
+            chunk.add(doc_id.as_py(), text.as_py())
+            if chunk.length >= CHUNK:
+                yield chunk.row(number)
+                number, chunk = number + 1, _Chunk()
+    if chunk.ids:
+        yield chunk.row(number)
+
+
+def _bucket_of(pieces: list[bytes], buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, pieces), np.uint32, len(pieces)) % np.uint32(buckets)
+
+
+class _Send:
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, sizes, blob in zip(*b.columns, strict=True):
+                pieces = _cut(blob.as_py(), _numbers(sizes.as_py()))
+                to = _bucket_of(pieces, self.buckets)
+                order = np.argsort(to, kind="stable")
+                at, first = np.unique(to[order], return_index=True)
+                parts = [[pieces[k] for k in places.tolist()] for places in np.split(order, first[1:])] if len(order) else []
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at, pa.int64()), pa.array([chunk.as_py()] * len(at), pa.int64()), pa.array([_small(list(map(len, p))) for p in parts], pa.binary()), pa.array([b"".join(p) for p in parts], pa.binary())],
+                    names=["bucket", "chunk", "sizes", "pieces"],
+                )
+
+
+class _Bucket:
     def __init__(self, path: str):
         self.path = path
 
-    def __call__(self, ids: list, texts: list) -> dict:
-        w = worker(self.path)
-        out: dict[str, list] = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for x in w.encode(texts):
-            out["n_tokens"].append(x.count(",") + 1 if x else 0)
-            out["ids_sha256"].append(hashlib.sha256(x.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(w.decode(x)).hexdigest())
-        return out
-
-
-def _two(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    def __call__(self, key: tuple, table: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = {}
+        asked = []
+        for sizes, blob in zip(table.column("sizes"), table.column("pieces"), strict=True):
+            asked.append(np.array([known.setdefault(p, len(known)) for p in _cut(blob.as_py(), _numbers(sizes.as_py()))], np.uint32))
+        counts, ids = bpe.ranks(self.path).encode(list(known))
+        del known
+        starts = np.cumsum(counts) - counts
+        out_counts, out_ids = [], []
+        for numbers in asked:
+            n = counts[numbers]
+            out_counts.append(_small(n))
+            out_ids.append(_small(ids[_ranges(starts[numbers], n)]))
+        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "counts": pa.array(out_counts, pa.binary()), "found": pa.array(out_ids, pa.binary())})
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of [start, start + count), range after range."""
+    counts = counts.astype(np.int64)
+    return np.repeat(starts.astype(np.int64) - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+class _Joined:
+    """A chunk with its answers: ids of each word as (counts, all ids)."""
+
+    def __init__(self, row: dict, buckets: int):
+        self.ids = [None if null else i for i, null in zip(np.frombuffer(row["ids"], "<i8").tolist(), np.frombuffer(row["nulls"], bool).tolist(), strict=True)]
+        self.sizes, self.words = _numbers(row["sizes"]).astype(np.int64), _numbers(row["words"])
+        to = _bucket_of(_cut(row["pieces"], _numbers(row["piece_sizes"])), buckets)
+        counts, starts, found, n = np.zeros(len(to), np.int64), np.zeros(len(to), np.int64), [np.empty(0, np.uint32)], 0
+        for a in row["answers"] or ():
+            at, c = np.flatnonzero(to == a["bucket"]), _numbers(a["counts"]).astype(np.int64)
+            counts[at], starts[at] = c, n + np.cumsum(c) - c
+            found.append(_numbers(a["found"]).astype(np.uint32))
+            n += len(found[-1])
+        flat = np.concatenate(found)
+        word_sizes, word_pieces = _numbers(row["word_sizes"]).astype(np.int64), _numbers(row["word_pieces"])
+        # ids by piece become ids by word
+        self.flat = flat[_ranges(starts[word_pieces], counts[word_pieces])].astype(np.int32)
+        ends = np.r_[0, np.cumsum(counts[word_pieces])][np.cumsum(word_sizes)] if len(word_sizes) else np.empty(0, np.int64)
+        self.counts = np.diff(np.r_[0, ends])
+        self.starts = ends - self.counts
+
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Each document's id and token ids."""
+        at = 0
+        for i, n in zip(self.ids, self.sizes.tolist(), strict=True):
+            w = self.words[at : at + n]
+            at += n
+            yield i, self.flat[_ranges(self.starts[w], self.counts[w])]
+
+
+class _Emit:
+    def __init__(self, path: str, buckets: int, digests: bool):
+        self.path, self.buckets, self.digests = path, buckets, digests
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                joined = _Joined({n: b.column(n)[k].as_py() for n in b.schema.names}, self.buckets)
+                yield self.digested(joined) if self.digests else self.arrays(joined)
+
+    def arrays(self, joined: _Joined) -> pa.RecordBatch:
+        found = [ids for _, ids in joined.documents()]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(joined.ids, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(found))], names=["doc_id", "ids"])
+
+    def digested(self, joined: _Joined) -> pa.RecordBatch:
+        token = bpe.ranks(self.path).token
+        all_ids, ends = joined.flat.tolist(), [0, *accumulate(joined.counts.tolist())]
+        decimal = [",".join(map(str, all_ids[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
+        del all_ids
+        out: dict[str, list] = {"doc_id": joined.ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
+        at = 0
+        for n, (_, ids) in zip(joined.sizes.tolist(), joined.documents(), strict=True):
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, joined.words[at : at + n].tolist())).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join(map(token.__getitem__, ids.tolist()))).hexdigest())
+            at += n
+        return pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k.endswith("256") else pa.int64()) for k, v in out.items()})
+
+
+def _run(docs: DataFrame, vocabulary: str | None, id_col: str, text_col: str, digests: bool, schema: str) -> DataFrame:
+    spark = docs.sparkSession
+    prepare(spark)
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    two.mapInArrow(Task(_gather, __name__), _CHUNKS).write.option("compression", "zstd").parquet(place := scratch(spark, "chunks"))
+    chunks = spark.read.schema(_CHUNKS).parquet(place)
+    buckets = max(BUCKETS, -(-(chunks.agg(F.sum("piece_bytes")).first()[0] or 0) // BUCKET_BYTES))
+    sent = chunks.select("chunk", "piece_sizes", "pieces").mapInArrow(Task(_Send(buckets), __name__), "bucket long, chunk long, sizes binary, pieces binary")
+    answers = sent.groupBy("bucket").applyInArrow(by_group(_Bucket(path), True, __name__), "chunk long, bucket long, counts binary, found binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "found")).alias("answers"))
+    return chunks.drop("piece_bytes").join(answers, "chunk", "left").mapInArrow(Task(_Emit(path, buckets, digests), __name__), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: each text's token ids."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    return scan(_two(docs, id_col, text_col), ["doc_id", "text"], "doc_id long, ids string", _Encode(path)).select("doc_id", F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>")).alias("ids"))
+    return _run(docs, vocabulary, id_col, text_col, False, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, text of ids as encode() gives them; bytes that aren't UTF-8 become U+FFFD."""
+    """doc_id, text of ids as encode() gives them; bytes that aren't UTF-8 become U+FFFD. Null ids count as none."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    joined = encoded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
     def texts(doc_ids, ids):
-        w = worker(path)
-        return {"doc_id": doc_ids, "text": [w.decode(x or "").decode("utf-8", "replace") for x in ids]}
+        token = bpe.ranks(path).token
+        return {"doc_id": doc_ids, "text": [b"".join(map(token.__getitem__, x or ())).decode("utf-8", "replace") for x in ids]}
 
-    return scan(joined, ["doc_id", "ids"], "doc_id long, text string", texts)
+    return scan(encoded, ["doc_id", "ids"], "doc_id long, text string", texts)
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, comma-joined), decoded_sha256 (of the bytes decoded from them)."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    return scan(_two(docs, id_col, text_col), ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _Digest(path))
+    return _run(docs, vocabulary, id_col, text_col, True, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:

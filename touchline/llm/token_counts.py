@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, prepare, scan
+from .common import caches, documents, prepare, scan
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the broadcast table at most, and rows that are looked at for frequent pre-tokens.
@@ -28,6 +28,14 @@ LIMIT = 1024
 _table: dict = {}
 
 
+def _forget() -> None:
+    _table.clear()
+    bpe.forget()
+
+
+caches(__name__, _forget)
+
+
 def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> tuple[str, bytes]:
     """The broadcast table: pre-tokens joined by spaces, and a byte with the length of each."""
     t = bpe.library(path)
@@ -36,7 +44,9 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> tuple[st
     def count(texts):
         found: Counter = Counter()
         for x in texts:
-            found.update(k for k in bpe.ordered(x or "") if k[:1] != "\0" and k.isprintable() and len(k) <= bpe.LONG)
+            spaces, parts = bpe.split(x or "")
+            if spaces:
+                found.update(k for k in parts[1:] if k.isprintable() and len(k) <= bpe.LONG)
         top = [k for k, n in found.most_common(FREQUENT // 2) if n > 1]
         return {"word": top}
 
@@ -56,8 +66,8 @@ class _Count:
         if self.name not in _table:
             words, lengths = self.sent.value
             _table.clear()
-            _table[self.name] = dict(zip(words.split(" "), lengths, strict=True)) if words else {}, _Misses(self.path)
-        table, misses = _table[self.name]
+            _table[self.name] = dict(zip(words.split(" "), lengths, strict=True)) if words else {}, _Misses(self.path, " "), _Misses(self.path, "")
+        table, misses, plain = _table[self.name]
         special, library = bpe.special_strings(self.path), bpe.library(self.path)
         sizes, counts = [], []
         get = table.get
@@ -67,22 +77,28 @@ class _Count:
             if any(s in x for s in special):  # the library makes them special tokens, wherever they stand
                 counts.append(len(library.encode(x, add_special_tokens=False).ids))
                 continue
-            plain, spaced = bpe.chunks(x)
-            first = list(map(get, spaced))
-            n = sum(filter(None, first))
-            if None in first:
-                n += sum(map(misses.__getitem__, [c for c, k in zip(spaced, first, strict=True) if k is None]))
-            counts.append(n + sum(map(misses.__getitem__, ["\0" + c for c in plain])))
+            spaces, parts = bpe.split(x)
+            if not spaces:
+                counts.append(sum(map(plain.__getitem__, parts)))
+                continue
+            n = plain[parts.pop(0)]
+            known = list(map(get, parts))
+            n += sum(filter(None, known))
+            if None in known:
+                n += sum(map(misses.__getitem__, [c for c, k in zip(parts, known, strict=True) if k is None]))
+            counts.append(n)
         return {"doc_id": ids, "n_bytes": sizes, "n_tokens": counts, "over_limit": [n > self.limit for n in counts]}
 
 
 class _Misses(dict):
-    def __init__(self, path: str):
+    """Tier two: tokens of a chunk before which stands ``before``."""
+
+    def __init__(self, path: str, before: str):
         super().__init__()
-        self.encode = bpe.library(path).encode
+        self.encode, self.before = bpe.library(path).encode, before
 
     def __missing__(self, key: str) -> int:
-        n = len(self.encode(bpe.chunk_of(key), add_special_tokens=False).ids)
+        n = len(self.encode(self.before + key, add_special_tokens=False).ids)
         if len(key) <= bpe.LONG:
             if len(self) >= bpe.CACHE:
                 self.clear()

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, rangecoder
-from .common import documents, prepare, scratch
+from .common import Task, caches, documents, prepare, scratch
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Ids of a segment, from which it is closed after the document that reached it.
@@ -35,28 +35,43 @@ _HEAD = struct.Struct("<4sIQII")
 _DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
 
-_caches: dict[str, dict] = {}
+_caches: dict[tuple[str, str], dict[str, tuple[int, ...]]] = {}
+
+
+def _forget() -> None:
+    _caches.clear()
+    bpe.forget()
+
+
+caches(__name__, _forget)
+
+
+def _known(path: str, before: str, chunks: list[str]) -> Callable[[str], tuple[int, ...]]:
+    """Lookup of the ids of these chunks, before which stands ``before``."""
+    cache = _caches.setdefault((path, before), {})
+    new = [k for k in set(chunks) if k not in cache]
+    if new:
+        if len(cache) + len(new) > bpe.CACHE:
+            cache.clear()
+            new = list(set(chunks))
+        for k, e in zip(new, bpe.library(path).encode_batch_fast([before + k for k in new], add_special_tokens=False), strict=True):
+            cache[k] = tuple(e.ids)
+    return cache.__getitem__
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
     """Each text's ids as the library gives them."""
     library, special = bpe.library(path), bpe.special_strings(path)
-    cache = _caches.setdefault(path, {})
     out = []
     for t in texts:
         t = t or ""
         if any(s in t for s in special):
             out.append(np.array(library.encode(t, add_special_tokens=False).ids, np.uint32))
             continue
-        keys = bpe.ordered(t)
-        new = [k for k in set(keys) if k not in cache]
-        if new:
-            if len(cache) + len(new) > bpe.CACHE:
-                cache.clear()
-                new = list(set(keys))
-            for k, e in zip(new, library.encode_batch_fast([bpe.chunk_of(k) for k in new], add_special_tokens=False), strict=True):
-                cache[k] = tuple(e.ids)
-        out.append(np.fromiter(chain.from_iterable(map(cache.__getitem__, keys)), np.uint32))
+        spaces, parts = bpe.split(t)
+        first, rest = (parts[:1], parts[1:]) if spaces else (parts, [])
+        found = chain(map(_known(path, "", first), first), map(_known(path, " ", rest), rest))
+        out.append(np.fromiter(chain.from_iterable(found), np.uint32))
     return out
 
 
