@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,6 +86,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front until no column of df is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: Rows up to which a join's small side (narrow rows) is broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS rows at most. It is counted, so it should be cheap to read."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def scan(docs: DataFrame, columns: list[str], schema: str, batch: Callable[..., dict]) -> DataFrame:
     """mapInArrow over the named columns alone. ``batch`` gets one Python list a column (null texts stay None) and returns one sequence a result column.
 

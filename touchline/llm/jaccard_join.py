@@ -26,22 +26,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Task, by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, scratch, word_hashes
+from .common import Task, by_group, documents, lower_words, mix, ngram_hashes, prepare, release, scan, scratch, small, word_hashes
 
 N = 5
 #: Entries of the table of frequent shingles; those that a task names at most.
 FREQUENT, NAMED = 1 << 16, 20_000
 #: Keys of a bucket, as planned; keys that a task holds before it sends them off.
 BUCKET_KEYS, HELD = 500_000, 1_200_000
-#: Classes of a key that are compared at once; larger groups are dealt out in pairs of blocks. Rows of a bucket, as planned.
-GROUP, BUCKET_ROWS = 4096, 20_000
+#: Classes of a key, and bytes of their sketches, that are compared at once; larger groups are dealt out in pairs of blocks. Rows and bytes of a bucket, as planned.
+GROUP, GROUP_BYTES, BUCKET_ROWS, BUCKET_BYTES = 4096, 16 << 20, 20_000, 32 << 20
 #: Parts that sketches are dealt out in, one after the other, so that only one part's shuffle lies on disk.
 WAVES = 3
-#: Rows up to which a join's small side (16 bytes a row) is broadcast; more are shuffled.
-BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 
 
@@ -154,62 +153,87 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield named()
 
 
+def sketch_bytes(n: int) -> int:
+    """The length of sketch_of a set of n."""
+    return 1 << max(3, (2 * n).bit_length() - 3)
+
+
 class _Keys:
+    """Packed keys. To the bucket of its key goes one class for each key and task, so a frequent key comes there once a task; the task's other classes of a key stay together in a row of their own,
+    of a bucket below 0 that no other task has."""
+
     def __init__(self, sent, buckets: int):
         self.sent, self.buckets = sent, buckets
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = self.sent.value
         held, owners, size, seen = [], [], 0, set()
+        own = -1 - (TaskContext.get().partitionId() << 24)
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = shingles(t)
                 if len(s) and (c := class_of(s)) not in seen:
                     seen.add(c)
                     held.append(keys_of(s, frequent))
-                    owners.append(c)
+                    owners.append((c, sketch_bytes(len(s))))
                     size += len(held[-1])
                 if size >= HELD:
-                    yield self.send(held, owners)
-                    held, owners, size, seen = [], [], 0, set()
+                    yield self.send(held, owners, own)
+                    held, owners, size, seen, own = [], [], 0, set(), own - 1
         if held:
-            yield self.send(held, owners)
+            yield self.send(held, owners, own)
 
-    def send(self, held: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+    def send(self, held: list[np.ndarray], owners: list[tuple[int, int]], own_bucket: int) -> pa.RecordBatch:
         """A row a bucket: its keys, sorted, and their owners' numbers in a table."""
-        key = np.concatenate(held)
-        own = np.repeat(np.arange(len(held), dtype=np.uint32), list(map(len, held)))
-        order = np.argsort(key)
+        table, width = (np.array(x, np.int64) for x in zip(*owners, strict=True))
+        by_class = np.argsort(table)
+        table, width = table[by_class], width[by_class]
+        key = np.concatenate([held[k] for k in by_class.tolist()])
+        own = np.repeat(np.arange(len(held), dtype=np.uint32), [len(held[k]) for k in by_class.tolist()])
+        order = np.argsort(key, kind="stable")  # owners of a key rise: the first one is its smallest class
         key, own = key[order], own[order]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+        key, own = key[fresh], own[fresh]
+        first = np.r_[True, key[1:] != key[:-1]]
+        local = ~(first & np.r_[first[1:], True])
+        out = [self.packed(own_bucket, key[local], own[local], table, width, 8)] if local.any() else []
+        key, own = key[first], own[first]
         bucket = (key >> _U(40)) * _U(self.buckets) >> _U(24)
         ends = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
-        table, out = np.array(owners, np.int64), []
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            a, b = ends[k], ends[k + 1]
-            u, small = np.unique(own[a:b], return_inverse=True)
-            out.append((k, np.ascontiguousarray(key[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), small.astype(np.uint32).tobytes(), table[u].tobytes()))
+        out += [self.packed(k, key[ends[k] : ends[k + 1]], own[ends[k] : ends[k + 1]], table, width, 6) for k in np.flatnonzero(np.diff(ends)).tolist()]
         cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "owner", "classes"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "owner", "classes", "widths"])
+
+    @staticmethod
+    def packed(bucket: int, key: np.ndarray, own: np.ndarray, table: np.ndarray, width: np.ndarray, size: int) -> tuple:
+        u, small = np.unique(own, return_inverse=True)
+        return bucket, np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes(), small.astype(np.uint32).tobytes(), table[u].tobytes(), width[u].tobytes()
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """Keys of a bucket that two classes or more have: a row for each of them."""
-    keys, classes = [], []
-    for b, k, o, c in zip(*[table.column(n).to_pylist() for n in ("bucket", "keys", "owner", "classes")], strict=True):
-        # 48 bits of the key travel; the bucket tells the rest. Should two keys fall together, their classes are compared in vain
-        low = np.frombuffer(k, np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(low), 8), np.uint8)
-        wide[:, :6] = low
-        keys.append(wide.view(np.uint64).reshape(-1) | _U(b & 0xFFFF) << _U(48))
-        classes.append(np.frombuffer(c, np.int64)[np.frombuffer(o, np.uint32)])
-    key, cls = np.concatenate(keys), np.concatenate(classes)
+    """Keys of a bucket that two classes or more have: a row for each of them, with the smallest of them (lead)."""
+    keys, classes, widths = [], [], []
+    for b, k, o, c, w in zip(*[table.column(n).to_pylist() for n in ("bucket", "keys", "owner", "classes", "widths")], strict=True):
+        o = np.frombuffer(o, np.uint32)
+        if b < 0:
+            keys.append(np.frombuffer(k, np.uint64))
+        else:
+            # 48 bits of the key travel; the bucket tells the rest. Should two keys fall together, their classes are compared in vain
+            low = np.frombuffer(k, np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(low), 8), np.uint8)
+            wide[:, :6] = low
+            keys.append(wide.view(np.uint64).reshape(-1) | _U(b & 0xFFFF) << _U(48))
+        classes.append(np.frombuffer(c, np.int64)[o])
+        widths.append(np.frombuffer(w, np.int64)[o])
+    key, cls, width = np.concatenate(keys), np.concatenate(classes), np.concatenate(widths)
     order = np.lexsort((cls, key))
-    key, cls = key[order], cls[order]
+    key, cls, width = key[order], cls[order], width[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-    key, cls = key[new], cls[new]
+    key, cls, width = key[new], cls[new], width[new]
     first = np.r_[True, key[1:] != key[:-1]]
+    lead = cls[np.maximum.accumulate(np.where(first, np.arange(len(cls)), 0))]
     alone = first & np.r_[first[1:], True]
-    return pa.table({"key": pa.array(key[~alone].view(np.int64)), "cls": pa.array(cls[~alone])})
+    return pa.table({"key": pa.array(key[~alone].view(np.int64)), "cls": pa.array(cls[~alone]), "lead": pa.array(lead[~alone]), "width": pa.array(width[~alone])})
 
 
 def _sets(texts: list) -> dict:
@@ -325,14 +349,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         heard = both.join(labels, F.col("y") == F.col("cls")).groupBy("x").agg(F.min("comp").alias("heard"))
         near = labels.join(heard, F.col("cls") == F.col("x")).select("cls", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         far = labels.select(F.col("cls").alias("at"), F.col("comp").alias("further"))
-        new = near.join(far, F.col("comp") == F.col("at")).select("cls", "old", F.least("comp", "further").alias("comp")).checkpoint()
+        new = near.join(small(far), F.col("comp") == F.col("at")).select("cls", "old", F.least("comp", "further").alias("comp")).checkpoint()
         labels = new.select("cls", "comp")
         if new.filter("comp <> old").isEmpty():
             return labels
 
 
 class Join:
-    """One run's tables: rows (doc_id, n, cls, text_key) of all documents, and the shared keys (key, cls)."""
+    """One run's tables: rows (doc_id, n, cls, text_key) of all documents, and the shared keys (key, cls, lead, width)."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
@@ -345,8 +369,8 @@ class Join:
         sent = self.spark.sparkContext.broadcast(Frequent(often["shingle"].to_numpy(np.int64).view(np.uint64), often["times"].to_numpy(np.int64).view(np.uint64)))
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(16, -(-total // 3 // BUCKET_KEYS))
-        packed = self.docs.select("text").mapInArrow(Task(_Keys(sent, buckets), __name__), "bucket long, keys binary, owner binary, classes binary")
-        self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long")
+        packed = self.docs.select("text").mapInArrow(Task(_Keys(sent, buckets), __name__), "bucket long, keys binary, owner binary, classes binary, widths binary")
+        self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long, lead long, width long")
         self.shared = self.kept(self.shared)
         #: cls, n, sketch, and the row (doc_id, text_key) that stands for the class
         self.classes = self.rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "sketch")).alias("r")).select("cls", "r.doc_id", "r.text_key", "r.n", "r.sketch").join(self.shared.select("cls").distinct(), "cls", "left_semi").checkpoint()
@@ -367,20 +391,18 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """pairs (a, b; kept in a checkpoint) with whether they link."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        need = self.classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).checkpoint()
-        if need.count() <= BROADCAST_ROWS:
-            need = F.broadcast(need)
+        need = small(self.classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).checkpoint())
         texts = self.docs.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
         sets = scan(texts, ["text"], "cls long, shingles binary", _sets).groupBy("cls").agg(F.first("shingles").alias("shingles"))
         found = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
         return scan(found, ["a", "b", "x", "y"], "a long, b long, linked boolean", _linked).checkpoint()
 
     def compared(self, mixed: DataFrame, forest: bool) -> DataFrame:
-        """As _Compare has it. mixed: key, cls, comp, size (of the key's group)."""
-        blocks = F.ceil(F.col("size") / GROUP).cast("int")
-        dealt = mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        """As _Compare has it. mixed: key, cls, comp, width, blocks (of the key's group)."""
+        rows, size = mixed.agg(F.sum("blocks"), F.sum(F.col("blocks") * F.col("width"))).first()
+        buckets = max(16, -(-rows // BUCKET_ROWS), -(-size // BUCKET_BYTES))
+        dealt = mixed.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
         dealt = dealt.join(self.classes.select("cls", "n", "sketch"), "cls").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cls", "comp", "n", "sketch")
-        buckets = max(16, -(-mixed.count() // BUCKET_ROWS))
         dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(buckets)))
         found = None
         for wave in range(WAVES):
@@ -394,20 +416,20 @@ class Join:
         links, tried, labels, shared = None, None, None, self.shared
         for turn in ("star", "forest", "all"):
             if turn == "star":
-                # one class of each key against the others; of those that pass, one for each class
-                lead = shared.groupBy("key").agg(F.min("cls").alias("b"))
-                pairs = self.near(shared.join(lead, "key").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()).groupBy("a").agg(F.min("b").alias("b"))
+                # one class of each key (of a task, and of all tasks) against the others; of those that pass, one for each class
+                pairs = self.near(shared.filter("cls <> lead").select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()).groupBy("a").agg(F.min("b").alias("b"))
             else:
                 # keys that have several components still; after the forest, those of them where more pairs pass than it took
-                known = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(labels, "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-                known = self.kept(known)
-                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
-                known = self.kept(known.join(mixed, "key"))
+                known = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(small(labels), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"), "width")
+                known = self.kept(known.select("key", "cls", "comp", "width"))
+                blocks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("width") / GROUP_BYTES)).cast("long").alias("blocks")
+                mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks).filter("x < y").select("key", "blocks").checkpoint()
+                known = self.kept(known.join(small(mixed), "key"))
                 release(self.spark)
                 if known.isEmpty():
                     break
                 pairs = self.compared(known, turn == "forest")
-                shared = known.select("key", "cls").join(pairs.filter("key IS NOT NULL").select("key").distinct(), "key", "left_semi")
+                shared = known.select("key", "cls", "width").join(small(pairs.filter("key IS NOT NULL").select("key").distinct()), "key", "left_semi")
                 shared = self.kept(shared)
                 pairs = pairs.filter("a IS NOT NULL")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -429,7 +451,7 @@ class Join:
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n, comp (the group's smallest class) of each row."""
     j = Join(docs, id_col, text_col)
-    return j.rows.join(j.labels(), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("comp", "cls").alias("comp")).checkpoint()
+    return j.rows.join(small(j.labels()), "cls", "left").select("doc_id", "text_key", "n", F.coalesce("comp", "cls").alias("comp")).checkpoint()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

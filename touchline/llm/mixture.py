@@ -4,17 +4,17 @@ Tokens (here: words) are summed by source; a source's rate is its target over it
 fraction's probability: a Bernoulli draw seeded by a hash of the document's id and its text, so reruns and other partitionings agree.
 
 Targets: sources in code point order (null last) weigh ``WEIGHTS`` in turn and share ``SHARE`` of all sizes; a target stops at ``MOST`` times its source's size, and the rest
-is shared again by weight. That has a closed form: sources by size / weight, ascending; the first ones are full; all others get what is left by weight.
+is shared again by weight, among those that aren't full, until none is above: one sum over the sources each time, with whole numbers.
 
 Null texts have size 0; a null source is a source; repeated rows are drawn each (equal rows alike); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, prepare
+from .common import WORD, column, documents, prepare, unused
 
 WEIGHTS = (5, 2, 1)
 #: As fractions of whole numbers, so that all sums are exact.
@@ -25,29 +25,38 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(total: DataFrame) -> DataFrame:
+    """Rows with their place in code point order of source (null last), from 0: sorted by ranges, each row's place in its range after the sizes of the ranges before. No task holds all sources."""
+    order = F.col("source").asc_nulls_last()
+    placed = total.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}  # as many rows as the sort has tasks
+    before, n = [], 0
+    for k in range(max(sizes, default=-1) + 1):
+        before.append(n)
+        n += sizes.get(k, 0)
+    first = F.get(F.array(*map(F.lit, before or [0])), part.cast("int"))
+    return placed.withColumn("place", first + row).drop("at")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, target double of each source. sizes: source, size."""
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS)
-    weighed = total.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), place + 1).cast("long"))
-    # by when they fill up: size / weight, compared as whole numbers times the weights' product
-    scale = 1
-    for w in WEIGHTS:
-        scale *= w
-    order = Window.orderBy((F.col("source_size") * (F.lit(scale) / F.col("weight")).cast("long")), F.col("source").asc_nulls_last())
-    before, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    filled = (
-        weighed.withColumn("all_size", F.sum("source_size").over(every))
-        .withColumn("all_weight", F.sum("weight").over(every))
-        .withColumn("size_before", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    )
-    # what is left for this source and the later ones, times SHARE_DEN
-    left = SHARE_NUM * F.col("all_size") - MOST * SHARE_DEN * F.col("size_before")
-    full = left * F.col("weight") > MOST * SHARE_DEN * F.col("source_size") * (F.col("all_weight") - F.col("weight_before"))
-    filled = filled.withColumn("full", full).withColumn("n_full", F.sum(F.col("full").cast("long")).over(every)).withColumn("full_size", F.coalesce(F.sum(F.when(F.col("full"), F.col("source_size"))).over(every), F.lit(0))).withColumn("full_weight", F.coalesce(F.sum(F.when(F.col("full"), F.col("weight"))).over(every), F.lit(0)))
-    share = ((SHARE_NUM * F.col("all_size") - MOST * SHARE_DEN * F.col("full_size")) * F.col("weight")).cast("double") / (SHARE_DEN * (F.col("all_weight") - F.col("full_weight"))).cast("double")
-    return filled.select("source", "source_size", F.when(F.col("full"), (MOST * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
+    weighed = ranked(total).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS)).cast("int") + 1).cast("long"))
+    size, weight = (F.col(k).cast("decimal(38,0)") for k in ("source_size", "weight"))
+    sums = lambda df: [int(x or 0) for x in df.agg(F.sum(size), F.sum(weight)).first()]
+    all_size, all_weight = sums(weighed)
+    full_size = full_weight = 0
+    # sources that are full stay so, since the others' share grows with each of them
+    while True:
+        left, rest = SHARE_NUM * all_size - MOST * SHARE_DEN * full_size, SHARE_DEN * (all_weight - full_weight)
+        full = weight * F.lit(left).cast("decimal(30,0)") > size * F.lit(MOST * rest).cast("decimal(30,0)")
+        now = sums(weighed.filter(full))
+        if now == [full_size, full_weight] or now[1] == all_weight:
+            break
+        full_size, full_weight = now
+    share = (F.lit(left) * F.col("weight")).cast("double") / F.lit(float(rest or 1))
+    return weighed.select("source", "source_size", F.when(full, (MOST * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
 def draw(*seed: Column) -> Column:
@@ -64,8 +73,8 @@ def copies(target: Column, source_size: Column, seed: Column) -> Column:
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, copies of each row. Sizes are counted once, and the narrow rows are kept in the shared folder."""
     prepare(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    sizes = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), words(text).alias("size"), draw(F.col(f"`{id_col}`"), F.md5(F.coalesce(text, F.lit("")))).alias("u")).checkpoint()
+    text = column(text_col)
+    sizes = docs.select(column(id_col).cast("long").alias("doc_id"), column(source_col).alias("source"), words(text).alias("size"), draw(column(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u")).checkpoint()
     goal = targets(sizes).withColumnRenamed("source", "of")
     return sizes.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", copies(F.col("target"), F.col("source_size"), F.col("u")).alias("copies"))
 
@@ -73,12 +82,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     prepare(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    sizes = docs.select(F.col(f"`{source_col}`").alias("source"), words(text).alias("size"))
-    goal = targets(sizes).select(F.col("source").alias("_of"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
-    u = draw(F.col(f"`{id_col}`"), F.md5(F.coalesce(text, F.lit(""))))
+    text = column(text_col)
+    goal = targets(docs.select(column(source_col).alias("source"), words(text).alias("size")))
+    of, size, target, n = unused(docs, "of", "source_size", "target", "copies")
+    goal = goal.select(F.col("source").alias(of), F.col("source_size").alias(size), F.col("target").alias(target))
+    u = draw(column(id_col), F.md5(F.coalesce(text, F.lit(""))))
     # few and small rows, but their number isn't known beforehand: the optimizer broadcasts them if their measured size allows
-    return docs.join(goal, F.col(f"`{source_col}`").eqNullSafe(F.col("_of"))).withColumn("_n", copies(F.col("_target"), F.col("_size"), u).cast("int")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n") + 1))).filter("_copy <= _n").select(*[docs[c] for c in docs.columns])
+    taken = docs.join(goal, column(source_col).eqNullSafe(F.col(of))).withColumn(n, copies(F.col(target), F.col(size), u).cast("int"))
+    return taken.select(*map(column, docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(of)).drop(of)
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

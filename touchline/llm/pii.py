@@ -5,7 +5,7 @@ source piece it stands for: homoglyphs and other digits become ASCII, invisible
 digits, ``(at)``/``[dot]``/`` at .. dot `` become ``@`` and ``.``. Identifiers found there are mapped back to source characters; those that don't lie within a base span are added, with the same kinds. So a base span that is
 only a part of a disguised identifier stays, and the whole one stands beside it.
 
-Null text counts as empty: no spans. Rows are scanned each by itself, whole; every step is linear in the text.
+Null text counts as empty: no spans. Rows are scanned each by itself, whole; every step is linear in the text. Repeated rows give a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Iterator
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scan
+from .common import Task, documents, prepare, scan
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -341,5 +342,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return scan(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", _scan)
 
 
+class _Mask:
+    def __init__(self, at: int):
+        self.at = at
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(self.at, b.schema.field(self.at), pa.array([masked(t) for t in b.column(self.at).to_pylist()], b.schema.field(self.at).type))
+
+
+def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with personal data in its texts replaced by its kind. All other columns, of whatever name and type, go through as they are."""
+    prepare(docs.sparkSession)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow can't name columns that hold a dot
+    return plain.mapInArrow(Task(_Mask(docs.columns.index(text_col)), __name__), plain.schema).toDF(*docs.columns)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
