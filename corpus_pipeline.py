@@ -1,7 +1,8 @@
 """A training-data pipeline of five operators: quality rules, near-duplicates, PII, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and read again as the next stage's docs. Rows are known by doc_id and a hash of
-their text, so ids may be null, repeat, or stand for several texts. All stages but the last return the columns of documents; the last returns each document of the mix as token ids.
+their text, so ids may be null, repeat, or stand for several texts. All stages but the last return the columns of documents, of whatever other names and types; the last returns each document of
+the mix as token ids. Null texts have no words: the quality rules reject them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,19 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import jaccard_join, merge_replay, mixture, pii, quality
-from touchline.llm.common import documents, prepare, scan, scratch
-
-#: Keys up to which a list of kept keys (16 bytes each) is broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 1_000_000
-_TYPES = {"bigint": "long"}
+from touchline.llm.common import column, documents, prepare, scratch, small, unused
 
 
 def keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id and text are among keys (doc_id, and text_key: the text's xxhash64)."""
-    keys = keys.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_key")).distinct().checkpoint()
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    kept, key = unused(docs, "kept", "key")
+    keys = small(keys.select(F.col("doc_id").alias(kept), F.col("text_key").alias(key)).distinct().checkpoint())
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(kept)) & (F.xxhash64("text") == F.col(key)), "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,26 +27,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id; of rows with the same id and text, the one whose other columns are the least."""
+    """One document of each group of near-duplicates: that of the smallest id; of rows with the same id and text, the one whose other columns are the least (as JSON)."""
     chosen = jaccard_join.representatives(docs).checkpoint()
     kept = keep(docs, chosen.filter("NOT repeated"))
     if chosen.filter("repeated").isEmpty():
         return kept
-    names = [n for n in docs.columns if n != "text"] + ["text"]
-    one = keep(docs, chosen.filter("repeated")).groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*names)).alias("_row"))
-    return kept.unionByName(one.select("_row.*"))
+    row = F.struct(*map(column, docs.columns))
+    one = keep(docs, chosen.filter("repeated")).groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return kept.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
-    names = docs.columns
-    at = names.index("text")
-
-    def masked(*columns: list) -> dict:
-        return dict(zip(names, columns, strict=True)) | {"text": [pii.masked(t) for t in columns[at]]}
-
-    schema = ", ".join(f"{n} {_TYPES.get(t, t)}" for n, t in docs.dtypes)
-    return scan(docs, names, schema, masked).withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    clean = pii.mask(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
