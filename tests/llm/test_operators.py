@@ -308,37 +308,86 @@ def test_range_coder_round_trip_and_damage():
         token_files.unpack(bytes(data))
 
 
-def test_language_model(spark, docs, rows, tmp_path):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(spark, docs, rows, tmp_path, order, monkeypatch):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0 if i is not None else True
-    seqs = [(i, [*(w.lower() for w in (x or "").encode().split()), b"\0end"]) for i, x, _ in rows]
-    uni, bi = Counter(), Counter()
+    begin, seqs = [b"\0begin"] * (order - 1), [(i, [*(w.lower() for w in (x or "").encode().split()), b"\0end"]) for i, x, _ in rows]
+    uni, grams = Counter(), {order: Counter()}
     for i, s in seqs:
         if not held(i):
             uni.update(s)
-            bi.update(zip([b"\0begin", *s], s))
+            grams[order].update(tuple([*begin, *s][k : k + order]) for k in range(len(s)))
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
     n, v = sum(uni.values()), len(uni)
-    kinds, ctx = Counter(w for _, w in bi), defaultdict(list)
-    for (h, _), c in bi.items():
-        ctx[h].append(c)
-    d2 = language_model.discounts([sum(c == k for c in bi.values()) for k in (1, 2, 3, 4)])
-    d1 = language_model.discounts([sum(c == k for c in kinds.values()) for k in (1, 2, 3, 4)])
-    rest = sum(d1[min(c, 3)] for c in kinds.values()) / len(bi)
-
-    def p(h, w):
-        low = max(kinds[w] - d1[min(kinds[w], 3)], 0) / len(bi) + rest / (v + 1)
-        if h not in ctx:
+    d = {k: language_model.discounts([sum(c == j for c in g.values()) for j in (1, 2, 3, 4)]) for k, g in grams.items()}
+    ctx = {k: defaultdict(list) for k in grams}
+    for k, g in grams.items():
+        for x, c in g.items():
+            ctx[k][x[:-1]].append(c)
+    known = {k: {h: (sum(cs), sum(d[k][min(c, 3)] for c in cs)) for h, cs in of.items()} for k, of in ctx.items()}
+
+    def p(*g):
+        k = len(g)
+        if not k:
+            return 1 / (v + 1)
+        low = p(*g[1:]) if k > 1 else p()
+        if g[:-1] not in known[k]:
             return low
-        return (max(bi[h, w] - d2[min(bi[h, w], 3)], 0) + sum(d2[min(c, 3)] for c in ctx[h]) * low) / sum(ctx[h])
+        total, left = known[k][g[:-1]]
+        c = grams[k][g]
+        return (max(c - d[k][min(c, 3)], 0) + left * low) / total
 
-    assert sum(p(b"the", w) for w in uni) + p(b"the", b"never seen") == pytest.approx(1)
+    some = next(iter(grams[order]))[:-1]
+    assert sum(p(*some, w) for w in uni) + p(*some, b"never seen") == pytest.approx(1)
     marked = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True)))
-    model = language_model.train(marked.filter("NOT held_out"), str(tmp_path / "lm"))
-    want = sorted((i is not None, i or 0, len(s), sum(uni[w] > 0 for w in s), n, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), sum(math.log10(p(h, w)) for h, w in zip([b"\0begin", *s], s))) for i, s in seqs)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(language_model, "FILE_BYTES", 100_000)
+    model = language_model.train(marked.filter("NOT held_out"), str(tmp_path / "lm"), order=order)
+    assert model.plan.buckets > model.plan.files
+    want = sorted((i is not None, i or 0, len(s), sum(uni[w] > 0 for w in s), n, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), sum(math.log10(p(*[*begin, *s][k : k + order])) for k in range(len(s)))) for i, s in seqs)
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.score(marked, model).collect())
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_language_model_without_texts(spark, docs, tmp_path):
+    marked = docs.withColumn("held_out", F.lit(True))
+    model = language_model.train(docs.limit(0), str(tmp_path / "none"))
+    got = language_model.score(marked, model).collect()
+    assert {(r.n_known, r.train_tokens, r.score) for r in got} == {(0, 0, 0.0)} and len(got) == docs.count()
+    assert language_model.score(marked.limit(0), model).count() == 0
+
+
+def test_model_files_are_mapped_a_few_at_a_time_and_counts_are_wide(tmp_path):
+    import resource
+    from collections import OrderedDict
+
+    plan = language_model.Plan(0)
+    plan.buckets = plan.files = 2000
+    r = np.random.default_rng(0)
+    h = np.sort(r.integers(0, 1 << 56, 20_000).astype(np.uint64))
+    big = np.arange(len(h)).astype(np.uint64) * np.uint64(1 << 33)
+    of = plan.file_of(language_model.bucket_of(h, plan.buckets))
+    for posix in (True, False):
+        folder = str(tmp_path / f"store{posix}")
+        for f in range(plan.files):
+            files = language_model._Files(folder, f"1-{f:08d}")
+            files.folder.posix = files.folder.posix if posix else None
+            files.add("word", h[of == f], {"count": big[of == f], "kinds": np.ones((of == f).sum())}, language_model._WORDS)
+            files.close()
+        store = language_model.Store(folder, plan, 1, "word", language_model._WORDS, OrderedDict())
+        store.folder.posix = store.folder.posix if posix else None
+        soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+        resource.setrlimit(resource.RLIMIT_NOFILE, (len(__import__("os").listdir("/proc/self/fd")) + 100, hard))
+        try:
+            found = store.look(h, h)
+        finally:
+            resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+        assert (found[:, 0] == big.astype(np.int64)).all() and (found[:, 1] == 1).all() and len(store.mapped) <= language_model.OPEN
+        assert not store.look(h + np.uint64(1), h + np.uint64(1)).any()
+
+
 def _quality(t):
     words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
     at = defaultdict(list)
