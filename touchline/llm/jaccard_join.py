@@ -393,7 +393,8 @@ class Join:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         need = small(self.classes.join(wanted, "cls", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).checkpoint())
         texts = self.docs.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi")
-        sets = scan(texts, ["text"], "cls long, shingles binary", _sets).groupBy("cls").agg(F.first("shingles").alias("shingles"))
+        # kept, so that the join below deals both its sides out by itself and can split a class that many others are held against
+        sets = self.kept(scan(texts, ["text"], "cls long, shingles binary", _sets).groupBy("cls").agg(F.first("shingles").alias("shingles")))
         found = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
         return scan(found, ["a", "b", "x", "y"], "a long, b long, linked boolean", _linked).checkpoint()
 

@@ -4,15 +4,15 @@ Each block of ids is coded for itself: its models start empty, so any block can
 
 For an id, order-2 and order-1 contexts (the last two ids, the last id) each predict one id, with a confidence. A first binary decision says whether the better prediction holds; its
 probability is a logistic mix of three adaptive estimates (by both confidences, by order-2's, by order-1's), whose weights learn. A second says, where the other order predicts
-another id, whether that holds. Else order 0 codes the id by four parts of four bits, each under an adaptive distribution that the earlier parts choose. All drive a range coder (32 bits, carryless).
+another id, whether that holds. Else order 0 codes the id by parts of four bits (as many as the largest id takes), each under an adaptive distribution that the two parts before choose. All drive a
+range coder (32 bits, carryless).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 2048
-ID_BITS = 16
+BLOCK = 8192
 _M, _TOP, _BOTTOM = np.int64(0xFFFFFFFF), np.int64(1 << 24), np.int64(1 << 16)
 _S1, _S2 = 512, 1024
 #: Probabilities are fractions of 2**15.
@@ -24,14 +24,26 @@ _SQUASH = np.array([min(_ONE - 32, max(32, int(_ONE / (1 + np.exp(-x / _SQUASH_A
 #: Cumulative distributions of 16 symbols: bounds 0..15; what a distribution moves towards when a symbol was seen, 32 wide at least for each other one.
 _EVEN = (np.arange(16) * (_ONE // 16)).astype(np.int16)
 _TOWARDS = np.array([[32 * j if j <= s else _ONE - (16 - j) * 32 for j in range(16)] for s in range(16)], np.int16)
-#: The first distribution of each part: part 0 has one, part 1 one a first part, parts 2 and 3 one a pair of parts before.
-_PARTS, _DISTRIBUTIONS = (0, 1, 17, 273), 529
+
+
+def _first_rows(parts: int) -> tuple[list[int], int]:
+    """The first distribution of each part, and how many there are: part 0 has one, part 1 one a first part, later ones one a pair of parts before."""
+    sizes = [1, 16, *[256] * (parts - 2)][:parts]
+    return [sum(sizes[:k]) for k in range(parts)], sum(sizes)
+
+
+def parts_of(ids: np.ndarray) -> int:
+    """Parts of four bits that the largest id takes, one at least."""
+    return max(1, -(-int(ids.max(initial=0)).bit_length() // 4))
 
 
 class _Writer:
-    def __init__(self, lanes: int, steps: int):
+    """Lanes' bytes grow side by side, in rows that all have room for the steps to come."""
+
+    def __init__(self, lanes: int, steps: int, decisions: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _M)
-        self.room = 5 * steps + 16
+        # a decision takes 15 bits at most, and a byte or two where the range is cut short
+        self.room = steps * (2 * decisions + 2) + 16
         self.out, self.at = np.zeros(lanes * self.room, np.uint8), np.arange(lanes, dtype=np.int64) * self.room
         self.start = self.at.copy()
 
@@ -112,26 +124,27 @@ class _Reader:
         return symbol
 
 
-def _run(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Code ids (lanes x steps), or read and return them if None. Lengths fall from lane to lane."""
+def _run(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray | None, parts: int) -> np.ndarray:
+    """Code ids (lanes x steps) in parts of four bits, or read and return them if None. Lengths fall from lane to lane."""
     lanes, steps = len(lengths), int(lengths.max(initial=0))
+    first_rows, distributions = _first_rows(parts)
     read = ids is None
-    out = np.zeros((steps, lanes), np.int64) if read else np.ascontiguousarray(ids.T).astype(np.int64)
-    pred1, pred2 = np.zeros(lanes * _S1, np.int32), np.zeros(lanes * _S2, np.int32)
+    out = np.zeros((steps, lanes), np.uint32) if read else np.ascontiguousarray(ids.T)
+    pred1, pred2 = np.zeros(lanes * _S1, np.uint32), np.zeros(lanes * _S2, np.uint32)
     sure1, sure2 = np.zeros(lanes * _S1, np.int8), np.zeros(lanes * _S2, np.int8)
     flags = np.full(lanes * 40, _ONE // 2, np.int64)  # 32 by both, 4 by order 2, 4 by order 1
     other = np.full(lanes * 16, _ONE // 2, np.int64)
     weights = np.full((3, lanes), 0.4, np.float32)
-    bounds = np.tile(_EVEN, (lanes * _DISTRIBUTIONS, 1))
+    bounds = np.tile(_EVEN, (lanes * distributions, 1))
     every = np.arange(lanes)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
         n = int(np.searchsorted(-lengths, -t))  # lanes that are longer than t
         a, b, lane = last[:n], before[:n], every[:n]
-        x = out[t, :n]
+        x = out[t, :n].astype(np.int64)
         s1 = (a * 0x9E3779B1 >> 12 & (_S1 - 1)) + lane * _S1
         s2 = ((a * 0x9E3779B1 ^ b * 0x85EBCA77) >> 13 & (_S2 - 1)) + lane * _S2
-        p1, c1, p2, c2 = pred1[s1], sure1[s1].astype(np.int64), pred2[s2], sure2[s2].astype(np.int64)
+        p1, c1, p2, c2 = pred1[s1].astype(np.int64), sure1[s1].astype(np.int64), pred2[s2].astype(np.int64), sure2[s2].astype(np.int64)
         first = np.where(c2 > 0, p2, p1)
         todo = np.ones(n, bool)
         i = np.flatnonzero((c1 > 0) | (c2 > 0))
@@ -167,11 +180,11 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray | None)
                     x[won] = p1[won]
         i = np.flatnonzero(todo)
         if len(i):
-            own, value, head = i * _DISTRIBUTIONS, x[i], np.zeros(len(i), np.int64)
-            for part, first_row in enumerate(_PARTS):
+            own, value, head = i * distributions, x[i], np.zeros(len(i), np.int64)
+            for part, first_row in enumerate(first_rows):
                 k = own + (first_row + (head & 255))
                 rows = bounds[k]
-                symbol = coder.symbol(i, rows, None if read else value >> (12 - 4 * part) & 15)
+                symbol = coder.symbol(i, rows, None if read else value >> 4 * (parts - 1 - part) & 15)
                 bounds[k] = rows + (_TOWARDS[symbol] - rows >> 5)
                 head = head << 4 | symbol
             if read:
@@ -180,31 +193,32 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray | None)
             same = p == x
             sure[slot] = np.where(same & (c > 0), np.minimum(c + 1, 3), np.where(c > 1, c - 1, 1))
             pred[slot] = np.where(same | (c > 1), p, x)
+        if read:
+            out[t, :n] = x
         before[:n], last[:n] = a.copy(), x
     return out
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks of a sequence of ids (each under 2**16)."""
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], int]:
+    """(the coded blocks of a sequence of ids under 2**32, the parts that each id was coded in)."""
+    parts = parts_of(ids)
     if not len(ids):
-        return []
-    if int(ids.max()) >> ID_BITS:
-        raise ValueError(f"ids of {ID_BITS} bits at most can be coded")
+        return [], parts
     lanes = -(-len(ids) // block)
     lengths = np.full(lanes, block, np.int64)
     lengths[-1] = len(ids) - block * (lanes - 1)
     steps = int(lengths.max())
-    padded = np.zeros((lanes, steps), np.int64)
+    padded = np.zeros((lanes, steps), np.uint32)
     padded.reshape(-1)[: len(ids)] = ids
-    w = _Writer(lanes, steps)
-    _run(w, lengths, padded)
-    return w.finish()
+    w = _Writer(lanes, steps, 2 + parts)
+    _run(w, lengths, padded, parts)
+    return w.finish(), parts
 
 
-def decode(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
+def decode(blocks: list[bytes], n: int, parts: int, block: int = BLOCK) -> np.ndarray:
     """The n ids of coded blocks, as uint32."""
     if not n:
         return np.empty(0, np.uint32)
     lengths = np.full(len(blocks), block, np.int64)
     lengths[-1] = n - block * (len(blocks) - 1)
-    return _run(_Reader(blocks), lengths, None).T.reshape(-1)[:n].astype(np.uint32)
+    return np.ascontiguousarray(_run(_Reader(blocks), lengths, None, parts).T).reshape(-1)[:n]

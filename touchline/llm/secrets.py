@@ -1,13 +1,16 @@
 """Operator 2, secret scans: base patterns, and probabilistic automata inferred from labelled credentials.
 
 Base spans come from three fixed patterns. For the rest, one automaton a credential format is inferred (ALERGIA): a prefix tree of labelled credentials, whose states are merged
-when Hoeffding's bound finds their next-symbol and stop frequencies compatible. Every candidate, that is every maximal run of credential characters of ``SHORTEST``
-characters or more that no base span touches, is scored by each automaton: log2 of its likelihood under the format, less that under uniform characters. A best score of
-``BITS`` or more adds a span, of the format's name.
+when Hoeffding's bound finds their next-symbol and stop frequencies compatible. One more is inferred from labelled strings that are no credentials. Every candidate, that is every maximal run of
+SHORTEST characters or more, whether of token characters or of base64 ones, wherever it stands (also without the dots and dashes around it), is scored by each automaton: log2 of its likelihood under the
+format, less that under uniform characters. Merged states forget how long texts are, so the examples' lengths give a format's likelihood of the run's length, against LENGTHS even ones. A
+format takes part if at most MISSES of the run's symbols are unseen where they stand, and if the run isn't over twice as long as the longest example. Where the best format's score is BITS or
+more above both that of no credential and 0, it adds a span of its name; of added spans that overlap, the one of the higher score stays.
 
-The labelled credentials are made here from the formats' public descriptions, by a fixed seed: ``EXAMPLES`` a format.
+Labels are (format, text) pairs, "" for no format; ``find_secrets`` takes any. Those taken by default are made from public descriptions of formats, by a fixed seed: ``EXAMPLES`` a format, of all
+prefixes and lengths that it may have, and as many strings of each ordinary kind (names, paths, addresses, times, versions, identifiers).
 
-Null text counts as empty: no spans. Rows are scanned each by itself, whole.
+Null text counts as empty: no spans. Rows are scanned each by itself, whole; repeated rows give a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import hashlib
 import math
 import random
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,27 +32,80 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 #: A whole run is one match of + or none at all, so asking for the length within the pattern drops the same matches.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]{20,}")
-SHORTEST, BITS, EXAMPLES, ALPHA, FLOOR = 20, 0.0, 300, 0.05, 2e-3
+#: Candidates: runs of token characters, and of base64 ones.
+CANDIDATES = (re.compile(r"[A-Za-z0-9_.-]{20,}"), re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"))
+SHORTEST, BITS, EXAMPLES, ALPHA, FLOOR, MISSES, LENGTHS = 20, 6.0, 300, 0.05, 2e-3, 2, 512
 
 _UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UP + _LOW + _DIGIT
-#: The formats, as public descriptions have them: literal text, or (characters, how many).
+_URL, _BASE64 = _ALNUM + "_-", _ALNUM + "+/"
+#: The formats, as public descriptions have them: literal texts (one of them), or characters and how many (least, most).
 FORMATS = {
-    "github": ["ghp_", (_ALNUM, 36)],
-    "gitlab": ["glpat-", (_ALNUM + "_-", 20)],
-    "google": ["AIza", (_ALNUM + "_-", 35)],
-    "jwt": ["eyJ", (_ALNUM + "_-", 30), ".eyJ", (_ALNUM + "_-", 60), ".", (_ALNUM + "_-", 43)],
-    "npm": ["npm_", (_ALNUM, 36)],
-    "sendgrid": ["SG.", (_ALNUM + "_-", 22), ".", (_ALNUM + "_-", 43)],
-    "slack": ["xoxb-", (_DIGIT, 11), "-", (_DIGIT, 11), "-", (_ALNUM, 24)],
-    "stripe": ["sk_live_", (_ALNUM, 24)],
-}
-
-
-def labelled(kind: str, n: int = EXAMPLES) -> list[str]:
-    r = random.Random(f"labelled {kind}")
-    return ["".join(p if isinstance(p, str) else "".join(r.choice(p[0]) for _ in range(p[1])) for p in FORMATS[kind]) for _ in range(n)]
+    "aws": [(_BASE64, 40, 40)],
+    "azure": [(_BASE64, 86, 86), "=="],
+    "github": [["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], (_ALNUM, 36, 40)],
+    "github_pat": ["github_pat_", (_ALNUM, 22, 22), "_", (_ALNUM, 59, 59)],
+    "gitlab": [["glpat-", "gldt-", "glrt-"], (_URL, 20, 26)],
+    "google": ["AIza", (_URL, 35, 35)],
+    "jwt": ["eyJ", (_URL, 15, 60), ".eyJ", (_URL, 20, 200), ".", (_URL, 43, 86)],
+    "npm": ["npm_", (_ALNUM, 36, 36)],
+    "openai": [["sk-", "sk-proj-", "sk-svcacct-"], (_URL, 40, 160)],
+    "sendgrid": ["SG.", (_URL, 22, 22), ".", (_URL, 43, 43)],
+    "slack": [["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], (_DIGIT, 10, 13), "-", (_DIGIT, 10, 13), "-", (_ALNUM, 24, 32)],
+    "stripe": [["sk_live_", "sk_test_", "rk_live_", "rk_test_", "pk_live_", "pk_test_"], (_ALNUM, 24, 99)],
+}
+#: Parts of ordinary strings.
+SYLLABLES = "an ar ber con data del di el en er for gen in ing is kom la li lo ma men mi na nis no or pre ra re ri ro sche se sta ta te ter ti tion to un ver".split()
+ENDINGS = "com org net io html json py txt gz png log js css md xml".split()
+
+
+def _word(r: random.Random) -> str:
+    return "".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4)))
+
+
+def _of(r: random.Random, letters: str, n: int) -> str:
+    return "".join(r.choice(letters) for _ in range(n))
+
+
+#: Ordinary strings that are long enough to be candidates.
+ORDINARY = {
+    "name": lambda r: r.choice("-_.").join(_word(r) for _ in range(r.randint(3, 7))),
+    "mixed": lambda r: "".join(_word(r) + r.choice("-_.") for _ in range(r.randint(3, 6))) + _word(r),
+    "compound": lambda r: "".join(_word(r) for _ in range(r.randint(3, 6))),
+    "camel": lambda r: "".join(_word(r).capitalize() for _ in range(r.randint(3, 6))),
+    "constant": lambda r: "_".join(_word(r).upper() for _ in range(r.randint(3, 6))),
+    "path": lambda r: "/" * r.randint(0, 1) + "/".join(_word(r) for _ in range(r.randint(4, 8))),
+    "host": lambda r: "www." * r.randint(0, 1) + ".".join(_word(r) for _ in range(r.randint(3, 5))) + "." + r.choice(ENDINGS),
+    "file": lambda r: "_".join(_word(r) for _ in range(r.randint(2, 4))) + f"-{r.randint(0, 20)}.{r.randint(0, 30)}.{r.randint(0, 99)}." + r.choice(ENDINGS),
+    "time": lambda r: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}-{r.randint(0, 59):02}.{r.randint(0, 999999):06}Z",
+    "number": lambda r: r.choice("-.").join(_of(r, _DIGIT, r.randint(3, 12)) for _ in range(r.randint(2, 6))),
+    "uuid": lambda r: "-".join(_of(r, _DIGIT + "abcdef", n) for n in (8, 4, 4, 4, 12)),
+    "hash": lambda r: _of(r, _DIGIT + "abcdef", r.choice([32, 40, 64])),
+    "HASH": lambda r: _of(r, _DIGIT + "ABCDEF", r.choice([32, 40, 64])),
+    "rule": lambda r: r.choice("-_.=") * r.randint(20, 80),
+}
+
+
+def example(parts: list, r: random.Random) -> str:
+    return "".join(p if isinstance(p, str) else r.choice(p) if isinstance(p, list) else _of(r, p[0], r.randint(p[1], p[2])) for p in parts)
+
+
+def ordinary(kind: str, r: random.Random) -> str:
+    while True:
+        if len(s := ORDINARY[kind](r)) >= SHORTEST:
+            return s
+
+
+def labelled(n: int = EXAMPLES, seed: str = "labelled") -> list[tuple[str, str]]:
+    """(format, text) pairs: n of each format, and n of each ordinary kind (format "")."""
+    out = []
+    for kind, parts in FORMATS.items():
+        r = random.Random(f"{seed} {kind}")
+        out += [(kind, example(parts, r)) for _ in range(n)]
+    for kind in ORDINARY:
+        r = random.Random(f"{seed} {kind}")
+        out += [("", ordinary(kind, r)) for _ in range(n)]
+    return out
 
 
 class Automaton:
@@ -56,6 +113,14 @@ class Automaton:
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
         self.n, self.stop, self.to = [0], [0], [{}]
+        lengths = sorted(map(len, words)) or [0]
+        self.longest, self.shortest = 2 * lengths[-1], lengths[0]
+        #: lengths fall into eight spans or fewer; in each, all are as likely
+        self.span = max(1, -(-(lengths[-1] - lengths[0] + 1) // 8))
+        seen = [0] * ((lengths[-1] - lengths[0]) // self.span + 1)
+        for n in lengths:
+            seen[(n - lengths[0]) // self.span] += 1
+        self.lengths = [math.log2(max(k / len(lengths), FLOOR) / self.span * LENGTHS) for k in seen]
         for w in words:
             s = 0
             self.n[0] += 1
@@ -70,8 +135,10 @@ class Automaton:
                 s = t
                 self.n[s] += 1
             self.stop[s] += 1
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self._infer()
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha)) if alpha else 0.0
+        if alpha:
+            self._infer()
+        self._weigh()
 
     def _differ(self, k1: int, n1: int, k2: int, n2: int) -> bool:
         return abs(k1 / n1 - k2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -123,29 +190,61 @@ class Automaton:
                     else:
                         red.append(t)
                     break
-        self.states = len(red)
 
-    def bits(self, word: str) -> float:
-        """log2 P(word) here, less that under uniform characters."""
-        s, out = 0, 0.0
+    def _weigh(self) -> None:
+        """Bits of each step and stop, for the states that are left; the tree goes."""
+        number, todo = {0: 0}, [0]
+        for s in todo:
+            for t, _ in self.to[s].values():
+                if t not in number:
+                    number[t] = len(todo)
+                    todo.append(t)
+        self.states = len(todo)
+        # given that the word goes on: its length has a likelihood of its own
+        self.steps = [{c: (number[t], math.log2(max(k / (self.n[s] - self.stop[s]), FLOOR)) + UNIFORM) for c, (t, k) in self.to[s].items()} for s in todo]
+        del self.n, self.stop, self.to
+
+    def length_bits(self, n: int) -> float:
+        k = (n - self.shortest) // self.span
+        return self.lengths[k] if 0 <= k < len(self.lengths) else math.log2(FLOOR / self.span * LENGTHS)
+
+    def bits(self, word: str, misses: int = MISSES) -> float:
+        """log2 P(word) here, less that under uniform characters and lengths; an unseen symbol counts as FLOOR and leaves the state. -inf for more than ``misses`` of those, or a word that is too long."""
+        if len(word) > self.longest:
+            return -math.inf
+        return self.length_bits(len(word)) + self.step_bits(word, misses)
+
+    def step_bits(self, word: str, misses: int) -> float:
+        s, out, steps = 0, 0.0, self.steps
         for c in word:
-            t, k = self.to[s].get(c, (None, 0))
-            out += math.log2(max(k / self.n[s], FLOOR)) + _UNIFORM
-            if t is None:
-                if out < -200:
-                    return out
+            step = steps[s].get(c)
+            if step is None:
+                misses -= 1
+                if misses < 0:
+                    return -math.inf
+                out += math.log2(FLOOR) + UNIFORM
             else:
-                s = t
-        return out + math.log2(max(self.stop[s] / self.n[s], FLOOR))
+                s, b = step
+                out += b
+        return out
+
+
+UNIFORM = math.log2(len(_ALNUM) + 6)
 
 
-_UNIFORM = math.log2(len(_ALNUM) + 3)
+def infer(labels: Iterable[tuple[str, str]]) -> dict[str, Automaton]:
+    """An automaton for each format of the labels, by name; "" is that of no credential."""
+    texts: dict[str, list[str]] = {}
+    for kind, text in labels:
+        if text:
+            texts.setdefault(kind or "", []).append(text)
+    return {k: Automaton(texts[k]) for k in sorted(texts)}
 
 
 @lru_cache(1)
 def automata() -> dict[str, Automaton]:
-    """One a format; made once a worker, from the same examples everywhere."""
-    return {k: Automaton(labelled(k)) for k in FORMATS}
+    """Those of the default labels; the driver infers them, once, and sends them out."""
+    return infer(labelled())
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -156,40 +255,52 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the automata add; kinds' numbers go on from the base ones."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        word = m[0].rstrip("._-")
-        a, b = m.start(), m.start() + len(word)
-        if len(word) < SHORTEST or any(x < b and a < y for x, _, y in base):
-            continue
-        best = max((f.bits(word), -k) for k, f in enumerate(automata().values()))
-        if best[0] >= BITS:
-            out.append((a, len(KINDS) - best[1], b))
-    return out
+def more_spans(text: str, found: dict[str, Automaton]) -> list[tuple[int, str, int]]:
+    """(start, format, end) of the spans that the automata add, sorted."""
+    scored: dict[tuple[int, int], tuple[float, str]] = {}
+    for pattern in CANDIDATES:
+        for m in pattern.finditer(text):
+            inner = m[0].strip("._-")
+            for word, a in {(m[0], m.start()), (inner, m.start() + m[0].find(inner))}:
+                if len(word) < SHORTEST or (a, a + len(word)) in scored:
+                    continue
+                best = max(((f.bits(word), k) for k, f in found.items() if k), default=(-math.inf, ""))
+                if best[0] >= BITS and best[0] - (found[""].step_bits(word, len(word)) if "" in found else 0.0) >= BITS:
+                    scored[a, a + len(word)] = best
+    out: list[tuple[int, str, int]] = []
+    for (a, b), (_, kind) in sorted(scored.items(), key=lambda x: (-x[1][0], x[0])):
+        if all(b <= x or y <= a for x, _, y in out):
+            out.append((a, kind, b))
+    return sorted(out)
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    names = (*KINDS, *FORMATS)
+def joined(spans: list[tuple[int, int, int]], names: tuple[str, ...] = KINDS) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _scan(ids: list, texts: list) -> dict:
-    out = {"doc_id": ids, "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": []}
-    for t in texts:
-        t = t or ""
-        base = base_spans(t)
-        for k, name in enumerate(KINDS):
-            out[f"n_{name}"].append(sum(x[1] == k for x in base))
-        out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
-        out["spans"].append(joined(sorted(base + more_spans(t, base))))
-    return out
-
-
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points) of each row."""
-    return scan(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), ["doc_id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", _scan)
+class _Scan:
+    def __init__(self, found: dict[str, Automaton]):
+        self.found, self.names = found, (*KINDS, *(k for k in sorted(found) if k))
+
+    def __call__(self, ids: list, texts: list) -> dict:
+        out = {"doc_id": ids, "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": []}
+        number = {k: i for i, k in enumerate(self.names)}
+        for t in texts:
+            t = t or ""
+            base = base_spans(t)
+            for k, name in enumerate(KINDS):
+                out[f"n_{name}"].append(sum(x[1] == k for x in base))
+            out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
+            more = [(a, number[k], b) for a, k, b in more_spans(t, self.found)]
+            out["spans"].append(joined(sorted({*base, *more}), self.names))
+        return out
+
+
+def find_secrets(docs: DataFrame, labels: Iterable[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points) of each row. labels: (format, text) of labelled strings, a bounded list in the driver."""
+    found = automata() if labels is None else infer(labels)
+    two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return scan(two, ["doc_id", "text"], "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", _Scan(found))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Operator 7, token-ID / binary output: ids of all documents in ascending id order, in files of coded blocks.
 
-Documents are ranged and sorted by id; each task encodes its range with the tokenizers library (through a cache of chunks), appends the end id to each document, and writes *segments*
+Documents are ranged and sorted by id (rows of one id by a hash of their text, so no id is bound to one task); each task encodes its range with the tokenizers library (through a cache of chunks), appends the end id to each document, and writes *segments*
 of whole documents. A segment is one binary value of a Parquet file (any store that Spark writes will do):
 
-    "TLR1", documents (u32), ids (u64), ids a block (u32), blocks (u32)
+    "TLR2", documents (u32), ids (u64), ids a block (u32), blocks (u32), parts an id (u32)
     for each document: id (i64), whether it is null (u8), its number of ids (u64)
     for each block: bytes (u32), CRC-32 of its ids (u32)
     CRC-32 of all above (u32), then the coded blocks (see rangecoder)
 
-Blocks start anew, so each can be read alone; reading checks every CRC. Null text counts as empty (the end id alone); null ids come first; rows of one id follow by a hash of their text.
+Blocks start anew, so each can be read alone; reading checks every CRC. Null text counts as empty (the end id alone); null ids come first; repeated rows give a row each; an empty table gives an empty result. Ids may have up to 32 bits.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from .common import Task, caches, documents, prepare, scratch
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Ids of a segment, from which it is closed after the document that reached it.
-SEGMENT = 4 << 20
-_HEAD = struct.Struct("<4sIQII")
+SEGMENT = 8 << 20
+#: Text of a part, in bytes, as planned; parts at least.
+PART_BYTES, PARTS = 32 << 20, 8
+_HEAD = struct.Struct("<4sIQIII")
 _DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
 
@@ -78,27 +80,27 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
 def pack(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
     """A segment's bytes."""
     ids = np.concatenate([np.empty(0, np.uint32), *arrays])
-    blocks = rangecoder.encode(ids)
+    blocks, parts = rangecoder.encode(ids)
     docs = np.zeros(len(doc_ids), _DOCUMENT)
     docs["id"], docs["null"], docs["n"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids], list(map(len, arrays))
     table = np.zeros(len(blocks), _BLOCK)
     table["size"] = list(map(len, blocks))
     table["crc"] = [zlib.crc32(ids[i * rangecoder.BLOCK : (i + 1) * rangecoder.BLOCK].astype("<u4").tobytes()) for i in range(len(blocks))]
-    head = _HEAD.pack(b"TLR1", len(docs), len(ids), rangecoder.BLOCK, len(blocks)) + docs.tobytes() + table.tobytes()
+    head = _HEAD.pack(b"TLR2", len(docs), len(ids), rangecoder.BLOCK, len(blocks), parts) + docs.tobytes() + table.tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
 def unpack(data: bytes) -> tuple[list, list[np.ndarray]]:
     """(document ids, each document's token ids) of a segment; ValueError if any checksum fails."""
-    magic, n_docs, n_ids, block, n_blocks = _HEAD.unpack_from(data)
+    magic, n_docs, n_ids, block, n_blocks, parts = _HEAD.unpack_from(data)
     a = _HEAD.size
     b = a + n_docs * _DOCUMENT.itemsize
     c = b + n_blocks * _BLOCK.itemsize
-    if magic != b"TLR1" or struct.unpack_from("<I", data, c)[0] != zlib.crc32(data[:c]):
+    if magic != b"TLR2" or struct.unpack_from("<I", data, c)[0] != zlib.crc32(data[:c]):
         raise ValueError("the segment's head is damaged")
     docs, table = np.frombuffer(data[a:b], _DOCUMENT), np.frombuffer(data[b:c], _BLOCK)
     ends = c + 4 + np.cumsum(table["size"].astype(np.int64))
-    ids = rangecoder.decode([data[e - n : e] for e, n in zip(ends.tolist(), table["size"].tolist(), strict=True)], n_ids, block)
+    ids = rangecoder.decode([data[e - n : e] for e, n in zip(ends.tolist(), table["size"].tolist(), strict=True)], n_ids, parts, block)
     for i, crc in enumerate(table["crc"].tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
@@ -147,9 +149,11 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     spark = docs.sparkSession
     prepare(spark)
     two = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = two.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ranged.mapInArrow(_Write(vocabulary or public_tokenizers.path(VOCABULARY), end), "part int, segment int, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    parts = max(PARTS, -(-(two.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    # equal rows may change places; the last key only lets them fall into different parts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("row").asc()]
+    ranged = two.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ranged.mapInArrow(Task(_Write(vocabulary or public_tokenizers.path(VOCABULARY), end), __name__), "part int, segment int, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -159,7 +163,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # as many rows as the write had tasks
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     places = files.select("part", "segment", "n_ids").join(before, "part").select("part", "segment", (F.col("base") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")).alias("base"))
-    found = files.select("part", "segment", "payload").mapInArrow(_read, "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = files.select("part", "segment", "payload").mapInArrow(Task(_read, __name__), "part int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(places, ["part", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

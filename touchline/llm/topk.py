@@ -5,10 +5,12 @@ attributes are added, shifted by the digits of the query's own value and inverte
 has one bitmap left. Those are the slices of all rows' scores. Top rows are then selected from the most significant slice downward: rows with the digit set go in as long as they fit. Rows
 that tie at the boundary are resolved exactly, by id, and the chosen rows' scores are computed exactly.
 
-Every block of queries meets every block of candidates in a group of its own, so groups have a fixed size whatever the input's. No row leaves its block but a block's best k of a query.
+Every block of queries meets every block of candidates in a group of its own, so groups have a fixed size whatever the input's. Both blocks are large, so a row travels once for some ten thousands of
+rows of the other kind. No row leaves its block but a block's best k of a query.
 
 Rows without an id, and vectors that are null or hold null or non-finite components, take no part. Shorter vectors count as filled up with zeros. Repeated rows are candidates each; rows
-of the query's own id are none. Components too large for slices (2**20 or more, quantised) go by whole numbers of any size; scores beyond a long are cut to its range.
+of the query's own id are none; repeated queries give their rows each, ranked together. An empty table gives an empty result. Rows with a component of 2**52 or more (quantised) go by whole numbers
+of any size, by themselves; scores beyond a long, which its column can't hold, are cut to its range, and tie there.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import by_group, prepare
 
-BLOCK, QUERIES = 32_768, 512
+BLOCK, QUERIES = 32_768, 16_384
+#: Groups at least, as far as there are queries for them.
+GROUPS = 64
 SCALE, K, EVERY = 64, 20, 20
-_LARGE = 1 << 20
+_LARGE, _LONG = 1 << 52, (1 << 63) - 1
 
 
 class SlicedBlock:
@@ -92,11 +96,14 @@ class SlicedBlock:
         return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8))[: self.n])
 
 
-def _matrix(vectors: list) -> np.ndarray:
-    width = max(map(len, vectors), default=0)
-    out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists as rows, filled up with zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    width = int(sizes.max(initial=0))
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width)[None] < sizes[:, None]] = values
     return out
 
 
@@ -107,32 +114,43 @@ class _Group:
     def __call__(self, table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         asks = table.column("ask").to_numpy(zero_copy_only=False)
-        v = np.floor(_matrix(table.column("v").to_pylist()) * self.scale)
+        v = np.floor(_matrix(table.column("v")) * self.scale)
+        large = (np.abs(v) >= _LARGE).any(1)
         cand = np.flatnonzero(~asks)
         cand = cand[np.argsort(ids[cand], kind="stable")]
-        own, query = ids[cand], np.flatnonzero(asks)
+        plain, huge = cand[~large[cand]], cand[large[cand]]
+        whole = np.where(large[:, None], 0, v).astype(np.int64)
+        block, own = SlicedBlock(whole[plain]), ids[plain]
+        safe = int(np.abs(whole).max(initial=0)) ** 2 * v.shape[1] <= _LONG
         out_q, out_v, out_s = [], [], []
-        large = np.abs(v).max(initial=0) >= _LARGE
-        if len(cand) and len(query):
-            whole = [[int(x) for x in r] for r in v] if large else v.astype(np.int64)
-            block = None if large else SlicedBlock(whole[cand])
-            for i in query:
-                if large:
-                    found = sorted((-min(max(sum(a * b for a, b in zip(whole[i], whole[c], strict=True)), -(1 << 63)), (1 << 63) - 1), int(ids[c])) for c in cand if ids[c] != ids[i])[: self.k]
-                    out_q += [ids[i]] * len(found)
-                    out_v += [x for _, x in found]
-                    out_s += [-s for s, _ in found]
-                    continue
+
+        def exact(i: int, rows: np.ndarray) -> list[int]:
+            q = [int(x) for x in v[i]]
+            return [min(max(sum(int(a) * b for a, b in zip(v[c], q, strict=True)), -_LONG - 1), _LONG) for c in rows]
+
+        for i in np.flatnonzero(asks):
+            if large[i]:
+                at = plain[own != ids[i]]
+                found = list(zip(exact(i, at), ids[at].tolist(), strict=True))
+            elif len(plain):
                 allowed = block.all
                 a, b = np.searchsorted(own, ids[i]), np.searchsorted(own, ids[i], side="right")
                 if a < b:
                     hole = np.ones(len(allowed) * 64, np.uint8)
                     hole[a:b] = 0
                     allowed = allowed & np.packbits(hole).view(np.uint64)
-                at = block.top(whole[i], self.k, allowed)
-                out_q += [ids[i]] * len(at)
-                out_v += own[at].tolist()
-                out_s += (whole[cand[at]] @ whole[i]).tolist()
+                at = plain[block.top(whole[i], self.k, allowed)]
+                found = list(zip((whole[at] @ whole[i]).tolist() if safe else exact(i, at), ids[at].tolist(), strict=True))
+            else:
+                found = []
+            if len(huge):
+                at = huge[ids[huge] != ids[i]]
+                found += zip(exact(i, at), ids[at].tolist(), strict=True)
+            if len(found) > self.k or large[i] or len(huge):
+                found = sorted(found, key=lambda x: (-x[0], x[1]))[: self.k]
+            out_q += [int(ids[i])] * len(found)
+            out_v += [x for _, x in found]
+            out_s += [s for s, _ in found]
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
 
 
@@ -143,15 +161,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
 
     def usable(df: DataFrame) -> DataFrame:
         fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-        return df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine)).withColumn("h", F.xxhash64("vec_id"))
+        return df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine)).withColumn("h", F.xxhash64("vec_id"))
 
     cand, ask = usable(vectors), usable(queries)
-    n_cand, n_ask = max(1, -(-vectors.count() // BLOCK)), max(1, -(-queries.count() // QUERIES))
+    n_cand, asked = max(1, -(-vectors.count() // BLOCK)), queries.count()
+    n_ask = max(1, -(-asked // QUERIES), min(-(-GROUPS // n_cand), -(-asked // 256)))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = cand.select(F.pmod("h", F.lit(n_cand)).cast("int").alias("c"), numbers(n_ask).alias("q"), "vec_id", "v", F.lit(False).alias("ask")).unionByName(
         ask.select(numbers(n_cand).alias("c"), F.pmod("h", F.lit(n_ask)).cast("int").alias("q"), "vec_id", "v", F.lit(True).alias("ask"))
     )
-    best = both.repartition(min(2000, max(n_cand * n_ask, 2)), "c", "q").groupBy("c", "q").applyInArrow(by_group(_Group(k, scale)), "query_id long, vec_id long, score long")
+    best = both.repartition(max(n_cand * n_ask, 2), "c", "q").groupBy("c", "q").applyInArrow(by_group(_Group(k, scale)), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
