@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from touchline.operators import detections, sequences
-from touchline.plans import catalogue, extended
+from touchline.plans import catalogue, composed
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +19,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(extended.ORACLES))
+@pytest.mark.parametrize("name", sorted(composed.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     r = duck.execute(catalogue.ORACLES[name])

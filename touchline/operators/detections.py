@@ -1,4 +1,4 @@
-"""Decoding, thresholds, suppression and choice of detections. Relations are keyed by (frame_idx, det_idx)."""
+"""Decoding, thresholds, suppression and choice of detections. Relations are keyed by (clip_id, frame_idx, det_idx); tables of a single clip may leave clip_id out."""
 
 from __future__ import annotations
 
@@ -9,15 +9,20 @@ from ..functions.boxes import HEIGHT, PAD, WIDTH, clamp, cosine_distance, iou
 
 PLAYER, BALL, REFEREE = 0, 1, 2
 MIN_CONF = {PLAYER: 0.25, BALL: 0.15, REFEREE: 0.25}
-_COLS = ("frame_idx", "det_idx", "class_id", "conf", "x1", "y1", "x2", "y2")
+_COLS = ("det_idx", "class_id", "conf", "x1", "y1", "x2", "y2")
+
+
+def frame(df: DataFrame) -> list[str]:
+    """What a frame is known by: clip_id, where there is one, and frame_idx."""
+    return [*(["clip_id"] if "clip_id" in df.columns else []), "frame_idx"]
 
 
 def decode(anchors: DataFrame) -> DataFrame:
-    """Centre boxes to corners, without padding, clamped to the frame; thresholds come first, so that they reach the scan."""
+    """Centre boxes to corners, without padding, clamped to the frame. The threshold is the first filter over the anchors (it reaches a scan whose columns are the anchors' own)."""
     kept = anchors.filter(F.col("conf") >= F.when(F.col("class_id") == BALL, MIN_CONF[BALL]).otherwise(MIN_CONF[PLAYER]))
     x1, y1 = clamp(F.col("cx") - F.col("w") / 2, WIDTH), clamp(F.col("cy") - F.col("h") / 2 - PAD, HEIGHT)
     x2, y2 = clamp(F.col("cx") + F.col("w") / 2, WIDTH), clamp(F.col("cy") + F.col("h") / 2 - PAD, HEIGHT)
-    return kept.select("frame_idx", "det_idx", "class_id", "conf", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).filter("x2 > x1 AND y2 > y1")
+    return kept.select(*frame(kept), "det_idx", "class_id", "conf", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).filter("x2 > x1 AND y2 > y1")
 
 
 def classify(scores: Column) -> Column:
@@ -31,31 +36,32 @@ def _suppress(boxes: DataFrame, value: list[str], near) -> DataFrame:
     """Greedy suppression within (frame, class): by confidence, then det_idx; a box goes if a kept one is near."""
     packed = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("neg"), "det_idx", "conf", *value)))
     kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return boxes.groupBy("frame_idx", "class_id").agg(packed.alias("all")).select("frame_idx", "class_id", F.inline(kept)).drop("neg")
+    return boxes.groupBy(*frame(boxes), "class_id").agg(packed.alias("all")).select(*frame(boxes), "class_id", F.inline(kept)).drop("neg")
 
 
 def nms(boxes: DataFrame, limit: float = 0.7) -> DataFrame:
-    return _suppress(boxes, ["x1", "y1", "x2", "y2"], lambda k, x: iou(k, x) > limit).select(*_COLS)
+    return _suppress(boxes, ["x1", "y1", "x2", "y2"], lambda k, x: iou(k, x) > limit).select(*frame(boxes), *_COLS)
 
 
 def radius_nms(points: DataFrame, radius: float = 15.0) -> DataFrame:
-    return _suppress(points, ["x", "y"], lambda k, p: (k["x"] - p["x"]) * (k["x"] - p["x"]) + (k["y"] - p["y"]) * (k["y"] - p["y"]) < radius * radius).select("frame_idx", "det_idx", "class_id", "conf", "x", "y")
+    return _suppress(points, ["x", "y"], lambda k, p: (k["x"] - p["x"]) * (k["x"] - p["x"]) + (k["y"] - p["y"]) * (k["y"] - p["y"]) < radius * radius).select(*frame(points), "det_idx", "class_id", "conf", "x", "y")
 
 
 def iou_pairs(boxes: DataFrame, least: float = 0.0) -> DataFrame:
     """Pairs of one frame and class that overlap by more than least."""
-    a, b = (boxes.select("frame_idx", "class_id", F.col("det_idx").alias(f"{k}_idx"), F.struct("x1", "y1", "x2", "y2").alias(k)) for k in "ab")
-    return a.join(b, ["frame_idx", "class_id"]).filter("a_idx < b_idx").select("frame_idx", "class_id", "a_idx", "b_idx", iou(F.col("a"), F.col("b")).alias("iou")).filter(F.col("iou") > least)
+    keys = [*frame(boxes), "class_id"]
+    a, b = (boxes.select(*keys, F.col("det_idx").alias(f"{k}_idx"), F.struct("x1", "y1", "x2", "y2").alias(k)) for k in "ab")
+    return a.join(b, keys).filter("a_idx < b_idx").select(*keys, "a_idx", "b_idx", iou(F.col("a"), F.col("b")).alias("iou")).filter(F.col("iou") > least)
 
 
 def closeup_filter(boxes: DataFrame) -> DataFrame:
     """Balls of a frame with any player over 220 pixels high need a confidence of 0.35."""
-    tall = F.max(F.when(F.col("class_id") == PLAYER, F.col("y2") - F.col("y1"))).over(Window.partitionBy("frame_idx"))
-    return boxes.withColumn("tall", F.coalesce(tall, F.lit(0.0))).filter(f"class_id = {BALL} AND (tall <= 220 OR conf >= 0.35)").select(*_COLS)
+    tall = F.max(F.when(F.col("class_id") == PLAYER, F.col("y2") - F.col("y1"))).over(Window.partitionBy(*frame(boxes)))
+    return boxes.withColumn("tall", F.coalesce(tall, F.lit(0.0))).filter(f"class_id = {BALL} AND (tall <= 220 OR conf >= 0.35)").select(*frame(boxes), *_COLS)
 
 
 def top(boxes: DataFrame, k: int = 40) -> DataFrame:
-    order = Window.partitionBy("frame_idx").orderBy(F.col("conf").desc(), "det_idx")
+    order = Window.partitionBy(*frame(boxes)).orderBy(F.col("conf").desc(), "det_idx")
     return boxes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -64,38 +70,42 @@ def confidence_split(conf: Column) -> Column:
 
 
 def best_ball(boxes: DataFrame) -> DataFrame:
-    return top(boxes.filter(F.col("class_id") == BALL), 1).select(*_COLS)
+    return top(boxes.filter(F.col("class_id") == BALL), 1).select(*frame(boxes), *_COLS)
 
 
 def referee_ordinals(boxes: DataFrame) -> DataFrame:
-    return top(boxes.filter(F.col("class_id") == REFEREE), 1 << 30).select("frame_idx", "det_idx", (F.col("rank") - 1).alias("referee_id"))
+    return top(boxes.filter(F.col("class_id") == REFEREE), 1 << 30).select(*frame(boxes), "det_idx", (F.col("rank") - 1).alias("referee_id"))
 
 
 def class_counts(spine: DataFrame, boxes: DataFrame) -> DataFrame:
     """players, balls, referees of each frame of the spine, 0 where there are none."""
     n = [F.count_if(F.col("class_id") == c).alias(k) for c, k in ((PLAYER, "players"), (BALL, "balls"), (REFEREE, "referees"))]
-    return spine.select("frame_idx").distinct().join(boxes.groupBy("frame_idx").agg(*n), "frame_idx", "left").na.fill(0, ["players", "balls", "referees"])
+    keys = frame(boxes)
+    return spine.select(*keys).distinct().join(boxes.groupBy(*keys).agg(*n), keys, "left").na.fill(0, ["players", "balls", "referees"])
 
 
 def best_overlap(tracked: DataFrame, raw: DataFrame) -> DataFrame:
     """For each tracked box its raw box of the largest overlap in the frame, even if that is 0; ties to the first."""
-    t = tracked.select("frame_idx", F.col("det_idx").alias("track"), F.struct("x1", "y1", "x2", "y2").alias("a"))
-    r = raw.select("frame_idx", F.col("det_idx").alias("raw"), F.struct("x1", "y1", "x2", "y2").alias("b"))
-    order = Window.partitionBy("frame_idx", "track").orderBy(F.col("iou").desc(), "raw")
-    return t.join(r, "frame_idx").select("frame_idx", "track", "raw", iou(F.col("a"), F.col("b")).alias("iou")).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
+    keys = frame(tracked)
+    t = tracked.select(*keys, F.col("det_idx").alias("track"), F.struct("x1", "y1", "x2", "y2").alias("a"))
+    r = raw.select(*keys, F.col("det_idx").alias("raw"), F.struct("x1", "y1", "x2", "y2").alias("b"))
+    order = Window.partitionBy(*keys, "track").orderBy(F.col("iou").desc(), "raw")
+    return t.join(r, keys).select(*keys, "track", "raw", iou(F.col("a"), F.col("b")).alias("iou")).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
-def carry_forward(boxes: DataFrame, spine: DataFrame) -> DataFrame:
-    """Odd frames show the boxes of the even frame before, as a set (also if it is empty)."""
+def carry_forward(boxes: DataFrame, spine: DataFrame, boxed: bool = False) -> DataFrame:
+    """Odd frames show the boxes of the even frame before, as a set (also if it is empty). boxed: with all columns."""
     even = boxes.filter("frame_idx % 2 = 0").withColumnRenamed("frame_idx", "from_frame")
-    frames = spine.select("frame_idx").distinct().withColumn("from_frame", F.col("frame_idx") - F.col("frame_idx") % 2)
-    return frames.join(even, "from_frame").select("frame_idx", "from_frame", "det_idx", "class_id", "conf")
+    keys = frame(boxes)
+    frames = spine.select(*keys).distinct().withColumn("from_frame", F.col("frame_idx") - F.col("frame_idx") % 2)
+    rest = [c for c in boxes.columns if c not in (*keys, "det_idx", "class_id", "conf")] if boxed else []
+    return frames.join(even, [*keys[:-1], "from_frame"]).select(*keys, "from_frame", "det_idx", "class_id", "conf", *rest)
 
 
 def crop_rects(boxes: DataFrame) -> DataFrame:
     """Whole-pixel crops within the frame; empty ones go, and det_idx stays with its box."""
     c = [F.greatest(F.lit(0), F.least(F.col(k).cast("int"), F.lit(int(m)))).alias(k) for k, m in (("x1", WIDTH), ("y1", HEIGHT), ("x2", WIDTH), ("y2", HEIGHT))]
-    return boxes.filter(F.col("class_id") == PLAYER).select("frame_idx", "det_idx", *c).filter("x2 > x1 AND y2 > y1")
+    return boxes.filter(F.col("class_id") == PLAYER).select(*frame(boxes), "det_idx", *c).filter("x2 > x1 AND y2 > y1")
 
 
 def pass_any(scores: Column) -> Column:
@@ -107,23 +117,24 @@ def pass_any(scores: Column) -> Column:
 def match_costs(tracks: DataFrame, found: DataFrame, least: float = 0.35) -> DataFrame:
     """frame_idx, track, det, cost of allowed pairs of a frame. Both sides have a struct box and an array feature, tracks also missed (frames since seen).
 
-    Overlap beyond ``least``: three quarters overlap, one quarter appearance; else, for tracks that were lost, likeness of appearance."""
+    Overlap beyond ``least``: three quarters overlap, one quarter appearance, or overlap alone where either side has no feature; else, for tracks that were lost, likeness of appearance."""
+    keys = frame(found)
     app, over = cosine_distance(F.col("tf"), F.col("df")), iou(F.col("tb"), F.col("db"))
-    cost = F.when(F.col("over") > least, F.when(F.size("df") > 0, 0.75 * (1.0 - F.col("over")) + 0.25 * F.col("app")).otherwise(1.0 - F.col("over"))).when((F.col("missed") > 0) & (F.col("app") <= 0.35), 0.45 + 0.45 * F.col("app") + 0.10 * (1.0 - F.col("over")))
-    t = tracks.select("frame_idx", F.col("det_idx").alias("track"), F.col("box").alias("tb"), F.col("feature").alias("tf"), "missed")
-    d = found.select("frame_idx", F.col("det_idx").alias("det"), F.col("box").alias("db"), F.col("feature").alias("df"))
-    return t.join(d, "frame_idx").select("frame_idx", "track", "det", "missed", "df", app.alias("app"), over.alias("over")).select("frame_idx", "track", "det", cost.alias("cost")).filter("cost IS NOT NULL")
+    cost = F.when(F.col("over") > least, F.when((F.size("df") > 0) & (F.size("tf") > 0), 0.75 * (1.0 - F.col("over")) + 0.25 * F.col("app")).otherwise(1.0 - F.col("over"))).when((F.col("missed") > 0) & (F.col("app") <= 0.35), 0.45 + 0.45 * F.col("app") + 0.10 * (1.0 - F.col("over")))
+    t = tracks.select(*keys, F.col("det_idx").alias("track"), F.col("box").alias("tb"), F.col("feature").alias("tf"), "missed")
+    d = found.select(*keys, F.col("det_idx").alias("det"), F.col("box").alias("db"), F.col("feature").alias("df"))
+    return t.join(d, keys).select(*keys, "track", "det", "missed", "tf", "df", app.alias("app"), over.alias("over")).select(*keys, "track", "det", cost.alias("cost")).filter("cost IS NOT NULL")
 
 
 def in_class_order(boxes: DataFrame) -> DataFrame:
     """All boxes of a frame as one list: players, balls, referees, each in its own order."""
-    w = Window.partitionBy("frame_idx").orderBy("class_id", "det_idx")
-    return boxes.select("frame_idx", "det_idx", "class_id", (F.row_number().over(w) - 1).cast("int").alias("place"))
+    w = Window.partitionBy(*frame(boxes)).orderBy("class_id", "det_idx")
+    return boxes.select(*frame(boxes), "det_idx", "class_id", (F.row_number().over(w) - 1).cast("int").alias("place"))
 
 
 def last_by_track(boxes: DataFrame, track: str = "track_id") -> DataFrame:
     """One box for a frame and track, the last; tracks below 0 go."""
-    return boxes.filter(F.col(track) >= 0).groupBy("frame_idx", track).agg(F.max("det_idx").alias("det_idx"))
+    return boxes.filter(F.col(track) >= 0).groupBy(*frame(boxes), track).agg(F.max("det_idx").alias("det_idx"))
 
 
 def flow_survivors(flow: DataFrame, corners: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,3 +157,33 @@ def letterbox_fits(width: Column, height: Column, to: tuple[int, int] = (1280, 7
 def transposed(rows: Column, cols: Column) -> Column:
     """Whether raw model output has features in rows."""
     return (cols > rows) & (cols > 100)
+
+
+def normalised(value: Column, channel: str) -> Column:
+    """A colour value (0 to 255) as the embedding model takes it; channel is r, g or b."""
+    mean, std = IMAGENET[channel]
+    return (value / 255.0 - mean) / std
+
+
+#: Mean and standard deviation of each channel.
+IMAGENET = {"r": (0.485, 0.229), "g": (0.456, 0.224), "b": (0.406, 0.225)}
+
+
+def with_teams(players: DataFrame, teams: DataFrame) -> DataFrame:
+    """Players (track_id) with their frame's team as class_id, where teams (track_id, team) has one."""
+    keys = [*frame(players), "track_id"]
+    return players.join(teams.select(*keys, F.col("team").alias("of_team")), keys, "left").withColumn("class_id", F.coalesce("of_team", "class_id")).drop("of_team")
+
+
+def valid_balls(boxes: DataFrame) -> DataFrame:
+    """Balls that have an area."""
+    return boxes.filter((F.col("class_id") == BALL) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+
+
+def team_counts(spine: DataFrame, players: DataFrame, balls: DataFrame, referees: DataFrame) -> DataFrame:
+    """num_team1, num_team2, num_players (both teams), num_balls, num_referees of each frame of the spine; a player's class_id is the team."""
+    keys = frame(players)
+    out = spine.select(*keys).distinct()
+    for df, of in ((players, {"num_team1": F.count_if(F.col("class_id") == 0), "num_team2": F.count_if(F.col("class_id") == 1)}), (balls, {"num_balls": F.count("*")}), (referees, {"num_referees": F.count("*")})):
+        out = out.join(df.groupBy(*keys).agg(*[v.alias(k) for k, v in of.items()]), keys, "left").na.fill(0, list(of))
+    return out.withColumn("num_players", F.col("num_team1") + F.col("num_team2"))

@@ -11,8 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from ..sources.package import ship
+from .detections import frame
 from .pitch import PITCH
 
 #: Subsets of four that a frame tries, and the best corners that they come from.
@@ -32,14 +33,15 @@ def corner_subsets(corners: DataFrame, most: int = SUBSETS) -> DataFrame:
     """frame_idx, subset, a, b, c, d: fours of a frame's confident corners (frame_idx, corner_idx, class_id, x, y, conf) as ranks by confidence, no three in a line.
 
     Fours of better corners come first (by their worst corner), up to ``most`` a frame, from the frame's POOL best corners."""
-    rank = F.row_number().over(Window.partitionBy("frame_idx").orderBy(F.col("conf").desc(), "corner_idx"))
-    ranked = corners.filter(F.col("conf") >= SURE).select("frame_idx", rank.alias("rank"), F.struct("x", "y").alias("p")).filter(F.col("rank") <= POOL)
-    a, b, c, d = (ranked.select("frame_idx", F.col("rank").alias(k), F.col("p").alias(f"p{k}")) for k in "abcd")
-    P = {k: F.col(f"p{k}") for k in "abcd"}
-    three = a.join(b, "frame_idx").filter("a < b").join(c, "frame_idx").filter("b < c").filter(~collinear(P["a"], P["b"], P["c"]))
-    four = three.join(d, "frame_idx").filter("c < d").filter(~collinear(P["a"], P["b"], P["d"]) & ~collinear(P["a"], P["c"], P["d"]) & ~collinear(P["b"], P["c"], P["d"]))
-    subset = F.row_number().over(Window.partitionBy("frame_idx").orderBy("d", "c", "b", "a"))
-    return four.select("frame_idx", (subset - 1).alias("subset"), "a", "b", "c", "d").filter(F.col("subset") < most)
+    point = F.struct((-F.col("conf")).alias("by"), "corner_idx", "x", "y")
+    keys = frame(corners)
+    best_first = F.slice(F.array_sort(F.collect_list(point)), 1, POOL)
+    packed = corners.filter(F.col("conf") >= SURE).groupBy(*keys).agg(best_first.alias("p")).filter(F.size("p") >= 4)
+    at = lambda i: F.element_at("p", i)
+    # all fours of a frame's own array, in the order of their worst corner; they never leave its row until they are chosen
+    fours = F.flatten(F.transform(F.sequence(F.lit(4), F.size("p")), lambda d: F.flatten(F.transform(F.sequence(F.lit(3), d - 1), lambda c: F.flatten(F.transform(F.sequence(F.lit(2), c - 1), lambda b: F.transform(F.sequence(F.lit(1), b - 1), lambda a: F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")))))))))
+    open_ = F.filter(fours, lambda q: ~(collinear(at(q["a"]), at(q["b"]), at(q["c"])) | collinear(at(q["a"]), at(q["b"]), at(q["d"])) | collinear(at(q["a"]), at(q["c"]), at(q["d"])) | collinear(at(q["b"]), at(q["c"]), at(q["d"]))))
+    return packed.select(*keys, F.posexplode(F.slice(open_, 1, most)).alias("subset", "q")).select(*keys, "subset", "q.a", "q.b", "q.c", "q.d")
 
 
 def permutations(fours: DataFrame) -> DataFrame:
@@ -113,15 +115,17 @@ def best(classes: np.ndarray, xy: np.ndarray, conf: np.ndarray) -> tuple[list[fl
 
 
 def fit(corners: DataFrame) -> DataFrame:
-    """frame_idx, h array<double> (null: none), residual of each frame with corners (frame_idx, corner_idx, class_id, x, y, conf)."""
-    packed = corners.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("corner_idx", "class_id", "x", "y", "conf"))).alias("c"))
+    """clip_id (if there is one), frame_idx, h array<double> (null: none), residual of each frame with corners (frame_idx, corner_idx, class_id, x, y, conf)."""
+    keys = frame(corners)
+    ship(corners.sparkSession)
+    packed = corners.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("corner_idx", "class_id", "x", "y", "conf"))).alias("c"))
 
     @F.pandas_udf("h array<double>, residual double")
     def fitted(classes: pd.Series, x: pd.Series, y: pd.Series, conf: pd.Series) -> pd.DataFrame:
         rows = [best(np.asarray(c), np.c_[np.asarray(p, float), np.asarray(q, float)], np.asarray(k, float)) for c, p, q, k in zip(classes, x, y, conf, strict=True)]
         return pd.DataFrame(rows, columns=["h", "residual"])
 
-    return packed.withColumn("f", fitted("c.class_id", "c.x", "c.y", "c.conf")).select("frame_idx", "f.h", "f.residual")
+    return packed.withColumn("f", fitted("c.class_id", "c.x", "c.y", "c.conf")).select(*keys, "f.h", "f.residual")
 
 
 def smooth(fits: DataFrame, stale: int = 10) -> DataFrame:
@@ -146,4 +150,5 @@ def smooth(fits: DataFrame, stale: int = 10) -> DataFrame:
             ok.append(good)
         return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "h": out, "valid": ok})
 
+    ship(fits.sparkSession)
     return fits.groupBy("clip_id").applyInPandas(clip, "clip_id long, frame_idx long, h array<double>, valid boolean")

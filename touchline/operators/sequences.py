@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import dot
+from ..functions.boxes import HEIGHT, WIDTH, clamp, dot
+from ..sources.package import ship
 
 
 def interpolate(obs: DataFrame, longest: int = 30) -> DataFrame:
@@ -28,11 +30,32 @@ def interpolate(obs: DataFrame, longest: int = 30) -> DataFrame:
     return filled.select("clip_id", "frame_idx", at("x").alias("x"), at("y").alias("y"), F.lit(0.35).alias("conf"))
 
 
+def interpolate_boxes(balls: DataFrame, longest: int = 30) -> DataFrame:
+    """All frames' ball boxes (clip_id, frame_idx, class_id, conf, x1, y1, x2, y2): the observed ones that have an area, and those between them.
+
+    Centres go as in interpolate(); width and height change evenly; boxes are clamped to the frame; class 1, confidence 0.35."""
+    seen = balls.filter("x2 > x1 AND y2 > y1")
+    obs = seen.select("clip_id", "frame_idx", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    w = Window.partitionBy("clip_id").orderBy("frame_idx")
+    size = seen.select("clip_id", F.col("frame_idx").alias("f1"), F.lead("frame_idx").over(w).alias("f2"), *[f(v).alias(f"{k}{i}") for k, v in (("w", F.col("x2") - F.col("x1")), ("h", F.col("y2") - F.col("y1"))) for i, f in ((0, lambda v: v), (1, lambda v: F.lead(v).over(w)))])
+    size = size.filter(F.col("f2") - F.col("f1") > 1).filter(F.col("f2") - F.col("f1") <= longest).withColumn("frame_idx", F.explode(F.sequence(F.col("f1") + 1, F.col("f2") - 1)))
+    t = (F.col("frame_idx") - F.col("f1")).cast("double") / (F.col("f2") - F.col("f1")).cast("double")
+    half = {k: 0.5 * (F.col(f"{k}0") + t * (F.col(f"{k}1") - F.col(f"{k}0"))) for k in "wh"}
+    filled = interpolate(obs, longest).join(size, ["clip_id", "frame_idx"])
+    box = [clamp(F.col(c) + s * half[k], m).alias(n) for n, c, s, k, m in (("x1", "x", -1, "w", WIDTH), ("y1", "y", -1, "h", HEIGHT), ("x2", "x", 1, "w", WIDTH), ("y2", "y", 1, "h", HEIGHT))]
+    return seen.select("clip_id", "frame_idx", "class_id", "conf", "x1", "y1", "x2", "y2").unionByName(filled.select("clip_id", "frame_idx", F.lit(1).alias("class_id"), "conf", *box))
+
+
 def majority(votes: DataFrame, last: int = 15) -> DataFrame:
-    """track_id, seq, vote (0 or 1) to the label after each: the majority of the last votes, 0 on a tie."""
-    w = Window.partitionBy("track_id").orderBy("seq").rowsBetween(-(last - 1), 0)
-    n = lambda v: F.sum((F.col("vote") == v).cast("long")).over(w)
-    return votes.select("track_id", "seq", F.when(n(0) >= n(1), 0).otherwise(1).alias("label"))
+    """track_id, seq, vote to the label after each: the majority of the last votes, 0 on a tie. Votes other than 0 and 1 don't count and take up no place; before the first that counts the label is null."""
+    keys = [*(["clip_id"] if "clip_id" in votes.columns else []), "track_id"]
+    counts = F.col("vote").isin(0, 1) & F.col("vote").isNotNull()
+    so_far = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = votes.withColumn("number", F.sum(F.coalesce(counts, F.lit(False)).cast("long")).over(so_far))
+    w = Window.partitionBy(*keys).orderBy("number").rangeBetween(-(last - 1), 0)
+    n = lambda v: F.sum(F.coalesce(F.col("vote") == v, F.lit(False)).cast("long")).over(w)
+    # the vote before the first of the window may share its number with votes that don't count: those add nothing
+    return numbered.select(*keys, "seq", F.when(F.col("number") > 0, F.when(n(0) >= n(1), 0).otherwise(1)).alias("label"))
 
 
 def role(votes: DataFrame) -> DataFrame:
@@ -81,10 +104,11 @@ def kalman_axis(obs: DataFrame, value: str = "x") -> DataFrame:
     return _ordered(obs, "clip_id", "frame_idx", value).select("clip_id", done.alias("s")).select("clip_id", "s.p", "s.v")
 
 
-def training_sample(counts: DataFrame, stride: int = 12, target: int = 120) -> DataFrame:
-    """Strided frames until target crops are there: a frame is taken while what came before is less. counts: frame_idx, n."""
+def training_sample(counts: DataFrame, frames: int = 0) -> DataFrame:
+    """Strided frames until enough crops are there: a frame is taken while what came before is less. counts: frame_idx, n; frames: the run's frame limit, if it has one (2880 otherwise). Short runs are looked at more closely."""
+    stride, target = (2 if 0 < frames <= 30 else 12), (60 if 0 < frames <= 60 else 120)
     w = Window.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.filter(F.col("frame_idx") % stride == 0).filter("frame_idx < 2880").withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("prior") < target).select("frame_idx", "n")
+    return counts.filter(F.col("frame_idx") % stride == 0).filter(F.col("frame_idx") < (frames if frames > 0 else 2880)).withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("prior") < target).select("frame_idx", "n")
 
 
 def ema_appearance(df: DataFrame, key: str, order: str, vector: str, keep: float = 0.9) -> DataFrame:
@@ -113,4 +137,73 @@ def corner_cache(frames: DataFrame, interval: int = 15, least: int = 4) -> DataF
             ran.append(detect)
         return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "from_frame": at, "detected": ran})
 
+    ship(frames.sparkSession)
     return frames.groupBy("clip_id").applyInPandas(clip, "clip_id long, frame_idx long, from_frame long, detected boolean")
+
+
+_LABELS = "clip_id long, frame_idx long, track_id int, team int, fresh boolean"
+
+
+def team_labels(tracked: DataFrame, every: int = 60, last: int = 15) -> DataFrame:
+    """clip_id, frame_idx, track_id, team, fresh of tracked boxes (clip_id, frame_idx, track_id, class_id, predicted: the team model's answer for the box).
+
+    A track's team is voted on when it has none yet and then each ``every`` frames: the majority of its last votes, 0 on a tie; in between it keeps it. Referees (class 2) and boxes
+    without a track have none. A prediction other than 0 or 1 is no vote; where it is null, the box wasn't looked at. Each track is a group, gone through in order."""
+
+    def track(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("frame_idx", kind="stable")
+        votes, team, looked, teams, fresh = [], -1, None, [], []
+        for f, c, p in zip(df["frame_idx"], df["class_id"], df["predicted"], strict=True):
+            now = c != 2 and not pd.isna(p) and (looked is None or f - looked >= every)
+            if now:
+                looked = f
+                if p in (0, 1):
+                    votes = [*votes, int(p)][-last:]
+                    team = 0 if 2 * votes.count(0) >= len(votes) else 1
+            teams.append(None if c == 2 else team)
+            fresh.append(bool(now))
+        return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "track_id": df["track_id"], "team": pd.array(teams, "Int32"), "fresh": fresh})
+
+    ship(tracked.sparkSession)
+    return tracked.filter("track_id >= 0").groupBy("clip_id", "track_id").applyInPandas(track, _LABELS)
+
+
+def flow_corners(corners: DataFrame, flow: DataFrame, least: int = 4) -> DataFrame:
+    """clip_id, frame_idx, corner_idx, class_id, x, y, conf: the corners in use in each frame.
+
+    corners: each frame's corners as the detector (or its cache) has them; flow (clip_id, frame_idx, corner_idx, x, y, error, status): where the corners that were in use in the frame before, in their
+    order, have moved. While the detector's corners stay the same, those in use move along; lost ones, ones of an error over 20 and ones outside the frame go, and confidence wears off. Where
+    fewer than ``least`` are left, the ones in use stay as they were; where the detector's change, or fewer than ``least`` are in use, the detector's are taken. A clip is gone through in order."""
+
+    def clip(key: tuple, seen: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+        columns = ["class_id", "x", "y", "conf"]
+        moved = moved.rename(columns=lambda c: c.removeprefix("flow_"))
+        found = {f: g.sort_values("corner_idx")[columns].to_numpy(float) for f, g in seen.dropna(subset=["x"]).groupby("frame_idx")}
+        flows = {f: g.set_index("corner_idx") for f, g in moved.groupby("frame_idx")}
+        none, rows, used, last = np.empty((0, 4)), [], np.empty((0, 4)), None
+        for f in sorted(seen["frame_idx"].unique()):
+            now = found.get(f, none)
+            changed = last is None or len(now) != len(last) or bool(((now[:, 0] != last[:, 0]) | (np.abs(now[:, 1:3] - last[:, 1:3]) > 0.5).any(1)).any())
+            if changed or len(used) < least:
+                used = last = now
+            elif f in flows:
+                kept = []
+                for i, c in enumerate(used):
+                    if i in flows[f].index:
+                        m = flows[f].loc[i]
+                        if m["status"] and m["error"] <= 20 and 0 <= m["x"] < WIDTH and 0 <= m["y"] < HEIGHT:
+                            kept.append([c[0], m["x"], m["y"], c[3] * 0.995])
+                if len(kept) >= least:
+                    used = np.array(kept)
+            rows += [(key[0], f, i, int(c[0]), *c[1:]) for i, c in enumerate(used)]
+        return pd.DataFrame(rows, columns=["clip_id", "frame_idx", "corner_idx", *columns])
+
+    ship(corners.sparkSession)
+    # columns of its own, as both sides may come from one table
+    own = flow.select(F.col("clip_id").alias("of_clip"), *[F.expr(f"{c}").alias(f"flow_{c}") for c in ("frame_idx", "corner_idx", "x", "y", "error", "status")])
+    return corners.groupBy("clip_id").cogroup(own.groupBy("of_clip")).applyInPandas(clip, "clip_id long, frame_idx long, corner_idx int, class_id int, x double, y double, conf double")
+
+
+def visible(corners: DataFrame, least: float = 0.25) -> DataFrame:
+    """clip_id, frame_idx, n_corners, n_visible (of enough confidence): what corner_cache() goes by."""
+    return corners.groupBy("clip_id", "frame_idx").agg(F.count("x").alias("n_corners"), F.count_if(F.col("conf") >= least).alias("n_visible"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import cosine_distance, dot, grid, squared_distance
+from ..sources.package import ship
 
 #: Rows that a team model is fitted on at most, and the mean silhouette that it needs.
 TRAIN_ROWS, LEAST_SILHOUETTE = 120, 0.15
@@ -48,14 +50,36 @@ def centroid_step(assigned: DataFrame, teams: int, dims: int) -> DataFrame:
     return ids.join(means, ["team", "dim"], "left").select("team", "dim", grid(F.coalesce("m", F.lit(0.0))).alias("mean"))
 
 
+#: Rows of a block of points; pairs of blocks are the unit of work for all-pairs measures.
+BLOCK = 1024
+
+
+def _distances(table: pa.Table) -> pa.Table:
+    """Sums and numbers of a block's distances to another block's points, by own team and other."""
+    left = table.column("left").to_numpy(zero_copy_only=False)
+    ids, team, e = table.column("vec_id").to_numpy(), table.column("team").to_numpy(), table.column("e").combine_chunks()
+    x = e.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    out = np.zeros((len(a), 4))
+    for k, i in enumerate(a):
+        d = np.sqrt(((x[b] - x[i]) ** 2).sum(1))
+        own, others = team[b] == team[i], ids[b] != ids[i]
+        out[k] = d[own & others].sum(), (own & others).sum(), d[~own].sum(), (~own).sum()
+    return pa.table({"vec_id": pa.array(ids[a]), **{c: pa.array(out[:, k]) for k, c in enumerate(("own", "n_own", "other", "n_other"))}})
+
+
 def silhouette(points: DataFrame) -> DataFrame:
-    """vec_id, s for points (vec_id, team, e) of two groups: own-team mean distance against all others'; rows that lack either go."""
-    a = points.select("vec_id", F.col("team").alias("t"), F.col("e").alias("x"))
-    b = points.select(F.col("vec_id").alias("o"), "team", F.col("e").alias("y"))
-    d = F.sqrt(squared_distance(F.col("x"), F.col("y")))
-    pairs = a.join(b, F.col("vec_id") != F.col("o")).select("vec_id", (F.col("t") == F.col("team")).alias("same"), d.alias("d"))
-    means = pairs.groupBy("vec_id").agg(F.avg(F.when(F.col("same"), F.col("d"))).alias("a"), F.avg(F.when(~F.col("same"), F.col("d"))).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND greatest(a, b) > 0")
-    return means.select("vec_id", grid((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    """vec_id, s for points (vec_id, team, e) of two groups: own-team mean distance against all others'; rows that lack either go.
+
+    All pairs are the definition: each pair of blocks of points is a group of bounded size, and only sums leave it."""
+    ship(points.sparkSession)
+    blocks = max(1, -(-points.count() // BLOCK))
+    dealt = points.select("vec_id", "team", "e", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a, b = dealt.select("vec_id", "team", "e", F.lit(True).alias("left"), F.col("block").alias("i"), every.alias("j")), dealt.select("vec_id", "team", "e", F.lit(False).alias("left"), every.alias("i"), F.col("block").alias("j"))
+    sums = a.unionByName(b).groupBy("i", "j").applyInArrow(lambda t: _distances(t), "vec_id long, own double, n_own double, other double, n_other double")
+    means = sums.groupBy("vec_id").agg(*[F.sum(c).alias(c) for c in ("own", "n_own", "other", "n_other")]).filter("n_own > 0 AND n_other > 0").select("vec_id", (F.col("own") / F.col("n_own")).alias("a"), (F.col("other") / F.col("n_other")).alias("b"))
+    return means.filter("greatest(a, b) > 0").select("vec_id", grid((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
 
 
 def mean_pool(emb: DataFrame, channels: int) -> DataFrame:
@@ -72,6 +96,16 @@ def best_restart(points: DataFrame, runs: list[list[list[float]]]) -> DataFrame:
     return each.agg(F.min("s").alias("s")).select("s.run", "s.inertia")
 
 
+def separated(score: Column) -> Column:
+    """Whether a mean silhouette is good enough to tell two teams apart; NaN, which compares as the largest number, and null are not."""
+    return F.coalesce(~F.isnan(score) & (score >= LEAST_SILHOUETTE), F.lit(False))
+
+
+def training_rows(emb: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """The rows that a model is fitted on: those of the smallest hashes, ``most`` at most."""
+    return emb.filter("e IS NOT NULL").select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
+
+
 def cached_labels(tracks: DataFrame, cache: DataFrame) -> DataFrame:
     """Tracks (track_id, label) with the cache's label where it has one."""
     return tracks.join(cache.select("track_id", F.col("label").alias("fresh")), "track_id", "left").select("track_id", F.coalesce("fresh", "label").alias("label"))
@@ -126,7 +160,7 @@ class TeamModel:
 
     def fit(self, emb: DataFrame) -> TeamModel:
         """From (vec_id, e); vectors that are null or of another size than the first are passed over."""
-        rows = emb.filter("e IS NOT NULL").select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).collect()
+        rows = training_rows(emb).collect()
         x = [r.e for r in rows if len(r.e) == len(rows[0].e)]
         if len(x) < self.teams:
             return self

@@ -6,12 +6,15 @@ overlap or appearance, and is dropped after ``buffer`` misses. Assignment is the
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.package import ship
+
 HIGH, LOW, LIMIT, REID = 0.25, 0.10, 0.75, 0.35
 FORBIDDEN = np.inf
 
@@ -196,10 +199,11 @@ def features(g: pd.DataFrame, column: str | None) -> list[np.ndarray | None]:
     return out
 
 
-def run(detections: DataFrame, stride: int = 1, feature: str | None = None) -> DataFrame:
-    """clip_id, frame_idx, track_id, det_idx (null where predicted) from detections (clip_id, frame_idx, det_idx, x1, y1, x2, y2, conf). A clip is the unit of parallel work.
+def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxes: bool = False, last: str | None = None) -> DataFrame:
+    """clip_id, frame_idx, track_id, det_idx (null where predicted), with ``boxes`` also x1, y1, x2, y2, conf (null where predicted), from detections (clip_id, frame_idx, det_idx, x1, y1, x2, y2, conf). A clip is the unit of parallel work.
 
-    Frames without a row count as seen and empty, from the clip's first frame to its last; with stride s, other frames than each s-th are predicted.
+    Frames without a row count as seen and empty, from the clip's first frame to its last; with stride s, other frames than each s-th are predicted. Where no track is left, empty frames are passed over at once.
+    ``last`` names a column that holds the clip's last frame, where that may come after the last one with a box.
     ``feature`` names a column of appearance vectors (arrays), by which lost tracks are found again away from their predicted place; without it overlap alone counts."""
 
     def clip(df: pd.DataFrame) -> pd.DataFrame:
@@ -207,11 +211,22 @@ def run(detections: DataFrame, stride: int = 1, feature: str | None = None) -> D
         frames = {f: g for f, g in df.groupby("frame_idx")}
         t, rows = Tracker(), []
         none = df.iloc[:0]
-        for f in range(int(df["frame_idx"].min()), int(df["frame_idx"].max()) + 1):
+        order = [int(f) for f in sorted(frames)]
+        f, end = order[0], max(order[-1], int(df[last].iloc[0])) if last else order[-1]
+        while f <= end:
+            if f not in frames and not t.active and not t.lost:
+                if f > order[-1]:
+                    break
+                f = order[bisect_right(order, f)]
             g = frames.get(f, none)
-            ids = g["det_idx"].tolist()
-            for i, k in t.update(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), features(g, feature), predicted=f % stride != 0):
-                rows.append((df["clip_id"].iloc[0], f, i, ids[k] if k >= 0 else None))
-        return pd.DataFrame(rows, columns=["clip_id", "frame_idx", "track_id", "det_idx"]).astype({"track_id": "int32", "det_idx": "Int32"})
-
-    return detections.groupBy("clip_id").applyInPandas(clip, "clip_id long, frame_idx long, track_id int, det_idx int")
+            ids, xy, conf = g["det_idx"].tolist(), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float)
+            found = t.update(xy, conf, features(g, feature), predicted=f % stride != 0)
+            place = {x.id: x.box for x in t.active} if boxes else {}
+            for i, k in found:
+                rows.append((df["clip_id"].iloc[0], f, i, ids[k] if k >= 0 else None, *((*place[i], conf[k] if k >= 0 else None) if boxes else ())))
+            f += 1
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"track_id": "int32", "det_idx": "Int32"})
+
+    schema = "clip_id long, frame_idx long, track_id int, det_idx int" + ", x1 double, y1 double, x2 double, y2 double, conf double" * boxes
+    ship(detections.sparkSession)
+    return detections.groupBy("clip_id").applyInPandas(clip, schema)

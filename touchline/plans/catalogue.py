@@ -71,7 +71,14 @@ def frame_class_counts(spark, sf):
     return d.class_counts(a, d.nms(d.decode(a)))
 
 
-@query(f"WITH {BOXES_SQL} SELECT a.frame_idx, a.class_id, a.det_idx AS a_idx, b.det_idx AS b_idx, {_IOU.format(a='a', b='b')} AS iou FROM boxes a JOIN boxes b ON a.frame_idx = b.frame_idx AND a.class_id = b.class_id AND a.det_idx < b.det_idx WHERE {_IOU.format(a='a', b='b')} > 0")
+#: Overlaps of pairs p (boxes a and b, keys), each part of them computed once.
+_OVERLAPS = """w AS (SELECT *, greatest(0.0::DOUBLE, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0.0::DOUBLE, least(ay2, by2) - greatest(ay1, by1)) AS inter, (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) AS both_areas FROM p),
+o AS (SELECT *, CASE WHEN both_areas - inter > 0 THEN inter / (both_areas - inter) ELSE 0.0::DOUBLE END AS over FROM w)"""
+_PAIR = ", ".join(f"{t}.{c} AS {t}{c}" for t in "ab" for c in ("x1", "y1", "x2", "y2"))
+
+
+@query(f"""WITH {BOXES_SQL}, m AS MATERIALIZED (SELECT * FROM boxes), p AS (SELECT a.frame_idx, a.class_id, a.det_idx AS a_idx, b.det_idx AS b_idx, {_PAIR} FROM m a JOIN m b ON a.frame_idx = b.frame_idx AND a.class_id = b.class_id AND a.det_idx < b.det_idx), {_OVERLAPS}
+SELECT frame_idx, class_id, a_idx, b_idx, over AS iou FROM o WHERE over > 0""")
 def iou_pairs(spark, sf):
     return d.iou_pairs(_boxes(spark, sf))
 

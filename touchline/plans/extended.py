@@ -10,24 +10,28 @@ from ..functions.boxes import HEIGHT, WIDTH
 from ..operators import detections as d
 from ..operators import homography, pitch, sequences, teams, tracker
 from ..sources import sinks
+from ..sources.package import ship
 from ..sources.adapters import BOXES_SQL, EMBEDDINGS_SQL, OBSERVATIONS_SQL, embeddings, observations, table
-from .catalogue import _CENTROIDS, _D2, _DOT, _GRID, _H, _H_SQL, _IOU, _ON_PITCH, ORACLES, QUERIES, _boxes, _list, _on_pitch, query
+from .catalogue import _CENTROIDS, _D2, _DOT, _GRID, _H, _H_SQL, _ON_PITCH, _OVERLAPS, _PAIR, ORACLES, QUERIES, _boxes, _list, _on_pitch, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
 # --- matching ---
 
-_FEATURE = "[conf, 1.0::DOUBLE - conf, (x2 - x1) / 400.0::DOUBLE]"
-_COS = f"1.0::DOUBLE - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {_DOT.format(a='a.f', b='b.f')} / (sqrt({_DOT.format(a='a.f', b='a.f')}) * sqrt({_DOT.format(a='b.f', b='b.f')}))))"
+_FEATURES = "conf AS f1, 1.0::DOUBLE - conf AS f2, (x2 - x1) / 400.0::DOUBLE AS f3, det_idx % 5 <> 0 AS looks"
+_SUM = "(0.0::DOUBLE + {p}f1 * {q}f1 + {p}f2 * {q}f2 + {p}f3 * {q}f3)"
 
 
-@query(f"""WITH {BOXES_SQL}, s AS (SELECT *, {_FEATURE} AS f FROM boxes), c AS (SELECT b.frame_idx, a.det_idx AS track, b.det_idx AS det, a.det_idx % 3 AS missed, {_IOU.format(a='a', b='b')} AS over, {_COS} AS app FROM s a JOIN s b ON a.frame_idx + 1 = b.frame_idx),
-m AS (SELECT frame_idx, track, det, CASE WHEN over > 0.35::DOUBLE THEN 0.75::DOUBLE * (1.0::DOUBLE - over) + 0.25::DOUBLE * app WHEN missed > 0 AND app <= 0.35::DOUBLE THEN 0.45::DOUBLE + 0.45::DOUBLE * app + 0.10::DOUBLE * (1.0::DOUBLE - over) END AS cost FROM c)
-SELECT * FROM m WHERE cost IS NOT NULL""")
+@query(f"""WITH {BOXES_SQL}, m AS MATERIALIZED (SELECT *, {_FEATURES} FROM boxes),
+p AS (SELECT b.frame_idx, a.det_idx AS track, b.det_idx AS det, a.det_idx % 3 AS missed, a.looks AND b.looks AS looks, {_SUM.format(p='a.', q='b.')} AS ab, {_SUM.format(p='a.', q='a.')} AS aa, {_SUM.format(p='b.', q='b.')} AS bb, {_PAIR} FROM m a JOIN m b ON a.frame_idx + 1 = b.frame_idx), {_OVERLAPS},
+c AS (SELECT *, CASE WHEN looks THEN 1.0::DOUBLE - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ab / (sqrt(aa) * sqrt(bb)))) ELSE 1.0::DOUBLE END AS app FROM o),
+d AS (SELECT frame_idx, track, det, CASE WHEN over > 0.35::DOUBLE THEN CASE WHEN looks THEN 0.75::DOUBLE * (1.0::DOUBLE - over) + 0.25::DOUBLE * app ELSE 1.0::DOUBLE - over END WHEN missed > 0 AND app <= 0.35::DOUBLE THEN 0.45::DOUBLE + 0.45::DOUBLE * app + 0.10::DOUBLE * (1.0::DOUBLE - over) END AS cost FROM c)
+SELECT * FROM d WHERE cost IS NOT NULL""")
 def match_cost(spark, sf):
-    """Each frame's boxes as tracks, the next frame's as detections."""
-    s = _boxes(spark, sf).select("frame_idx", "det_idx", F.struct("x1", "y1", "x2", "y2").alias("box"), F.array("conf", 1.0 - F.col("conf"), (F.col("x2") - F.col("x1")) / 400.0).alias("feature"), (F.col("det_idx") % 3).alias("missed"))
+    """Each frame's boxes as tracks, the next frame's as detections. A fifth on either side has no feature."""
+    looks = F.when(F.col("det_idx") % 5 != 0, F.array("conf", 1.0 - F.col("conf"), (F.col("x2") - F.col("x1")) / 400.0)).otherwise(F.array().cast("array<double>"))
+    s = _boxes(spark, sf).select("frame_idx", "det_idx", F.struct("x1", "y1", "x2", "y2").alias("box"), looks.alias("feature"), (F.col("det_idx") % 3).alias("missed"))
     return d.match_costs(s.withColumn("frame_idx", F.col("frame_idx") + 1), s)
 
 
@@ -45,6 +49,8 @@ def assign_small(spark, sf):
     s = boxes.groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("rank", ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))).alias("p")).filter(F.size("p") == 3)
     pairs = s.select((F.col("frame_idx") + 1).alias("frame_idx"), F.col("p").alias("a")).join(s.select("frame_idx", F.col("p").alias("b")), "frame_idx")
 
+    ship(spark)
+
     @F.pandas_udf("double")
     def least(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
         import numpy as np
