@@ -13,7 +13,6 @@ import re
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,26 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.package import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a batch sent to a Python worker holds at most (a longer single text makes its own batch).
 BATCH_BYTES = 8 << 20
-_shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
     """Ship this package to the executors once a session, bound Arrow batches by bytes, and see to a checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        _shipped.add(sc.applicationId)
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        folder = tempfile.mkdtemp(prefix="touchline-py-")
-        atexit.register(shutil.rmtree, folder, True)
-        with zipfile.ZipFile(archive := f"{folder}/touchline_package.zip", "w") as z:
-            for d, _, names in os.walk(f"{root}/touchline"):
-                for n in names:
-                    if n.endswith(".py"):
-                        z.write(f"{d}/{n}", os.path.relpath(f"{d}/{n}", root))
-        sc.addPyFile(archive)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     shared_dir(spark)
 

@@ -459,8 +459,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id of each row."""
     known = grouped(docs, id_col, text_col)
     full = known.filter("n > 0")
-    least = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return full.join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(known.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    # most rows are alone in their component: only the others look theirs up
+    least = small(full.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows").checkpoint())
+    return full.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).unionByName(known.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
