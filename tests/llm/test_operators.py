@@ -269,6 +269,8 @@ def test_pii(docs, rows):
     for r in pii.find_pii(docs).collect():
         b = _identifiers(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(pii.joined(b).encode()).hexdigest() and set(filter(None, pii.joined(b).split(","))) <= set(r.spans.split(","))
+        assert r.n_spans == len(list(filter(None, r.spans.split(","))))
+    assert pii.find_pii(docs.limit(0)).count() == 0
     r = random.Random(1)
     for _ in range(5000):
         t = "".join(r.choice("ab.@-1234+ ()0%é") for _ in range(r.randint(0, 40)))
@@ -397,6 +399,7 @@ def test_language_model(spark, docs, rows, tmp_path, order, monkeypatch):
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.score(marked, model).collect())
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+    assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in language_model.score(marked.limit(50), model).collect())
 
 
 def test_token_files_of_one_id_split_and_beat_zlib(spark, tmp_path, monkeypatch):

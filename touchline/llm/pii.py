@@ -327,19 +327,20 @@ def masked(text: str | None) -> str | None:
 
 
 def _scan(ids: list, texts: list) -> dict:
-    out = {"doc_id": ids, **{f"n_{k}": [] for k in KINDS}, "base_sha256": [], "spans": []}
+    out = {"doc_id": ids, **{f"n_{k}": [] for k in KINDS}, "base_sha256": [], "spans": [], "n_spans": []}
     for t in texts:
         base, every = spans(t)
         for i, k in enumerate(KINDS):
             out[f"n_{k}"].append(sum(x[0] == i for x in base))
         out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
         out["spans"].append(joined(every))
+        out["n_spans"].append(len(every))
     return out
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points) of each row."""
-    return scan(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", _scan)
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end in code points), n_spans (all of them) of each row."""
+    return scan(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), ["doc_id", "text"], "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", _scan)
 
 
 class _Mask:
