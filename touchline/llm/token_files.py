@@ -30,9 +30,9 @@ from .common import Task, caches, documents, prepare, scratch
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Ids of a segment, from which it is closed after the document that reached it.
-SEGMENT = 8 << 20
+SEGMENT = 6 << 20
 #: Text of a part, in bytes, as planned; parts at least.
-PART_BYTES, PARTS = 32 << 20, 8
+PART_BYTES, PARTS = 16 << 20, 12
 _HEAD = struct.Struct("<4sIQIII")
 _DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
@@ -80,13 +80,14 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
 def pack(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
     """A segment's bytes."""
     ids = np.concatenate([np.empty(0, np.uint32), *arrays])
-    blocks, parts = rangecoder.encode(ids)
+    block = rangecoder.block_of(len(ids))
+    blocks, parts = rangecoder.encode(ids, block)
     docs = np.zeros(len(doc_ids), _DOCUMENT)
     docs["id"], docs["null"], docs["n"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids], list(map(len, arrays))
     table = np.zeros(len(blocks), _BLOCK)
     table["size"] = list(map(len, blocks))
-    table["crc"] = [zlib.crc32(ids[i * rangecoder.BLOCK : (i + 1) * rangecoder.BLOCK].astype("<u4").tobytes()) for i in range(len(blocks))]
-    head = _HEAD.pack(b"TLR2", len(docs), len(ids), rangecoder.BLOCK, len(blocks), parts) + docs.tobytes() + table.tobytes()
+    table["crc"] = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(len(blocks))]
+    head = _HEAD.pack(b"TLR2", len(docs), len(ids), block, len(blocks), parts) + docs.tobytes() + table.tobytes()
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
