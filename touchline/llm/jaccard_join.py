@@ -159,8 +159,8 @@ def sketch_bytes(n: int) -> int:
 
 
 class _Keys:
-    """Packed keys. To the bucket of its key goes one class for each key and task, so a frequent key comes there once a task; the task's other classes of a key stay together in a row of their own,
-    of a bucket below 0 that no other task has."""
+    """Packed keys. To the bucket of its key goes one class for each key and task, so a frequent key comes there once a task; all classes of a key that the task has two or more of stay together in a
+    row of their own, of a bucket below 0 that no other task has. Entries of such keys in the common bucket are marked by the owner's top bit."""
 
     def __init__(self, sent, buckets: int):
         self.sent, self.buckets = sent, buckets
@@ -196,25 +196,28 @@ class _Keys:
         key, own = key[fresh], own[fresh]
         first = np.r_[True, key[1:] != key[:-1]]
         local = ~(first & np.r_[first[1:], True])
-        out = [self.packed(own_bucket, key[local], own[local], table, width, 8)] if local.any() else []
-        key, own = key[first], own[first]
+        out = [self.packed(own_bucket, key[local], own[local], np.zeros(int(local.sum()), bool), table, width, 8)] if local.any() else []
+        key, own, local = key[first], own[first], local[first]
         bucket = (key >> _U(40)) * _U(self.buckets) >> _U(24)
         ends = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
-        out += [self.packed(k, key[ends[k] : ends[k + 1]], own[ends[k] : ends[k + 1]], table, width, 6) for k in np.flatnonzero(np.diff(ends)).tolist()]
+        out += [self.packed(k, key[a:b], own[a:b], local[a:b], table, width, 6) for k in np.flatnonzero(np.diff(ends)).tolist() for a, b in [ends[k : k + 2]]]
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "owner", "classes", "widths"])
 
     @staticmethod
-    def packed(bucket: int, key: np.ndarray, own: np.ndarray, table: np.ndarray, width: np.ndarray, size: int) -> tuple:
+    def packed(bucket: int, key: np.ndarray, own: np.ndarray, marked: np.ndarray, table: np.ndarray, width: np.ndarray, size: int) -> tuple:
         u, small = np.unique(own, return_inverse=True)
-        return bucket, np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes(), small.astype(np.uint32).tobytes(), table[u].tobytes(), width[u].tobytes()
+        owner = small.astype(np.uint32) | marked.astype(np.uint32) << np.uint32(31)
+        return bucket, np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes(), owner.tobytes(), table[u].tobytes(), width[u].tobytes()
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """Keys of a bucket that two classes or more have: a row for each of them, with the smallest of them (lead)."""
-    keys, classes, widths = [], [], []
+    """Keys of a bucket that two classes or more have: a row for each of them, with the smallest of them (lead); extra: the class has a row of this key in its task's own bucket too."""
+    keys, classes, widths, marks = [], [], [], []
     for b, k, o, c, w in zip(*[table.column(n).to_pylist() for n in ("bucket", "keys", "owner", "classes", "widths")], strict=True):
         o = np.frombuffer(o, np.uint32)
+        marks.append(o >> np.uint32(31) == 1)
+        o = o & np.uint32((1 << 31) - 1)
         if b < 0:
             keys.append(np.frombuffer(k, np.uint64))
         else:
@@ -225,15 +228,15 @@ def _shared_keys(table: pa.Table) -> pa.Table:
             keys.append(wide.view(np.uint64).reshape(-1) | _U(b & 0xFFFF) << _U(48))
         classes.append(np.frombuffer(c, np.int64)[o])
         widths.append(np.frombuffer(w, np.int64)[o])
-    key, cls, width = np.concatenate(keys), np.concatenate(classes), np.concatenate(widths)
-    order = np.lexsort((cls, key))
-    key, cls, width = key[order], cls[order], width[order]
+    key, cls, width, extra = map(np.concatenate, (keys, classes, widths, marks))
+    order = np.lexsort((~extra, cls, key))
+    key, cls, width, extra = key[order], cls[order], width[order], extra[order]
     new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
-    key, cls, width = key[new], cls[new], width[new]
+    key, cls, width, extra = key[new], cls[new], width[new], extra[new]
     first = np.r_[True, key[1:] != key[:-1]]
     lead = cls[np.maximum.accumulate(np.where(first, np.arange(len(cls)), 0))]
     alone = first & np.r_[first[1:], True]
-    return pa.table({"key": pa.array(key[~alone].view(np.int64)), "cls": pa.array(cls[~alone]), "lead": pa.array(lead[~alone]), "width": pa.array(width[~alone])})
+    return pa.table({"key": pa.array(key[~alone].view(np.int64)), "cls": pa.array(cls[~alone]), "lead": pa.array(lead[~alone]), "width": pa.array(width[~alone]), "extra": pa.array(extra[~alone])})
 
 
 def _sets(texts: list) -> dict:
@@ -356,7 +359,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 class Join:
-    """One run's tables: rows (doc_id, n, cls, text_key) of all documents, and the shared keys (key, cls, lead, width)."""
+    """One run's tables: rows (doc_id, n, cls, text_key) of all documents, and the shared keys (key, cls, lead, width, extra)."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.spark = docs.sparkSession
@@ -370,7 +373,7 @@ class Join:
         total = self.rows.agg(F.sum("n")).first()[0] or 0
         buckets = max(16, -(-total // 3 // BUCKET_KEYS))
         packed = self.docs.select("text").mapInArrow(Task(_Keys(sent, buckets), __name__), "bucket long, keys binary, owner binary, classes binary, widths binary")
-        self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long, lead long, width long")
+        self.shared = packed.groupBy("bucket").applyInArrow(by_group(_shared_keys), "key long, cls long, lead long, width long, extra boolean")
         self.shared = self.kept(self.shared)
         #: cls, n, sketch, and the row (doc_id, text_key) that stands for the class
         self.classes = self.rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n", "sketch")).alias("r")).select("cls", "r.doc_id", "r.text_key", "r.n", "r.sketch").join(self.shared.select("cls").distinct(), "cls", "left_semi").checkpoint()
@@ -422,7 +425,7 @@ class Join:
             else:
                 # keys that have several components still; after the forest, those of them where more pairs pass than it took
                 known = shared.withColumn("comp", F.col("cls")) if labels is None else shared.join(small(labels), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"), "width")
-                known = self.kept(known.select("key", "cls", "comp", "width"))
+                known = known.select("key", "cls", "comp", "width")
                 blocks = F.ceil(F.greatest(F.count("*") / GROUP, F.sum("width") / GROUP_BYTES)).cast("long").alias("blocks")
                 mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), blocks).filter("x < y").select("key", "blocks").checkpoint()
                 known = self.kept(known.join(small(mixed), "key"))
@@ -444,6 +447,8 @@ class Join:
                 links = new if links is None else links.unionByName(new)
                 labels = components(links)
             release(self.spark)
+            if turn == "star":
+                shared = shared.filter("NOT extra").drop("lead", "extra")
             if turn == "forest" and shared.isEmpty():
                 break
         return labels if labels is not None else self.spark.createDataFrame([], "cls long, comp long")
