@@ -247,6 +247,24 @@ def test_jaccard_join(spark, rows):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_key_keeps_all_its_classes_over_tasks():
+    keys = jaccard_join._Keys(None, 40)
+    key = [np.uint64(0xFEDCBA9876543210), np.uint64(0x0123456789ABCDEF)]
+    a = keys.send([np.array(key), np.array(key[:1]), np.array(key[:1])], [(5, 8), (7, 8), (3, 8)], -1)
+    b = keys.send([np.array(key), np.array([np.uint64(99)])], [(4, 8), (6, 8)], -2)
+    rows = {}
+    for batch in (a, b):
+        for r in batch.to_pylist():
+            rows.setdefault(r["bucket"], []).append(r)
+    import pyarrow as pa
+
+    found = [r for rs in rows.values() for r in jaccard_join._shared_keys(pa.Table.from_pylist(rs)).to_pylist()]
+    kept = sorted((r["key"], r["cls"]) for r in found if not r["extra"])
+    groups = sorted([c for k2, c in kept if k2 == k] for k in {k for k, _ in kept})
+    assert groups == [[3, 4, 5, 7], [4, 5]]
+    assert {(r["cls"], r["lead"]) for r in found if r["cls"] != r["lead"]} >= {(5, 3), (7, 3), (4, 3)}
+
+
 def test_sketch_distance_is_a_lower_bound():
     r = np.random.default_rng(1)
     for n in (3, 50, 700):

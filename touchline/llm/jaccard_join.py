@@ -196,7 +196,9 @@ class _Keys:
         key, own = key[fresh], own[fresh]
         first = np.r_[True, key[1:] != key[:-1]]
         local = ~(first & np.r_[first[1:], True])
-        out = [self.packed(own_bucket, key[local], own[local], np.zeros(int(local.sum()), bool), table, width, 8)] if local.any() else []
+        # a key has the same name in both kinds of rows: the bucket's number stands for its 16 top bits
+        named = key & _U((1 << 48) - 1) | ((key >> _U(40)) * _U(self.buckets) >> _U(24) & _U(0xFFFF)) << _U(48)
+        out = [self.packed(own_bucket, named[local], own[local], np.zeros(int(local.sum()), bool), table, width, 8)] if local.any() else []
         key, own, local = key[first], own[first], local[first]
         bucket = (key >> _U(40)) * _U(self.buckets) >> _U(24)
         ends = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
