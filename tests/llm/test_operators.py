@@ -214,6 +214,35 @@ def test_mixture(docs, rows):
     assert mixture.mix(docs).count() == sum(r.copies for r in got) and mixture.plan(docs.limit(0)).count() == 0
 
 
+def test_mixture_of_repeated_rows_comes_near_its_targets(spark):
+    """2,000 equal rows in several partitions; rows of one id and text but two sources; a null id."""
+    text = "ten words that are all the same in each row"
+    data = [(7, text, "a", "en", 1)] * 2000 + [(8, f"other words {i}", "b", "en", 1) for i in range(3000)] + [(9, text, s, "en", 1) for s in "ab" for _ in range(300)] + [(None, text, "a", "de", 2)] * 400
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, number string, part int").repartition(7)
+    got = mixture.plan(docs).collect()
+    for doc, n in ((7, 2000), (9, 600), (None, 400)):
+        mine = [r for r in got if r.doc_id == doc]
+        want = sum(r.target / r.source_size for r in mine)
+        assert len(mine) == n and abs(sum(r.copies for r in mine) - want) < 0.05 * max(want, n)
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.target] += r.size * r.copies
+    assert all(abs(n - t) < 0.05 * t for t, n in taken.items())
+    assert sorted(map(repr, mixture.plan(docs.repartition(3)).collect())) == sorted(map(repr, got))
+    mixed = mixture.mix(docs)
+    assert mixed.columns == docs.columns
+    assert Counter((r.doc_id, r.source) for r in mixed.collect() if r.doc_id != 8) == _copies(got, data)
+
+
+def _copies(rows, data):
+    size = {s: sum(len(WORD.findall(x)) for _, x, t, *_ in data if t == s) for s in "ab"}
+    out = Counter()
+    for r in rows:
+        if r.doc_id != 8:
+            out[(r.doc_id, next(s for s in "ab" if size[s] == r.source_size))] += r.copies
+    return out
+
+
 def test_jaccard_join(spark, rows):
     r = random.Random(9)
     words = [f"w{i}" for i in range(4000)]

@@ -1,20 +1,22 @@
 """Operator 4, mixing sources to target weights, in DataFrame operations alone.
 
 Tokens (here: words) are summed by source; a source's rate is its target over its size. Each document is emitted floor(rate) times, plus once more with the
-fraction's probability: a Bernoulli draw seeded by a hash of the document's id and its text, so reruns and other partitionings agree.
+fraction's probability: a Bernoulli draw seeded by a hash of the document's id and its text, so reruns and other partitionings agree. Rows that repeat both, and their source, are numbered, and the number is in the seed of all but
+the first, so that they are drawn independently of each other: of 2,000 equal rows at a rate of 1.5, about 1,000 are taken twice.
 
 Targets: sources in code point order (null last) weigh ``WEIGHTS`` in turn and share ``SHARE`` of all sizes; a target stops at ``MOST`` times its source's size, and the rest
 is shared again by weight, among those that aren't full, until none is above: one sum over the sources each time, with whole numbers.
 
-Null texts have size 0; a null source is a source; repeated rows are drawn each (equal rows alike); an empty table gives an empty result.
+Null texts have size 0; a null source is a source; repeated rows are drawn each; an empty table gives an empty result. Where rows repeat an id and a text but differ in other columns, how many of them are taken more often
+is fixed, while which ones depends on how they are dealt out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, column, documents, prepare, unused
+from .common import WORD, column, documents, prepare, small, unused
 
 WEIGHTS = (5, 2, 1)
 #: As fractions of whole numbers, so that all sums are exact.
@@ -70,25 +72,77 @@ def copies(target: Column, source_size: Column, seed: Column) -> Column:
     return F.floor(rate).cast("long") + (seed < rate - F.floor(rate)).cast("long")
 
 
+def numbered(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """rows (kept in a checkpoint, so that its parts stay the same) with the number, from 1, of each row among those with the same keys.
+
+    A task's rows of a key are numbered by themselves, after those of the tasks before it: a key that many rows have is no single task's work."""
+    part, before = unused(rows, "part", "before")
+    dealt = rows.withColumn(part, F.spark_partition_id())
+    same = Window.partitionBy(*map(column, keys)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*map(column, keys), column(part)).agg(F.count("*").alias(before)).withColumn(before, F.coalesce(F.sum(before).over(same), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*map(column, keys), column(part)).orderBy(F.lit(0)))
+    of = unused(dealt, *[f"of_{k}" for k in range(len(keys))], "of_part")
+    sizes = sizes.select(*[column(k).alias(o) for k, o in zip([*keys, part], of, strict=True)], before)
+    on = column(part) == column(of[-1])
+    for k, o in zip(keys, of, strict=False):
+        on &= column(k).eqNullSafe(column(o))
+    return dealt.withColumn(number, within).join(sizes, on).withColumn(number, column(number) + column(before)).select(*map(column, rows.columns), number)
+
+
+def _seed(ident: Column, digest: Column, number: Column) -> Column:
+    """The draw of the number-th row of an id, a text and a source."""
+    return F.when(number > 1, draw(ident, digest, number)).otherwise(draw(ident, digest))
+
+
+def _repeats(narrow: DataFrame) -> DataFrame | None:
+    """ident, digest that several rows have, or None."""
+    again = narrow.groupBy("ident", "digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("ident").alias("of_ident"), F.col("digest").alias("of_digest")).checkpoint()
+    return None if again.isEmpty() else small(again)
+
+
+def _same(ident: Column, digest: Column) -> Column:
+    return ident.eqNullSafe(F.col("of_ident")) & (digest == F.col("of_digest"))
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """ident, digest, source, size of each row, kept in the shared folder: texts are read once for all counts."""
+    text = column(text_col)
+    return docs.select(column(id_col).alias("ident"), F.md5(F.coalesce(text, F.lit(""))).alias("digest"), column(source_col).alias("source"), words(text).alias("size")).checkpoint()
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies of each row. Sizes are counted once, and the narrow rows are kept in the shared folder."""
+    """doc_id, size, source_size, target, copies of each row."""
     prepare(docs.sparkSession)
-    text = column(text_col)
-    sizes = docs.select(column(id_col).cast("long").alias("doc_id"), column(source_col).alias("source"), words(text).alias("size"), draw(column(id_col), F.md5(F.coalesce(text, F.lit("")))).alias("u")).checkpoint()
-    goal = targets(sizes).withColumnRenamed("source", "of")
-    return sizes.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", copies(F.col("target"), F.col("source_size"), F.col("u")).alias("copies"))
+    narrow = _narrow(docs.withColumn(id_col, column(id_col).cast("long")), id_col, text_col, source_col)
+    again = _repeats(narrow)
+    rows = narrow.withColumn("number", F.lit(1))
+    if again is not None:
+        on = _same(F.col("ident"), F.col("digest"))
+        rows = narrow.join(again, on, "left_anti").withColumn("number", F.lit(1)).unionByName(numbered(narrow.join(again, on, "left_semi").checkpoint(), ["ident", "digest", "source"], "number"))
+    goal = targets(narrow).withColumnRenamed("source", "of")
+    u = _seed(F.col("ident"), F.col("digest"), F.col("number"))
+    return rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).select(F.col("ident").alias("doc_id"), "size", "source_size", "target", copies(F.col("target"), F.col("source_size"), u).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
     prepare(docs.sparkSession)
-    text = column(text_col)
-    goal = targets(docs.select(column(source_col).alias("source"), words(text).alias("size")))
-    of, size, target, n = unused(docs, "of", "source_size", "target", "copies")
+    narrow = _narrow(docs, id_col, text_col, source_col)
+    again = _repeats(narrow)
+    goal = targets(narrow)
+    of, size, target, n, number, digest = unused(docs, "of", "source_size", "target", "copies", "number", "digest")
     goal = goal.select(F.col("source").alias(of), F.col("source_size").alias(size), F.col("target").alias(target))
-    u = draw(column(id_col), F.md5(F.coalesce(text, F.lit(""))))
+    rows = docs.withColumn(digest, F.md5(F.coalesce(column(text_col), F.lit(""))))
+    if again is None:
+        rows = rows.withColumn(number, F.lit(1))
+    else:
+        mark = unused(rows, "of_ident", "of_digest")
+        again = again.select(F.col("of_ident").alias(mark[0]), F.col("of_digest").alias(mark[1]))
+        on = column(id_col).eqNullSafe(column(mark[0])) & (column(digest) == column(mark[1]))
+        rows = rows.join(again, on, "left_anti").withColumn(number, F.lit(1)).unionByName(numbered(rows.join(again, on, "left_semi").checkpoint(), [id_col, digest, source_col], number))
+    u = _seed(column(id_col), column(digest), column(number))
     # few and small rows, but their number isn't known beforehand: the optimizer broadcasts them if their measured size allows
-    taken = docs.join(goal, column(source_col).eqNullSafe(F.col(of))).withColumn(n, copies(F.col(target), F.col(size), u).cast("int"))
+    taken = rows.join(goal, column(source_col).eqNullSafe(F.col(of))).withColumn(n, copies(F.col(target), F.col(size), u).cast("int"))
     return taken.select(*map(column, docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(of)).drop(of)
 
 
@@ -100,8 +154,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
+    CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) || CASE WHEN number > 1 THEN ':' || number ELSE '' END), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) AS number FROM documents)),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS BIGINT) AS weight FROM total),
 filled AS (
