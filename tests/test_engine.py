@@ -26,8 +26,8 @@ def test_telemetry_is_one_json_document_a_clip(spark, tmp_path):
     assert out.endswith(".json")
     a.write(str(tmp_path / "drawn"), videos)
     drawn = spark.read.parquet(str(tmp_path / "drawn"))
-    # each frame: four players with labels, a referee, and the ball from frame 0 to 16
-    assert drawn.groupBy("kind").count().orderBy("kind").collect() == [("ellipse", 5 * 20 * 5), ("label", 5 * 20 * 4), ("triangle", 5 * 17)]
+    # each frame: four players with labels, a referee, and the ball: seen in each fourth frame and the one after it, from 0 to 17, and interpolated in between
+    assert drawn.groupBy("kind").count().orderBy("kind").collect() == [("ellipse", 5 * 20 * 5), ("label", 5 * 20 * 4), ("triangle", 5 * 18)]
 
 
 def test_clips_do_not_touch_each_other(spark):

@@ -22,21 +22,25 @@ from .sources import sinks
 
 @dataclass
 class Analysis:
-    """players: clip_id, frame_idx, track_id, class_id (the team), box; balls: interpolated; referees: with referee_id; tactical: counts and homography of each frame; points: all of them on the pitch."""
+    """players: clip_id, frame_idx, track_id, class_id (the team), box; balls: all of each frame, as last seen; ball_path: the best of them, interpolated (for drawing alone); referees: as last seen, with referee_id; tactical:
+    counts and homography of each frame; points: all of them on the pitch; models: the clips' team models."""
 
     players: DataFrame
     balls: DataFrame
+    ball_path: DataFrame
     referees: DataFrame
     corners: DataFrame
     tactical: DataFrame
     points: DataFrame
+    models: DataFrame
     fps: float = 25.0
 
     def telemetry(self) -> DataFrame:
         return sinks.telemetry_frames(self.tactical, self.fps)
 
     def drawing(self) -> DataFrame:
-        return sinks.annotations(self.players, self.balls, self.referees)
+        players, _, referees = store_tracks(self.players, self.balls, self.referees)
+        return sinks.annotations(players, self.ball_path, referees)
 
     def write(self, path: str, videos: DataFrame) -> None:
         """By the path's ending: telemetry as JSON text, or the draw list that a renderer takes, as Parquet. videos: clip_id, path, width, height, total_frames."""
@@ -50,30 +54,39 @@ class Analysis:
 def store_tracks(players: DataFrame, balls: DataFrame, referees: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is kept of a frame: the last box of each track of 0 or more, the best ball that has an area, and referees by ordinal."""
     keys = d.frame(players)
-    last = d.last_by_track(players)
+    # predicted boxes have no place of their own: they come before all that do
+    placed = players.withColumn("det_idx", F.coalesce("det_idx", F.lit(-1)))
+    last = d.last_by_track(placed)
     best = d.best_ball(d.valid_balls(balls))
-    return players.join(last, [*keys, "track_id", "det_idx"], "left_semi"), best, referees.join(d.referee_ordinals(referees), [*keys, "det_idx"])
+    kept = placed.join(last, [*keys, "track_id", "det_idx"], "left_semi").withColumn("det_idx", F.nullif("det_idx", F.lit(-1)))
+    return kept, best, referees.drop("referee_id").join(d.referee_ordinals(referees), [*keys, "det_idx"])
 
 
-def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames: DataFrame, model: teams.TeamModel, fps: float = 25.0, stride: int = 2, interval: int = 15) -> Analysis:
-    """The analysis of all clips. Boxes are looked at in each ``stride``-th frame; the model says which team an appearance belongs to."""
+def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames: DataFrame, models: DataFrame | None = None, fps: float = 25.0, stride: int = 2, interval: int = 15) -> Analysis:
+    """The analysis of all clips. Boxes are looked at in each ``stride``-th frame. models: the clips' team models (teams.fit_by_clip); each clip is judged by its own, and without ``models`` they are fitted on these detections."""
+    keys = ["clip_id", "frame_idx"]
     looked = detections.filter(F.col("frame_idx") % stride == 0)
     boxes = d.nms(looked)
     # tracks, with their predicted boxes in the frames between
-    people = boxes.filter(F.col("class_id") == d.PLAYER).join(looked.select("clip_id", "frame_idx", "det_idx", "feature"), ["clip_id", "frame_idx", "det_idx"])
+    people = boxes.filter(F.col("class_id") == d.PLAYER).join(looked.select(*keys, "det_idx", "feature"), [*keys, "det_idx"])
+    models = teams.fit_by_clip(people) if models is None else models
     ends = frames.groupBy("clip_id").agg(F.max("frame_idx").alias("last"))
     tracked = tracker.run(people.join(ends, "clip_id"), stride=stride, feature="feature", boxes=True, last="last")
-    judged = model.predict(people.filter("feature IS NOT NULL").select(F.struct("clip_id", "frame_idx", "det_idx").alias("vec_id"), F.col("feature").alias("e"))).select("vec_id.*", F.col("team").alias("predicted"))
-    seen = tracked.join(judged, ["clip_id", "frame_idx", "det_idx"], "left").withColumn("class_id", F.lit(d.PLAYER))
-    # only frames that were looked at vote; the others keep the label
-    labels = sequences.team_labels(seen)
+    judged = teams.predict_by_clip(people, models)
+    seen = tracked.join(judged, [*keys, "det_idx"], "left").withColumn("class_id", F.lit(d.PLAYER))
+    # a track votes on what it is in the frames in which it is found, and keeps that in between
+    votes = seen.filter("det_idx IS NOT NULL").select("clip_id", "track_id", F.col("frame_idx").alias("seq"), (F.col("class_id") == d.REFEREE).cast("int").alias("vote"))
+    roles = sequences.role(votes).select("clip_id", "track_id", F.col("seq").alias("frame_idx"), "is_referee")
+    seen = seen.join(roles, [*keys, "track_id"], "left").withColumn("class_id", F.when(F.col("is_referee"), d.REFEREE).otherwise(F.col("class_id"))).drop("is_referee")
+    # only frames that were looked at vote; the others keep the label. Who has none yet stays of class 0, which is the first team's
+    labels = sequences.team_labels(seen).filter("team >= 0")
     players = d.with_teams(seen.drop("predicted"), labels)
-    # balls of close-ups need more confidence; the best one of a frame, and what lies between
-    balls = sequences.interpolate_boxes(d.best_ball(d.valid_balls(d.closeup_filter(boxes))))
-    referees = d.carry_forward(boxes.filter(F.col("class_id") == d.REFEREE), frames, boxed=True)
-    referees = referees.join(d.referee_ordinals(referees), ["clip_id", "frame_idx", "det_idx"])
+    # balls of close-ups need more confidence; all balls, and all referees, of the last frame that was looked at
+    balls = d.carry_forward(d.closeup_filter(boxes), frames, boxed=True, stride=stride)
+    referees = d.carry_forward(boxes.filter(F.col("class_id") == d.REFEREE), frames, boxed=True, stride=stride)
+    referees = referees.join(d.referee_ordinals(referees), [*keys, "det_idx"])
+    path = sequences.interpolate_boxes(d.best_ball(d.valid_balls(balls)))
     # corners: detected now and then, moved along by flow in between; one homography a frame
-    keys = ["clip_id", "frame_idx"]
     counted = frames.join(sequences.visible(corners), keys, "left").na.fill(0, ["n_corners", "n_visible"])
     cached = sequences.corner_cache(counted, interval).select(*keys, "from_frame")
     held = cached.join(corners.withColumnRenamed("frame_idx", "from_frame"), ["clip_id", "from_frame"], "left")
@@ -82,10 +95,10 @@ def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames:
     smooth = homography.smooth(fits.select(*keys, "h"))
     counts = d.team_counts(frames, players, balls, referees).join(smooth, keys)
     who = ["clip_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2"]
-    # roles on the pitch: 0 and 1 are teams, 2 the ball, 3 referees
+    # roles on the pitch: 0 and 1 are teams, 2 balls, 3 referees
     everyone = players.filter("class_id IN (0, 1)").select(*[F.col("track_id").alias(c) if c == "det_idx" else c for c in who], F.col("class_id").alias("role"))
-    for df, role, ident in ((balls, 2, F.lit(0)), (referees, 3, F.col("referee_id"))):
+    for df, role, ident in ((balls, 2, F.col("det_idx")), (referees, 3, F.col("referee_id"))):
         everyone = everyone.unionByName(df.select(*[ident.cast("int").alias(c) if c == "det_idx" else F.col(c).cast("int") if c == "class_id" else c for c in who], F.lit(role).alias("role")))
     points = pitch.tactical(everyone.withColumn("class_id", F.when(F.col("role") == 2, 1).when(F.col("role") == 3, 2).otherwise(0)).withColumn("det_idx", F.col("role") * 1_000_000 + F.col("det_idx")), smooth)
     points = points.select("clip_id", "frame_idx", F.floor(F.col("det_idx") / 1_000_000).cast("int").alias("role"), (F.col("det_idx") % 1_000_000).alias("id"), "x", "y")
-    return Analysis(players, balls, referees, used, counts, points, fps)
+    return Analysis(players, balls, path, referees, used, counts, points, models, fps)

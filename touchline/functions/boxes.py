@@ -29,9 +29,9 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine, clamped; 1 where a side is empty, has no length, or differs in size."""
-    na, nb = dot(a, a), dot(b, b)
+def cosine_distance(a: Column, b: Column, na: Column | None = None, nb: Column | None = None) -> Column:
+    """1 - cosine, clamped; 1 where a side is empty, has no length, or differs in size. na, nb: the sides' squared lengths, where they are known."""
+    na, nb = dot(a, a) if na is None else na, dot(b, b) if nb is None else nb
     usable = (F.size(a) > 0) & (F.size(a) == F.size(b)) & (na > 1e-12) & (nb > 1e-12)
     return F.when(usable, 1.0 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (F.sqrt(na) * F.sqrt(nb))))).otherwise(F.lit(1.0))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import HEIGHT, PAD, WIDTH, clamp, cosine_distance, iou
+from ..functions.boxes import HEIGHT, PAD, WIDTH, clamp, cosine_distance, dot, iou
+from .sequences import last_look
 
 PLAYER, BALL, REFEREE = 0, 1, 2
 MIN_CONF = {PLAYER: 0.25, BALL: 0.15, REFEREE: 0.25}
@@ -26,10 +27,10 @@ def decode(anchors: DataFrame) -> DataFrame:
 
 
 def classify(scores: Column) -> Column:
-    """The class of the largest of three scores (ties to the first), if it reaches its own threshold; else null. A missing score is 0."""
+    """The first class whose score no other exceeds and that reaches its own threshold; else null. A missing score is 0."""
     s = [F.coalesce(F.try_element_at(scores, F.lit(i + 1)), F.lit(0.0)) for i in range(3)]
     best = F.greatest(*s)
-    return F.when(s[0] == best, F.when(best >= MIN_CONF[PLAYER], PLAYER)).when(s[1] == best, F.when(best >= MIN_CONF[BALL], BALL)).otherwise(F.when(best >= MIN_CONF[REFEREE], REFEREE)).cast("int")
+    return F.when((s[0] == best) & (best >= MIN_CONF[PLAYER]), PLAYER).when((s[1] == best) & (best >= MIN_CONF[BALL]), BALL).when((s[2] == best) & (best >= MIN_CONF[REFEREE]), REFEREE).cast("int")
 
 
 def _suppress(boxes: DataFrame, value: list[str], near) -> DataFrame:
@@ -93,13 +94,13 @@ def best_overlap(tracked: DataFrame, raw: DataFrame) -> DataFrame:
     return t.join(r, keys).select(*keys, "track", "raw", iou(F.col("a"), F.col("b")).alias("iou")).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
-def carry_forward(boxes: DataFrame, spine: DataFrame, boxed: bool = False) -> DataFrame:
-    """Odd frames show the boxes of the even frame before, as a set (also if it is empty). boxed: with all columns."""
-    even = boxes.filter("frame_idx % 2 = 0").withColumnRenamed("frame_idx", "from_frame")
+def carry_forward(boxes: DataFrame, spine: DataFrame, boxed: bool = False, stride: int = 2, looks: DataFrame | None = None) -> DataFrame:
+    """Each frame of the spine shows the boxes of its clip's last looked-at frame, as a set (also if that is empty). Looked-at frames are the spine's each ``stride``-th, or ``looks`` (clip_id, frame_idx), however they lie.
+    Frames before the first of them show nothing; boxes of other frames aren't seen. boxed: with all columns."""
     keys = frame(boxes)
-    frames = spine.select(*keys).distinct().withColumn("from_frame", F.col("frame_idx") - F.col("frame_idx") % 2)
+    at = last_look(spine, spine.filter(F.col("frame_idx") % stride == 0) if looks is None else looks)
     rest = [c for c in boxes.columns if c not in (*keys, "det_idx", "class_id", "conf")] if boxed else []
-    return frames.join(even, [*keys[:-1], "from_frame"]).select(*keys, "from_frame", "det_idx", "class_id", "conf", *rest)
+    return at.join(boxes.withColumnRenamed("frame_idx", "from_frame"), [*keys[:-1], "from_frame"]).select(*keys, "from_frame", "det_idx", "class_id", "conf", *rest)
 
 
 def crop_rects(boxes: DataFrame) -> DataFrame:
@@ -117,13 +118,16 @@ def pass_any(scores: Column) -> Column:
 def match_costs(tracks: DataFrame, found: DataFrame, least: float = 0.35) -> DataFrame:
     """frame_idx, track, det, cost of allowed pairs of a frame. Both sides have a struct box and an array feature, tracks also missed (frames since seen).
 
-    Overlap beyond ``least``: three quarters overlap, one quarter appearance, or overlap alone where either side has no feature; else, for tracks that were lost, likeness of appearance."""
+    Overlap beyond ``least``: three quarters overlap, one quarter appearance, or overlap alone where either side has no feature; else, for tracks that were lost, likeness of appearance. Lengths of features are
+    computed once a side, and likeness only for pairs whose cost it decides."""
     keys = frame(found)
-    app, over = cosine_distance(F.col("tf"), F.col("df")), iou(F.col("tb"), F.col("db"))
-    cost = F.when(F.col("over") > least, F.when((F.size("df") > 0) & (F.size("tf") > 0), 0.75 * (1.0 - F.col("over")) + 0.25 * F.col("app")).otherwise(1.0 - F.col("over"))).when((F.col("missed") > 0) & (F.col("app") <= 0.35), 0.45 + 0.45 * F.col("app") + 0.10 * (1.0 - F.col("over")))
-    t = tracks.select(*keys, F.col("det_idx").alias("track"), F.col("box").alias("tb"), F.col("feature").alias("tf"), "missed")
-    d = found.select(*keys, F.col("det_idx").alias("det"), F.col("box").alias("db"), F.col("feature").alias("df"))
-    return t.join(d, keys).select(*keys, "track", "det", "missed", "tf", "df", app.alias("app"), over.alias("over")).select(*keys, "track", "det", cost.alias("cost")).filter("cost IS NOT NULL")
+    over, enough, both = iou(F.col("tb"), F.col("db")), F.col("over") > least, (F.size("df") > 0) & (F.size("tf") > 0)
+    app = F.when(F.when(enough, both).otherwise(F.col("missed") > 0), cosine_distance(F.col("tf"), F.col("df"), F.col("tn"), F.col("dn")))
+    cost = F.when(enough, F.when(both, 0.75 * (1.0 - F.col("over")) + 0.25 * F.col("app")).otherwise(1.0 - F.col("over"))).when((F.col("missed") > 0) & (F.col("app") <= 0.35), 0.45 + 0.45 * F.col("app") + 0.10 * (1.0 - F.col("over")))
+    t = tracks.select(*keys, F.col("det_idx").alias("track"), F.col("box").alias("tb"), F.col("feature").alias("tf"), dot(F.col("feature"), F.col("feature")).alias("tn"), "missed")
+    d = found.select(*keys, F.col("det_idx").alias("det"), F.col("box").alias("db"), F.col("feature").alias("df"), dot(F.col("feature"), F.col("feature")).alias("dn"))
+    pairs = t.join(d, keys).withColumn("over", over).filter(enough | (F.col("missed") > 0))
+    return pairs.withColumn("app", app).select(*keys, "track", "det", cost.alias("cost")).filter("cost IS NOT NULL")
 
 
 def in_class_order(boxes: DataFrame) -> DataFrame:

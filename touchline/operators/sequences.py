@@ -4,12 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import HEIGHT, WIDTH, clamp, dot
 from ..sources.package import ship
 
+#: Frame numbers of a block: what is carried along a clip goes block by block, so that one long clip is many tasks' work.
+BLOCK = 4096
+
+
+def running_max(df: DataFrame, value: Column, name: str, strict: bool = False) -> DataFrame:
+    """df (clip_id, if it has one, and frame_idx) with the largest value of the clip's rows so far; strict: of those before the row. Rows of one frame_idx must be one.
+
+    A scan in two levels: each block's own maximum, the maxima of the blocks before it (a row a block), and then a window within the block. No window spans a clip's rows."""
+    keys = [*(["clip_id"] if "clip_id" in df.columns else [])]
+    block, before, own = (f"_{name}_{k}" for k in ("block", "before", "own"))
+    df = df.withColumn(block, F.floor(F.col("frame_idx") / BLOCK)).withColumn(own, value)
+    blocks = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, block).agg(F.max(own).alias(own)).select(*keys, block, F.max(own).over(blocks).alias(before))
+    within = Window.partitionBy(*keys, block).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    return df.join(tops, [*keys, block]).withColumn(name, F.greatest(before, F.max(own).over(within))).drop(block, before, own)
+
+
+def last_look(spine: DataFrame, looks: DataFrame) -> DataFrame:
+    """The spine's frames with from_frame: the clip's last frame so far that is among looks (both clip_id, frame_idx; null before the first): an as-of join of the two."""
+    keys = [c for c in ("clip_id", "frame_idx") if c in spine.columns]
+    frames = spine.select(*keys).distinct().withColumn("asked", F.lit(True))
+    both = frames.join(looks.select(*keys).distinct().withColumn("look", F.col("frame_idx")), keys, "full")
+    return running_max(both, F.col("look"), "from_frame").filter("asked").select(*keys, "from_frame")
+
 
 def interpolate(obs: DataFrame, longest: int = 30) -> DataFrame:
     """Fill gaps of 2 to longest frames between a clip's observations (x, y), at constant acceleration.
@@ -60,8 +84,9 @@ def majority(votes: DataFrame, last: int = 15) -> DataFrame:
 
 def role(votes: DataFrame) -> DataFrame:
     """A referee is a track with more referee votes than player votes so far."""
-    w = Window.partitionBy("track_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return votes.select("track_id", "seq", (F.sum(F.when(F.col("vote") == 1, 1).otherwise(-1)).over(w) > 0).alias("is_referee"))
+    keys = [*(["clip_id"] if "clip_id" in votes.columns else []), "track_id"]
+    w = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return votes.select(*keys, "seq", (F.sum(F.when(F.col("vote") == 1, 1).otherwise(-1)).over(w) > 0).alias("is_referee"))
 
 
 def _ordered(df: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
@@ -105,10 +130,11 @@ def kalman_axis(obs: DataFrame, value: str = "x") -> DataFrame:
 
 
 def training_sample(counts: DataFrame, frames: int = 0) -> DataFrame:
-    """Strided frames until enough crops are there: a frame is taken while what came before is less. counts: frame_idx, n; frames: the run's frame limit, if it has one (2880 otherwise). Short runs are looked at more closely."""
+    """Strided frames of each clip until enough crops are there: a frame is taken while what came before is less. counts: clip_id (if there are several), frame_idx, n; frames: the run's frame limit, if it has one (2880 otherwise). Short runs are looked at more closely."""
     stride, target = (2 if 0 < frames <= 30 else 12), (60 if 0 < frames <= 60 else 120)
-    w = Window.orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.filter(F.col("frame_idx") % stride == 0).filter(F.col("frame_idx") < (frames if frames > 0 else 2880)).withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("prior") < target).select("frame_idx", "n")
+    keys = [*(["clip_id"] if "clip_id" in counts.columns else [])]
+    w = Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.filter(F.col("frame_idx") % stride == 0).filter(F.col("frame_idx") < (frames if frames > 0 else 2880)).withColumn("prior", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("prior") < target).select(*keys, "frame_idx", "n")
 
 
 def ema_appearance(df: DataFrame, key: str, order: str, vector: str, keep: float = 0.9) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import cosine_distance, dot, grid, squared_distance
 from ..sources.package import ship
+from .sequences import training_sample
 
 #: Rows that a team model is fitted on at most, and the mean silhouette that it needs.
 TRAIN_ROWS, LEAST_SILHOUETTE = 120, 0.15
@@ -101,9 +103,15 @@ def separated(score: Column) -> Column:
     return F.coalesce(~F.isnan(score) & (score >= LEAST_SILHOUETTE), F.lit(False))
 
 
-def training_rows(emb: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """The rows that a model is fitted on: those of the smallest hashes, ``most`` at most."""
-    return emb.filter("e IS NOT NULL").select("vec_id", "e").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most)
+def training_rows(emb: DataFrame, most: int = TRAIN_ROWS, by: tuple[str, ...] = (), ident: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+    """The rows that a model is fitted on: those of the smallest hashes of ident, ``most`` at most; with ``by``, of each of its groups.
+
+    The ranks' limit is pushed below the shuffle, so a task sends ``most`` rows of a group at most."""
+    found = emb.filter("e IS NOT NULL")
+    if not by:
+        return found.select("vec_id", "e").orderBy(F.xxhash64(*ident), *ident).limit(most)
+    order = Window.partitionBy(*by).orderBy(F.xxhash64(*by, *ident), *ident)
+    return found.select(*by, *ident, "e", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= most).drop("rank")
 
 
 def cached_labels(tracks: DataFrame, cache: DataFrame) -> DataFrame:
@@ -160,9 +168,12 @@ class TeamModel:
 
     def fit(self, emb: DataFrame) -> TeamModel:
         """From (vec_id, e); vectors that are null or of another size than the first are passed over."""
-        rows = training_rows(emb).collect()
-        x = [r.e for r in rows if len(r.e) == len(rows[0].e)]
-        if len(x) < self.teams:
+        return self.learn([r.e for r in training_rows(emb).collect()])
+
+    def learn(self, rows: list) -> TeamModel:
+        """From the sample itself."""
+        x = [e for e in rows if len(e) == len(rows[0])]
+        if len(x) < self.teams or not len(x[0]):
             return self
         x = np.array(x, float)
         self.fit_pca(x)
@@ -185,3 +196,37 @@ class TeamModel:
         centred = F.zip_with("e", F.array(*map(F.lit, self.mean.tolist())), lambda x, m: x - m)
         e = F.array(*[dot(F.col("c"), F.array(*map(F.lit, v))) for v in self.axes.tolist()])
         return assign(emb.select("vec_id", centred.alias("c")).select("vec_id", e.alias("e")), self.centroids.tolist()).select("vec_id", "team")
+
+
+_MODEL = "mean array<double>, axes array<array<double>>, centroids array<array<double>>, score double, rows int"
+
+
+def fit_by_clip(players: DataFrame, frames: int = 0, components: int = 3) -> DataFrame:
+    """A team model a clip, as a relation: clip_id, mean, axes, centroids, score, rows (how many it was fitted on). players: clip_id, frame_idx, det_idx, feature (null: none).
+
+    Each clip is sampled as training_sample() says, and of those rows the TRAIN_ROWS of the smallest hashes are fitted, a small group a clip; nothing goes to the driver. The first of a clip's sampled rows fixes the
+    vectors' size: others are passed over. A clip whose sample has fewer rows than teams has a row without mean and centroids, of score -1; one that isn't looked at in its sampled frames has none."""
+    seen = players.filter(F.col("feature").isNotNull() & (F.size("feature") > 0)).select("clip_id", "frame_idx", "det_idx", F.col("feature").cast("array<double>").alias("e"))
+    taken = training_sample(seen.groupBy("clip_id", "frame_idx").agg(F.count("*").alias("n")), frames).select("clip_id", "frame_idx")
+    sample = training_rows(seen.join(taken, ["clip_id", "frame_idx"], "left_semi"), by=("clip_id",), ident=("frame_idx", "det_idx"))
+
+    def clip(df: pd.DataFrame) -> pd.DataFrame:
+        m = TeamModel(components).learn(df.sort_values(["frame_idx", "det_idx"], kind="stable")["e"].tolist())
+        lists = [None if v is None else v.tolist() for v in (m.mean, m.axes, m.centroids)]
+        return pd.DataFrame([(df["clip_id"].iloc[0], *lists, m.score if np.isfinite(m.score) else None, len(df))], columns=["clip_id", "mean", "axes", "centroids", "score", "rows"])
+
+    ship(players.sparkSession)
+    return sample.groupBy("clip_id").applyInPandas(clip, f"clip_id long, {_MODEL}")
+
+
+def predict_by_clip(players: DataFrame, models: DataFrame) -> DataFrame:
+    """clip_id, frame_idx, det_idx, predicted of players (clip_id, frame_idx, det_idx, feature) that have a feature, by their own clip's model: a join and column expressions.
+
+    0 where the model isn't good enough, or the feature isn't of its size; null where the clip has no model."""
+    of = models.withColumn("valid", separated(F.col("score")) & F.col("centroids").isNotNull()).select(F.col("clip_id").alias("of_clip"), "mean", "axes", "centroids", "valid")
+    both = players.filter("feature IS NOT NULL").select("clip_id", "frame_idx", "det_idx", F.col("feature").cast("array<double>").alias("e")).join(of, F.col("clip_id") == F.col("of_clip"), "left")
+    both = both.withColumn("c", F.zip_with("e", "mean", lambda x, m: x - m)).withColumn("p", F.transform("axes", lambda a: dot(F.col("c"), a)))
+    # the first centroid that no other is nearer than
+    near = both.withColumn("d", F.transform("centroids", lambda c: squared_distance(F.col("p"), c))).withColumn("near", (F.array_position("d", F.array_min("d")) - 1).cast("int"))
+    fits = F.col("valid") & (F.size("e") == F.size("mean")) & (F.col("near") >= 0)
+    return near.select("clip_id", "frame_idx", "det_idx", F.when(F.col("of_clip").isNotNull(), F.when(F.coalesce(fits, F.lit(False)), F.col("near")).otherwise(0)).alias("predicted"))

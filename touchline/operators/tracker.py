@@ -1,4 +1,4 @@
-"""The tracker: the one sequential operator. A clip is a group; its frames are taken in order.
+"""The tracker: the one sequential operator. A clip's frames are taken in order; a clip falls into pieces where no track can live on, and each piece is a group.
 
 Matching first holds confident detections against all tracks, then less confident ones against active tracks alone. A track that misses is lost at once, can be found again by
 overlap or appearance, and is dropped after ``buffer`` misses. Assignment is the optimum over allowed pairs: as many as possible, then the least cost; pairs beyond the cost limit go afterwards.
@@ -11,9 +11,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..sources.package import ship
+from .sequences import running_max
 
 HIGH, LOW, LIMIT, REID = 0.25, 0.10, 0.75, 0.35
 FORBIDDEN = np.inf
@@ -199,20 +201,48 @@ def features(g: pd.DataFrame, column: str | None) -> list[np.ndarray | None]:
     return out
 
 
-def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxes: bool = False, last: str | None = None) -> DataFrame:
-    """clip_id, frame_idx, track_id, det_idx (null where predicted), with ``boxes`` also x1, y1, x2, y2, conf (null where predicted), from detections (clip_id, frame_idx, det_idx, x1, y1, x2, y2, conf). A clip is the unit of parallel work.
+#: Frames that a lost track is kept for.
+BUFFER = 120
+
+
+def pieces(detections: DataFrame, stride: int = 1, buffer: int = BUFFER) -> DataFrame:
+    """clip_id, frame_idx, piece, until of the frames with detections: a clip's independent pieces, known by their first frame; until: the frame before the next piece's (null: the clip's last piece).
+
+    After ``buffer`` looked-at frames without a box no track can live, so what follows doesn't depend on what was before: a new piece starts there. Found by scans in blocks of frames, not by going through a clip."""
+    frames = detections.select("clip_id", "frame_idx").distinct()
+    look = F.when(F.col("frame_idx") % stride == 0, F.col("frame_idx"))
+    seen = running_max(frames, look, "before", strict=True)
+    # looked-at frames between the last one with a box and this one, which may itself be a predicted one
+    empty = F.floor((F.col("frame_idx") - 1) / stride) - F.floor(F.col("before") / stride)
+    starts = seen.withColumn("start", F.when(look.isNotNull() & (F.col("before").isNull() | (empty >= buffer)), F.col("frame_idx")))
+    named = running_max(starts, F.col("start"), "piece").select("clip_id", "frame_idx", F.coalesce("piece", "frame_idx").alias("piece"))
+    following = named.select("clip_id", "piece").distinct().withColumn("until", F.lead("piece").over(Window.partitionBy("clip_id").orderBy("piece")) - 1)
+    return named.join(following, ["clip_id", "piece"])
+
+
+def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxes: bool = False, last: str | None = None, cut: bool = True) -> DataFrame:
+    """clip_id, frame_idx, track_id, det_idx (null where predicted), with ``boxes`` also x1, y1, x2, y2, conf (null where predicted), from detections (clip_id, frame_idx, det_idx, x1, y1, x2, y2, conf).
 
     Frames without a row count as seen and empty, from the clip's first frame to its last; with stride s, other frames than each s-th are predicted. Where no track is left, empty frames are passed over at once.
     ``last`` names a column that holds the clip's last frame, where that may come after the last one with a box.
-    ``feature`` names a column of appearance vectors (arrays), by which lost tracks are found again away from their predicted place; without it overlap alone counts."""
+    ``feature`` names a column of appearance vectors (arrays), by which lost tracks are found again away from their predicted place; without it overlap alone counts.
 
-    def clip(df: pd.DataFrame) -> pd.DataFrame:
+    The unit of parallel work is a clip's piece between two stretches that no track outlives (pieces()): each is tracked by itself, from 1 on, and its ids are then raised by the number of tracks of the clip's pieces before
+    it. cut=False tracks each clip as one piece, with the same result."""
+    ship(detections.sparkSession)
+    schema = "clip_id long, piece long, frame_idx long, track_id int, det_idx int" + ", x1 double, y1 double, x2 double, y2 double, conf double" * boxes
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def piece(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["frame_idx", "det_idx"], kind="stable")
         frames = {f: g for f, g in df.groupby("frame_idx")}
-        t, rows = Tracker(), []
+        t, rows = Tracker(buffer=BUFFER), []
         none = df.iloc[:0]
         order = [int(f) for f in sorted(frames)]
         f, end = order[0], max(order[-1], int(df[last].iloc[0])) if last else order[-1]
+        if not pd.isna(df["until"].iloc[0]):
+            end = int(df["until"].iloc[0])
+        head = df["clip_id"].iloc[0], df["piece"].iloc[0]
         while f <= end:
             if f not in frames and not t.active and not t.lost:
                 if f > order[-1]:
@@ -223,10 +253,16 @@ def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxe
             found = t.update(xy, conf, features(g, feature), predicted=f % stride != 0)
             place = {x.id: x.box for x in t.active} if boxes else {}
             for i, k in found:
-                rows.append((df["clip_id"].iloc[0], f, i, ids[k] if k >= 0 else None, *((*place[i], conf[k] if k >= 0 else None) if boxes else ())))
+                rows.append((*head, f, i, ids[k] if k >= 0 else None, *((*place[i], conf[k] if k >= 0 else None) if boxes else ())))
             f += 1
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"track_id": "int32", "det_idx": "Int32"})
-
-    schema = "clip_id long, frame_idx long, track_id int, det_idx int" + ", x1 double, y1 double, x2 double, y2 double, conf double" * boxes
-    ship(detections.sparkSession)
-    return detections.groupBy("clip_id").applyInPandas(clip, schema)
+        return pd.DataFrame(rows, columns=names).astype({"track_id": "int32", "det_idx": "Int32"})
+
+    if not cut:
+        whole = detections.withColumn("piece", F.lit(0).cast("long")).withColumn("until", F.lit(None).cast("long"))
+        return whole.groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema).drop("piece")
+    at = pieces(detections, stride)
+    tracked = detections.join(at, ["clip_id", "frame_idx"]).groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema).repartition("clip_id", "piece")
+    births = tracked.groupBy("clip_id", "piece").agg(F.max("track_id").alias("births"))
+    before = Window.partitionBy("clip_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    raised = births.select("clip_id", "piece", F.coalesce(F.sum("births").over(before), F.lit(0)).cast("int").alias("raise"))
+    return tracked.join(raised, ["clip_id", "piece"]).withColumn("track_id", F.col("track_id") + F.col("raise")).select(*[n for n in names if n != "piece"])

@@ -46,7 +46,7 @@ def decode_boxes(spark, sf):
 
 
 @query(f"""WITH {ANCHORS_SQL}, s AS (SELECT frame_idx, det_idx, [conf, conf * 0.9::DOUBLE + 0.02::DOUBLE, 0.6::DOUBLE - conf] AS s FROM anchors),
-c AS (SELECT frame_idx, det_idx, CASE WHEN s[1] >= s[2] AND s[1] >= s[3] THEN CASE WHEN s[1] >= 0.25 THEN 0 END WHEN s[2] >= s[3] THEN CASE WHEN s[2] >= 0.15 THEN 1 END ELSE CASE WHEN s[3] >= 0.25 THEN 2 END END AS class_id FROM s)
+c AS (SELECT frame_idx, det_idx, CASE WHEN s[1] >= s[2] AND s[1] >= s[3] AND s[1] >= 0.25 THEN 0 WHEN s[2] >= s[1] AND s[2] >= s[3] AND s[2] >= 0.15 THEN 1 WHEN s[3] >= s[1] AND s[3] >= s[2] AND s[3] >= 0.25 THEN 2 END AS class_id FROM s)
 SELECT frame_idx, det_idx, class_id FROM c WHERE class_id IS NOT NULL""")
 def classify_scores(spark, sf):
     c = F.col("conf")
@@ -77,10 +77,11 @@ o AS (SELECT *, CASE WHEN both_areas - inter > 0 THEN inter / (both_areas - inte
 _PAIR = ", ".join(f"{t}.{c} AS {t}{c}" for t in "ab" for c in ("x1", "y1", "x2", "y2"))
 
 
-@query(f"""WITH {BOXES_SQL}, m AS MATERIALIZED (SELECT * FROM boxes), p AS (SELECT a.frame_idx, a.class_id, a.det_idx AS a_idx, b.det_idx AS b_idx, {_PAIR} FROM m a JOIN m b ON a.frame_idx = b.frame_idx AND a.class_id = b.class_id AND a.det_idx < b.det_idx), {_OVERLAPS}
-SELECT frame_idx, class_id, a_idx, b_idx, over AS iou FROM o WHERE over > 0""")
+@query(f"""WITH {BOXES_SQL}, p AS (SELECT a.frame_idx, a.class_id, a.det_idx AS a_idx, b.det_idx AS b_idx, {_PAIR} FROM boxes a JOIN boxes b ON a.frame_idx = b.frame_idx AND a.class_id = b.class_id AND a.det_idx < b.det_idx), {_OVERLAPS}
+SELECT frame_idx, class_id, a_idx, count(*) AS pairs, max(over) AS iou FROM o WHERE over > 0 GROUP BY ALL""")
 def iou_pairs(spark, sf):
-    return d.iou_pairs(_boxes(spark, sf))
+    """How many later boxes of its frame and class each box overlaps, and by how much at most."""
+    return d.iou_pairs(_boxes(spark, sf)).groupBy("frame_idx", "class_id", "a_idx").agg(F.count("*").alias("pairs"), F.max("iou").alias("iou"))
 
 
 @query(f"""WITH {ANCHORS_SQL}, packed AS (SELECT frame_idx, class_id, list({{'conf': conf, 'det_idx': det_idx, 'x': cx, 'y': cy}} ORDER BY conf DESC, det_idx) AS a FROM anchors WHERE conf >= 0.25 GROUP BY ALL),

@@ -10,11 +10,11 @@ from ..operators import detections as d
 from ..operators import pitch, sequences, teams
 from ..sources import sinks
 from ..sources.adapters import BOXES_SQL, OBSERVATIONS_SQL, embeddings, observations, table
-from . import extended
+from . import clips, extended
 from .catalogue import _H_SQL, _MOVING, _NMS, _ON_PITCH, ORACLES, QUERIES, _boxes, _moving, _on_pitch, query
 
 __all__ = ["ORACLES", "QUERIES"]
-assert extended.QUERIES is QUERIES
+assert extended.QUERIES is clips.QUERIES is QUERIES
 
 
 def _by_clip(df):
@@ -255,8 +255,7 @@ def _analysis(spark, sf):
     corners = corners.withColumn("rn", few).filter("clip_id % 2 = 0 OR rn <= 3").drop("rn")
     used = corners.withColumn("corner_idx", (F.row_number().over(Window.partitionBy("clip_id", "frame_idx").orderBy("corner_idx")) - 1).cast("int"))
     flow = used.select("clip_id", "frame_idx", "corner_idx", "x", "y", F.lit(0.5).alias("error"), F.lit(True).alias("status"))
-    emb = players.select(F.xxhash64("clip_id", "frame_idx", "det_idx").alias("vec_id"), F.col("feature").alias("e"))
-    return engine.analyze(detections, corners, flow, frames, teams.TeamModel().fit(emb))
+    return engine.analyze(detections, corners, flow, frames)
 
 
 @query(f"""WITH {_MOVING.format(n=20)} SELECT DISTINCT clip_id, frame_idx, '{{"frame":' || frame_idx || ',"timestamp":' || printf('%.3f', frame_idx / 25.0::DOUBLE) || ',"tactical":{{"homography_valid":' || CASE WHEN clip_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"num_team1":2,"num_team2":2}}}}' AS line FROM o""")
@@ -267,7 +266,7 @@ def analyze_telemetry(spark, sf):
 
 @query(f"""WITH {_MOVING.format(n=20)}, c AS (SELECT DISTINCT clip_id, frame_idx FROM o WHERE clip_id % 2 = 0)
 SELECT clip_id, frame_idx, role, count(*) AS n FROM (SELECT clip_id, frame_idx, 0 AS role FROM c UNION ALL SELECT clip_id, frame_idx, 0 FROM c UNION ALL SELECT clip_id, frame_idx, 1 FROM c UNION ALL SELECT clip_id, frame_idx, 1 FROM c
-UNION ALL SELECT clip_id, frame_idx, 2 FROM c WHERE frame_idx <= 16 UNION ALL SELECT clip_id, frame_idx, 3 FROM c) GROUP BY ALL""")
+UNION ALL SELECT clip_id, frame_idx, 2 FROM c WHERE frame_idx % 4 < 2 UNION ALL SELECT clip_id, frame_idx, 3 FROM c) GROUP BY ALL""")
 def analyze_points(spark, sf):
-    """Who is on the pitch in each frame: four players, the ball from its first frame to its last, the referee; clips without a homography show none."""
+    """Who is on the pitch in each frame: four players, the ball in the frames in which it was seen last, the referee; clips without a homography show none."""
     return _analysis(spark, sf).points.groupBy("clip_id", "frame_idx", "role").agg(F.count("*").alias("n"))

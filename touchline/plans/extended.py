@@ -23,16 +23,16 @@ _FEATURES = "conf AS f1, 1.0::DOUBLE - conf AS f2, (x2 - x1) / 400.0::DOUBLE AS
 _SUM = "(0.0::DOUBLE + {p}f1 * {q}f1 + {p}f2 * {q}f2 + {p}f3 * {q}f3)"
 
 
-@query(f"""WITH {BOXES_SQL}, m AS MATERIALIZED (SELECT *, {_FEATURES} FROM boxes),
+@query(f"""WITH {BOXES_SQL}, m AS (SELECT *, {_FEATURES} FROM boxes),
 p AS (SELECT b.frame_idx, a.det_idx AS track, b.det_idx AS det, a.det_idx % 3 AS missed, a.looks AND b.looks AS looks, {_SUM.format(p='a.', q='b.')} AS ab, {_SUM.format(p='a.', q='a.')} AS aa, {_SUM.format(p='b.', q='b.')} AS bb, {_PAIR} FROM m a JOIN m b ON a.frame_idx + 1 = b.frame_idx), {_OVERLAPS},
 c AS (SELECT *, CASE WHEN looks THEN 1.0::DOUBLE - greatest(-1.0::DOUBLE, least(1.0::DOUBLE, ab / (sqrt(aa) * sqrt(bb)))) ELSE 1.0::DOUBLE END AS app FROM o),
 d AS (SELECT frame_idx, track, det, CASE WHEN over > 0.35::DOUBLE THEN CASE WHEN looks THEN 0.75::DOUBLE * (1.0::DOUBLE - over) + 0.25::DOUBLE * app ELSE 1.0::DOUBLE - over END WHEN missed > 0 AND app <= 0.35::DOUBLE THEN 0.45::DOUBLE + 0.45::DOUBLE * app + 0.10::DOUBLE * (1.0::DOUBLE - over) END AS cost FROM c)
-SELECT * FROM d WHERE cost IS NOT NULL""")
+SELECT frame_idx, track, count(*) AS allowed, min(cost) AS cost FROM d WHERE cost IS NOT NULL GROUP BY ALL""")
 def match_cost(spark, sf):
-    """Each frame's boxes as tracks, the next frame's as detections. A fifth on either side has no feature."""
+    """Each frame's boxes as tracks, the next frame's as detections: how many detections each track may take, and the least cost. A fifth on either side has no feature."""
     looks = F.when(F.col("det_idx") % 5 != 0, F.array("conf", 1.0 - F.col("conf"), (F.col("x2") - F.col("x1")) / 400.0)).otherwise(F.array().cast("array<double>"))
     s = _boxes(spark, sf).select("frame_idx", "det_idx", F.struct("x1", "y1", "x2", "y2").alias("box"), looks.alias("feature"), (F.col("det_idx") % 3).alias("missed"))
-    return d.match_costs(s.withColumn("frame_idx", F.col("frame_idx") + 1), s)
+    return d.match_costs(s.withColumn("frame_idx", F.col("frame_idx") + 1), s).groupBy("frame_idx", "track").agg(F.count("*").alias("allowed"), F.min("cost").alias("cost"))
 
 
 _TOP3 = f"""{BOXES_SQL}, r AS (SELECT frame_idx, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, row_number() OVER (PARTITION BY frame_idx ORDER BY conf DESC, det_idx) AS rn FROM boxes),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,12 +40,21 @@ def run(detections: DataFrame, stride: int = 1, whole_frames: bool = False, feat
                 held = rows[rows["frame_idx"] == last]
                 last -= 1
             frames = {f: g for f, g in rows.groupby("frame_idx")}
-            for f in range(first, last + 1):
+            order, f = sorted(frames), first
+            while f <= last:
+                if f not in frames and not tracker.active and not tracker.lost:
+                    # nothing lives: on to the next frame that has a box
+                    k = bisect_right(order, f)
+                    if k == len(order) or order[k] > last:
+                        done = last
+                        break
+                    f = int(order[k])
                 g = frames.get(f, rows.iloc[:0])
                 ids = g["det_idx"].tolist()
                 for i, k in tracker.update(g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float), features(g, feature), predicted=f % stride != 0):
                     out.append((key[0], f, i, ids[k] if k >= 0 else -1))
                 done = f
+                f += 1
         if ended:
             state.remove()
         else:
