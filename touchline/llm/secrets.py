@@ -3,9 +3,13 @@
 Base spans come from three fixed patterns. For the rest, one automaton a credential format is inferred (ALERGIA): a prefix tree of labelled credentials, whose states are merged
 when Hoeffding's bound finds their next-symbol and stop frequencies compatible. One more is inferred from labelled strings that are no credentials. Every candidate, that is every maximal run of
 SHORTEST characters or more, whether of token characters or of base64 ones, wherever it stands (also without the dots and dashes around it), is scored by each automaton: log2 of its likelihood under the
-format, less that under uniform characters. Merged states forget how long texts are, so the examples' lengths give a format's likelihood of the run's length, against LENGTHS even ones. A
-format takes part if at most MISSES of the run's symbols are unseen where they stand, and if the run isn't over twice as long as the longest example. Where the best format's score is BITS or
-more above both that of no credential and 0, it adds a span of its name; of added spans that overlap, the one of the higher score stays.
+format, less that under uniform characters. Merged states forget how long texts are, so the examples' lengths give a format's likelihood of the run's length, against LENGTHS even ones; beyond the examples'
+lengths it falls off as the square of the length, and never to nothing: no length is cut off. A format takes part if at most MISSES of the run's symbols are unseen where they stand.
+
+A candidate that is only a piece of a longer run of token and base64 characters, or of base64 wrapped over lines, could have been cut out of it in many ways: the log2 of their number is taken off its score. So the
+letters between the signs of an encoded image are no credential, while a token in a path, whose prefix weighs more than that, is one.
+
+Where the best format's score is BITS or more above those of no credential and of random data (even characters of an alphabet, any length) and above 0, it adds a span of its name; of added spans that overlap, the one of the higher score stays.
 
 Labels are (format, text) pairs, "" for no format; ``find_secrets`` takes any. Those taken by default are made from public descriptions of formats, by a fixed seed: ``EXAMPLES`` a format, of all
 prefixes and lengths that it may have, and as many strings of each ordinary kind (names, paths, addresses, times, versions, identifiers).
@@ -19,6 +23,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -34,25 +39,33 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates: runs of token characters, and of base64 ones.
 CANDIDATES = (re.compile(r"[A-Za-z0-9_.-]{20,}"), re.compile(r"[A-Za-z0-9+/]{20,}={0,2}"))
+#: What a candidate may be a piece of: a run of either kind of characters, or lines of base64 as they are wrapped (60 or more, and what follows).
+RUN, WRAPPED = re.compile(r"[A-Za-z0-9_.+/-]{20,}={0,2}"), re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,}+(?:\r?\n[A-Za-z0-9+/]++)+={0,2}")
 SHORTEST, BITS, EXAMPLES, ALPHA, FLOOR, MISSES, LENGTHS = 20, 6.0, 300, 0.05, 2e-3, 2, 512
 
 _UP, _LOW, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UP + _LOW + _DIGIT
-_URL, _BASE64 = _ALNUM + "_-", _ALNUM + "+/"
-#: The formats, as public descriptions have them: literal texts (one of them), or characters and how many (least, most).
+_URL, _BASE64, _HEX = _ALNUM + "_-", _ALNUM + "+/", _DIGIT + "abcdef"
+#: The formats, as public descriptions have them: literal texts (one of them), characters and how many (least, most), or characters and one of some numbers. A signature's length is its algorithm's.
 FORMATS = {
     "aws": [(_BASE64, 40, 40)],
     "azure": [(_BASE64, 86, 86), "=="],
+    "digitalocean": [["dop_v1_", "doo_v1_", "dor_v1_"], (_HEX, 64, 64)],
+    "docker": ["dckr_pat_", (_URL, 27, 27)],
     "github": [["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], (_ALNUM, 36, 40)],
     "github_pat": ["github_pat_", (_ALNUM, 22, 22), "_", (_ALNUM, 59, 59)],
     "gitlab": [["glpat-", "gldt-", "glrt-"], (_URL, 20, 26)],
     "google": ["AIza", (_URL, 35, 35)],
-    "jwt": ["eyJ", (_URL, 15, 60), ".eyJ", (_URL, 20, 200), ".", (_URL, 43, 86)],
+    "huggingface": ["hf_", (_UP + _LOW, 34, 34)],
+    "jwt": ["eyJ", (_URL, 15, 120), ".eyJ", (_URL, 20, 600), ".", (_URL, [43, 64, 86, 342, 683])],
     "npm": ["npm_", (_ALNUM, 36, 36)],
     "openai": [["sk-", "sk-proj-", "sk-svcacct-"], (_URL, 40, 160)],
+    "pypi": ["pypi-AgEIcHlwaS5vcmc", (_URL, 70, 200)],
     "sendgrid": ["SG.", (_URL, 22, 22), ".", (_URL, 43, 43)],
     "slack": [["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], (_DIGIT, 10, 13), "-", (_DIGIT, 10, 13), "-", (_ALNUM, 24, 32)],
+    "shopify": [["shpat_", "shpca_", "shppa_", "shpss_"], (_HEX, 32, 32)],
     "stripe": [["sk_live_", "sk_test_", "rk_live_", "rk_test_", "pk_live_", "pk_test_"], (_ALNUM, 24, 99)],
+    "twilio": [["SK", "AC"], (_HEX, 32, 32)],
 }
 #: Parts of ordinary strings.
 SYLLABLES = "an ar ber con data del di el en er for gen in ing is kom la li lo ma men mi na nis no or pre ra re ri ro sche se sta ta te ter ti tion to un ver".split()
@@ -80,14 +93,21 @@ ORDINARY = {
     "time": lambda r: f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}-{r.randint(0, 59):02}.{r.randint(0, 999999):06}Z",
     "number": lambda r: r.choice("-.").join(_of(r, _DIGIT, r.randint(3, 12)) for _ in range(r.randint(2, 6))),
     "uuid": lambda r: "-".join(_of(r, _DIGIT + "abcdef", n) for n in (8, 4, 4, 4, 12)),
-    "hash": lambda r: _of(r, _DIGIT + "abcdef", r.choice([32, 40, 64])),
-    "HASH": lambda r: _of(r, _DIGIT + "ABCDEF", r.choice([32, 40, 64])),
+    "hash": lambda r: _of(r, _DIGIT + "abcdef", r.choice([32, 40, 56, 64, 96, 128])),
+    "HASH": lambda r: _of(r, _DIGIT + "ABCDEF", r.choice([32, 40, 56, 64, 96, 128])),
     "rule": lambda r: r.choice("-_.=") * r.randint(20, 80),
 }
 
 
 def example(parts: list, r: random.Random) -> str:
-    return "".join(p if isinstance(p, str) else r.choice(p) if isinstance(p, list) else _of(r, p[0], r.randint(p[1], p[2])) for p in parts)
+    def one(p) -> str:
+        if isinstance(p, str):
+            return p
+        if isinstance(p, list):
+            return r.choice(p)
+        return _of(r, p[0], r.choice(p[1]) if isinstance(p[1], list) else r.randint(p[1], p[2]))
+
+    return "".join(map(one, parts))
 
 
 def ordinary(kind: str, r: random.Random) -> str:
@@ -114,7 +134,7 @@ class Automaton:
     def __init__(self, words: list[str], alpha: float = ALPHA):
         self.n, self.stop, self.to = [0], [0], [{}]
         lengths = sorted(map(len, words)) or [0]
-        self.longest, self.shortest = 2 * lengths[-1], lengths[0]
+        self.longest, self.shortest = lengths[-1], lengths[0]
         #: lengths fall into eight spans or fewer; in each, all are as likely
         self.span = max(1, -(-(lengths[-1] - lengths[0] + 1) // 8))
         seen = [0] * ((lengths[-1] - lengths[0]) // self.span + 1)
@@ -206,12 +226,12 @@ class Automaton:
 
     def length_bits(self, n: int) -> float:
         k = (n - self.shortest) // self.span
-        return self.lengths[k] if 0 <= k < len(self.lengths) else math.log2(FLOOR / self.span * LENGTHS)
+        if 0 <= k < len(self.lengths):
+            return self.lengths[k]
+        return math.log2(FLOOR / self.span * LENGTHS) - 2 * math.log2(max(n / max(self.longest, 1), 1))
 
     def bits(self, word: str, misses: int = MISSES) -> float:
-        """log2 P(word) here, less that under uniform characters and lengths; an unseen symbol counts as FLOOR and leaves the state. -inf for more than ``misses`` of those, or a word that is too long."""
-        if len(word) > self.longest:
-            return -math.inf
+        """log2 P(word) here, less that under uniform characters and lengths; an unseen symbol counts as FLOOR and leaves the state. -inf for more than ``misses`` of those."""
         return self.length_bits(len(word)) + self.step_bits(word, misses)
 
     def step_bits(self, word: str, misses: int) -> float:
@@ -230,6 +250,13 @@ class Automaton:
 
 
 UNIFORM = math.log2(len(_ALNUM) + 6)
+#: What random data is written in: such strings are as likely as any, given their characters, whatever their length.
+ALPHABETS = tuple((re.compile(f"[{chars}]*"), math.log2(size)) for chars, size in (("0-9", 10), ("0-9a-f", 16), ("0-9A-F", 16), ("A-Za-z0-9+/", 64), ("A-Za-z0-9_-", 64)))
+
+
+def even_bits(word: str) -> float:
+    """log2 P(word) under even characters of the smallest alphabet that has them, less that under all of them."""
+    return len(word) * (UNIFORM - min((b for p, b in ALPHABETS if p.fullmatch(word)), default=UNIFORM))
 
 
 def infer(labels: Iterable[tuple[str, str]]) -> dict[str, Automaton]:
@@ -255,9 +282,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _wholes(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of what candidates may be pieces of, in order. Wrapped base64 counts as one with all its lines."""
+    starts, ends = [], []
+    wrapped = [m.span() for m in WRAPPED.finditer(text)]
+    k = 0
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while k < len(wrapped) and wrapped[k][1] <= a:
+            k += 1
+        if k < len(wrapped) and wrapped[k][0] < b:
+            a, b = min(a, wrapped[k][0]), max(b, wrapped[k][1])
+        starts.append(a)
+        ends.append(b)
+    return starts, ends
+
+
+def apart(spans: list[tuple[float, str, int, int]]) -> list[tuple[int, str, int]]:
+    """Of spans (score, kind, start, end), those that are left when the best go first and what overlaps them goes: (start, kind, end), sorted. Only spans that hang together are held against each other."""
+    out: list[tuple[int, str, int]] = []
+    spans = sorted(spans, key=lambda x: x[2:])
+    i = 0
+    while i < len(spans):
+        j, reach = i + 1, spans[i][3]
+        while j < len(spans) and spans[j][2] < reach:
+            reach = max(reach, spans[j][3])
+            j += 1
+        kept: list[tuple[int, int, str]] = []
+        for _, kind, a, b in sorted(spans[i:j], key=lambda x: (-x[0], *x[2:])):
+            k = bisect_right(kept, (a, math.inf, ""))
+            if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+                kept.insert(k, (a, b, kind))
+        out += [(a, kind, b) for a, b, kind in kept]
+        i = j
+    return out
+
+
 def more_spans(text: str, found: dict[str, Automaton]) -> list[tuple[int, str, int]]:
     """(start, format, end) of the spans that the automata add, sorted."""
     scored: dict[tuple[int, int], tuple[float, str]] = {}
+    starts, ends = _wholes(text)
     for pattern in CANDIDATES:
         for m in pattern.finditer(text):
             inner = m[0].strip("._-")
@@ -265,13 +329,17 @@ def more_spans(text: str, found: dict[str, Automaton]) -> list[tuple[int, str, i
                 if len(word) < SHORTEST or (a, a + len(word)) in scored:
                     continue
                 best = max(((f.bits(word), k) for k, f in found.items() if k), default=(-math.inf, ""))
-                if best[0] >= BITS and best[0] - (found[""].step_bits(word, len(word)) if "" in found else 0.0) >= BITS:
+                if best[0] < BITS:
+                    continue
+                # how many pieces the whole has; what is left of it without the dots and dashes around it is no piece
+                k = bisect_right(starts, a) - 1
+                x, y = starts[k], ends[k]
+                more = 0.0 if len(text[x:y].strip("._-=")) <= len(word.strip("._-=")) else math.log2((y - x) * (y - x + 1) / 2)
+                best = best[0] - more, best[1]
+                none = max(even_bits(word.rstrip("=")), found[""].step_bits(word, len(word)) if "" in found else 0.0)
+                if best[0] >= BITS and best[0] - none >= BITS:
                     scored[a, a + len(word)] = best
-    out: list[tuple[int, str, int]] = []
-    for (a, b), (_, kind) in sorted(scored.items(), key=lambda x: (-x[1][0], x[0])):
-        if all(b <= x or y <= a for x, _, y in out):
-            out.append((a, kind, b))
-    return sorted(out)
+    return apart([(score, kind, a, b) for (a, b), (score, kind) in scored.items()])
 
 
 def joined(spans: list[tuple[int, int, int]], names: tuple[str, ...] = KINDS) -> str:
