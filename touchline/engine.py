@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .operators import detections as d
 from .operators import homography, pitch, sequences, teams, tracker
 from .sources import sinks
+from .sources.shared import kept
 
 
 @dataclass
@@ -63,12 +64,15 @@ def store_tracks(players: DataFrame, balls: DataFrame, referees: DataFrame) -> t
 
 
 def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames: DataFrame, models: DataFrame | None = None, fps: float = 25.0, stride: int = 2, interval: int = 15) -> Analysis:
-    """The analysis of all clips. Boxes are looked at in each ``stride``-th frame. models: the clips' team models (teams.fit_by_clip); each clip is judged by its own, and without ``models`` they are fitted on these detections."""
+    """The analysis of all clips. Boxes are looked at in each ``stride``-th frame. models: the clips' team models (teams.fit_by_clip); each clip is judged by its own, and without ``models`` they are fitted on these detections.
+
+    What several steps read (boxes, tracks, players, sets carried forward, homographies) is computed once and kept in the shared folder."""
     keys = ["clip_id", "frame_idx"]
     looked = detections.filter(F.col("frame_idx") % stride == 0)
-    boxes = d.nms(looked)
+    boxes = kept(d.nms(looked))
     # tracks, with their predicted boxes in the frames between
     people = boxes.filter(F.col("class_id") == d.PLAYER).join(looked.select(*keys, "det_idx", "feature"), [*keys, "det_idx"])
+    people = kept(people)
     models = teams.fit_by_clip(people) if models is None else models
     ends = frames.groupBy("clip_id").agg(F.max("frame_idx").alias("last"))
     tracked = tracker.run(people.join(ends, "clip_id"), stride=stride, feature="feature", boxes=True, last="last")
@@ -80,11 +84,12 @@ def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames:
     seen = seen.join(roles, [*keys, "track_id"], "left").withColumn("class_id", F.when(F.col("is_referee"), d.REFEREE).otherwise(F.col("class_id"))).drop("is_referee")
     # only frames that were looked at vote; the others keep the label. Who has none yet stays of class 0, which is the first team's
     labels = sequences.team_labels(seen).filter("team >= 0")
-    players = d.with_teams(seen.drop("predicted"), labels)
+    players = kept(d.with_teams(seen.drop("predicted"), labels))
     # balls of close-ups need more confidence; all balls, and all referees, of the last frame that was looked at
-    balls = d.carry_forward(d.closeup_filter(boxes), frames, boxed=True, stride=stride)
-    referees = d.carry_forward(boxes.filter(F.col("class_id") == d.REFEREE), frames, boxed=True, stride=stride)
-    referees = referees.join(d.referee_ordinals(referees), [*keys, "det_idx"])
+    looks = kept(sequences.last_look(frames, frames.filter(F.col("frame_idx") % stride == 0)))
+    balls = kept(d.carried(d.closeup_filter(boxes), looks, boxed=True))
+    referees = d.carried(boxes.filter(F.col("class_id") == d.REFEREE), looks, boxed=True)
+    referees = kept(referees.join(d.referee_ordinals(referees), [*keys, "det_idx"]))
     path = sequences.interpolate_boxes(d.best_ball(d.valid_balls(balls)))
     # corners: detected now and then, moved along by flow in between; one homography a frame
     counted = frames.join(sequences.visible(corners), keys, "left").na.fill(0, ["n_corners", "n_visible"])
@@ -92,7 +97,7 @@ def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames:
     held = cached.join(corners.withColumnRenamed("frame_idx", "from_frame"), ["clip_id", "from_frame"], "left")
     used = sequences.flow_corners(held.select(*keys, "corner_idx", "class_id", "x", "y", "conf"), flow)
     fits = frames.join(homography.fit(used), keys, "left")
-    smooth = homography.smooth(fits.select(*keys, "h"))
+    smooth = kept(homography.smooth(fits.select(*keys, "h")))
     counts = d.team_counts(frames, players, balls, referees).join(smooth, keys)
     who = ["clip_id", "frame_idx", "det_idx", "class_id", "x1", "y1", "x2", "y2"]
     # roles on the pitch: 0 and 1 are teams, 2 balls, 3 referees

@@ -97,8 +97,12 @@ def best_overlap(tracked: DataFrame, raw: DataFrame) -> DataFrame:
 def carry_forward(boxes: DataFrame, spine: DataFrame, boxed: bool = False, stride: int = 2, looks: DataFrame | None = None) -> DataFrame:
     """Each frame of the spine shows the boxes of its clip's last looked-at frame, as a set (also if that is empty). Looked-at frames are the spine's each ``stride``-th, or ``looks`` (clip_id, frame_idx), however they lie.
     Frames before the first of them show nothing; boxes of other frames aren't seen. boxed: with all columns."""
+    return carried(boxes, last_look(spine, spine.filter(F.col("frame_idx") % stride == 0) if looks is None else looks), boxed)
+
+
+def carried(boxes: DataFrame, at: DataFrame, boxed: bool = False) -> DataFrame:
+    """The same, where it is known which frame each one looks like (at: as last_look() gives it)."""
     keys = frame(boxes)
-    at = last_look(spine, spine.filter(F.col("frame_idx") % stride == 0) if looks is None else looks)
     rest = [c for c in boxes.columns if c not in (*keys, "det_idx", "class_id", "conf")] if boxed else []
     return at.join(boxes.withColumnRenamed("frame_idx", "from_frame"), [*keys[:-1], "from_frame"]).select(*keys, "from_frame", "det_idx", "class_id", "conf", *rest)
 

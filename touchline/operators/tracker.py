@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.package import ship
+from ..sources.shared import kept
 from .sequences import running_max
 
 HIGH, LOW, LIMIT, REID = 0.25, 0.10, 0.75, 0.35
@@ -209,13 +210,13 @@ def pieces(detections: DataFrame, stride: int = 1, buffer: int = BUFFER) -> Data
     """clip_id, frame_idx, piece, until of the frames with detections: a clip's independent pieces, known by their first frame; until: the frame before the next piece's (null: the clip's last piece).
 
     After ``buffer`` looked-at frames without a box no track can live, so what follows doesn't depend on what was before: a new piece starts there. Found by scans in blocks of frames, not by going through a clip."""
-    frames = detections.select("clip_id", "frame_idx").distinct()
+    frames = kept(detections.select("clip_id", "frame_idx").distinct())
     look = F.when(F.col("frame_idx") % stride == 0, F.col("frame_idx"))
     seen = running_max(frames, look, "before", strict=True)
     # looked-at frames between the last one with a box and this one, which may itself be a predicted one
     empty = F.floor((F.col("frame_idx") - 1) / stride) - F.floor(F.col("before") / stride)
     starts = seen.withColumn("start", F.when(look.isNotNull() & (F.col("before").isNull() | (empty >= buffer)), F.col("frame_idx")))
-    named = running_max(starts, F.col("start"), "piece").select("clip_id", "frame_idx", F.coalesce("piece", "frame_idx").alias("piece"))
+    named = kept(running_max(starts, F.col("start"), "piece").select("clip_id", "frame_idx", F.coalesce("piece", "frame_idx").alias("piece")))
     following = named.select("clip_id", "piece").distinct().withColumn("until", F.lead("piece").over(Window.partitionBy("clip_id").orderBy("piece")) - 1)
     return named.join(following, ["clip_id", "piece"])
 
@@ -261,7 +262,8 @@ def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxe
         whole = detections.withColumn("piece", F.lit(0).cast("long")).withColumn("until", F.lit(None).cast("long"))
         return whole.groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema).drop("piece")
     at = pieces(detections, stride)
-    tracked = detections.join(at, ["clip_id", "frame_idx"]).groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema).repartition("clip_id", "piece")
+    tracked = detections.join(at, ["clip_id", "frame_idx"]).groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema)
+    tracked = kept(tracked)
     births = tracked.groupBy("clip_id", "piece").agg(F.max("track_id").alias("births"))
     before = Window.partitionBy("clip_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     raised = births.select("clip_id", "piece", F.coalesce(F.sum("births").over(before), F.lit(0)).cast("int").alias("raise"))
