@@ -128,27 +128,52 @@ def fit(corners: DataFrame) -> DataFrame:
     return packed.withColumn("f", fitted("c.class_id", "c.x", "c.y", "c.conf")).select(*keys, "f.h", "f.residual")
 
 
+def inverse(h: np.ndarray) -> np.ndarray | None:
+    """The way back from the pitch to the frame, as nine numbers, or None where there is none: a homography that can't be inverted, or not in finite numbers, isn't valid."""
+    m = np.asarray(h, float).reshape(3, 3)
+    if not np.isfinite(m).all() or abs(np.linalg.det(m)) < 1e-12:
+        return None
+    back = np.linalg.inv(m)
+    return back.ravel() if np.isfinite(back).all() else None
+
+
+def smooth_step(last: np.ndarray | None, missed: int, h, stale: int) -> tuple[np.ndarray | None, int, bool]:
+    """(last, missed) after a frame, and whether last may be used in it."""
+    if h is not None and np.isfinite(new := np.asarray(h, float)).all():
+        if last is not None:
+            a = 0.20 if float(np.sqrt(((new - last) ** 2).sum())) > 25 else 0.35
+            new = (1 - a) * last + a * new
+            new = new / new[8] if abs(new[8]) > 1e-12 else new
+        if inverse(new) is not None:
+            return new, 0, True
+    return last, missed + 1, last is not None and missed + 1 <= stale
+
+
 def smooth(fits: DataFrame, stale: int = 10) -> DataFrame:
     """clip_id, frame_idx, h, valid of fits (clip_id, frame_idx, h or null): each is blended with the one before, more weakly after a leap; a failed frame uses the last one, up to ``stale`` in a row.
 
-    Goes through a clip in order, as each step depends on the one before; clips are the unit of parallel work."""
+    A fit that, blended, can't be inverted has failed. Goes through a clip in order, as each step depends on the one before; clips are the unit of parallel work."""
 
     def clip(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("frame_idx")
         last, missed, out, ok = None, 0, [], []
         for h in df["h"]:
-            if h is not None and np.isfinite(new := np.asarray(h, float)).all():
-                if last is not None:
-                    a = 0.20 if float(np.sqrt(((new - last) ** 2).sum())) > 25 else 0.35
-                    new = (1 - a) * last + a * new
-                    new = new / new[8] if abs(new[8]) > 1e-12 else new
-                last, missed, good = new, 0, True
-            else:
-                missed += 1
-                good = last is not None and missed <= stale
+            last, missed, good = smooth_step(last, missed, h, stale)
             out.append(last.tolist() if good else None)
             ok.append(good)
         return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "h": out, "valid": ok})
 
     ship(fits.sparkSession)
-    return fits.groupBy("clip_id").applyInPandas(clip, "clip_id long, frame_idx long, h array<double>, valid boolean")
+    return fits.groupBy("clip_id").applyInPandas(lambda df: clip(df), "clip_id long, frame_idx long, h array<double>, valid boolean")
+
+
+def with_inverse(fits: DataFrame) -> DataFrame:
+    """fits (h array<double>, null where there is none) with back: the inverse, of each frame's own homography (null where there is none)."""
+    ship(fits.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def inverted(h: pd.Series) -> pd.Series:
+        found = (None if v is None else inverse(v) for v in h)
+        return pd.Series([None if v is None else v.tolist() for v in found], dtype=object)
+
+    return fits.withColumn("back", inverted("h"))

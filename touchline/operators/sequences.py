@@ -145,6 +145,14 @@ def ema_appearance(df: DataFrame, key: str, order: str, vector: str, keep: float
     return _ordered(df, key, order, vector).select(key, F.aggregate(rest, unit(F.element_at("all", 1)[vector]), step).alias(vector))
 
 
+def cache_step(held: int | None, age: int, empty: bool, frame: int, corners: int, seen: int, interval: int, least: int) -> tuple[int | None, int, bool, bool]:
+    """(held, age, empty) after a frame, and whether corners were detected in it. held: the frame whose corners are in use."""
+    detect = empty or age >= interval
+    if detect and (empty or seen >= least):
+        return frame, 0, corners == 0, detect
+    return held, age + 1, empty, detect
+
+
 def corner_cache(frames: DataFrame, interval: int = 15, least: int = 4) -> DataFrame:
     """clip_id, frame_idx, from_frame, detected of frames (clip_id, frame_idx, n_corners, n_visible): which frame's corners are in use.
 
@@ -154,22 +162,29 @@ def corner_cache(frames: DataFrame, interval: int = 15, least: int = 4) -> DataF
         df = df.sort_values("frame_idx")
         held, age, empty, at, ran = None, 0, True, [], []
         for f, n, seen in zip(df["frame_idx"], df["n_corners"], df["n_visible"], strict=True):
-            detect = empty or age >= interval
-            if detect and (empty or seen >= least):
-                held, age, empty = f, 0, n == 0
-            else:
-                age += 1
+            held, age, empty, detect = cache_step(held, age, empty, f, n, seen, interval, least)
             at.append(held)
             ran.append(detect)
         return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "from_frame": at, "detected": ran})
 
     ship(frames.sparkSession)
-    return frames.groupBy("clip_id").applyInPandas(clip, "clip_id long, frame_idx long, from_frame long, detected boolean")
+    return frames.groupBy("clip_id").applyInPandas(lambda df: clip(df), "clip_id long, frame_idx long, from_frame long, detected boolean")
 
 
 _LABELS = "clip_id long, frame_idx long, track_id int, team int, fresh boolean"
 
 
+def vote_step(votes: list[int], team: int, looked: int | None, frame: int, class_id: int, predicted: int | None, every: int, last: int) -> tuple[list[int], int, int | None, bool]:
+    """(votes, team, looked) after a box, and whether it was judged."""
+    now = class_id != 2 and predicted is not None and (looked is None or frame - looked >= every)
+    if now:
+        looked = frame
+        if predicted in (0, 1):
+            votes = [*votes, int(predicted)][-last:]
+            team = 0 if 2 * votes.count(0) >= len(votes) else 1
+    return votes, team, looked, now
+
+
 def team_labels(tracked: DataFrame, every: int = 60, last: int = 15) -> DataFrame:
     """clip_id, frame_idx, track_id, team, fresh of tracked boxes (clip_id, frame_idx, track_id, class_id, predicted: the team model's answer for the box).
 
@@ -180,18 +195,29 @@ def team_labels(tracked: DataFrame, every: int = 60, last: int = 15) -> DataFram
         df = df.sort_values("frame_idx", kind="stable")
         votes, team, looked, teams, fresh = [], -1, None, [], []
         for f, c, p in zip(df["frame_idx"], df["class_id"], df["predicted"], strict=True):
-            now = c != 2 and not pd.isna(p) and (looked is None or f - looked >= every)
-            if now:
-                looked = f
-                if p in (0, 1):
-                    votes = [*votes, int(p)][-last:]
-                    team = 0 if 2 * votes.count(0) >= len(votes) else 1
+            votes, team, looked, now = vote_step(votes, team, looked, f, c, None if pd.isna(p) else p, every, last)
             teams.append(None if c == 2 else team)
             fresh.append(bool(now))
         return pd.DataFrame({"clip_id": df["clip_id"], "frame_idx": df["frame_idx"], "track_id": df["track_id"], "team": pd.array(teams, "Int32"), "fresh": fresh})
 
     ship(tracked.sparkSession)
-    return tracked.filter("track_id >= 0").groupBy("clip_id", "track_id").applyInPandas(track, _LABELS)
+    return tracked.filter("track_id >= 0").groupBy("clip_id", "track_id").applyInPandas(lambda df: track(df), _LABELS)
+
+
+def flow_step(used: np.ndarray, last: np.ndarray | None, now: np.ndarray, moved: dict, least: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """(corners in use, the detector's as last taken) after a frame. Corners: class_id, x, y, conf. moved: (x, y, error, status) by place, of those in use in the frame before."""
+    changed = last is None or len(now) != len(last) or bool(((now[:, 0] != last[:, 0]) | (np.abs(now[:, 1:3] - last[:, 1:3]) > 0.5).any(1)).any())
+    if changed or len(used) < least:
+        return now, now
+    if moved:
+        kept = []
+        for i, c in enumerate(used):
+            x, y, error, status = moved.get(i, (0.0, 0.0, 0.0, False))
+            if status and error <= 20 and 0 <= x < WIDTH and 0 <= y < HEIGHT:
+                kept.append([c[0], x, y, c[3] * 0.995])
+        if len(kept) >= least:
+            return np.array(kept), last
+    return used, last
 
 
 def flow_corners(corners: DataFrame, flow: DataFrame, least: int = 4) -> DataFrame:
@@ -205,29 +231,17 @@ def flow_corners(corners: DataFrame, flow: DataFrame, least: int = 4) -> DataFra
         columns = ["class_id", "x", "y", "conf"]
         moved = moved.rename(columns=lambda c: c.removeprefix("flow_"))
         found = {f: g.sort_values("corner_idx")[columns].to_numpy(float) for f, g in seen.dropna(subset=["x"]).groupby("frame_idx")}
-        flows = {f: g.set_index("corner_idx") for f, g in moved.groupby("frame_idx")}
+        flows = {f: dict(zip(g["corner_idx"], zip(g["x"], g["y"], g["error"], g["status"], strict=True), strict=True)) for f, g in moved.groupby("frame_idx")}
         none, rows, used, last = np.empty((0, 4)), [], np.empty((0, 4)), None
         for f in sorted(seen["frame_idx"].unique()):
-            now = found.get(f, none)
-            changed = last is None or len(now) != len(last) or bool(((now[:, 0] != last[:, 0]) | (np.abs(now[:, 1:3] - last[:, 1:3]) > 0.5).any(1)).any())
-            if changed or len(used) < least:
-                used = last = now
-            elif f in flows:
-                kept = []
-                for i, c in enumerate(used):
-                    if i in flows[f].index:
-                        m = flows[f].loc[i]
-                        if m["status"] and m["error"] <= 20 and 0 <= m["x"] < WIDTH and 0 <= m["y"] < HEIGHT:
-                            kept.append([c[0], m["x"], m["y"], c[3] * 0.995])
-                if len(kept) >= least:
-                    used = np.array(kept)
+            used, last = flow_step(used, last, found.get(f, none), flows.get(f, {}), least)
             rows += [(key[0], f, i, int(c[0]), *c[1:]) for i, c in enumerate(used)]
         return pd.DataFrame(rows, columns=["clip_id", "frame_idx", "corner_idx", *columns])
 
     ship(corners.sparkSession)
     # columns of its own, as both sides may come from one table
     own = flow.select(F.col("clip_id").alias("of_clip"), *[F.expr(f"{c}").alias(f"flow_{c}") for c in ("frame_idx", "corner_idx", "x", "y", "error", "status")])
-    return corners.groupBy("clip_id").cogroup(own.groupBy("of_clip")).applyInPandas(clip, "clip_id long, frame_idx long, corner_idx int, class_id int, x double, y double, conf double")
+    return corners.groupBy("clip_id").cogroup(own.groupBy("of_clip")).applyInPandas(lambda key, seen, moved: clip(key, seen, moved), "clip_id long, frame_idx long, corner_idx int, class_id int, x double, y double, conf double")
 
 
 def visible(corners: DataFrame, least: float = 0.25) -> DataFrame:
