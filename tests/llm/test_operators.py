@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -464,6 +465,20 @@ def test_token_files_of_one_id_split_and_beat_zlib(spark, tmp_path, monkeypatch)
     assert sum(map(len, rangecoder.encode(ids)[0])) < len(zlib.compress(ids.astype("<u2").tobytes()))
 
 
+def test_files_as_written_beat_zlib_in_short_segments_too():
+    """Twelve segments of some 80,000 ids, heads and tables of blocks counted; each block can be read alone."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    arrays = token_files.encode_texts(texts, P.path("byte_bpe_50k.json"))
+    written = plain = 0
+    for k in range(0, 12, 4):
+        part = arrays[k::12]
+        data = token_files.pack(list(range(len(part))), part)
+        written, plain = written + len(data), plain + len(zlib.compress(np.concatenate(part).astype("<u2").tobytes()))
+        if not k:
+            assert [x.tolist() for x in token_files.unpack(data)[1]] == [x.tolist() for x in part]
+    assert written < plain
+
+
 def test_language_model_without_texts(spark, docs, tmp_path):
     marked = docs.withColumn("held_out", F.lit(True))
     model = language_model.train(docs.limit(0), str(tmp_path / "none"))

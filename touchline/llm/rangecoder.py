@@ -13,8 +13,6 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 4096
-#: Blocks that a sequence has at least, as far as it has ids for them.
-LANES = 512
 _M, _TOP, _BOTTOM = np.int64(0xFFFFFFFF), np.int64(1 << 24), np.int64(1 << 16)
 _S1, _S2 = 512, 1024
 #: Probabilities are fractions of 2**15.
@@ -201,11 +199,6 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray | None,
     return out
 
 
-def block_of(n: int) -> int:
-    """Ids of a block, for a sequence of n: BLOCK, or less in short ones, so that enough blocks lie side by side for a step to be worth its cost."""
-    return min(BLOCK, max(64, n // LANES))
-
-
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], int]:
     """(the coded blocks of a sequence of ids under 2**32, the parts that each id was coded in)."""
     parts = parts_of(ids)

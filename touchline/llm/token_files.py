@@ -80,7 +80,7 @@ def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
 def pack(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
     """A segment's bytes."""
     ids = np.concatenate([np.empty(0, np.uint32), *arrays])
-    block = rangecoder.block_of(len(ids))
+    block = rangecoder.BLOCK
     blocks, parts = rangecoder.encode(ids, block)
     docs = np.zeros(len(doc_ids), _DOCUMENT)
     docs["id"], docs["null"], docs["n"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids], list(map(len, arrays))
