@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .operators import detections as d
 from .operators import homography, pitch, sequences, teams, tracker
-from .sources import sinks
+from .sources import metrics, sinks
 from .sources.shared import kept
 
 
@@ -35,6 +35,7 @@ class Analysis:
     points: DataFrame
     models: DataFrame
     fps: float = 25.0
+    stride: int = 2
 
     def telemetry(self) -> DataFrame:
         return sinks.telemetry_frames(self.tactical, self.fps)
@@ -46,11 +47,25 @@ class Analysis:
     def write(self, path: str, videos: DataFrame) -> None:
         """By the path's ending: telemetry as JSON text, or the draw list that a renderer takes, as Parquet. videos: clip_id, path, width, height, total_frames."""
         if path.endswith(".json"):
-            header = sinks.header(F.col("path"), F.col("width"), F.col("height"), F.lit(self.fps), F.col("total_frames"))
-            sinks.telemetry_files(self.telemetry(), videos.select("clip_id", header.alias("header")), path)
+            sinks.telemetry_files(self.telemetry(), self._headed(videos), path)
         else:
             self.drawing().write.parquet(path)
 
+    def write_documents(self, videos: DataFrame, suffix: str = "_out") -> dict[str, float]:
+        """Each clip's telemetry as one JSON document: at ``output``, if videos have it, else beside the video, named after it. Returns how many frames were written."""
+        if "output" not in videos.columns:
+            videos = videos.withColumn("output", F.regexp_replace(sinks.output_path(F.col("path"), suffix), r"\.[^./]*$", ".json"))
+        return sinks.telemetry_documents(self.telemetry(), self._headed(videos, "output"))
+
+    def timed(self, times: DataFrame, **stages: str) -> metrics.Watched:
+        """The frames' telemetry, watched: writing ``.frames`` anywhere adds up how many there are, in how many the detector ran, and the milliseconds of each stage (columns of times, which has clip_id, frame_idx; a frame without any took none)."""
+        both = self.telemetry().join(times.select("clip_id", "frame_idx", *[F.col(c).alias(f"{k}_time") for k, c in stages.items()]), ["clip_id", "frame_idx"], "left")
+        return metrics.Watched(both, F.col("frame_idx") % self.stride == 0, {k: F.col(f"{k}_time") for k in stages})
+
+    def _headed(self, videos: DataFrame, *more: str) -> DataFrame:
+        header = sinks.header(F.col("path"), F.col("width"), F.col("height"), F.lit(self.fps), F.col("total_frames"))
+        return videos.select("clip_id", header.alias("header"), *more)
+
 
 def store_tracks(players: DataFrame, balls: DataFrame, referees: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is kept of a frame: the last box of each track of 0 or more, the best ball that has an area, and referees by ordinal."""
@@ -106,4 +121,4 @@ def analyze(detections: DataFrame, corners: DataFrame, flow: DataFrame, frames:
         everyone = everyone.unionByName(df.select(*[ident.cast("int").alias(c) if c == "det_idx" else F.col(c).cast("int") if c == "class_id" else c for c in who], F.lit(role).alias("role")))
     points = pitch.tactical(everyone.withColumn("class_id", F.when(F.col("role") == 2, 1).when(F.col("role") == 3, 2).otherwise(0)).withColumn("det_idx", F.col("role") * 1_000_000 + F.col("det_idx")), smooth)
     points = points.select("clip_id", "frame_idx", F.floor(F.col("det_idx") / 1_000_000).cast("int").alias("role"), (F.col("det_idx") % 1_000_000).alias("id"), "x", "y")
-    return Analysis(players, balls, path, referees, used, counts, points, models, fps)
+    return Analysis(players, balls, path, referees, used, counts, points, models, fps, stride)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.package import ship
 from .detections import frame
-from .pitch import PITCH
+from .pitch import PITCH, transform
 
 #: Subsets of four that a frame tries, and the best corners that they come from.
 SUBSETS, POOL = 32, 27
@@ -177,3 +177,11 @@ def with_inverse(fits: DataFrame) -> DataFrame:
         return pd.Series([None if v is None else v.tolist() for v in found], dtype=object)
 
     return fits.withColumn("back", inverted("h"))
+
+
+def to_frame(points: DataFrame, fits: DataFrame) -> DataFrame:
+    """points (clip_id, if there are several, frame_idx, x, y on the pitch) with fx, fy: where they are in their own frame, by the inverse of its homography (fits: the same keys, h). Frames without one that can be inverted show none."""
+    keys = frame(points)
+    back = with_inverse(fits.select(*keys, "h")).filter("back IS NOT NULL")
+    fx, fy = transform(F.col("back"), F.col("x"), F.col("y"))
+    return points.join(back.drop("h"), keys).withColumn("fx", fx).withColumn("fy", fy).drop("back").filter("fx IS NOT NULL")

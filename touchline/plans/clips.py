@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import detections as d
-from ..operators import raw, teams, tracker
+from ..operators import homography, pitch, raw, teams, tracker
 from ..sources.adapters import ANCHORS_SQL, BOXES_SQL, EMBEDDINGS_SQL, OBSERVATIONS_SQL, anchors, embeddings, observations
-from .catalogue import _BOX, _NMS, ORACLES, QUERIES, _boxes, query
+from .catalogue import _BOX, _H, _NMS, ORACLES, QUERIES, _boxes, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -93,3 +93,19 @@ def track_pieces(spark, sf):
     k = F.row_number().over(Window.partitionBy("clip_id").orderBy("frame_idx"))
     o = observations(spark, sf).select("clip_id", (k * 130).cast("long").alias("frame_idx"), F.lit(0).alias("det_idx"), (F.col("x") - 20).alias("x1"), (F.col("y") - 40).alias("y1"), (F.col("x") + 20).alias("x2"), (F.col("y") + 40).alias("y2"), F.lit(0.9).alias("conf"))
     return tracker.run(o)
+
+
+_BACK = "floor({v} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"
+
+
+@query(f"WITH {BOXES_SQL} SELECT frame_idx, det_idx, {_BACK.format(v='(x1 + x2) / 2')} AS x, {_BACK.format(v='CASE WHEN class_id = 1 THEN (y1 + y2) / 2 ELSE y2 END')} AS y FROM boxes WHERE frame_idx % 3 <> 0")
+def to_frame_by_frame(spark, sf):
+    """From the frame to the pitch and back, by each frame's own homography and its inverse; a third of them can't be inverted."""
+    b = _boxes(spark, sf)
+    odd = {3: F.when(F.col("frame_idx") % 3 == 0, 2 * _H[0]).otherwise(_H[3]), 4: F.when(F.col("frame_idx") % 3 == 0, 2 * _H[1]).otherwise(_H[4])}
+    move = _H[2] + F.col("frame_idx") % 7
+    h = F.array(*[odd.get(k, move if k == 2 else F.lit(v)) for k, v in enumerate(_H)])
+    h = F.when(F.col("frame_idx") % 3 == 0, F.transform(h, lambda v, k: F.when(k == 5, 2 * move).otherwise(v))).otherwise(h)
+    fits = b.select("frame_idx").distinct().withColumn("h", h)
+    back = homography.to_frame(pitch.tactical(b, fits.withColumn("valid", F.lit(True))), fits)
+    return back.select("frame_idx", "det_idx", *[(F.floor(F.col(c) * 1e6 + 0.5).cast("double") / 1e6).alias(n) for c, n in (("fx", "x"), ("fy", "y"))])

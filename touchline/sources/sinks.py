@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.detections import frame
+from . import documents, metrics
 
 
 def output_path(path: Column, suffix: str) -> Column:
@@ -41,18 +42,32 @@ def telemetry_frames(tactical: DataFrame, fps: float = 25.0) -> DataFrame:
     return tactical.select("clip_id", "frame_idx", line.alias("line"))
 
 
+def _document(frames: DataFrame, videos: DataFrame, *more: str) -> DataFrame:
+    """clip_id, at, value and what videos hold besides: the header's line, the frames in order, the end."""
+    opening = videos.select("clip_id", F.lit(-1).cast("long").alias("at"), F.concat(F.expr("substring(header, 1, length(header) - 1)"), F.lit(',"frames":[')).alias("value"), *more)
+    first = frames.groupBy("clip_id").agg(F.min("frame_idx").alias("first"))
+    lines = frames.join(first, "clip_id").select("clip_id", F.col("frame_idx").alias("at"), F.concat(F.when(F.col("frame_idx") > F.col("first"), ",").otherwise(""), "line").alias("value"))
+    if more:
+        lines = lines.join(videos.select("clip_id", *more), "clip_id")
+    closing = videos.select("clip_id", F.lit((1 << 63) - 1).cast("long").alias("at"), F.lit("]}").alias("value"), *more)
+    return opening.unionByName(lines).unionByName(closing)
+
+
 def telemetry_files(frames: DataFrame, videos: DataFrame, path: str) -> None:
     """Write each clip's telemetry below path as text, a folder a clip: the header's line (videos: clip_id, header as header() makes it), the frames in order, the end. Joined, they are one JSON document.
 
     Clips are sorted within tasks and streamed out; none is gathered in memory."""
-    opening = videos.select("clip_id", F.lit(-1).cast("long").alias("at"), F.concat(F.expr("substring(header, 1, length(header) - 1)"), F.lit(',"frames":[')).alias("value"))
-    first = frames.groupBy("clip_id").agg(F.min("frame_idx").alias("first"))
-    lines = frames.join(first, "clip_id").select("clip_id", F.col("frame_idx").alias("at"), F.concat(F.when(F.col("frame_idx") > F.col("first"), ",").otherwise(""), "line").alias("value"))
-    closing = videos.select("clip_id", F.lit((1 << 63) - 1).cast("long").alias("at"), F.lit("]}").alias("value"))
-    every = opening.unionByName(lines).unionByName(closing)
+    every = _document(frames, videos)
     every.repartition("clip_id").sortWithinPartitions("clip_id", "at").select("clip_id", "value").write.partitionBy("clip_id").text(path)
 
 
+def telemetry_documents(frames: DataFrame, videos: DataFrame) -> dict[str, float]:
+    """Write each clip's telemetry as one JSON document at its video's ``output`` (videos: clip_id, header, output), all of them or, where the job fails, none; the number of lines written, by the way."""
+    seen = metrics.Watched(_document(frames, videos, "output"), F.col("at").between(0, (1 << 62)))
+    documents.write(seen.frames)
+    return {"frames": seen.summary()["ran"]}
+
+
 def telemetry(counts: DataFrame, fps: float = 25.0) -> DataFrame:
     """frame_idx and a JSON line for each frame."""
     line = F.format_string('{"frame":%d,"timestamp":%s,"players":%d,"balls":%d,"referees":%d}', "frame_idx", F.format_string("%.3f", F.col("frame_idx") / F.lit(fps)), "players", "balls", "referees")
