@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import HEIGHT, WIDTH, clamp, dot
 from ..sources.package import ship
+from . import scans
 
 #: Frame numbers of a block: what is carried along a clip goes block by block, so that one long clip is many tasks' work.
 BLOCK = 4096
@@ -94,16 +95,13 @@ def _ordered(df: DataFrame, key: str, order: str, *cols: str) -> DataFrame:
 
 
 def ema(df: DataFrame, key: str, order: str, value: str, keep: float = 0.9) -> DataFrame:
-    """The last state of s <- keep * s + (1 - keep) * x, from the first value."""
-    s = F.aggregate(F.slice(F.col("all"), F.lit(2), F.size("all")), F.element_at("all", 1)[value], lambda a, x: F.lit(keep) * a + F.lit(1 - keep) * x[value])
-    return _ordered(df, key, order, value).select(key, s.alias("ema"))
+    """The last state of s <- keep * s + (1 - keep) * x, from the first value; nulls don't count."""
+    return scans.last_state(df, key, order, [value], scans.ema(keep), ["ema"])
 
 
 def cadence(df: DataFrame, key: str, order: str, every: int = 60) -> DataFrame:
     """How often a label is made anew, and when last: where it is unseen or every frames old."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    fold = lambda a, x: F.when(a["last"].isNull() | (x[order] - a["last"] >= every), F.struct(x[order].alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
-    return _ordered(df, key, order).select(key, F.aggregate("all", start, fold).alias("s")).select(key, "s.last", "s.n")
+    return scans.cadence(df, key, order, every)
 
 
 def stale_reuse(df: DataFrame, key: str, order: str, ok: str, most: int = 10) -> DataFrame:
@@ -114,19 +112,11 @@ def stale_reuse(df: DataFrame, key: str, order: str, ok: str, most: int = 10) ->
     return island.withColumn("age", F.when(F.col("island") > 0, rank)).select(key, order, (F.col("age") <= most).alias("usable"))
 
 
-def kalman_axis(obs: DataFrame, value: str = "x") -> DataFrame:
-    """One axis of the box filter, position and velocity: predict, then update, over a clip's observations. conf 0.9 throughout."""
-    q1, q2, r = 1.0, 0.25, 10.0 * (1.0 - 0.9) + 1.0
-
-    def step(s, o):
-        p, a, b, c = s["p"] + s["v"], s["a"] + 2.0 * s["b"] + s["c"] + q1, s["b"] + s["c"], s["c"] + q2
-        k0, k1 = a / (a + r), b / (a + r)
-        e = o[value] - p
-        return F.struct((p + k0 * e).alias("p"), (s["v"] + k1 * e).alias("v"), ((1.0 - k0) * a).alias("a"), ((1.0 - k0) * b).alias("b"), (c - k1 * b).alias("c"))
-
-    start = F.struct(F.element_at("all", 1)[value].alias("p"), F.lit(0.0).alias("v"), F.lit(10.0).alias("a"), F.lit(0.0).alias("b"), F.lit(10.0).alias("c"))
-    done = F.aggregate(F.slice(F.col("all"), F.lit(2), F.size("all")), start, step)
-    return _ordered(obs, "clip_id", "frame_idx", value).select("clip_id", done.alias("s")).select("clip_id", "s.p", "s.v")
+def kalman_axis(obs: DataFrame, value: str = "x", conf: str | None = None) -> DataFrame:
+    """clip_id, p, v: one axis of the box filter, position and velocity: predict, then update, over a clip's observations. conf: the column of their confidence (0.9 throughout, if there is none)."""
+    sure = F.least(F.greatest(F.col(conf), F.lit(0.05)), F.lit(1.0)) if conf else F.lit(0.9)
+    noisy = obs.withColumn("noise", 10.0 * (1.0 - sure) + 1.0)
+    return scans.last_state(noisy, "clip_id", "frame_idx", [value, "noise"], scans.kalman(), ["p", "v", "pp", "pv", "vp", "vv"]).select("clip_id", "p", "v")
 
 
 def training_sample(counts: DataFrame, frames: int = 0) -> DataFrame:

@@ -176,9 +176,9 @@ def role_vote(spark, sf):
     return sequences.role(_votes(spark, sf))
 
 
-@query("WITH e AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, list_reduce(v, lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x) AS ema FROM e".replace("0.1::DOUBLE", "(1 - 0.9::DOUBLE)"))
+@query("WITH e AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, floor(list_reduce(v, lambda a, x: 0.9::DOUBLE * a + (1 - 0.9::DOUBLE) * x) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS ema FROM e")
 def ema_scalar(spark, sf):
-    return sequences.ema(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+    return sequences.ema(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value").withColumn("ema", grid(F.col("ema")))
 
 
 @query("WITH e AS (SELECT user_id, list(event_id ORDER BY event_id) AS v FROM events GROUP BY 1), s AS (SELECT user_id, list_reduce(list_prepend({'last': NULL::BIGINT, 'n': 0::BIGINT}, list_transform(v, lambda x: {'last': x, 'n': 0::BIGINT})), lambda a, x: CASE WHEN a.last IS NULL OR x.last - a.last >= 60 THEN {'last': x.last, 'n': a.n + 1} ELSE a END) AS s FROM e) SELECT user_id, s.last AS last, s.n AS n FROM s")
@@ -192,13 +192,24 @@ def stale_reuse(spark, sf):
     return sequences.stale_reuse(table(spark, sf, "events").select("user_id", "event_id", (F.col("value") >= 60).alias("ok")), "user_id", "event_id", "ok")
 
 
-@query(f"""WITH RECURSIVE {OBSERVATIONS_SQL}, o AS (SELECT clip_id, x, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS k FROM obs),
+def _filtered(value: str, conf: str) -> str:
+    return f"""WITH RECURSIVE {OBSERVATIONS_SQL}, o AS (SELECT clip_id, {value} AS x, 10.0::DOUBLE * (1.0::DOUBLE - {conf}) + 1.0::DOUBLE AS r, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS k FROM obs),
 f AS (SELECT clip_id, k, x AS p, 0.0::DOUBLE AS v, 10.0::DOUBLE AS a, 0.0::DOUBLE AS b, 10.0::DOUBLE AS c FROM o WHERE k = 1
   UNION ALL SELECT clip_id, k, p + v + (a1 / (a1 + r)) * (x - (p + v)), v + (b1 / (a1 + r)) * (x - (p + v)), (1.0::DOUBLE - a1 / (a1 + r)) * a1, (1.0::DOUBLE - a1 / (a1 + r)) * b1, c1 - (b1 / (a1 + r)) * b1
-  FROM (SELECT f.clip_id, o.k, o.x, f.p, f.v, f.a + 2.0::DOUBLE * f.b + f.c + 1.0::DOUBLE AS a1, f.b + f.c AS b1, f.c + 0.25::DOUBLE AS c1, 10.0::DOUBLE * (1.0::DOUBLE - 0.9::DOUBLE) + 1.0::DOUBLE AS r FROM f JOIN o ON o.clip_id = f.clip_id AND o.k = f.k + 1))
-SELECT clip_id, p, v FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY k DESC) AS rn FROM f) WHERE rn = 1""")
+  FROM (SELECT f.clip_id, o.k, o.x, f.p, f.v, f.a + 2.0::DOUBLE * f.b + f.c + 1.0::DOUBLE AS a1, f.b + f.c AS b1, f.c + 0.25::DOUBLE AS c1, o.r FROM f JOIN o ON o.clip_id = f.clip_id AND o.k = f.k + 1))
+SELECT clip_id, {", ".join(f"floor({c} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS {c}" for c in "pv")} FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY k DESC) AS rn FROM f) WHERE rn = 1"""
+
+
+@query(_filtered("x", "0.9::DOUBLE"))
 def kalman_axis(spark, sf):
-    return sequences.kalman_axis(observations(spark, sf))
+    return sequences.kalman_axis(observations(spark, sf)).select("clip_id", grid(F.col("p")).alias("p"), grid(F.col("v")).alias("v"))
+
+
+@query(_filtered("y", "greatest(0.05::DOUBLE, least(1.0::DOUBLE, (event_id % 13) / 10.0::DOUBLE))"))
+def kalman_conf(spark, sf):
+    """The other axis, at confidences from 0 to 1.2, which count as 0.05 to 1."""
+    o = observations(spark, sf).withColumn("conf", (F.col("event_id") % 13) / 10.0)
+    return sequences.kalman_axis(o, "y", "conf").select("clip_id", grid(F.col("p")).alias("p"), grid(F.col("v")).alias("v"))
 
 
 _DOT = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i])), lambda s, x: s + x)"
