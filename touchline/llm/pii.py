@@ -1,8 +1,8 @@
 """Operator 6, PII: offset-preserving deobfuscation.
 
 Base spans are found in the text as it stands. A text with any sign of disguise then goes through transducers that write a normalised text and keep, for each piece of it, the
-source piece it stands for: homoglyphs and other digits become ASCII, invisible characters vanish, runs of spelled digits (short ones too, where digits, + or other runs adjoin) become
-digits, ``(at)``/``[dot]``/`` at .. dot `` become ``@`` and ``.``. Identifiers found there are mapped back to source characters; those that don't lie within a base span are added, with the same kinds. So a base span that is
+source piece it stands for: homoglyphs, other digits and other spaces become ASCII, invisible characters vanish, runs of spelled digits (short ones too, where digits, + or other runs adjoin) become
+digits, letters among digits (O, l) too, ``(at)``/``[dot]``/`` at .. dot ``/``_at_``, entities and spaced-out signs become ``@`` and ``.``. Identifiers found there are mapped back to source characters; those that don't lie within a base span are added, with the same kinds. So a base span that is
 only a part of a disguised identifier stays, and the whole one stands beside it.
 
 Null text counts as empty: no spans. Rows are scanned each by itself, whole; every step is linear in the text. Repeated rows give a row each; an empty table gives an empty result.
@@ -99,6 +99,8 @@ def _plain(c: str) -> str:
     n = ord(c)
     if 0xFF01 <= n <= 0xFF5E:  # full width
         return chr(n - 0xFEE0)
+    if n > 127 and unicodedata.category(c) == "Zs":
+        return " "
     if n > 127 and unicodedata.category(c) == "Nd":
         return str(unicodedata.digit(c))
     if 0x1D400 <= n <= 0x1D7FF:  # mathematical letters
@@ -115,8 +117,16 @@ _WORD = re.compile(rf"(?<![A-Za-z])(?:{_WORDS})(?![A-Za-z])", re.IGNORECASE | re
 _WITHIN, _BETWEEN = re.compile(r"[\x20,-]{1,2}"), re.compile(r"[\x20,().-]{0,4}")
 _DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9+][\x20,().-]{0,4}\Z"), re.compile(r"[\x20,().-]{0,4}[0-9]")
 _BRACKETED = re.compile(r"\x20{0,3}[\[({<]\x20{0,3}(at|@|dot|\.)\x20{0,3}[\])}>]\x20{0,3}", re.IGNORECASE | re.ASCII)
-_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-])", re.IGNORECASE | re.ASCII)
-_BARE_DOT = re.compile(r"(?<=[A-Za-z0-9._%+-])\x20dot\x20(?=[A-Za-z0-9._%+-])", re.IGNORECASE | re.ASCII)
+_BARE_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\x20at\x20|_at_)(?=[A-Za-z0-9-])", re.IGNORECASE | re.ASCII)
+#: Endings of domains that may stand after a dot with spaces around it; in prose, such a dot ends a sentence.
+ENDINGS = "com org net edu gov info biz io co uk de fr es it nl ch at se no pl eu us ca au br in jp cn ru me dev app ai".split()
+_FAR_DOT = rf"\x20\.\x20(?=(?:[a-z0-9-]{{1,63}}\x20?\.\x20?){{0,4}}(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9]))"
+_BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\x20dot\x20|{_FAR_DOT}|_dot_)(?=[A-Za-z0-9._%+-])", re.IGNORECASE | re.ASCII)
+#: Signs as mark-up and addresses write them, and an @ with spaces around it, where a domain of letters follows.
+_ENTITY = re.compile(r"&(?:#0{0,4}64|#x0{0,4}40|commat);|%40|(&(?:#0{0,4}46|#x0{0,4}2e|period);|%2e)", re.IGNORECASE | re.ASCII)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\x20{1,2}@\x20{0,2}|@\x20{1,2})(?=[A-Za-z0-9-]{1,63}(?:(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2}|" + _FAR_DOT + "))", re.IGNORECASE | re.ASCII)
+#: Digits among which letters stand for some.
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{2,}(?![A-Za-z0-9])", re.ASCII)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 
 
@@ -200,6 +210,11 @@ def short_spelled_digits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def lettered_digits(text: str) -> list[tuple[int, int, str]]:
+    """O and o for 0, I and l for 1, in words of digits."""
+    return [(m.start() + k, m.start() + k + 1, "0" if c in "Oo" else "1") for m in _LETTERED.finditer(text) if any(c in "0123456789" for c in m[0]) for k, c in enumerate(m[0]) if c in "OoIl"]
+
+
 _SPACES = re.compile(r"\x20{0,4}")
 
 
@@ -210,13 +225,19 @@ def _spaces_before(text: str, at: int) -> str:
 def at_and_dot(text: str) -> list[tuple[int, int, str]]:
     """Bracketed forms wherever they stand; bare dots in the labels on both sides of an @ of any form; a bare at where a domain follows and one of its dots, or of the dots before it, is disguised."""
     out = [(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".") for m in _BRACKETED.finditer(text)]
+    out += [(m.start(), m.end(), "." if m[1] else "@") for m in _ENTITY.finditer(text)] if "&" in text or "%" in text else []
+    out += [(m.start(), m.end(), "@") for m in _SPACED_AT.finditer(text)] if "@" in text else []
+    out.sort()
+    out = [x for k, x in enumerate(out) if k == 0 or x[0] >= out[k - 1][1]]
     bare = [m.span() for m in _BARE_DOT.finditer(text)]
     if not bare and not out:
         return []
     brackets = [(a, b) for a, b, new in out if new == "."]
     after, before = dict(brackets) | dict(bare), {b: a for a, b in (*brackets, *bare)}
     is_bare, used = dict(bare), set()
-    ats = sorted([(a, b, False) for a, b, new in out if new == "@"] + [(m.start(), m.end(), False) for m in re.finditer("@", text)] + [(*m.span(), True) for m in _BARE_AT.finditer(text)])
+    starts = [a for a, _, _ in out]
+    any_over = lambda at: (k := bisect_right(starts, at)) > 0 and out[k - 1][1] > at  # noqa: E731  an @ that stands in a form above
+    ats = sorted([(a, b, False) for a, b, new in out if new == "@"] + [(m.start(), m.end(), False) for m in re.finditer("@", text) if not any_over(m.start())] + [(*m.span(), True) for m in _BARE_AT.finditer(text)])
     local_of = {a for a, b, _ in ats if (m := _LABEL.match(text, b)) and (m.end() in after or text[m.end() : m.end() + 1] == ".")}
     for a, b, bare_at in ats:
         right, left, dots, at = [], [], 0, b
@@ -276,7 +297,7 @@ def disguised(text: str) -> list[tuple[int, int, int]]:
         chain = collect([Mapped(text, edits)])
     now, tried = chain[-1].text if chain else text, []
     forms = [(chain, now)]
-    for f in (spelled_digits, short_spelled_digits):
+    for f in (spelled_digits, short_spelled_digits, lettered_digits):
         if (edits := f(now)) and edits not in tried:
             tried.append(edits)
             longer = collect([*chain, Mapped(now, edits)])
