@@ -18,12 +18,20 @@ def frame(df: DataFrame) -> list[str]:
     return [*(["clip_id"] if "clip_id" in df.columns else []), "frame_idx"]
 
 
+def _sure(conf: Column, cls: Column) -> Column:
+    return conf >= F.when(cls == BALL, MIN_CONF[BALL]).otherwise(MIN_CONF[PLAYER])
+
+
+def _box() -> dict[str, Column]:
+    """Corners of a centre box, without padding, clamped to the frame."""
+    half, tall = F.col("w") / 2, F.col("h") / 2
+    return {"x1": clamp(F.col("cx") - half, WIDTH), "y1": clamp(F.col("cy") - tall - PAD, HEIGHT), "x2": clamp(F.col("cx") + half, WIDTH), "y2": clamp(F.col("cy") + tall - PAD, HEIGHT)}
+
+
 def decode(anchors: DataFrame) -> DataFrame:
     """Centre boxes to corners, without padding, clamped to the frame. The threshold is the first filter over the anchors (it reaches a scan whose columns are the anchors' own)."""
-    kept = anchors.filter(F.col("conf") >= F.when(F.col("class_id") == BALL, MIN_CONF[BALL]).otherwise(MIN_CONF[PLAYER]))
-    x1, y1 = clamp(F.col("cx") - F.col("w") / 2, WIDTH), clamp(F.col("cy") - F.col("h") / 2 - PAD, HEIGHT)
-    x2, y2 = clamp(F.col("cx") + F.col("w") / 2, WIDTH), clamp(F.col("cy") + F.col("h") / 2 - PAD, HEIGHT)
-    return kept.select(*frame(kept), "det_idx", "class_id", "conf", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).filter("x2 > x1 AND y2 > y1")
+    kept = anchors.filter(_sure(F.col("conf"), F.col("class_id")))
+    return kept.select(*frame(kept), "det_idx", "class_id", "conf", *[v.alias(k) for k, v in _box().items()]).filter("x2 > x1 AND y2 > y1")
 
 
 def classify(scores: Column) -> Column:
@@ -33,11 +41,15 @@ def classify(scores: Column) -> Column:
     return F.when((s[0] == best) & (best >= MIN_CONF[PLAYER]), PLAYER).when((s[1] == best) & (best >= MIN_CONF[BALL]), BALL).when((s[2] == best) & (best >= MIN_CONF[REFEREE]), REFEREE).cast("int")
 
 
+def _greedy(near) -> Column:
+    """Of the boxes of ``all``, in order, those that no kept one is near."""
+    return F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
+
+
 def _suppress(boxes: DataFrame, value: list[str], near) -> DataFrame:
     """Greedy suppression within (frame, class): by confidence, then det_idx; a box goes if a kept one is near."""
     packed = F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("neg"), "det_idx", "conf", *value)))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return boxes.groupBy(*frame(boxes), "class_id").agg(packed.alias("all")).select(*frame(boxes), "class_id", F.inline(kept)).drop("neg")
+    return boxes.groupBy(*frame(boxes), "class_id").agg(packed.alias("all")).select(*frame(boxes), "class_id", F.inline(_greedy(near))).drop("neg")
 
 
 def nms(boxes: DataFrame, limit: float = 0.7) -> DataFrame:
@@ -85,6 +97,16 @@ def class_counts(spine: DataFrame, boxes: DataFrame) -> DataFrame:
     return spine.select(*keys).distinct().join(boxes.groupBy(*keys).agg(*n), keys, "left").na.fill(0, ["players", "balls", "referees"])
 
 
+def kept_counts(anchors: DataFrame, limit: float = 0.7) -> DataFrame:
+    """players, balls, referees of each frame of the anchors after thresholds, decoding and suppression; 0 where none are left. The anchors are read once: frames without boxes are groups whose lists are empty."""
+    keys = frame(anchors)
+    boxes = anchors.select(*keys, "det_idx", "class_id", "conf", *[v.alias(k) for k, v in _box().items()])
+    fine = _sure(F.col("conf"), F.col("class_id")) & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    packed = F.array_sort(F.collect_list(F.when(fine, F.struct((-F.col("conf")).alias("neg"), "det_idx", "x1", "y1", "x2", "y2"))))
+    n = boxes.groupBy(*keys, "class_id").agg(packed.alias("all")).select(*keys, "class_id", F.size(_greedy(lambda k, x: iou(k, x) > limit)).cast("long").alias("n"))
+    return n.groupBy(*keys).agg(*[F.sum(F.when(F.col("class_id") == c, F.col("n")).otherwise(F.lit(0).cast("long"))).alias(k) for c, k in ((PLAYER, "players"), (BALL, "balls"), (REFEREE, "referees"))])
+
+
 def best_overlap(tracked: DataFrame, raw: DataFrame) -> DataFrame:
     """For each tracked box its raw box of the largest overlap in the frame, even if that is 0; ties to the first."""
     keys = frame(tracked)

@@ -57,7 +57,7 @@ def nearest(points: DataFrame, refs: DataFrame) -> DataFrame:
     return points.join(r, "class_id").select("id", "ref_idx", d.alias("d2")).withColumn("rn", F.row_number().over(order)).filter("rn = 1").drop("rn")
 
 
-def pixels(x: Column, y: Column, width: int = 1050, height: int = 680) -> tuple[Column, Column]:
+def pixels(x: Column, y: Column, width: int | Column = 1050, height: int | Column = 680) -> tuple[Column, Column]:
     return ((x + 52.5) * width / 105.0).cast("int"), ((y + 34.0) * height / 68.0).cast("int")
 
 
@@ -67,13 +67,15 @@ def inverse(h: list[float]) -> list[float]:
     return [e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d]
 
 
-def pitch_lines(spark: SparkSession, width: int = 1050, height: int = 680) -> DataFrame:
-    """The pitch as a draw list in whole pixels, z in the order of drawing; spots have a radius of 3."""
-    rows = spark.createDataFrame([(z, *r) for z, r in enumerate(LINES)], "z int, kind string, x1 double, y1 double, x2 double, y2 double")
+def pitch_lines(canvases: DataFrame) -> DataFrame:
+    """The pitch as a draw list in whole pixels on each canvas (width, height, and what it is known by): z is the order of drawing; spots have a radius of 3. The lines are few and fixed: each canvas's row brings them forth."""
+    lines = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(kind).alias("kind"), *[F.lit(v).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), at, strict=True)]) for z, (kind, *at) in enumerate(LINES)])
+    rows = canvases.select("*", F.inline(lines))
+    width, height = F.col("width"), F.col("height")
     (px, py), (qx, qy) = (pixels(F.col(f"x{i}"), F.col(f"y{i}"), width, height) for i in (1, 2))
     radius = (F.col("x2") * width / 105.0).cast("int"), (F.col("y2") * height / 68.0).cast("int")
     far = [F.when(F.col("kind") == "spot", 3).when(F.col("kind") == "ellipse", r).otherwise(q) for r, q in zip(radius, (qx, qy), strict=True)]
-    return rows.select("z", "kind", px.alias("x"), py.alias("y"), far[0].alias("to_x"), far[1].alias("to_y"))
+    return rows.select(*[c for c in canvases.columns if c not in ("width", "height")], "z", "kind", px.alias("x"), py.alias("y"), far[0].alias("to_x"), far[1].alias("to_y"))
 
 
 #: Colours of roles on the pitch, as blue, green, red.

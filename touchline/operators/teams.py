@@ -198,11 +198,11 @@ class TeamModel:
         return assign(emb.select("vec_id", centred.alias("c")).select("vec_id", e.alias("e")), self.centroids.tolist()).select("vec_id", "team")
 
 
-_MODEL = "mean array<double>, axes array<array<double>>, centroids array<array<double>>, score double, rows int"
+_MODEL = "mean array<double>, axes array<array<double>>, variance array<double>, centroids array<array<double>>, score double, rows int"
 
 
 def fit_by_clip(players: DataFrame, frames: int = 0, components: int = 3) -> DataFrame:
-    """A team model a clip, as a relation: clip_id, mean, axes, centroids, score, rows (how many it was fitted on). players: clip_id, frame_idx, det_idx, feature (null: none).
+    """A team model a clip, as a relation: clip_id, mean, axes, variance, centroids, score, rows (how many it was fitted on). players: clip_id, frame_idx, det_idx, feature (null: none).
 
     Each clip is sampled as training_sample() says, and of those rows the TRAIN_ROWS of the smallest hashes are fitted, a small group a clip; nothing goes to the driver. The first of a clip's sampled rows fixes the
     vectors' size: others are passed over. A clip whose sample has fewer rows than teams has a row without mean and centroids, of score -1; one that isn't looked at in its sampled frames has none."""
@@ -212,8 +212,8 @@ def fit_by_clip(players: DataFrame, frames: int = 0, components: int = 3) -> Dat
 
     def clip(df: pd.DataFrame) -> pd.DataFrame:
         m = TeamModel(components).learn(df.sort_values(["frame_idx", "det_idx"], kind="stable")["e"].tolist())
-        lists = [None if v is None else v.tolist() for v in (m.mean, m.axes, m.centroids)]
-        return pd.DataFrame([(df["clip_id"].iloc[0], *lists, m.score if np.isfinite(m.score) else None, len(df))], columns=["clip_id", "mean", "axes", "centroids", "score", "rows"])
+        lists = [None if v is None else v.tolist() for v in (m.mean, m.axes, m.variance, m.centroids)]
+        return pd.DataFrame([(df["clip_id"].iloc[0], *lists, m.score if np.isfinite(m.score) else None, len(df))], columns=["clip_id", "mean", "axes", "variance", "centroids", "score", "rows"])
 
     ship(players.sparkSession)
     return sample.groupBy("clip_id").applyInPandas(clip, f"clip_id long, {_MODEL}")

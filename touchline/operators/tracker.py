@@ -245,9 +245,9 @@ def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxe
             end = int(df["until"].iloc[0])
         head = df["clip_id"].iloc[0], df["piece"].iloc[0]
         while f <= end:
+            if f > order[-1] and not t.active:
+                break  # lost tracks show nothing without a box
             if f not in frames and not t.active and not t.lost:
-                if f > order[-1]:
-                    break
                 f = order[bisect_right(order, f)]
             g = frames.get(f, none)
             ids, xy, conf = g["det_idx"].tolist(), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float)

@@ -67,8 +67,7 @@ def nms_counts(spark, sf):
 SELECT s.frame_idx, CAST(count(*) FILTER (class_id = 0) AS BIGINT) AS players, CAST(count(*) FILTER (class_id = 1) AS BIGINT) AS balls, CAST(count(*) FILTER (class_id = 2) AS BIGINT) AS referees
 FROM spine s LEFT JOIN nms n ON s.frame_idx = n.frame_idx GROUP BY 1""")
 def frame_class_counts(spark, sf):
-    a = anchors(spark, sf)
-    return d.class_counts(a, d.nms(d.decode(a)))
+    return d.kept_counts(anchors(spark, sf))
 
 
 #: Overlaps of pairs p (boxes a and b, keys), each part of them computed once.

@@ -87,12 +87,13 @@ def clip_pieces(spark, sf):
     return tracker.pieces(observations(spark, sf).filter("event_id % 3 <> 1"), buffer=6).groupBy("clip_id", "piece", "until").agg(F.count("*").alias("frames"))
 
 
-@query(f"""WITH {OBSERVATIONS_SQL}, o AS (SELECT clip_id, frame_idx, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS k FROM obs) SELECT clip_id, k * 130 AS frame_idx, CAST(k AS INTEGER) AS track_id, 0 AS det_idx FROM o""")
+@query(f"""WITH {OBSERVATIONS_SQL}, o AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) - 1 AS k FROM obs) SELECT clip_id, k // 10 * 140 + k % 10 AS frame_idx, CAST(k // 10 + 1 AS INTEGER) AS track_id, 0 AS det_idx FROM o""")
 def track_pieces(spark, sf):
-    """A box each 130 frames, so far apart that no track lives from one to the next: every box is a piece of its clip, and ids go on from piece to piece."""
-    k = F.row_number().over(Window.partitionBy("clip_id").orderBy("frame_idx"))
-    o = observations(spark, sf).select("clip_id", (k * 130).cast("long").alias("frame_idx"), F.lit(0).alias("det_idx"), (F.col("x") - 20).alias("x1"), (F.col("y") - 40).alias("y1"), (F.col("x") + 20).alias("x2"), (F.col("y") + 40).alias("y2"), F.lit(0.9).alias("conf"))
-    return tracker.run(o)
+    """An object that shows in ten frames and then goes for longer than any track lives: every appearance is a piece of its clip, and ids go on from piece to piece."""
+    k = F.row_number().over(Window.partitionBy("clip_id").orderBy("frame_idx")) - 1
+    o = observations(spark, sf).select("clip_id", k.alias("k")).select("clip_id", (F.floor(F.col("k") / 10) * 140 + F.col("k") % 10).cast("long").alias("frame_idx"), F.lit(0).alias("det_idx"), (F.col("k") % 10).alias("step"))
+    x = 100.0 + 3.0 * F.col("step")
+    return tracker.run(o.select("clip_id", "frame_idx", "det_idx", (x - 20).alias("x1"), F.lit(60.0).alias("y1"), (x + 20).alias("x2"), F.lit(140.0).alias("y2"), F.lit(0.9).alias("conf")))
 
 
 _BACK = "floor({v} * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE"

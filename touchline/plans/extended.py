@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import HEIGHT, WIDTH
+from ..functions.boxes import HEIGHT, WIDTH, dot, grid
 from ..operators import detections as d
 from ..operators import homography, pitch, sequences, teams, tracker
 from ..sources import sinks
@@ -185,15 +185,15 @@ def team_cache(spark, sf):
     return teams.cached_labels(tracks, cache)
 
 
-@query("SELECT CAST(k AS INTEGER) AS axis, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS off_axis, true AS in_order FROM range(0, 3) t(k)")
+@query("SELECT clip_id, n, CAST(k AS INTEGER) AS axis, 1.0::DOUBLE AS norm, 0.0::DOUBLE AS off_axis, true AS in_order FROM (SELECT vec_id % 5 AS clip_id, CAST(least(120, count(*)) AS INTEGER) AS n FROM embeddings GROUP BY 1), range(0, 3) t(k)")
 def pca_invariants(spark, sf):
-    """Fitted axes: of length 1, at right angles, by falling variance."""
-    import numpy as np
-
-    m = teams.TeamModel().fit(embeddings(spark, sf))
-    g = m.axes @ m.axes.T
-    rows = [(k, abs(round(float(g[k, k]), 6)), abs(round(float(np.abs(np.delete(g[k], k)).max()), 6)), bool(k == 0 or m.variance[k] <= m.variance[k - 1])) for k in range(3)]
-    return spark.createDataFrame(rows, "axis int, norm double, off_axis double, in_order boolean")
+    """The axes that are fitted for each of five clips: of length 1, at right angles, by falling variance."""
+    players = embeddings(spark, sf).select((F.col("vec_id") % 5).alias("clip_id"), F.lit(0).cast("long").alias("frame_idx"), F.col("vec_id").cast("int").alias("det_idx"), F.col("e").alias("feature"))
+    m = teams.fit_by_clip(players)
+    each = m.select("clip_id", F.col("rows").alias("n"), "axes", "variance", F.posexplode("axes").alias("axis", "a"))
+    dots = F.transform("axes", lambda b, k: F.when(k == F.col("axis"), 0.0).otherwise(F.abs(dot(F.col("a"), b))))
+    falls = (F.col("axis") == 0) | (F.get("variance", F.col("axis")) <= F.get("variance", F.col("axis") - 1))
+    return each.select("clip_id", "n", "axis", grid(F.sqrt(dot(F.col("a"), F.col("a")))).alias("norm"), grid(F.array_max(dots)).alias("off_axis"), falls.alias("in_order"))
 
 
 @query("WITH f AS (SELECT min_by(label % 2, vec_id) AS first FROM embeddings) SELECT vec_id, label % 2 = first AS same FROM embeddings, f")
@@ -273,11 +273,13 @@ def tactical_frame(spark, sf):
 _LINE_ROWS = ", ".join(f"({z}, '{k}', {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {e!r}::DOUBLE)" for z, (k, a, b, c, e) in enumerate(pitch.LINES))
 
 
-@query(f"""WITH l(z, kind, x1, y1, x2, y2) AS (VALUES {_LINE_ROWS}) SELECT z, kind, CAST(trunc((x1 + 52.5::DOUBLE) * 10.0::DOUBLE) AS INTEGER) AS x, CAST(trunc((y1 + 34.0::DOUBLE) * 10.0::DOUBLE) AS INTEGER) AS y,
-CASE kind WHEN 'spot' THEN 3 WHEN 'ellipse' THEN CAST(trunc(x2 * 10.0::DOUBLE) AS INTEGER) ELSE CAST(trunc((x2 + 52.5::DOUBLE) * 1050 / 105.0::DOUBLE) AS INTEGER) END AS to_x,
-CASE kind WHEN 'spot' THEN 3 WHEN 'ellipse' THEN CAST(trunc(y2 * 10.0::DOUBLE) AS INTEGER) ELSE CAST(trunc((y2 + 34.0::DOUBLE) * 680 / 68.0::DOUBLE) AS INTEGER) END AS to_y FROM l""")
+@query(f"""WITH l(z, kind, x1, y1, x2, y2) AS (VALUES {_LINE_ROWS}), c AS (SELECT p_partkey, 210 + p_size * 21 AS w, 136 + p_partkey % 50 * 17 AS h FROM part)
+SELECT p_partkey, z, kind, CAST(trunc((x1 + 52.5::DOUBLE) * w / 105.0::DOUBLE) AS INTEGER) AS x, CAST(trunc((y1 + 34.0::DOUBLE) * h / 68.0::DOUBLE) AS INTEGER) AS y,
+CASE kind WHEN 'spot' THEN 3 WHEN 'ellipse' THEN CAST(trunc(x2 * w / 105.0::DOUBLE) AS INTEGER) ELSE CAST(trunc((x2 + 52.5::DOUBLE) * w / 105.0::DOUBLE) AS INTEGER) END AS to_x,
+CASE kind WHEN 'spot' THEN 3 WHEN 'ellipse' THEN CAST(trunc(y2 * h / 68.0::DOUBLE) AS INTEGER) ELSE CAST(trunc((y2 + 34.0::DOUBLE) * h / 68.0::DOUBLE) AS INTEGER) END AS to_y FROM c, l""")
 def pitch_lines(spark, sf):
-    return pitch.pitch_lines(spark)
+    """The pitch on a canvas of each part's size."""
+    return pitch.pitch_lines(table(spark, sf, "part").select("p_partkey", (210 + F.col("p_size") * 21).alias("width"), (136 + F.col("p_partkey") % 50 * 17).alias("height")))
 
 
 @query(f"WITH {_ON_PITCH} SELECT id, CASE WHEN id % 4 = 3 THEN 'square' ELSE 'circle' END AS kind, CAST(trunc((x + 52.5::DOUBLE) * 1050 / 105.0::DOUBLE) AS INTEGER) AS px, CAST(trunc((y + 34.0::DOUBLE) * 680 / 68.0::DOUBLE) AS INTEGER) AS py, CASE WHEN id % 4 < 2 THEN 8 ELSE 6 END AS radius FROM on_pitch WHERE id % 5 <> 0")
