@@ -24,6 +24,15 @@ def test_telemetry_is_one_json_document_a_clip(spark, tmp_path):
         assert [f["frame"] for f in doc["frames"]] == list(range(20)) and {f["tactical"]["homography_valid"] for f in doc["frames"]} == {c % 2 == 0}
         assert all(f["tactical"]["num_team1"] == f["tactical"]["num_team2"] == 2 for f in doc["frames"])
     assert out.endswith(".json")
+    # one document a clip, at its own path; and figures on the way
+    named = videos.withColumn("output", F.concat(F.lit(f"{tmp_path}/docs/"), "clip_id", F.lit(".json")))
+    assert a.write_documents(named) == {"frames": 100}
+    docs = [json.loads((tmp_path / "docs" / f"{c}.json").read_text()) for c in range(5)]
+    assert [len(x["frames"]) for x in docs] == [20] * 5 and docs[4]["video"]["path"] == 'clip "4".mp4'
+    timed = a.timed(a.tactical.filter("frame_idx < 10").select("clip_id", "frame_idx", F.lit(2.0).alias("ms")), track="ms")
+    timed.frames.write.format("noop").mode("overwrite").save()
+    got = timed.summary()
+    assert (got["frames"], got["ran"], got["track_ms"], got["track_per_frame"], got["track_per_run"]) == (100, 50, 100.0, 1.0, 1.0)
     a.write(str(tmp_path / "drawn"), videos)
     drawn = spark.read.parquet(str(tmp_path / "drawn"))
     # each frame: four players with labels, a referee, and the ball: seen in each fourth frame and the one after it, from 0 to 17, and interpolated in between
