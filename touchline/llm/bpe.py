@@ -75,7 +75,7 @@ class Ranks:
     """The ranks of a .tiktoken file, and the merge replay."""
 
     #: Symbols that one replay holds at most (more only where a single word is longer).
-    SYMBOLS = 1 << 21
+    SYMBOLS = 1 << 20
 
     def __init__(self, path: str):
         with open(path, "rb") as f:

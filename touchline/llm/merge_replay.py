@@ -32,7 +32,7 @@ from .common import Task, by_group, caches, documents, prepare, scan
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Text of a chunk, in characters, from which it is closed; bytes of text for which a bucket is planned, and buckets at least.
-CHUNK, BUCKET_TEXT, BUCKETS = 8 << 20, 32 << 20, 16
+CHUNK, BUCKET_TEXT, BUCKETS = 6 << 20, 20 << 20, 16
 _FEW, _FAR = 192, 1 << 22
 
 caches(__name__, bpe.forget)
