@@ -230,13 +230,15 @@ class Automaton:
             return self.lengths[k]
         return math.log2(FLOOR / self.span * LENGTHS) - 2 * math.log2(max(n / max(self.longest, 1), 1))
 
-    def bits(self, word: str, misses: int = MISSES) -> float:
-        """log2 P(word) here, less that under uniform characters and lengths; an unseen symbol counts as FLOOR and leaves the state. -inf for more than ``misses`` of those."""
-        return self.length_bits(len(word)) + self.step_bits(word, misses)
+    def bits(self, word: str, misses: int = MISSES, even: float = math.inf) -> float:
+        """log2 P(word) here, less that under uniform characters and lengths; an unseen symbol counts as FLOOR and leaves the state. -inf for more than ``misses`` of those.
 
-    def step_bits(self, word: str, misses: int) -> float:
-        s, out, steps = 0, 0.0, self.steps
-        for c in word:
+        Symbols beyond the longest example's length count for ``even`` each at most: what random data would get, so that the examples' chance frequencies don't add up along a run of any length."""
+        return self.length_bits(len(word)) + self.step_bits(word, misses, even)
+
+    def step_bits(self, word: str, misses: int, even: float = math.inf) -> float:
+        s, out, steps, known = 0, 0.0, self.steps, self.longest
+        for i, c in enumerate(word):
             step = steps[s].get(c)
             if step is None:
                 misses -= 1
@@ -245,7 +247,7 @@ class Automaton:
                 out += math.log2(FLOOR) + UNIFORM
             else:
                 s, b = step
-                out += b
+                out += b if i < known or b < even else even
         return out
 
 
@@ -328,7 +330,9 @@ def more_spans(text: str, found: dict[str, Automaton]) -> list[tuple[int, str, i
             for word, a in {(m[0], m.start()), (inner, m.start() + m[0].find(inner))}:
                 if len(word) < SHORTEST or (a, a + len(word)) in scored:
                     continue
-                best = max(((f.bits(word), k) for k, f in found.items() if k), default=(-math.inf, ""))
+                even = even_bits(word.rstrip("="))
+                each = even / len(word)
+                best = max(((f.bits(word, MISSES, each), k) for k, f in found.items() if k), default=(-math.inf, ""))
                 if best[0] < BITS:
                     continue
                 # how many pieces the whole has; what is left of it without the dots and dashes around it is no piece
@@ -336,7 +340,7 @@ def more_spans(text: str, found: dict[str, Automaton]) -> list[tuple[int, str, i
                 x, y = starts[k], ends[k]
                 more = 0.0 if len(text[x:y].strip("._-=")) <= len(word.strip("._-=")) else math.log2((y - x) * (y - x + 1) / 2)
                 best = best[0] - more, best[1]
-                none = max(even_bits(word.rstrip("=")), found[""].step_bits(word, len(word)) if "" in found else 0.0)
+                none = max(even, found[""].step_bits(word, len(word)) if "" in found else 0.0)
                 if best[0] >= BITS and best[0] - none >= BITS:
                     scored[a, a + len(word)] = best
     return apart([(score, kind, a, b) for (a, b), (score, kind) in scored.items()])
