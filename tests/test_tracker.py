@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from touchline.operators.tracker import Tracker, appearance, iou_matrix, solve
+from touchline.operators.tracker import Tracker, appearance, iou_matrix, likeness, solve
 
 
 def box(x, y):
@@ -76,3 +76,10 @@ def test_a_features_length_does_not_count():
     update(t, [(100, 100, [50, 0])])
     update(t, [(100, 100, [0, 1])])
     assert t.active[0].feature == pytest.approx(np.array([0.9, 0.1]) / np.hypot(0.9, 0.1))
+
+
+def test_likeness_of_all_pairs_is_that_of_each():
+    r = np.random.default_rng(5)
+    some = [None, np.zeros(3), np.empty(0), *r.normal(size=(4, 3)), *r.normal(size=(2, 5)), np.full(3, 1e-9)]
+    for a, b in ((some, some[::-1]), (some, []), ([], some), ([None], [None])):
+        assert likeness(a, b) == pytest.approx(np.array([[appearance(x, y) for y in b] for x in a]).reshape(len(a), len(b)))

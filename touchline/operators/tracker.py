@@ -130,19 +130,31 @@ def appearance(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return 1.0 if min(n) <= 1e-12 else 1.0 - min(max(float(a @ b) / (n[0] * n[1]) ** 0.5, -1.0), 1.0)
 
 
+def likeness(a: list[np.ndarray | None], b: list[np.ndarray | None]) -> np.ndarray:
+    """appearance() of all pairs: vectors of one size at a time."""
+    out = np.ones((len(a), len(b)))
+    for size in {len(x) for x in a if x is not None and len(x)}:
+        i, j = ([k for k, x in enumerate(side) if x is not None and len(x) == size] for side in (a, b))
+        if j:
+            p, q = np.array([a[k] for k in i]), np.array([b[k] for k in j])
+            n, m = (p * p).sum(1), (q * q).sum(1)
+            fine = (n > 1e-12)[:, None] & (m > 1e-12)[None]
+            with np.errstate(all="ignore"):
+                cosine = np.clip(p @ q.T / np.sqrt(n[:, None] * m[None]), -1.0, 1.0)
+            out[np.ix_(i, j)] = np.where(fine, 1.0 - cosine, 1.0)
+    return out
+
+
 def costs(tracks: list[Track], boxes: np.ndarray, features: list, least: float) -> np.ndarray:
-    out = np.full((len(tracks), len(boxes)), FORBIDDEN)
-    if not out.size:
-        return out
+    if not tracks or not len(boxes):
+        return np.full((len(tracks), len(boxes)), FORBIDDEN)
     over = iou_matrix(np.array([t.box for t in tracks]), boxes)
-    for i, t in enumerate(tracks):
-        for j, f in enumerate(features):
-            app, o = appearance(t.feature, f), over[i, j]
-            if o > least:
-                out[i, j] = 0.75 * (1 - o) + 0.25 * app if f is not None and t.feature is not None else 1 - o
-            elif t.missed > 0 and app <= REID:
-                out[i, j] = 0.45 + 0.45 * app + 0.10 * (1 - o)
-    return out
+    looks = [t.feature for t in tracks]
+    app = likeness(looks, features)
+    both = np.array([f is not None for f in looks])[:, None] & np.array([f is not None for f in features])[None]
+    lost = np.array([t.missed > 0 for t in tracks])[:, None]
+    again = np.where(lost & (app <= REID), 0.45 + 0.45 * app + 0.10 * (1 - over), FORBIDDEN)
+    return np.where(over > least, np.where(both, 0.75 * (1 - over) + 0.25 * app, 1 - over), again)
 
 
 class Tracker:
