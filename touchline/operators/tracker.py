@@ -274,7 +274,9 @@ def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxe
         whole = detections.withColumn("piece", F.lit(0).cast("long")).withColumn("until", F.lit(None).cast("long"))
         return whole.groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema).drop("piece")
     at = pieces(detections, stride)
-    tracked = detections.join(at, ["clip_id", "frame_idx"]).groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema)
+    # dealt out by number: pieces are small and their work is long, so tasks aren't put together by their size
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = detections.join(at, ["clip_id", "frame_idx"]).repartition(tasks, "clip_id", "piece").groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema)
     tracked = kept(tracked)
     births = tracked.groupBy("clip_id", "piece").agg(F.max("track_id").alias("births"))
     before = Window.partitionBy("clip_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
