@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions.boxes import cosine_distance
 from touchline.operators import detections, sequences, teams, tracker
 from touchline.plans import composed
 from touchline.sources import sinks
@@ -78,6 +79,31 @@ def test_silhouette_over_several_blocks(spark, monkeypatch):
         assert row.s == pytest.approx((b - a) / max(a, b), abs=1e-6)
 
 
+def test_all_pairs_measures_copy_a_row_to_a_bounded_number_of_blocks(spark):
+    """A table twice as long is copied twice, not four times."""
+    copies = {n: teams._block_pairs(spark.range(n).withColumnRenamed("id", "vec_id"), F.lit(n)).groupBy("i", "j").count().collect() for n in (20_000, 40_000)}
+    for n, groups in copies.items():
+        assert len(groups) == teams.BLOCKS * (teams.BLOCKS + 1) // 2 and sum(r["count"] for r in groups) == n * teams.BLOCKS
+    # a group is bounded: a long table has more blocks
+    assert teams._block_pairs(spark.range(1).withColumnRenamed("id", "vec_id"), F.lit(40 * teams.BLOCK)).count() == 40
+
+
+@pytest.mark.parametrize("block", [5, 32768])
+def test_cosine_pairs_of_any_vectors_over_several_blocks(spark, monkeypatch, block):
+    """All pairs of a label once, as cosine_distance() gives them to the last bit; no pair of rows is a row of a join."""
+    monkeypatch.setattr(teams, "BLOCK", block)
+    r = np.random.default_rng(6)
+    rows = [(i, i % 3, r.normal(size=4).tolist()) for i in range(60)] + [(100 + i, i % 2, v) for i, v in enumerate([None, [], [0.0] * 4, [1.0, None, 2.0, 3.0], [float("nan")] * 4, [1.0, 2.0], [2.0, 4.0], [1e-9] * 4, [float("inf"), 0.0, 0.0, 0.0]])]
+    rows += [(3, 0, [1.0, 0.0, 0.0, 1.0]), (None, 0, [1.0] * 4), (200, None, [1.0] * 4), (201, 7, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, e array<double>")
+    a, b = (df.select("label", F.col("vec_id").alias(k), F.col("e").alias(f"e_{k}")) for k in "ab")
+    want = a.join(b, "label").filter("a < b").select("a", "b", cosine_distance(F.col("e_a"), F.col("e_b")).alias("distance"))
+    found = teams.cosine_pairs(df)
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    assert "a#" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+    assert teams.cosine_pairs(df.limit(0)).count() == 0 and teams.silhouette(df.withColumnRenamed("label", "team").limit(0)).count() == 0
+
+
 def test_short_runs_are_sampled_more_closely(spark):
     counts = spark.createDataFrame([(f, 10) for f in range(200)], "frame_idx long, n long")
     assert [r.frame_idx for r in sequences.training_sample(counts, 20).collect()] == [0, 2, 4, 6, 8, 10]
