@@ -88,6 +88,24 @@ def test_all_pairs_measures_copy_a_row_to_a_bounded_number_of_blocks(spark):
     assert teams._block_pairs(spark.range(1).withColumnRenamed("id", "vec_id"), F.lit(40 * teams.BLOCK)).count() == 40
 
 
+@pytest.mark.parametrize("block", [7, 32768])
+def test_silhouette_of_copies_repeated_ids_and_broken_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(teams, "BLOCK", block)
+    r = np.random.default_rng(4)
+    x, team, ids = 1000.0 + r.normal(size=(40, 3)), r.integers(0, 2, 40), np.arange(40)
+    x[10:20], ids[39], team[38:] = x[10], 38, (0, 1)
+    rows = [(int(i), int(t), v.tolist()) for i, t, v in zip(ids, team, x, strict=True)]
+    broken = [(None, 0, [0.0] * 3), (90, None, [0.0] * 3), (91, 1, None), (92, 1, [0.0, None, 0.0])]
+    got = {row.vec_id: row.s for row in teams.silhouette(spark.createDataFrame([*rows, *broken], "vec_id long, team int, e array<double>")).collect()}
+    d, apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), ids[:, None] != ids[None]
+    own, other = apart & (team[:, None] == team[None]), apart & (team[:, None] != team[None])
+    assert sorted(got) == list(range(39))
+    for i, s in got.items():
+        at = ids == i
+        a, b = (d[at][m[at]].mean() for m in (own, other))
+        assert s == pytest.approx((b - a) / max(a, b), abs=1.1e-6)
+
+
 @pytest.mark.parametrize("block", [5, 32768])
 def test_cosine_pairs_of_any_vectors_over_several_blocks(spark, monkeypatch, block):
     """All pairs of a label once, as cosine_distance() gives them to the last bit; no pair of rows is a row of a join."""
