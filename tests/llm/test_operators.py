@@ -567,6 +567,19 @@ def test_quality_scores_and_threshold_by_brute_force(spark, docs, rows):
         assert r.llr == pytest.approx(s, abs=1e-9) and r.kept == (not bad and s >= low)
 
 
+def test_every_trusted_document_takes_part(spark):
+    """More trusted documents than any sample would hold: all of them, and the exact quantile of all scores."""
+    n = 60_000
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).union(spark.range(50).select("id", F.lit(1)))
+    halves = {r.half: r["count"] for r in quality.trusted_sample(labels).groupBy("half").count().collect()}
+    assert sum(halves.values()) == n and abs(halves[0] - halves[1]) < 2000
+    scores = spark.range(n, numPartitions=7).select((F.pmod(F.xxhash64("id"), F.lit(10_007)) / 7).alias("llr"))
+    every = np.sort([r.llr for r in scores.collect()])
+    for q in (0.0, 0.002, 0.3, 1.0):
+        assert quality.quantile(scores, q) == np.quantile(every, q)
+    assert quality.quantile(scores.limit(1), 0.002) in every and quality.quantile(scores.limit(0), 0.002) is None
+
+
 def test_a_worker_drops_caches_of_other_operators():
     from touchline.llm import common
 
