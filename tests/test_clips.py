@@ -65,6 +65,21 @@ def test_sets_are_carried_from_irregular_looks(spark):
     assert got == [(1, 1, 1, 0), (1, 1, 1, 1), (1, 2, 1, 0), (1, 2, 1, 1), (1, 5, 1, 0), (1, 5, 1, 1), (1, 6, 6, 0), (2, 5, 5, 3), (2, 6, 5, 3), (2, 7, 5, 3), (2, 9, 5, 3)]
 
 
+def test_pieces_share_a_task(spark):
+    """Short pieces are no Python group each: they follow one another in a task, whole ones also where they lie over batches of rows."""
+    rows = [(c, 500 * k + f, d, 100.0 + 200 * d, 100.0, 140.0 + 200 * d, 180.0, 0.9) for c in range(2) for k in range(40) for f in range(3) for d in (0, 1)]
+    df = spark.createDataFrame(rows, BOX).repartition(5)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        out = tracker.run(df, cut=False)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = [sorted((r.clip_id, r.frame_idx, r.det_idx, r.track_id) for r in x.collect()) for x in (out, tracker.run(df))]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got[0] == got[1] == sorted((c, f, d, 2 * (f // 500) + d + 1) for c, f, d, *_ in rows)
+
+
 def players(spark, seed=1, clips=4):
     r = np.random.default_rng(seed)
     rows = []

@@ -7,10 +7,12 @@ overlap or appearance, and is dropped after ``buffer`` misses. Assignment is the
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ FORBIDDEN = np.inf
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     lo, hi = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    inter = np.prod(np.maximum(hi - lo, 0), axis=2)
+    side = np.maximum(hi - lo, 0)
+    inter = side[:, :, 0] * side[:, :, 1]
     area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
     union = area(a)[:, None] + area(b)[None] - inter
     return np.where(union > 0, inter / np.where(union > 0, union, 1), 0.0)
@@ -35,6 +38,10 @@ def solve(cost: np.ndarray) -> list[tuple[int, int]]:
 
     Each row may also stay alone, at a cost beyond any saving elsewhere, so a later row can take an earlier one's place."""
     n, real = cost.shape
+    if n == 1:  # the row takes its least cell
+        row = cost[0].tolist()
+        fine = [j for j, c in enumerate(row) if -np.inf < c < np.inf]
+        return [(0, min(fine, key=row.__getitem__))] if fine else []
     finite = cost[np.isfinite(cost)]
     cost = np.hstack([cost, np.full((n, n), (1.0 + 2 * np.abs(finite).max(initial=0.0)) * (n + 1))])
     m = cost.shape[1]
@@ -85,7 +92,7 @@ class Track:
 
     def __post_init__(self):
         c = _centre(self.box)
-        self.mean = np.r_[c, np.zeros(4)]
+        self.mean = np.concatenate([c, np.zeros(4)])
         # each axis by itself: position variance, covariance, velocity variance
         self.var = np.tile(np.array([[10.0], [0.0], [10.0]]), (1, 4))
         seen, self.feature = self.feature, None
@@ -95,8 +102,8 @@ class Track:
         self.mean[:4] += self.mean[4:]
         self.mean[2:4] = np.maximum(self.mean[2:4], 1)
         a, b, c = self.var
-        self.var = np.stack([a + 2 * b + c + 1.0, b + c, c + 0.25])
-        x, y, w, h = self.mean[:4]
+        self.var = np.array([a + 2 * b + c + 1.0, b + c, c + 0.25])
+        x, y, w, h = self.mean[:4].tolist()
         self.box = np.array([x - w / 2, y - h / 2, x + w / 2, y + h / 2])
 
     def update(self, box: np.ndarray, conf: float, feature: np.ndarray | None) -> None:
@@ -105,9 +112,9 @@ class Track:
         a, b, c = self.var
         g0, g1 = a / (a + noise), b / (a + noise)
         e = _centre(box) - self.mean[:4]
-        self.mean = np.r_[self.mean[:4] + g0 * e, self.mean[4:] + g1 * e]
+        self.mean = np.concatenate([self.mean[:4] + g0 * e, self.mean[4:] + g1 * e])
         self.mean[2:4] = np.maximum(self.mean[2:4], 1)
-        self.var = np.stack([np.maximum((1 - g0) * a, 1e-6), (1 - g0) * b, np.maximum(c - g1 * b, 1e-6)])
+        self.var = np.array([np.maximum((1 - g0) * a, 1e-6), (1 - g0) * b, np.maximum(c - g1 * b, 1e-6)])
         self.box, self.missed = box, 0
         self.look(feature)
 
@@ -120,6 +127,7 @@ class Track:
 
 
 def _centre(b: np.ndarray) -> np.ndarray:
+    b = b.tolist()
     return np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, b[2] - b[0], b[3] - b[1]])
 
 
@@ -150,6 +158,8 @@ def costs(tracks: list[Track], boxes: np.ndarray, features: list, least: float)
         return np.full((len(tracks), len(boxes)), FORBIDDEN)
     over = iou_matrix(np.array([t.box for t in tracks]), boxes)
     looks = [t.feature for t in tracks]
+    if all(f is None for f in looks) or all(f is None for f in features):  # overlap alone
+        return np.where(over > least, 1 - over, FORBIDDEN)
     app = likeness(looks, features)
     both = np.array([f is not None for f in looks])[:, None] & np.array([f is not None for f in features])[None]
     lost = np.array([t.missed > 0 for t in tracks])[:, None]
@@ -181,6 +191,8 @@ class Tracker:
         matched: set[int] = set()
 
         def match(tracks: list[Track], at: list[int], least: float) -> list[int]:
+            if not tracks or not at:
+                return at
             cost = costs(tracks, boxes[at].reshape(-1, 4), [features[i] for i in at], least)
             left = set(range(len(at)))
             for r, j in sorted(solve(cost), key=lambda p: p[1]):
@@ -207,8 +219,13 @@ class Tracker:
 
 def features(g: pd.DataFrame, column: str | None) -> list[np.ndarray | None]:
     """Each row's feature; None where there is no column, or a null, empty or not finite vector."""
-    out = [None] * len(g)
-    for k, v in enumerate(g[column] if column else ()):
+    return vectors(g[column], len(g)) if column else [None] * len(g)
+
+
+def vectors(column, n: int) -> list[np.ndarray | None]:
+    """The same of n values."""
+    out = [None] * n
+    for k, v in enumerate(column):
         if v is not None and len(f := np.asarray(v, float)) and np.isfinite(f).all():
             out[k] = f
     return out
@@ -246,37 +263,72 @@ def run(detections: DataFrame, stride: int = 1, feature: str | None = None, boxe
     schema = "clip_id long, piece long, frame_idx long, track_id int, det_idx int" + ", x1 double, y1 double, x2 double, y2 double, conf double" * boxes
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def piece(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["frame_idx", "det_idx"], kind="stable")
-        frames = {f: g for f, g in df.groupby("frame_idx")}
-        t, rows = Tracker(buffer=BUFFER), []
-        none = df.iloc[:0]
-        order = [int(f) for f in sorted(frames)]
-        f, end = order[0], max(order[-1], int(df[last].iloc[0])) if last else order[-1]
-        if not pd.isna(df["until"].iloc[0]):
-            end = int(df["until"].iloc[0])
-        head = df["clip_id"].iloc[0], df["piece"].iloc[0]
+    columns = ["clip_id", "piece", "until", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf", *([last] if last else []), *([feature] if feature else [])]
+
+    def piece(t: pa.Table) -> list[tuple]:
+        """What is found in a piece's rows, which are in order."""
+        at = t.column("frame_idx").to_numpy()
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        order = at[starts].tolist()
+        frames = dict(zip(order, zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True), strict=True))
+        ids, conf = t.column("det_idx").to_pylist(), t.column("conf").to_numpy()
+        xy = np.stack([t.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], 1)
+        looks = vectors(t.column(feature).to_numpy(), len(at)) if feature else [None] * len(at)
+        until = t.column("until")[0].as_py()
+        tracks, rows = Tracker(buffer=BUFFER), []
+        f, end = order[0], max(order[-1], t.column(last)[0].as_py()) if last else order[-1]
+        if until is not None:
+            end = until
+        head = t.column("clip_id")[0].as_py(), t.column("piece")[0].as_py()
         while f <= end:
-            if f > order[-1] and not t.active:
+            if f > order[-1] and not tracks.active:
                 break  # lost tracks show nothing without a box
-            if f not in frames and not t.active and not t.lost:
+            if f not in frames and not tracks.active and not tracks.lost:
                 f = order[bisect_right(order, f)]
-            g = frames.get(f, none)
-            ids, xy, conf = g["det_idx"].tolist(), g[["x1", "y1", "x2", "y2"]].to_numpy(float), g["conf"].to_numpy(float)
-            found = t.update(xy, conf, features(g, feature), predicted=f % stride != 0)
-            place = {x.id: x.box for x in t.active} if boxes else {}
+            m, n = frames.get(f, (0, 0))
+            found = tracks.update(xy[m:n], conf[m:n], looks[m:n], predicted=f % stride != 0)
+            place = {x.id: x.box for x in tracks.active} if boxes else {}
             for i, k in found:
-                rows.append((*head, f, i, ids[k] if k >= 0 else None, *((*place[i], conf[k] if k >= 0 else None) if boxes else ())))
+                rows.append((*head, f, i, ids[m + k] if k >= 0 else None, *((*place[i], conf[m + k] if k >= 0 else None) if boxes else ())))
             f += 1
-        return pd.DataFrame(rows, columns=names).astype({"track_id": "int32", "det_idx": "Int32"})
+        return rows
+
+    def result(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.float64()] * 5 * boxes
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=names)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's pieces one after the other: its rows come in order, and only the piece that isn't whole yet is held."""
+        held, key, rows = [], None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            clip, of = (b.column(k).to_numpy() for k in range(2))
+            starts = [0, *(np.flatnonzero((clip[1:] != clip[:-1]) | (of[1:] != of[:-1])) + 1).tolist(), b.num_rows]
+            for m, n in zip(starts, starts[1:], strict=False):
+                if held and key != (clip[m], of[m]):
+                    rows += piece(pa.Table.from_batches(held))
+                    held = []
+                key = clip[m], of[m]
+                held.append(b.slice(m, n - m))
+            if len(rows) > 50_000:
+                yield result(rows)
+                rows = []
+        if held:
+            yield result(rows + piece(pa.Table.from_batches(held)))
+
+    # dealt out by number: pieces are small and their work is long, so tasks aren't put together by their size
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def track(rows: DataFrame) -> DataFrame:
+        given = rows.select(*[F.col(c).cast({"clip_id": "long", "frame_idx": "long", "det_idx": "int", last: "long"}.get(c, "double")) if c not in ("piece", "until", feature) else F.col(c) for c in columns])
+        return given.repartition(tasks, "clip_id", "piece").sortWithinPartitions("clip_id", "piece", "frame_idx", "det_idx").mapInArrow(lambda x: task(x), schema)
 
     if not cut:
         whole = detections.withColumn("piece", F.lit(0).cast("long")).withColumn("until", F.lit(None).cast("long"))
-        return whole.groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema).drop("piece")
+        return track(whole).drop("piece")
     at = pieces(detections, stride)
-    # dealt out by number: pieces are small and their work is long, so tasks aren't put together by their size
-    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tracked = detections.join(at, ["clip_id", "frame_idx"]).repartition(tasks, "clip_id", "piece").groupBy("clip_id", "piece").applyInPandas(lambda df: piece(df), schema)
+    tracked = track(detections.join(at, ["clip_id", "frame_idx"]))
     tracked = kept(tracked)
     births = tracked.groupBy("clip_id", "piece").agg(F.max("track_id").alias("births"))
     before = Window.partitionBy("clip_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
