@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions.boxes import cosine_distance
 from touchline.operators import detections, sequences, teams, tracker
-from touchline.plans import composed
-from touchline.sources import sinks
+from touchline.plans import catalogue, composed
+from touchline.sources import adapters, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,6 +79,23 @@ def test_silhouette_over_several_blocks(spark, monkeypatch):
         assert row.s == pytest.approx((b - a) / max(a, b), abs=1e-6)
 
 
+def test_lines_are_numbered_before_each_becomes_two_anchors(spark, tmp_path):
+    """Half the rows are dealt out and sorted; lines that the order leaves equal get the places that both orders of theirs would take."""
+    line = {"l_orderkey": 4, "l_linenumber": 1, "l_partkey": 1, "l_suppkey": 1, "l_extendedprice": 1.0, "l_tax": 0.0, "l_quantity": 1.0, "l_discount": 0.0}
+    lines = [line | {"l_partkey": 0}, line, line | {"l_quantity": 2.0}, line | {"l_orderkey": 5}, line | {"l_orderkey": 9}]
+    spark.createDataFrame(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    a = adapters.anchors(spark, str(tmp_path))
+    got = sorted((r.frame_idx, r.det_idx, round(r.conf, 2)) for r in a.collect())
+    assert got == [(1, k, c) for k, c in enumerate((0.05, 0.03, 0.05, 0.05, 0.03, 0.03, 0.05, 0.03))] + [(2, 0, 0.05), (2, 1, 0.03)]
+    plan = a._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
+
+
+def test_assign_small_numbers_anchors_once_a_side(spark):
+    plan = catalogue.QUERIES["assign_small"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+
+
 def test_all_pairs_measures_copy_a_row_to_a_bounded_number_of_blocks(spark):
     """A table twice as long is copied twice, not four times."""
     copies = {n: teams._block_pairs(spark.range(n).withColumnRenamed("id", "vec_id"), F.lit(n)).groupBy("i", "j").count().collect() for n in (20_000, 40_000)}
