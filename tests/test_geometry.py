@@ -73,3 +73,16 @@ def test_corner_cache_keeps_strong_corners_over_weak_ones(spark):
     got = sequences.corner_cache(spark.createDataFrame(rows, "clip_id long, frame_idx long, n_corners long, n_visible long")).orderBy("frame_idx").collect()
     assert [r.from_frame for r in got] == [0] * 17 + [17] * 3
     assert [r.frame_idx for r in got if r.detected] == [0, 16, 17]
+
+
+def test_inverses_at_once_are_those_of_each(spark):
+    r = np.random.default_rng(8)
+    h = [*r.normal(size=(50, 9)), None, np.zeros(9), np.full(9, np.nan), np.array([1.0, 2, 3, 2, 4, 6, 0, 0, 1]), np.eye(3).ravel() * 1e-3, np.eye(3).ravel() * 1e200]
+    with np.errstate(all="ignore"):
+        want = [None if v is None else homography.inverse(v) for v in h]
+        got = homography.inverses(h)
+    assert [None if v is None else v.tolist() for v in got] == [None if v is None else v.tolist() for v in want]
+    assert homography.inverses([None]) == [None] and homography.inverses([]) == []
+    fits = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0])], "frame_idx long, h array<double>")
+    plan = homography.with_inverse(fits).filter("back IS NOT NULL")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("inverted(h") == 1

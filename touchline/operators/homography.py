@@ -137,6 +137,21 @@ def inverse(h: np.ndarray) -> np.ndarray | None:
     return back.ravel() if np.isfinite(back).all() else None
 
 
+def inverses(h: list) -> list[np.ndarray | None]:
+    """inverse() of each of many, those that have one at once; None stays None."""
+    out = [None] * len(h)
+    at = np.array([k for k, v in enumerate(h) if v is not None], int)
+    if len(at):
+        m = np.stack([np.asarray(h[k], float).reshape(3, 3) for k in at])
+        fine = np.isfinite(m).all((1, 2))
+        at, m = at[fine], m[fine]
+        fine = ~(np.abs(np.linalg.det(m)) < 1e-12)
+        back = np.linalg.inv(m[fine]).reshape(-1, 9)
+        for k, v, whole in zip(at[fine].tolist(), back, np.isfinite(back).all(1), strict=True):
+            out[k] = v if whole else None
+    return out
+
+
 def smooth_step(last: np.ndarray | None, missed: int, h, stale: int) -> tuple[np.ndarray | None, int, bool]:
     """(last, missed) after a frame, and whether last may be used in it."""
     if h is not None and np.isfinite(new := np.asarray(h, float)).all():
@@ -173,10 +188,10 @@ def with_inverse(fits: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def inverted(h: pd.Series) -> pd.Series:
-        found = (None if v is None else inverse(v) for v in h)
-        return pd.Series([None if v is None else v.tolist() for v in found], dtype=object)
+        return pd.Series(inverses(h.tolist()), dtype=object)
 
-    return fits.withColumn("back", inverted("h"))
+    # called so, it isn't computed again for a filter of what it gives
+    return fits.withColumn("back", inverted.asNondeterministic()("h"))
 
 
 def to_frame(points: DataFrame, fits: DataFrame) -> DataFrame:
