@@ -1,12 +1,13 @@
 """The composed dataflow, its files, and what the queries' tables can't show."""
 
 import json
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.functions.boxes import cosine_distance
+from touchline.functions.boxes import cosine_distance, iou
 from touchline.operators import detections, sequences, teams, tracker
 from touchline.plans import catalogue, composed
 from touchline.sources import adapters, sinks
@@ -56,6 +57,37 @@ def test_a_track_without_a_feature_costs_its_overlap_alone(spark):
     assert got == pytest.approx({0: 0.2, 1: 0.2, 2: 0.75 * 0.2})
 
 
+def test_match_costs_of_odd_rows_in_small_parts_equal_column_expressions(spark, monkeypatch):
+    """Frames lie over several batches and parts; nulls and not a number in boxes, features, frames and counts; no array is folded a pair."""
+    monkeypatch.setattr(detections, "AT_ONCE", 7)
+    r, nan = random.Random(4), float("nan")
+
+    def rows(n):
+        boxes = [(x, y, x + r.choice([0.0, 9.0, 10.0]), y + 10.0) for x in (0.0, 2.0, 30.0) for y in (0.0, 1.0)] + [None, (None, 0.0, 5.0, 5.0), (0.0, nan, 10.0, 10.0)]
+        features = [[1.0, 0.0], [0.9, 0.1], [0.6, 0.5], [0.0, 0.0], [], None, [1.0], [1.0, None], [nan, 1.0], [1e200, 1e200], [0.5, 0.5, 0.5]]
+        return [(r.choice([1, 1, 1, 2, 3, None]), k, r.choice(boxes), r.choice(features), r.choice([0, 1, 2, None])) for k in range(n)]
+
+    schema = "frame_idx long, det_idx int, box struct<x1:double,y1:double,x2:double,y2:double>, feature array<double>, missed int"
+    t, d = spark.createDataFrame(rows(80), schema), spark.createDataFrame(rows(60), schema).drop("missed")
+    c = F.col
+    over, enough, both, app = iou(c("t.box"), c("d.box")), c("over") > 0.35, (F.size("t.feature") > 0) & (F.size("d.feature") > 0), cosine_distance(c("t.feature"), c("d.feature"))
+    near = F.when(both, 0.75 * (1.0 - c("over")) + 0.25 * app).otherwise(1.0 - c("over"))
+    cost = F.when(enough, near).when((c("t.missed") > 0) & (app <= 0.35), 0.45 + 0.45 * app + 0.10 * (1.0 - c("over")))
+    want = t.alias("t").join(d.alias("d"), "frame_idx").withColumn("over", over).select("frame_idx", c("t.det_idx").alias("track"), c("d.det_idx").alias("det"), cost.alias("cost")).filter("cost IS NOT NULL")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        got = detections.match_costs(t, d)
+        rows_got = sorted(map(repr, got.collect()))
+        assert rows_got == sorted(map(repr, want.collect())) and len(rows_got) > 300
+        assert "zip_with" not in got._jdf.queryExecution().toString()
+        choices = detections.match_costs(t.withColumn("frame_idx", c("frame_idx") + 1), t.drop("missed")).groupBy("frame_idx", "track").agg(F.count("*").alias("allowed"), F.min("cost").alias("cost"))
+        assert sorted(map(repr, detections.next_frame_choices(t).collect())) == sorted(map(repr, choices.collect()))
+        assert detections.match_costs(t.limit(0), d).count() == detections.match_costs(t, d.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_tracking_jumps_over_empty_stretches_and_gives_boxes(spark):
     far = 10**12
     rows = [(1, f, 0, 100.0, 100.0, 140.0, 180.0, 0.9) for f in (0, 2, far, far + 2)]
