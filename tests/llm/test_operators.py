@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import public_tokenizers as P
@@ -481,6 +482,35 @@ def test_files_as_written_beat_zlib_in_short_segments_too():
     assert written < plain
 
 
+def test_token_files_code_an_id_at_once_and_look_words_up_together(monkeypatch):
+    """Order 0 is a table a segment: short segments are 5 % below zlib, and one of many ids more. The library encodes each distinct piece once, in few calls; white space beside spaces, and odd letters, are as it has them."""
+    path, r = P.path("byte_bpe_50k.json"), random.Random(6)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    calls = []
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **more):
+            calls.append(pieces)
+            return library.encode_batch_fast(pieces, **more)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    library = bpe.library(path)
+    token_files._forget()
+    bpe.special_strings(path)
+    monkeypatch.setattr(bpe, "library", lambda path: Counted())
+    arrays = token_files.encode_texts(texts, path)
+    plain = sum(1 for t in texts if t and "  " not in t)
+    assert plain > 500 and len(calls) < len(texts) - plain + 20 and len(set(chain.from_iterable(calls))) == sum(map(len, calls))
+    for k in (0, 7):
+        part = arrays[k::12]
+        assert len(token_files.pack(list(range(len(part))), part)) < 0.95 * len(zlib.compress(np.concatenate(part).astype("<u2").tobytes()))
+    odd = ["foo", "Bar", "\xe9", "\xd7", "12", "'s", "'", "...", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\x85", "\0", "\u65e5", "\xbd", "\u0301", "\x1c", "\xb5", "<|endoftext|>"]
+    made = ["".join(r.choice(odd) if r.random() < 0.75 else " " for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    assert [x.tolist() for x in token_files.encode_texts(made, path)] == [library.encode(t, add_special_tokens=False).ids for t in made]
+
+
 def test_language_model_without_texts(spark, docs, tmp_path):
     marked = docs.withColumn("held_out", F.lit(True))
     model = language_model.train(docs.limit(0), str(tmp_path / "none"))

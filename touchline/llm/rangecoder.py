@@ -1,224 +1,212 @@
 """The coder of operator 7: adaptive context mixing over token ids, in blocks that start anew.
 
-Each block of ids is coded for itself: its models start empty, so any block can be read alone. Blocks are coded side by side: every step codes one id of every block (a *lane*), in numpy arrays over the lanes.
+Each block of ids is coded for itself: its contexts start empty, so any block can be read alone, with the sequence's *table*. Blocks are coded side by side: every step codes one id of every block (a *lane*), in numpy
+arrays over the lanes.
 
-For an id, order-2 and order-1 contexts (the last two ids, the last id) each predict one id, with a confidence. A first binary decision says whether the better prediction holds; its
-probability is a logistic mix of three adaptive estimates (by both confidences, by order-2's, by order-1's), whose weights learn. A second says, where the other order predicts
-another id, whether that holds. Else order 0 codes the id by parts of four bits (as many as the largest id takes), each under an adaptive distribution that the two parts before choose. All drive a
-range coder (32 bits, carryless).
+The table holds the distinct ids and a rounded frequency of each: order 0. Order-2 and order-1 contexts (the last two ids, the last id) each predict one id, with a confidence from 0 to 3. How likely the surer
+prediction holds is mixed from three adaptive estimates (by both confidences and whether the predictions agree, by order-2's, by order-1's): their logits are added, and each learns from the error. The rest of the
+probability is order 0's. Both parts of an id narrow the range at once; the range coder has 64 bits, is carryless, and writes 16 bits at a time. All is computed in whole numbers, so it reads back alike everywhere.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 
 BLOCK = 4096
-_M, _TOP, _BOTTOM = np.int64(0xFFFFFFFF), np.int64(1 << 24), np.int64(1 << 16)
+_U = np.uint64
+_TOP, _BOTTOM = _U(1 << 48), _U(1 << 40)
+_SHIFT = _U(16)
 _S1, _S2 = 512, 1024
-#: Probabilities are fractions of 2**15.
-_P = 15
-_ONE = 1 << _P
-_STRETCH = np.array([np.log((p + 0.5) / (4096 - p - 0.5)) for p in range(4096)], np.float32)
-_SQUASH_AT = 64
-_SQUASH = np.array([min(_ONE - 32, max(32, int(_ONE / (1 + np.exp(-x / _SQUASH_AT))))) for x in range(-12 * 64, 12 * 64 + 1)], np.int64)
-#: Cumulative distributions of 16 symbols: bounds 0..15; what a distribution moves towards when a symbol was seen, 32 wide at least for each other one.
-_EVEN = (np.arange(16) * (_ONE // 16)).astype(np.int16)
-_TOWARDS = np.array([[32 * j if j <= s else _ONE - (16 - j) * 32 for j in range(16)] for s in range(16)], np.int16)
-
-
-def _first_rows(parts: int) -> tuple[list[int], int]:
-    """The first distribution of each part, and how many there are: part 0 has one, part 1 one a first part, later ones one a pair of parts before."""
-    sizes = [1, 16, *[256] * (parts - 2)][:parts]
-    return [sum(sizes[:k]) for k in range(parts)], sum(sizes)
-
-
-def parts_of(ids: np.ndarray) -> int:
-    """Parts of four bits that the largest id takes, one at least."""
-    return max(1, -(-int(ids.max(initial=0)).bit_length() // 4))
+#: Probabilities of predictions are fractions of 2**12; logits are whole numbers, 1024 a unit.
+_Q = 12
+_EDGE = 8 << 10
+_SQUASH = np.array([min(4064, max(8, int(4096 / (1 + np.exp(-z / 1024))))) for z in range(-_EDGE, _EDGE + 1)], np.int64)
+#: What a prediction's confidence becomes: by whether it held (4) and what it was.
+_SURE = np.array([1, 1, 1, 2, 1, 2, 3, 3], np.int32)
+#: First logits, by order 2's confidence, order 1's, and whether they agree.
+_LOGITS = np.array([[[-3500 + 1100 * max(a - 1, b - 1, 0) + 1500 * agree for agree in range(2)] for b in range(4)] for a in range(4)], np.int32).reshape(-1)
+
+
+class _Table:
+    """Order 0: distinct ids in order, their frequencies in 2**bits, and what stands before each."""
+
+    def __init__(self, ids: np.ndarray, classes: np.ndarray):
+        self.ids, self.bits = ids, max(16, len(ids).bit_length() + 4)
+        # a class is a count rounded to a quarter of a power of two
+        weight = np.array([16, 19, 23, 27], np.int64)[classes & 3] << (classes >> 2)
+        # weights of up to 46 bits are cut to 30 for the product
+        weight = np.maximum(1, weight >> max(0, int(weight.max(initial=1)).bit_length() - 30))
+        # every id has a place; what rounding leaves goes to all by their weight, and the rest to the most frequent
+        freq = np.maximum(1, weight * ((1 << self.bits) - len(ids)) // weight.sum())
+        freq += freq * ((1 << self.bits) - freq.sum()) >> self.bits
+        freq[np.argmax(freq)] += (1 << self.bits) - freq.sum()
+        self.freq, self.before = freq.astype(_U), (np.cumsum(freq) - freq).astype(_U)
+
+    def symbols(self, value: np.ndarray) -> np.ndarray:
+        """The place of the id that each value (under 2**bits) falls to."""
+        if self.bits > 20:
+            return np.searchsorted(self.before, np.minimum(value, _U((1 << self.bits) - 1)), "right") - 1
+        if not hasattr(self, "_place"):
+            self._place = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq.astype(np.int64))
+        return self._place.take(value.astype(np.int64), mode="clip")
+
+    @staticmethod
+    def of(ids: np.ndarray) -> tuple[_Table, bytes, np.ndarray]:
+        """(the table of these ids, its bytes, each id's place in it)."""
+        if int(ids.max()) < 1 << 20:
+            n = np.bincount(ids)
+            distinct = np.flatnonzero(n)
+            counts, place = n[distinct], (np.cumsum(n > 0) - 1)[ids]
+        else:
+            distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        whole = np.frexp(counts.astype(float))[1] - 1
+        quarter = ((counts.astype(np.int64) << 2 >> whole) & 3) if int(whole.max()) < 61 else np.zeros_like(whole)
+        classes = (whole << 2 | quarter).astype(np.uint8)
+        gaps = np.diff(distinct.astype(np.int64), prepend=-1) - 1
+        # gaps go out by byte planes, which are zero where ids lie close together
+        planes = gaps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+        return _Table(distinct.astype(np.uint32), classes), zlib.compress(planes + classes.tobytes(), 9), place
+
+    @staticmethod
+    def read(data: bytes) -> _Table:
+        raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, -1)
+        gaps = np.ascontiguousarray(raw[:4].T).view("<u4")[:, 0].astype(np.int64)
+        return _Table((np.cumsum(gaps + 1) - 1).astype(np.uint32), raw[4])
 
 
 class _Writer:
-    """Lanes' bytes grow side by side, in rows that all have room for the steps to come."""
+    """Lanes' words grow side by side, in rows that all have room for the steps to come."""
 
-    def __init__(self, lanes: int, steps: int, decisions: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _M)
-        # a decision takes 15 bits at most, and a byte or two where the range is cut short
-        self.room = steps * (2 * decisions + 2) + 16
-        self.out, self.at = np.zeros(lanes * self.room, np.uint8), np.arange(lanes, dtype=np.int64) * self.room
+    def __init__(self, lanes: int, steps: int, table: _Table):
+        self.table, self.low, self.range = table, np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+        # a step leaves 2**4 of the range at least, and may cut it short once: six words
+        self.room = steps * 6 + 8
+        self.out, self.at = np.zeros(lanes * self.room, np.uint16), np.arange(lanes, dtype=np.int64) * self.room
         self.start = self.at.copy()
 
-    def _narrow(self, lanes: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        low, r = self.low[lanes], self.range[lanes] >> _P
-        low += r * cum
-        r *= freq
+    def code(self, n: int, first: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code x, of which ``first`` is predicted with probability q; (x, whether the prediction holds)."""
+        hit, r = x == first, self.range[:n]
+        part = (r >> _U(_Q)) * q.view(_U)
+        rest = (r - part) >> _U(self.table.bits)
+        self.low[:n] += np.where(hit, _U(0), part + rest * self.table.before.take(x))
+        self.range[:n] = np.where(hit, part, rest * self.table.freq.take(x))
+        self._shift(n)
+        return x, hit
+
+    def _shift(self, n: int) -> None:
+        low, r = self.low[:n], self.range[:n]
         ready = np.flatnonzero(((low ^ (low + r)) < _TOP) | (r < _BOTTOM))
         while len(ready):
-            l, k, own = low[ready], r[ready], lanes[ready]
-            k = np.where((l ^ (l + k)) < _TOP, k, -l & (_BOTTOM - 1))
-            at = self.at[own]
-            self.out[at] = l >> 24
-            self.at[own] = at + 1
-            l, k = l << 8 & _M, k << 8
+            l, k, at = low.take(ready), r.take(ready), self.at.take(ready)
+            k = np.where((l ^ (l + k)) < _TOP, k, (~l + _U(1)) & (_BOTTOM - _U(1)))
+            self.out[at] = l >> _U(48)
+            self.at[ready] = at + 1
+            l, k = l << _SHIFT, k << _SHIFT
             low[ready], r[ready] = l, k
             ready = ready[((l ^ (l + k)) < _TOP) | (k < _BOTTOM)]
-        self.low[lanes], self.range[lanes] = low, r
-
-    def bit(self, lanes: np.ndarray, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """p: probability of a 1."""
-        self._narrow(lanes, np.where(bit, 0, p), np.where(bit, p, _ONE - p))
-        return bit
-
-    def symbol(self, lanes: np.ndarray, bounds: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        n = np.arange(len(lanes))
-        a = bounds[n, symbol].astype(np.int64)
-        b = np.where(symbol == 15, _ONE, bounds[n, np.minimum(symbol + 1, 15)].astype(np.int64))
-        self._narrow(lanes, a, b - a)
-        return symbol
 
     def finish(self) -> list[bytes]:
-        for k in range(4):
-            self.out[self.at + k] = self.low >> (24 - 8 * k) & 255
-        return [self.out[a : b + 4].tobytes() for a, b in zip(self.start, self.at, strict=True)]
+        # the range is 2**40 at least: two words lie within it, if they are rounded up; the reader goes on with zeros
+        last = (self.low + _U((1 << 32) - 1)) >> _U(32)
+        self.out[self.at], self.out[self.at + 1] = last >> _U(16) & _U(0xFFFF), last & _U(0xFFFF)
+        return [self.out[a : b + 2].astype("<u2").tobytes() for a, b in zip(self.start, self.at, strict=True)]
 
 
 class _Reader:
-    def __init__(self, blocks: list[bytes]):
-        sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
-        self.data = np.frombuffer(b"".join([*blocks, bytes(8)]), np.uint8)
-        self.at = np.r_[0, np.cumsum(sizes)[:-1]]
-        self.low, self.range = np.zeros(len(blocks), np.int64), np.full(len(blocks), _M)
-        self.x = np.zeros(len(blocks), np.int64)
+    def __init__(self, blocks: list[bytes], table: _Table):
+        sizes = np.fromiter(map(len, blocks), np.int64, len(blocks)) // 2
+        self.table, lanes = table, len(blocks)
+        # four zero words after each block
+        self.data = np.frombuffer(b"".join([p for b in blocks for p in (b[: len(b) // 2 * 2], bytes(8))]), "<u2")
+        self.at = np.cumsum(sizes + 4) - sizes - 4
+        self.low, self.range, self.x = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U), np.zeros(lanes, _U)
         for _ in range(4):
-            self.x = self.x << 8 | self.data[self.at]
+            self.x = self.x << _SHIFT | self.data.take(self.at, mode="clip").astype(_U)
             self.at += 1
 
-    def _narrow(self, lanes: np.ndarray, low: np.ndarray, r: np.ndarray, x: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        low = low + r * cum
-        r = r * freq
+    def code(self, n: int, first: np.ndarray, q: np.ndarray, x: None) -> tuple[np.ndarray, np.ndarray]:
+        low, r = self.low[:n], self.range[:n]
+        part = (r >> _U(_Q)) * q.view(_U)
+        rest = (r - part) >> _U(self.table.bits)
+        beyond = self.x[:n] - low
+        hit = beyond < part
+        x = np.where(hit, first, self.table.symbols((beyond - part) // rest))
+        low += np.where(hit, _U(0), part + rest * self.table.before.take(x))
+        r[:] = np.where(hit, part, rest * self.table.freq.take(x))
         ready = np.flatnonzero(((low ^ (low + r)) < _TOP) | (r < _BOTTOM))
         while len(ready):
-            l, k, own = low[ready], r[ready], lanes[ready]
-            k = np.where((l ^ (l + k)) < _TOP, k, -l & (_BOTTOM - 1))
-            at = self.at[own]
-            x[ready] = x[ready] << 8 & _M | self.data[np.minimum(at, len(self.data) - 1)]
-            self.at[own] = at + 1
-            l, k = l << 8 & _M, k << 8
+            l, k, at = low.take(ready), r.take(ready), self.at.take(ready)
+            k = np.where((l ^ (l + k)) < _TOP, k, (~l + _U(1)) & (_BOTTOM - _U(1)))
+            self.x[ready] = self.x.take(ready) << _SHIFT | self.data.take(at, mode="clip").astype(_U)
+            self.at[ready] = at + 1
+            l, k = l << _SHIFT, k << _SHIFT
             low[ready], r[ready] = l, k
             ready = ready[((l ^ (l + k)) < _TOP) | (k < _BOTTOM)]
-        self.low[lanes], self.range[lanes], self.x[lanes] = low, r, x
-
-    def bit(self, lanes: np.ndarray, p: np.ndarray, bit: None) -> np.ndarray:
-        low, r, x = self.low[lanes], self.range[lanes] >> _P, self.x[lanes]
-        bit = x - low < r * p
-        self._narrow(lanes, low, r, x, np.where(bit, 0, p), np.where(bit, p, _ONE - p))
-        return bit
-
-    def symbol(self, lanes: np.ndarray, bounds: np.ndarray, symbol: None) -> np.ndarray:
-        low, r, x = self.low[lanes], self.range[lanes] >> _P, self.x[lanes]
-        value = np.minimum((x - low) // r, _ONE - 1).astype(np.int16)
-        symbol = (bounds <= value[:, None]).sum(1) - 1
-        n = np.arange(len(lanes))
-        a = bounds[n, symbol].astype(np.int64)
-        b = np.where(symbol == 15, _ONE, bounds[n, np.minimum(symbol + 1, 15)].astype(np.int64))
-        self._narrow(lanes, low, r, x, a, b - a)
-        return symbol
-
-
-def _run(coder: _Writer | _Reader, lengths: np.ndarray, ids: np.ndarray | None, parts: int) -> np.ndarray:
-    """Code ids (lanes x steps) in parts of four bits, or read and return them if None. Lengths fall from lane to lane."""
+        return x, hit
+
+
+def _run(coder: _Writer | _Reader, lengths: np.ndarray, given: np.ndarray | None) -> np.ndarray:
+    """Code places in the table (steps x lanes), or read and return them if None. Lengths fall from lane to lane."""
     lanes, steps = len(lengths), int(lengths.max(initial=0))
-    first_rows, distributions = _first_rows(parts)
-    read = ids is None
-    out = np.zeros((steps, lanes), np.uint32) if read else np.ascontiguousarray(ids.T)
-    pred1, pred2 = np.zeros(lanes * _S1, np.uint32), np.zeros(lanes * _S2, np.uint32)
-    sure1, sure2 = np.zeros(lanes * _S1, np.int8), np.zeros(lanes * _S2, np.int8)
-    flags = np.full(lanes * 40, _ONE // 2, np.int64)  # 32 by both, 4 by order 2, 4 by order 1
-    other = np.full(lanes * 16, _ONE // 2, np.int64)
-    weights = np.full((3, lanes), 0.4, np.float32)
-    bounds = np.tile(_EVEN, (lanes * distributions, 1))
-    every = np.arange(lanes)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    for t in range(steps):
-        n = int(np.searchsorted(-lengths, -t))  # lanes that are longer than t
-        a, b, lane = last[:n], before[:n], every[:n]
-        x = out[t, :n].astype(np.int64)
-        s1 = (a * 0x9E3779B1 >> 12 & (_S1 - 1)) + lane * _S1
-        s2 = ((a * 0x9E3779B1 ^ b * 0x85EBCA77) >> 13 & (_S2 - 1)) + lane * _S2
-        p1, c1, p2, c2 = pred1[s1].astype(np.int64), sure1[s1].astype(np.int64), pred2[s2].astype(np.int64), sure2[s2].astype(np.int64)
-        first = np.where(c2 > 0, p2, p1)
-        todo = np.ones(n, bool)
-        i = np.flatnonzero((c1 > 0) | (c2 > 0))
-        if len(i):
-            base = i * 40
-            k0, k1, k2 = base + (c2[i] << 3 | c1[i] << 1 | (p1[i] == p2[i])), base + 32 + c2[i], base + 36 + c1[i]
-            q = [flags[k0], flags[k1], flags[k2]]
-            s = [_STRETCH[v >> 3] for v in q]
-            w = [weights[m][i] for m in range(3)]
-            z = w[0] * s[0] + w[1] * s[1] + w[2] * s[2]
-            p = _SQUASH[np.clip(z * _SQUASH_AT, -12 * 64, 12 * 64).astype(np.int64) + 12 * 64]
-            hit = coder.bit(i, p, None if read else x[i] == first[i])
-            error = (hit * (_ONE - 1) - p).astype(np.float32) * np.float32(0.02 / _ONE)
-            for m in range(3):
-                weights[m][i] = w[m] + error * s[m]
-            goal = hit * np.int64(_ONE - 1)
-            for k, v in zip((k0, k1, k2), q, strict=True):
-                flags[k] = v + (goal - v >> 4)
-            won = i[hit]
-            todo[won] = False
-            if read:
-                x[won] = first[won]
-            j = i[~hit]
-            j = j[(c1[j] > 0) & (c2[j] > 0) & (p1[j] != p2[j])]
-            if len(j):
-                k = j * 16 + (c2[j] << 2 | c1[j])
-                v = other[k]
-                hit = coder.bit(j, np.clip(v, 32, _ONE - 32), None if read else x[j] == p1[j])
-                other[k] = v + (hit * np.int64(_ONE - 1) - v >> 4)
-                won = j[hit]
-                todo[won] = False
-                if read:
-                    x[won] = p1[won]
-        i = np.flatnonzero(todo)
-        if len(i):
-            own, value, head = i * distributions, x[i], np.zeros(len(i), np.int64)
-            for part, first_row in enumerate(first_rows):
-                k = own + (first_row + (head & 255))
-                rows = bounds[k]
-                symbol = coder.symbol(i, rows, None if read else value >> 4 * (parts - 1 - part) & 15)
-                bounds[k] = rows + (_TOWARDS[symbol] - rows >> 5)
-                head = head << 4 | symbol
-            if read:
-                x[i] = head
-        for slot, pred, sure, p, c in ((s1, pred1, sure1, p1, c1), (s2, pred2, sure2, p2, c2)):
-            same = p == x
-            sure[slot] = np.where(same & (c > 0), np.minimum(c + 1, 3), np.where(c > 1, c - 1, 1))
-            pred[slot] = np.where(same | (c > 1), p, x)
-        if read:
+    out = np.zeros((steps, lanes), np.int64) if given is None else given
+    # order 1 in the first row, order 2 in the second; an entry is the predicted place and its confidence
+    known = np.zeros(lanes * (_S1 + _S2), np.int64)
+    base = np.stack([np.arange(lanes) * _S1, lanes * _S1 + np.arange(lanes) * _S2])
+    logits = np.tile(np.r_[_LOGITS, np.zeros(8, np.int32)], lanes)
+    lane = np.arange(lanes) * 40
+    h1, h2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    counts = np.searchsorted(-lengths, -np.arange(steps)).tolist()  # lanes that are longer than each step
+    slots = np.empty((2, lanes), np.int64)
+    for t, n in enumerate(counts):
+        s = slots[:, :n]
+        np.bitwise_and(h1[:n] >> 12, _S1 - 1, out=s[0])
+        np.bitwise_and((h1[:n] ^ h2[:n]) >> 13, _S2 - 1, out=s[1])
+        s += base[:, :n]
+        e = known.take(s)
+        place, sure = e >> 2, e & 3
+        c1, c2 = sure
+        first = np.where(c2 >= c1, place[1], place[0])
+        own = lane[:n]
+        k0 = own + (c2 << 3 | c1 << 1 | (place[0] == place[1]))
+        k1, k2 = c2 + (own + 32), c1 + (own + 36)
+        l0, l1, l2 = logits.take(k0), logits.take(k1), logits.take(k2)
+        q = _SQUASH.take(l0 + l1 + l2 + _EDGE, mode="clip")
+        x, hit = coder.code(n, first, q, None if given is None else given[t, :n])
+        if given is None:
             out[t, :n] = x
-        before[:n], last[:n] = a.copy(), x
+        error = ((hit.astype(np.int64) << _Q) - q >> 6).astype(np.int32)
+        logits[k0], logits[k1], logits[k2] = l0 + error, l1 + error, l2 + error
+        same = place == x
+        known[s] = np.where(same | (sure > 1), e - sure, x << 2) + _SURE.take(sure + (same << 2))
+        h2[:n] = h1[:n] * 0x2545F491 & 0xFFFFFFFFFF
+        h1[:n] = x * 0x9E3779B1
     return out
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], int]:
-    """(the coded blocks of a sequence of ids under 2**32, the parts that each id was coded in)."""
-    parts = parts_of(ids)
+def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], bytes]:
+    """(the coded blocks of a sequence of ids under 2**32, the table that they are read with)."""
     if not len(ids):
-        return [], parts
+        return [], b""
+    table, data, places = _Table.of(ids)
     lanes = -(-len(ids) // block)
     lengths = np.full(lanes, block, np.int64)
     lengths[-1] = len(ids) - block * (lanes - 1)
     steps = int(lengths.max())
-    padded = np.zeros((lanes, steps), np.uint32)
-    padded.reshape(-1)[: len(ids)] = ids
-    w = _Writer(lanes, steps, 2 + parts)
-    _run(w, lengths, padded, parts)
-    return w.finish(), parts
+    padded = np.zeros((lanes, steps), np.int64)
+    padded.reshape(-1)[: len(ids)] = places
+    w = _Writer(lanes, steps, table)
+    _run(w, lengths, np.ascontiguousarray(padded.T))
+    return w.finish(), data
 
 
-def decode(blocks: list[bytes], n: int, parts: int, block: int = BLOCK) -> np.ndarray:
+def decode(blocks: list[bytes], n: int, table: bytes, block: int = BLOCK) -> np.ndarray:
     """The n ids of coded blocks, as uint32."""
     if not n:
         return np.empty(0, np.uint32)
     lengths = np.full(len(blocks), block, np.int64)
     lengths[-1] = n - block * (len(blocks) - 1)
-    return np.ascontiguousarray(_run(_Reader(blocks), lengths, None, parts).T).reshape(-1)[:n]
+    known = _Table.read(table)
+    return known.ids[np.ascontiguousarray(_run(_Reader(blocks, known), lengths, None).T).reshape(-1)[:n]]

@@ -3,24 +3,27 @@
 Documents are ranged and sorted by id (rows of one id by a hash of their text, so no id is bound to one task); each task encodes its range with the tokenizers library (through a cache of chunks), appends the end id to each document, and writes *segments*
 of whole documents. A segment is one binary value of a Parquet file (any store that Spark writes will do):
 
-    "TLR2", documents (u32), ids (u64), ids a block (u32), blocks (u32), parts an id (u32)
+    "TLR3", documents (u32), ids (u64), ids a block (u32), blocks (u32), bytes of the table of ids (u32)
     for each document: id (i64), whether it is null (u8), its number of ids (u64)
     for each block: bytes (u32), CRC-32 of its ids (u32)
-    CRC-32 of all above (u32), then the coded blocks (see rangecoder)
+    the table of ids (see rangecoder)
+    CRC-32 of all above (u32), then the coded blocks
 
-Blocks start anew, so each can be read alone; reading checks every CRC. Null text counts as empty (the end id alone); null ids come first; repeated rows give a row each; an empty table gives an empty result. Ids may have up to 32 bits.
+Blocks start anew, so each can be read alone, with the head; reading checks every CRC. Null text counts as empty (the end id alone); null ids come first; repeated rows give a row each; an empty table gives an empty result. Ids may have up to 32 bits.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +36,13 @@ VOCABULARY, END = "byte_bpe_50k.json", 2
 SEGMENT = 6 << 20
 #: Text of a part, in bytes, as planned; parts at least.
 PART_BYTES, PARTS = 16 << 20, 12
+#: Texts that are encoded together.
+TEXTS = 2000
 _HEAD = struct.Struct("<4sIQIII")
 _DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
 
-_caches: dict[tuple[str, str], dict[str, tuple[int, ...]]] = {}
+_caches: dict[str, _Known] = {}
 
 
 def _forget() -> None:
@@ -48,32 +53,84 @@ def _forget() -> None:
 caches(__name__, _forget)
 
 
-def _known(path: str, before: str, chunks: list[str]) -> Callable[[str], tuple[int, ...]]:
-    """Lookup of the ids of these chunks, before which stands ``before``."""
-    cache = _caches.setdefault((path, before), {})
-    new = [k for k in set(chunks) if k not in cache]
-    if new:
-        if len(cache) + len(new) > bpe.CACHE:
-            cache.clear()
-            new = list(set(chunks))
-        for k, e in zip(new, bpe.library(path).encode_batch_fast([before + k for k in new], add_special_tokens=False), strict=True):
-            cache[k] = tuple(e.ids)
-    return cache.__getitem__
+#: Words whose pre-tokens _PIECE finds: no apostrophe, and of ASCII and letters of the next blocks only.
+_PLAIN = re.compile("[\n!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\u017f]*")
+_LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+_PIECE = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: Texts that can't be split at spaces alone: white space beside a space, or a space at an end.
+_LOOSE = f"^ | $| [{bpe.SPACE}]|[{bpe.SPACE}] "
+
+
+def _pieces(word: str) -> list[str]:
+    """A word cut where its pre-tokens end, or at least where its chunks do."""
+    return _PIECE.findall(word) if _PLAIN.fullmatch(word, 1 if word[:1] == " " else 0) else bpe.CHUNK.findall(word)
+
+
+class _Known:
+    """Ids of pieces that were seen: piece k's are ``flat[start[k] : start[k] + size[k]]``."""
+
+    def __init__(self, path: str):
+        self.path, self.place = path, {}
+        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, wanted: list[str]) -> np.ndarray:
+        """The place of each piece."""
+        place = self.place
+        new = [k for k in dict.fromkeys(wanted) if k not in place]
+        if new:
+            arrays = [e.ids for e in bpe.library(self.path).encode_batch_fast(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, arrays), np.int64, len(arrays))
+            place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(arrays), np.uint32)])
+        return np.fromiter(map(place.__getitem__, wanted), np.int64, len(wanted))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the places start, start + 1, ... of each of these runs, one after the other; where each run ends among them)."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), ends
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Each text's ids as the library gives them."""
+    """Each text's ids as the library gives them. Texts are split and their distinct words looked up together."""
     library, special = bpe.library(path), bpe.special_strings(path)
-    out = []
-    for t in texts:
-        t = t or ""
-        if any(s in t for s in special):
-            out.append(np.array(library.encode(t, add_special_tokens=False).ids, np.uint32))
-            continue
-        spaces, parts = bpe.split(t)
-        first, rest = (parts[:1], parts[1:]) if spaces else (parts, [])
-        found = chain(map(_known(path, "", first), first), map(_known(path, " ", rest), rest))
-        out.append(np.fromiter(chain.from_iterable(found), np.uint32))
+    known = _caches.get(path)
+    if known is None or len(known.size) > bpe.CACHE or len(known.flat) > 16 * bpe.CACHE:
+        known = _caches[path] = _Known(path)
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+    column = pa.array(texts, pa.large_string())
+    loose = pc.fill_null(pc.match_substring_regex(column, _LOOSE), False).to_pylist()
+    plain = []
+    for i, t in enumerate(texts):
+        if t and any(s in t for s in special):
+            out[i] = np.array(library.encode(t, add_special_tokens=False).ids, np.uint32)
+        elif t and loose[i]:
+            places = known.places(bpe.CHUNK.findall(t))
+            out[i] = known.flat[_spread(known.start[places], known.size[places])[0]]
+        elif t:
+            plain.append(i)
+    if plain:
+        lists = pc.split_pattern(column.take(pa.array(plain)), " ")
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        firsts = np.r_[0, ends[:-1]]
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        # texts' first words stand after all distinct words, as no space is before them
+        words = [*[f" {w}" for w in coded.dictionary.to_pylist()], *flat.take(pa.array(firsts)).to_pylist()]
+        number = coded.indices.to_numpy().astype(np.int64)
+        number[firsts] = len(coded.dictionary) + np.arange(len(firsts))
+        pieces = list(map(_pieces, words))
+        n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        places = known.places(list(chain.from_iterable(pieces)))
+        # words to pieces, pieces to ids; then the ids up to each text's end
+        at, word_ends = _spread((np.cumsum(n_pieces) - n_pieces)[number], n_pieces[number])
+        places = places[at]
+        at, piece_ends = _spread(known.start[places], known.size[places])
+        bounds = np.r_[0, piece_ends][np.r_[0, word_ends][ends]]
+        for i, ids in zip(plain, np.split(known.flat[at], bounds[:-1]), strict=True):
+            out[i] = ids
     return out
 
 
@@ -81,27 +138,28 @@ def pack(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
     """A segment's bytes."""
     ids = np.concatenate([np.empty(0, np.uint32), *arrays])
     block = rangecoder.BLOCK
-    blocks, parts = rangecoder.encode(ids, block)
+    blocks, known = rangecoder.encode(ids, block)
     docs = np.zeros(len(doc_ids), _DOCUMENT)
     docs["id"], docs["null"], docs["n"] = [d or 0 for d in doc_ids], [d is None for d in doc_ids], list(map(len, arrays))
     table = np.zeros(len(blocks), _BLOCK)
     table["size"] = list(map(len, blocks))
     table["crc"] = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(len(blocks))]
-    head = _HEAD.pack(b"TLR2", len(docs), len(ids), block, len(blocks), parts) + docs.tobytes() + table.tobytes()
+    head = _HEAD.pack(b"TLR3", len(docs), len(ids), block, len(blocks), len(known)) + docs.tobytes() + table.tobytes() + known
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
 def unpack(data: bytes) -> tuple[list, list[np.ndarray]]:
     """(document ids, each document's token ids) of a segment; ValueError if any checksum fails."""
-    magic, n_docs, n_ids, block, n_blocks, parts = _HEAD.unpack_from(data)
+    magic, n_docs, n_ids, block, n_blocks, known = _HEAD.unpack_from(data)
     a = _HEAD.size
     b = a + n_docs * _DOCUMENT.itemsize
-    c = b + n_blocks * _BLOCK.itemsize
-    if magic != b"TLR2" or struct.unpack_from("<I", data, c)[0] != zlib.crc32(data[:c]):
+    d = b + n_blocks * _BLOCK.itemsize
+    c = d + known
+    if magic != b"TLR3" or struct.unpack_from("<I", data, c)[0] != zlib.crc32(data[:c]):
         raise ValueError("the segment's head is damaged")
-    docs, table = np.frombuffer(data[a:b], _DOCUMENT), np.frombuffer(data[b:c], _BLOCK)
+    docs, table = np.frombuffer(data[a:b], _DOCUMENT), np.frombuffer(data[b:d], _BLOCK)
     ends = c + 4 + np.cumsum(table["size"].astype(np.int64))
-    ids = rangecoder.decode([data[e - n : e] for e, n in zip(ends.tolist(), table["size"].tolist(), strict=True)], n_ids, parts, block)
+    ids = rangecoder.decode([data[e - n : e] for e, n in zip(ends.tolist(), table["size"].tolist(), strict=True)], n_ids, data[d:c], block)
     for i, crc in enumerate(table["crc"].tolist()):
         if zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
@@ -112,6 +170,11 @@ class _Write:
     def __init__(self, path: str, end: int):
         self.path, self.end = path, np.array([end], np.uint32)
 
+    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, of TEXTS at a time."""
+        for k in range(0, len(texts), TEXTS):
+            yield from encode_texts(texts.slice(k, TEXTS).to_pylist(), self.path)
+
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
         ids, arrays, n = [], [], 0
@@ -120,9 +183,9 @@ class _Write:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([pack(ids, arrays)], pa.binary())})
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, found in zip(b.column(0).to_pylist(), self.encoded(b.column(1)), strict=True):
                 ids.append(i)
-                arrays.append(np.concatenate([*encode_texts([t], self.path), self.end]))
+                arrays.append(np.concatenate([found, self.end]))
                 n += len(arrays[-1])
                 if n >= SEGMENT:
                     yield closed()
