@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from itertools import chain
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -511,6 +513,64 @@ def test_token_files_code_an_id_at_once_and_look_words_up_together(monkeypatch):
     assert [x.tolist() for x in token_files.encode_texts(made, path)] == [library.encode(t, add_special_tokens=False).ids for t in made]
 
 
+def test_token_files_code_frequent_pairs_as_one_and_encode_new_words_in_few_texts(monkeypatch):
+    """Two ids that are often together are one symbol; the library gets new words in texts of many; words met again, cut or at a text's ends, are as it has them."""
+    path, r = P.path("byte_bpe_50k.json"), random.Random(8)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    library, strings = bpe.library(path), []
+
+    class Counted:
+        def encode_batch_fast(self, pieces, **more):
+            strings.extend(pieces)
+            return library.encode_batch_fast(pieces, **more)
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    token_files._forget()
+    bpe.special_strings(path)
+    monkeypatch.setattr(bpe, "library", lambda path: Counted())
+    words = [w for t in texts if t and "  " not in t for w in t.split(" ")]
+    plain = [" ".join(words[k : k + 400]) for k in range(0, len(words), 400)]
+    plain = ["a" + t.strip(bpe.SPACE).replace("\n ", " ").replace(" \n", " ") for t in plain]
+    arrays = token_files.encode_texts(plain, path)
+    assert len(strings) < len(set(words)) / 4
+    assert [x.tolist() for x in arrays] == [library.encode(t, add_special_tokens=False).ids for t in plain]
+    ids = np.concatenate(arrays)
+    blocks, table = rangecoder.encode(ids)
+    assert sum(struct.unpack_from("<I", b)[0] for b in blocks) < 0.7 * len(ids)
+    assert (rangecoder.decode(blocks, len(ids), table) == ids).all()
+    assert sum(map(len, blocks)) + len(table) < 0.85 * len(zlib.compress(ids.astype("<u2").tobytes()))
+    odd = ["foo", "foo,", "foo.\nBar", "bar\n", "\xe9t\xe9", "can't", "'s", "12", "1a", "...", "\u65e5\u672c", "x\u0301", "\xa0", "\0", "\u0120", "\u0120a", "<|endoftext|", "\x1c"]
+    for _ in range(20):
+        made = [" ".join(r.choices(odd, k=r.randint(0, 9))) for _ in range(100)]
+        assert [x.tolist() for x in token_files.encode_texts(pa.array(made), path)] == [library.encode(t, add_special_tokens=False).ids for t in made]
+    # a vocabulary that doesn't mark spaces as this one does
+    token_files._caches.clear()
+    monkeypatch.setattr(token_files, "_spaced", lambda path: np.zeros(1 << 16, bool))
+    assert [x.tolist() for x in token_files.encode_texts(plain[:3], path)] == [library.encode(t, add_special_tokens=False).ids for t in plain[:3]]
+    monkeypatch.undo()
+    token_files._forget()
+
+
+def test_range_coder_carries_pairs_and_blocks():
+    """A carry goes through full words; pairs end with their block, in runs of one id, too; each block can be read alone."""
+    table = rangecoder._Table.of(np.array([1, 2], np.uint32), 4096)[0]
+    w = rangecoder._Writer(1, 4, table)
+    w.out[:4], w.at[0] = [1, 0xFFFF, 0xFFFF, 0x10002], 4
+    assert np.frombuffer(w.finish()[0], ">u2").tolist() == [2, 0, 0, 2, 0]
+    r = np.random.default_rng(5)
+    for ids in (np.full(5000, 7), np.tile([3, 9], 3001), np.tile([3, 9, 9, 4], 1500), r.zipf(1.3, 50_000) % 3000, np.r_[np.full(30_000, 5), r.integers(0, 1 << 32, 3000)]):
+        ids = ids.astype(np.uint32)
+        for block in (1, 2, 7, 4096):
+            some = ids[: 300 * block]
+            blocks, table = rangecoder.encode(some, block)
+            assert (rangecoder.decode(blocks, len(some), table, block) == some).all()
+            k = len(blocks) // 2
+            one = some[k * block : (k + 1) * block]
+            assert (rangecoder.decode(blocks[k : k + 1], len(one), table, block) == one).all()
+
+
 def test_language_model_without_texts(spark, docs, tmp_path):
     marked = docs.withColumn("held_out", F.lit(True))
     model = language_model.train(docs.limit(0), str(tmp_path / "none"))

@@ -1,9 +1,9 @@
 """Operator 7, token-ID / binary output: ids of all documents in ascending id order, in files of coded blocks.
 
-Documents are ranged and sorted by id (rows of one id by a hash of their text, so no id is bound to one task); each task encodes its range with the tokenizers library (through a cache of chunks), appends the end id to each document, and writes *segments*
+Documents are ranged and sorted by id (rows of one id by a hash of their text, so no id is bound to one task); each task encodes its range with the tokenizers library (through a cache of words, new ones in texts of many), appends the end id to each document, and writes *segments*
 of whole documents. A segment is one binary value of a Parquet file (any store that Spark writes will do):
 
-    "TLR3", documents (u32), ids (u64), ids a block (u32), blocks (u32), bytes of the table of ids (u32)
+    "TLR4", documents (u32), ids (u64), ids a block (u32), blocks (u32), bytes of the table of ids (u32)
     for each document: id (i64), whether it is null (u8), its number of ids (u64)
     for each block: bytes (u32), CRC-32 of its ids (u32)
     the table of ids (see rangecoder)
@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,14 +31,17 @@ from pyspark.sql import functions as F
 
 from . import bpe, rangecoder
 from .common import Task, caches, documents, prepare, scratch
+from .rangecoder import spread
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Ids of a segment, from which it is closed after the document that reached it.
 SEGMENT = 6 << 20
 #: Text of a part, in bytes, as planned; parts at least.
 PART_BYTES, PARTS = 16 << 20, 12
-#: Texts that are encoded together.
-TEXTS = 2000
+#: Bytes of texts that are encoded together (a longer single text is taken alone).
+TEXT_BYTES = 16 << 20
+#: Words that a worker's cache holds at most; it starts anew when full.
+KNOWN = 1_000_000
 _HEAD = struct.Struct("<4sIQIII")
 _DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
@@ -47,18 +51,23 @@ _caches: dict[str, _Known] = {}
 
 def _forget() -> None:
     _caches.clear()
+    _spaced.cache_clear()
     bpe.forget()
 
 
 caches(__name__, _forget)
 
 
+#: Texts that can't be split at spaces alone: white space beside a space, or a space at an end.
+_LOOSE = f"^ | $| [{bpe.SPACE}]|[{bpe.SPACE}] "
+#: Words that a call of the library's gets as one text.
+_TOGETHER = 200
+
+
 #: Words whose pre-tokens _PIECE finds: no apostrophe, and of ASCII and letters of the next blocks only.
 _PLAIN = re.compile("[\n!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\u017f]*")
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _PIECE = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-#: Texts that can't be split at spaces alone: white space beside a space, or a space at an end.
-_LOOSE = f"^ | $| [{bpe.SPACE}]|[{bpe.SPACE}] "
 
 
 def _pieces(word: str) -> list[str]:
@@ -66,70 +75,124 @@ def _pieces(word: str) -> list[str]:
     return _PIECE.findall(word) if _PLAIN.fullmatch(word, 1 if word[:1] == " " else 0) else bpe.CHUNK.findall(word)
 
 
+@lru_cache(4)
+def _spaced(path: str) -> np.ndarray:
+    """Whether each id's token begins with a space."""
+    library = bpe.library(path)
+    size = max(library.get_vocab().values(), default=-1) + 1
+    return np.fromiter(((library.id_to_token(i) or "").startswith("\u0120") for i in range(size)), bool, size)
+
+
 class _Known:
-    """Ids of pieces that were seen: piece k's are ``flat[start[k] : start[k] + size[k]]``."""
+    """Ids of strings that were seen: string k's are ``flat[start[k] : start[k] + size[k]]``. Words that stand after a space are held in an Arrow array, without it; all others in a dict."""
 
     def __init__(self, path: str):
         self.path, self.place = path, {}
+        self.words, self.word_place = pa.array([], pa.large_string()), np.empty(0, np.int64)
         self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _add(self, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Add strings by their numbers of ids and all ids; their places."""
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+        return np.arange(len(self.size) - len(size), len(self.size))
+
+    def _encode(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(each string's number of ids, all ids)."""
+        arrays = [e.ids for e in bpe.library(self.path).encode_batch_fast(strings, add_special_tokens=False)]
+        return np.fromiter(map(len, arrays), np.int64, len(arrays)), np.fromiter(chain.from_iterable(arrays), np.uint32)
+
     def places(self, wanted: list[str]) -> np.ndarray:
-        """The place of each piece."""
+        """The place of each string as it stands."""
         place = self.place
         new = [k for k in dict.fromkeys(wanted) if k not in place]
         if new:
-            arrays = [e.ids for e in bpe.library(self.path).encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, arrays), np.int64, len(arrays))
-            place.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(arrays), np.uint32)])
+            place.update(zip(new, self._add(*self._encode(new)).tolist(), strict=True))
         return np.fromiter(map(place.__getitem__, wanted), np.int64, len(wanted))
 
-
-def _spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the places start, start + 1, ... of each of these runs, one after the other; where each run ends among them)."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), ends
-
-
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
+    def word_places(self, wanted: pa.Array) -> np.ndarray:
+        """The place of each word after a space."""
+        coded = wanted.dictionary_encode()
+        number = pc.index_in(coded.dictionary, self.words)
+        absent = pc.is_null(number).to_numpy(zero_copy_only=False)
+        found = np.empty(len(absent), np.int64)
+        found[~absent] = self.word_place.take(pc.drop_null(number).to_numpy())
+        if absent.any():
+            found[absent] = self._new_words(coded.dictionary.filter(pa.array(absent)))
+        return found.take(coded.indices.to_numpy())
+
+    def _new_words(self, new: pa.Array) -> np.ndarray:
+        """The places of distinct new words. A word of several pieces is put together from their ids; its first piece counts as a word, too."""
+        simple = pc.match_substring_regex(new, f"^[{_LETTER}]+$").to_numpy(zero_copy_only=False)
+        cut = [_pieces(f" {w}") for w in new.filter(pa.array(~simple)).to_pylist()]
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        simple[np.flatnonzero(~simple)[count == 1]] = True
+        cut, count, n = [c for c in cut if len(c) > 1], count[count > 1], int(simple.sum())
+        # all distinct first pieces, those of one piece before the others
+        coded = pa.concat_arrays([new.filter(pa.array(simple)), pa.array([c[0][1:] for c in cut], pa.large_string())]).dictionary_encode()
+        place = np.full(len(coded.dictionary), -1)
+        number = pc.index_in(self.words, coded.dictionary)
+        place[pc.drop_null(number).to_numpy()] = self.word_place[pc.is_valid(number).to_numpy(zero_copy_only=False)]
+        absent = place < 0
+        place[absent] = self._add(*self._apart(coded.dictionary.filter(pa.array(absent)).to_pylist()))
+        first = place.take(coded.indices.to_numpy())
+        out = np.empty(len(new), np.int64)
+        out[simple] = first[:n]
+        if cut:
+            ends = np.cumsum(count)
+            later, pieces = np.ones(ends[-1], bool), np.empty(ends[-1], np.int64)
+            later[ends - count] = False
+            pieces[~later], pieces[later] = first[n:], self.places([p for c in cut for p in c[1:]])
+            at, piece_ends = spread(self.start.take(pieces), self.size.take(pieces))
+            out[~simple] = self._add(np.diff(piece_ends[ends - 1], prepend=0), self.flat.take(at))
+        self.words = pa.concat_arrays([self.words, new, coded.dictionary[n:].filter(pa.array(absent[n:]))])
+        self.word_place = np.concatenate([self.word_place, out, place[n:][absent[n:]]])
+        return out
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words after a space, many in one text: each begins where a token begins with a space, as none has a space inside."""
+        together = 1 if any(" " in s for s in bpe.special_strings(self.path)) else _TOGETHER
+        texts = [" " + " ".join(words[k : k + together]) for k in range(0, len(words), together)]
+        sizes, ids = self._encode(texts) if texts else (np.empty(0, np.int64), np.empty(0, np.uint32))
+        spaced = _spaced(self.path).take(ids)
+        want = np.diff(np.r_[np.arange(0, len(words), together), len(words)])
+        ends = np.cumsum(sizes)
+        if (np.diff(np.r_[0, np.cumsum(spaced)][np.r_[0, ends]]) != want).any() or not spaced[(ends - sizes)].all():
+            return self._encode([f" {w}" for w in words])  # a vocabulary that doesn't mark spaces so
+        first = np.flatnonzero(spaced)
+        return np.diff(np.r_[first, len(ids)]), ids
+
+
+def encode_texts(texts: list[str | None] | pa.Array, path: str) -> list[np.ndarray]:
     """Each text's ids as the library gives them. Texts are split and their distinct words looked up together."""
     library, special = bpe.library(path), bpe.special_strings(path)
     known = _caches.get(path)
-    if known is None or len(known.size) > bpe.CACHE or len(known.flat) > 16 * bpe.CACHE:
+    if known is None or len(known.size) > KNOWN or len(known.flat) > 8 * KNOWN or len(known.place) > bpe.CACHE or known.words.nbytes > 16 * KNOWN:
         known = _caches[path] = _Known(path)
-    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-    column = pa.array(texts, pa.large_string())
-    loose = pc.fill_null(pc.match_substring_regex(column, _LOOSE), False).to_pylist()
-    plain = []
-    for i, t in enumerate(texts):
-        if t and any(s in t for s in special):
-            out[i] = np.array(library.encode(t, add_special_tokens=False).ids, np.uint32)
-        elif t and loose[i]:
-            places = known.places(bpe.CHUNK.findall(t))
-            out[i] = known.flat[_spread(known.start[places], known.size[places])[0]]
-        elif t:
-            plain.append(i)
-    if plain:
+    column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(column)
+    whole, empty = np.zeros(len(column), bool), pc.equal(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    for s in special:
+        whole |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
+    loose = pc.match_substring_regex(column, _LOOSE).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(whole).tolist():
+        out[i] = np.array(library.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+    for i in np.flatnonzero(loose & ~whole & ~empty).tolist():
+        places = known.places(bpe.CHUNK.findall(column[i].as_py()))
+        out[i] = known.flat[spread(known.start[places], known.size[places])[0]]
+    plain = np.flatnonzero(~(whole | loose | empty))
+    if len(plain):
         lists = pc.split_pattern(column.take(pa.array(plain)), " ")
         ends = np.cumsum(pc.list_value_length(lists).to_numpy())
         firsts = np.r_[0, ends[:-1]]
         flat = lists.flatten()
-        coded = flat.dictionary_encode()
-        # texts' first words stand after all distinct words, as no space is before them
-        words = [*[f" {w}" for w in coded.dictionary.to_pylist()], *flat.take(pa.array(firsts)).to_pylist()]
-        number = coded.indices.to_numpy().astype(np.int64)
-        number[firsts] = len(coded.dictionary) + np.arange(len(firsts))
-        pieces = list(map(_pieces, words))
-        n_pieces = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        places = known.places(list(chain.from_iterable(pieces)))
-        # words to pieces, pieces to ids; then the ids up to each text's end
-        at, word_ends = _spread((np.cumsum(n_pieces) - n_pieces)[number], n_pieces[number])
-        places = places[at]
-        at, piece_ends = _spread(known.start[places], known.size[places])
-        bounds = np.r_[0, piece_ends][np.r_[0, word_ends][ends]]
-        for i, ids in zip(plain, np.split(known.flat[at], bounds[:-1]), strict=True):
+        later = np.ones(len(flat), bool)
+        later[firsts] = False
+        places = np.empty(len(flat), np.int64)
+        places[firsts] = known.places(flat.take(pa.array(firsts)).to_pylist())  # no space is before them
+        places[later] = known.word_places(flat.filter(pa.array(later)))
+        at, word_ends = spread(known.start.take(places), known.size.take(places))
+        for i, ids in zip(plain.tolist(), np.split(known.flat.take(at), word_ends[ends - 1][:-1]), strict=True):
             out[i] = ids
     return out
 
@@ -144,7 +207,7 @@ def pack(doc_ids: list, arrays: list[np.ndarray]) -> bytes:
     table = np.zeros(len(blocks), _BLOCK)
     table["size"] = list(map(len, blocks))
     table["crc"] = [zlib.crc32(ids[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(len(blocks))]
-    head = _HEAD.pack(b"TLR3", len(docs), len(ids), block, len(blocks), len(known)) + docs.tobytes() + table.tobytes() + known
+    head = _HEAD.pack(b"TLR4", len(docs), len(ids), block, len(blocks), len(known)) + docs.tobytes() + table.tobytes() + known
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
@@ -155,7 +218,7 @@ def unpack(data: bytes) -> tuple[list, list[np.ndarray]]:
     b = a + n_docs * _DOCUMENT.itemsize
     d = b + n_blocks * _BLOCK.itemsize
     c = d + known
-    if magic != b"TLR3" or struct.unpack_from("<I", data, c)[0] != zlib.crc32(data[:c]):
+    if magic != b"TLR4" or struct.unpack_from("<I", data, c)[0] != zlib.crc32(data[:c]):
         raise ValueError("the segment's head is damaged")
     docs, table = np.frombuffer(data[a:b], _DOCUMENT), np.frombuffer(data[b:d], _BLOCK)
     ends = c + 4 + np.cumsum(table["size"].astype(np.int64))
@@ -170,10 +233,17 @@ class _Write:
     def __init__(self, path: str, end: int):
         self.path, self.end = path, np.array([end], np.uint32)
 
-    def encoded(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, of TEXTS at a time."""
-        for k in range(0, len(texts), TEXTS):
-            yield from encode_texts(texts.slice(k, TEXTS).to_pylist(), self.path)
+    def encoded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Each document's id and the ids of its text; texts of TEXT_BYTES are gathered from the batches."""
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if held and (b is None or size + b.nbytes > TEXT_BYTES):
+                texts = pa.concat_arrays([h.column(1).cast(pa.large_string()) for h in held])
+                doc_ids, held, size = [i for h in held for i in h.column(0).to_pylist()], [], 0
+                yield from zip(doc_ids, encode_texts(texts, self.path), strict=True)
+            if b is not None and b.num_rows:
+                held.append(b)
+                size += b.nbytes
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
@@ -182,14 +252,13 @@ class _Write:
         def closed() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "n_ids": pa.array([n], pa.int64()), "payload": pa.array([pack(ids, arrays)], pa.binary())})
 
-        for b in batches:
-            for i, found in zip(b.column(0).to_pylist(), self.encoded(b.column(1)), strict=True):
-                ids.append(i)
-                arrays.append(np.concatenate([found, self.end]))
-                n += len(arrays[-1])
-                if n >= SEGMENT:
-                    yield closed()
-                    segment, ids, arrays, n = segment + 1, [], [], 0
+        for i, found in self.encoded(batches):
+            ids.append(i)
+            arrays.append(np.concatenate([found, self.end]))
+            n += len(arrays[-1])
+            if n >= SEGMENT:
+                yield closed()
+                segment, ids, arrays, n = segment + 1, [], [], 0
         if ids:
             yield closed()
 
