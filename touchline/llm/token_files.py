@@ -41,7 +41,7 @@ PART_BYTES, PARTS = 16 << 20, 12
 #: Bytes of texts that are encoded together (a longer single text is taken alone).
 TEXT_BYTES = 16 << 20
 #: Words that a worker's cache holds at most; it starts anew when full.
-KNOWN = 1_000_000
+KNOWN = 1_500_000
 _HEAD = struct.Struct("<4sIQIII")
 _DOCUMENT = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")])
 _BLOCK = np.dtype([("size", "<u4"), ("crc", "<u4")])
@@ -68,6 +68,8 @@ _TOGETHER = 200
 _PLAIN = re.compile("[\n!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\u017f]*")
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 _PIECE = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+#: Most words of several pieces: letters, signs, and maybe a line's end, letters, signs.
+_SHAPE = f"^(?P<a>[{_LETTER}]+)(?P<b>[!-&(-/:-@\\[-`{{-~]+)(?:(?P<c>\n)(?P<d>[{_LETTER}]+)(?P<e>[!-&(-/:-@\\[-`{{-~]*))?$"
 
 
 def _pieces(word: str) -> list[str]:
@@ -124,12 +126,17 @@ class _Known:
     def _new_words(self, new: pa.Array) -> np.ndarray:
         """The places of distinct new words. A word of several pieces is put together from their ids; its first piece counts as a word, too."""
         simple = pc.match_substring_regex(new, f"^[{_LETTER}]+$").to_numpy(zero_copy_only=False)
-        cut = [_pieces(f" {w}") for w in new.filter(pa.array(~simple)).to_pylist()]
+        odd, odd_at = new.filter(pa.array(~simple)), np.flatnonzero(~simple)
+        shaped = pc.extract_regex(odd, _SHAPE)
+        fits = shaped.is_valid().to_numpy(zero_copy_only=False)
+        shaped, shaped_at = shaped.filter(pa.array(fits)), odd_at[fits]
+        cut = [_pieces(f" {w}") for w in odd.filter(pa.array(~fits)).to_pylist()]
         count = np.fromiter(map(len, cut), np.int64, len(cut))
-        simple[np.flatnonzero(~simple)[count == 1]] = True
-        cut, count, n = [c for c in cut if len(c) > 1], count[count > 1], int(simple.sum())
+        simple[odd_at[~fits][count == 1]] = True
+        cut, cut_at, count = [c for c in cut if len(c) > 1], odd_at[~fits][count > 1], count[count > 1]
+        n, m = int(simple.sum()), int(simple.sum()) + len(shaped)
         # all distinct first pieces, those of one piece before the others
-        coded = pa.concat_arrays([new.filter(pa.array(simple)), pa.array([c[0][1:] for c in cut], pa.large_string())]).dictionary_encode()
+        coded = pa.concat_arrays([new.filter(pa.array(simple)), shaped.field("a"), pa.array([c[0][1:] for c in cut], pa.large_string())]).dictionary_encode()
         place = np.full(len(coded.dictionary), -1)
         number = pc.index_in(self.words, coded.dictionary)
         place[pc.drop_null(number).to_numpy()] = self.word_place[pc.is_valid(number).to_numpy(zero_copy_only=False)]
@@ -138,17 +145,29 @@ class _Known:
         first = place.take(coded.indices.to_numpy())
         out = np.empty(len(new), np.int64)
         out[simple] = first[:n]
+        if len(shaped):
+            pieces = np.stack([first[n:m], *(self._column(shaped.field(k)) for k in "bcde")], 1)
+            out[shaped_at] = self._joined(pieces.reshape(-1), np.full(len(shaped), 5))
         if cut:
             ends = np.cumsum(count)
             later, pieces = np.ones(ends[-1], bool), np.empty(ends[-1], np.int64)
             later[ends - count] = False
-            pieces[~later], pieces[later] = first[n:], self.places([p for c in cut for p in c[1:]])
-            at, piece_ends = spread(self.start.take(pieces), self.size.take(pieces))
-            out[~simple] = self._add(np.diff(piece_ends[ends - 1], prepend=0), self.flat.take(at))
+            pieces[~later], pieces[later] = first[m:], self.places([p for c in cut for p in c[1:]])
+            out[cut_at] = self._joined(pieces, count)
         self.words = pa.concat_arrays([self.words, new, coded.dictionary[n:].filter(pa.array(absent[n:]))])
         self.word_place = np.concatenate([self.word_place, out, place[n:][absent[n:]]])
         return out
 
+    def _column(self, strings: pa.Array) -> np.ndarray:
+        """The place of each string as it stands, of few distinct ones."""
+        coded = pc.fill_null(strings, "").dictionary_encode()
+        return self.places(coded.dictionary.to_pylist()).take(coded.indices.to_numpy())
+
+    def _joined(self, pieces: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Add strings that consist of so many of the strings at these places; their own places."""
+        at, ends = spread(self.start.take(pieces), self.size.take(pieces))
+        return self._add(np.diff(ends[np.cumsum(count) - 1], prepend=0), self.flat.take(at))
+
     def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Encode words after a space, many in one text: each begins where a token begins with a space, as none has a space inside."""
         together = 1 if any(" " in s for s in bpe.special_strings(self.path)) else _TOGETHER
