@@ -171,6 +171,22 @@ def test_cosine_pairs_of_any_vectors_over_several_blocks(spark, monkeypatch, blo
     assert teams.cosine_pairs(df.limit(0)).count() == 0 and teams.silhouette(df.withColumnRenamed("label", "team").limit(0)).count() == 0
 
 
+def test_cosine_pairs_of_copies_stand_together_and_one_label_goes_to_many_tasks(spark, monkeypatch):
+    """A label's pairs of blocks are dealt out, also where its rows lie together by label; of copies, equal distances are neighbours; a vector that many rows have is spread over blocks."""
+    monkeypatch.setattr(teams, "LABEL_SHORT", 50)
+    r = np.random.default_rng(7)
+    rows = [(i + 1000 * k, 1, v) for i, v in enumerate(r.normal(size=(80, 6)).astype(np.float32).astype(float).tolist()) for k in range(6)]
+    rows += [(10_000 + i, 1, v) for i, v in enumerate(r.normal(size=(20, 6)).tolist())] + [(20_000 + i, 1, [0.5, 0.1, 0.0, -0.0, 2.0, 1.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, e array<double>").repartition(4, "label")
+    a, b = (df.select("label", F.col("vec_id").alias(k), F.col("e").alias(f"e_{k}")) for k in "ab")
+    want = a.join(b, "label").filter("a < b").select("a", "b", cosine_distance(F.col("e_a"), F.col("e_b")).alias("distance"))
+    got = [(x.p, (x.a, x.b, repr(x.distance))) for x in teams.cosine_pairs(df).withColumn("p", F.spark_partition_id()).collect()]
+    assert sorted(x for _, x in got) == sorted((x.a, x.b, repr(x.distance)) for x in want.collect())
+    parts = {p: [x[2] for q, x in got if q == p] for p in {p for p, _ in got}}
+    assert len(parts) > 1 and max(map(len, parts.values())) < 0.7 * len(got)
+    assert sum(x != y for d in parts.values() for x, y in zip(d, d[1:], strict=False)) < 0.4 * len(got)
+
+
 def test_short_runs_are_sampled_more_closely(spark):
     counts = spark.createDataFrame([(f, 10) for f in range(200)], "frame_idx long, n long")
     assert [r.frame_idx for r in sequences.training_sample(counts, 20).collect()] == [0, 2, 4, 6, 8, 10]
